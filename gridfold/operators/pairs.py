@@ -114,31 +114,46 @@ def expand_pairs(pairs: DataFrame, features: DataFrame, keys: list[str], fid: st
             .withColumn("feature_a", F.least("fa", "fb")).withColumn("feature_b", F.greatest("fa", "fb")).drop("fa", "fb"))
 
 
-def nearest_line(points: DataFrame, lines: DataFrame, keys: list[str], pid: str, cell: float) -> DataFrame:
-    """Distance of every point (``keys, pid, x, y``) to the nearest line segment
-    (``keys, x1, y1, x2, y2``); NULL where the keys have no lines.
+def _inside(x: Column, y: Column, segs: Column) -> Column:
+    """Even-odd test of a point against closed outline edges."""
+    hits = F.filter(segs, lambda s: ((s.y1 <= y) != (s.y2 <= y)) & (x < s.x1 + (y - s.y1) / (s.y2 - s.y1) * (s.x2 - s.x1)))
+    return F.size(hits) % 2 == 1
 
-    Expanding search: each round looks at the nine buckets around a point, keeps the answers
-    that the bucket size proves, and doubles the bucket for the points still open.  It ends
-    because only points whose keys have a line take part.
+
+def _edge_distance_sq(segs: Column, t: Column) -> Column:
+    """Squared distance of an outline to one segment (0 where they meet)."""
+    from gridfold.operators.topology import segments_meet
+    return F.array_min(F.transform(segs, lambda s: F.when(segments_meet(s, t), F.lit(0.0)).otherwise(F.least(
+        M.point_segment_sq(s.x1, s.y1, t), M.point_segment_sq(s.x2, s.y2, t),
+        M.point_segment_sq(t.x1, t.y1, s), M.point_segment_sq(t.x2, t.y2, s)))))
+
+
+def nearest_line(features: DataFrame, lines: DataFrame, keys: list[str], fid: str, cell: float) -> DataFrame:
+    """Distance of every outline (``keys, fid, segs``) to the nearest line segment (``keys, x1,
+    y1, x2, y2``), 0 when they meet or the line lies inside; NULL where the keys have no lines.
+
+    Expanding search: a round looks at the buckets within ``reach`` of the outline's box, keeps
+    answers the reach proves, and doubles the reach (and the bucket) for those still open.  It
+    ends because only features whose keys have a line take part.
     """
-    open_points = cut(points.join(lines.select(*keys).distinct(), keys, "left_semi").select(*keys, pid, "x", "y"))
-    done, reach = None, cell
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    def ends(a, b):
+        return F.flatten(F.transform("segs", lambda s: F.array(s[a], s[b])))
+    box = F.struct(F.array_min(ends("x1", "x2")).alias("xmin"), F.array_max(ends("x1", "x2")).alias("xmax"),
+                   F.array_min(ends("y1", "y2")).alias("ymin"), F.array_max(ends("y1", "y2")).alias("ymax"))
+    todo = features.join(lines.select(*keys).distinct(), keys, "left_semi").select(*keys, fid, "segs")
+    todo, done, reach = cut(pin(todo, b=box)), None, cell
     while True:
-        p = (open_points.withColumn("gx", F.explode(F.transform(around, lambda d: F.floor(F.col("x") / reach) + d)))
-             .withColumn("gy", F.explode(F.transform(around, lambda d: F.floor(F.col("y") / reach) + d))))
-        seg = lines.select(*keys, F.struct("x1", "y1", "x2", "y2").alias("s"))
-        for g, u, v in (("gx", "s.x1", "s.x2"), ("gy", "s.y1", "s.y2")):
+        p, seg = todo, lines.select(*keys, F.struct("x1", "y1", "x2", "y2").alias("s"))
+        for g, lo, hi, u, v in (("gx", "b.xmin", "b.xmax", "s.x1", "s.x2"), ("gy", "b.ymin", "b.ymax", "s.y1", "s.y2")):
+            p = p.withColumn(g, F.explode(F.sequence(F.floor((F.col(lo) - reach) / reach), F.floor((F.col(hi) + reach) / reach))))
             seg = seg.withColumn(g, F.explode(F.sequence(F.floor(F.least(u, v) / reach), F.floor(F.greatest(u, v) / reach))))
-        best = (p.join(seg, [*keys, "gx", "gy"]).groupBy(*keys, pid)
-                .agg(F.sqrt(F.min(M.point_segment_sq(F.col("x"), F.col("y"), F.col("s")))).alias("distance"))
-                .where(F.col("distance") <= reach))
-        best = cut(best)
+        near = p.join(seg, [*keys, "gx", "gy"])
+        d = F.when(_inside(F.col("s.x1"), F.col("s.y1"), F.col("segs")), F.lit(0.0)).otherwise(_edge_distance_sq(F.col("segs"), F.col("s")))
+        best = cut(near.groupBy(*keys, fid).agg(F.sqrt(F.min(d)).alias("distance")).where(F.col("distance") <= reach))
         done = best if done is None else done.unionByName(best)
-        open_points = cut(open_points.join(best, [*keys, pid], "left_anti"))
-        if open_points.isEmpty():
-            return points.select(*keys, pid).join(done, [*keys, pid], "left")
+        todo = cut(todo.join(best, [*keys, fid], "left_anti"))
+        if todo.isEmpty():
+            return features.select(*keys, fid).join(done, [*keys, fid], "left")
         reach *= 2
 
 
