@@ -127,6 +127,8 @@ def span_parts(pieces: DataFrame, ids: list[str]) -> DataFrame:
     sp = hard.select(*ids, F.posexplode("spans").alias("node", "s")).select(*ids, F.col("node").cast("long"), "s.row", "s.c0", "s.c1")
     nxt = S.split_spans(sp.select(*ids, F.col("node").alias("v"), (F.col("row") - 1).alias("row"), "c0", "c1")).withColumnsRenamed({"c0": "d0", "c1": "d1"})
     edges = S.split_spans(sp).join(nxt, [*ids, "row", "bucket"]).where("c0 < d1 and d0 < c1").select(*ids, F.col("node").alias("u"), "v").distinct()
+    beside = sp.select(*ids, F.col("node").alias("v"), "row", F.col("c0").alias("c1"))  # pieces cut at a bucket border
+    edges = edges.unionByName(sp.select(*ids, "row", "c1", F.col("node").alias("u")).join(beside, [*ids, "row", "c1"]).select(*ids, "u", "v"))
     roots = graph_components(edges, ids)
     parts = (sp.join(roots, [*ids, "node"], "left").groupBy(*ids, F.coalesce("root", "node").alias("part"))
              .agg(F.array_sort(F.collect_list(F.struct("row", "c0", "c1"))).alias("spans")))

@@ -1,3 +1,3 @@
 """All registered queries."""
-from gridfold.plans import scoring, topology  # noqa: F401
+from gridfold.plans import scoring, topology, review  # noqa: F401
 from gridfold.plans.registry import ORACLES, QUERIES  # noqa: F401
