@@ -124,13 +124,60 @@ def span_parts(pieces: DataFrame, ids: list[str]) -> DataFrame:
     hard = pieces.where("not _easy").drop("_easy")
     if hard.isEmpty():
         return easy.withColumn("cells", S.cell_count(F.col("spans")))
-    sp = hard.select(*ids, F.posexplode("spans").alias("node", "s")).select(*ids, F.col("node").cast("long"), "s.row", "s.c0", "s.c1")
+    huge = hard.where(F.size("spans") > SMALL_PIECE)
+    small = _small_parts(hard.where(F.size("spans") <= SMALL_PIECE), ids)
+    out = easy.unionByName(hard.drop("spans").join(small, ids))
+    if not huge.isEmpty():
+        out = out.unionByName(hard.drop("spans").join(_graph_parts(huge, ids), ids))
+    return out.withColumn("cells", S.cell_count(F.col("spans")))
+
+
+SMALL_PIECE = 4096  # spans; larger pieces take the graph job
+
+
+def _small_parts(pieces: DataFrame, ids: list[str]) -> DataFrame:
+    """Parts of pieces with few spans: each piece is labelled where its row already is."""
+    schema = ", ".join(f"{k} {pieces.schema[k].dataType.simpleString()}" for k in ids) + ", part long, spans array<struct<row:int,c0:int,c1:int>>"
+
+    def split(batches):
+        for pdf in batches:
+            rows = []
+            for rec in pdf.itertuples(index=False):
+                sp = rec.spans
+                top = list(range(len(sp)))
+
+                def root(i):
+                    while top[i] != i:
+                        i = top[i]
+                    return i
+                at: dict = {}
+                for i, s in enumerate(sp):
+                    at.setdefault(s["row"], []).append(i)
+                for i, s in enumerate(sp):
+                    for j in at.get(s["row"] + 1, ()):
+                        if s["c0"] < sp[j]["c1"] and sp[j]["c0"] < s["c1"]:
+                            a, b = sorted((root(i), root(j)))
+                            top[b] = a
+                    for j in at[s["row"]]:
+                        if sp[j]["c0"] == s["c1"]:
+                            a, b = sorted((root(i), root(j)))
+                            top[b] = a
+                groups: dict = {}
+                for i, s in enumerate(sp):
+                    groups.setdefault(root(i), []).append(s)
+                rows += [(*rec[:-1], k, g) for k, g in groups.items()]
+            yield pd.DataFrame(rows, columns=[*ids, "part", "spans"])
+
+    return pieces.select(*ids, "spans").mapInPandas(split, schema)
+
+
+def _graph_parts(pieces: DataFrame, ids: list[str]) -> DataFrame:
+    from gridfold.operators import spans as S
+    sp = pieces.select(*ids, F.posexplode("spans").alias("node", "s")).select(*ids, F.col("node").cast("long"), "s.row", "s.c0", "s.c1")
     nxt = S.split_spans(sp.select(*ids, F.col("node").alias("v"), (F.col("row") - 1).alias("row"), "c0", "c1")).withColumnsRenamed({"c0": "d0", "c1": "d1"})
     edges = S.split_spans(sp).join(nxt, [*ids, "row", "bucket"]).where("c0 < d1 and d0 < c1").select(*ids, F.col("node").alias("u"), "v").distinct()
     beside = sp.select(*ids, F.col("node").alias("v"), "row", F.col("c0").alias("c1"))  # pieces cut at a bucket border
     edges = edges.unionByName(sp.select(*ids, "row", "c1", F.col("node").alias("u")).join(beside, [*ids, "row", "c1"]).select(*ids, "u", "v"))
     roots = graph_components(edges, ids)
-    parts = (sp.join(roots, [*ids, "node"], "left").groupBy(*ids, F.coalesce("root", "node").alias("part"))
-             .agg(F.array_sort(F.collect_list(F.struct("row", "c0", "c1"))).alias("spans")))
-    rest = hard.drop("spans").join(parts, ids)
-    return easy.unionByName(rest).withColumn("cells", S.cell_count(F.col("spans")))
+    return (sp.join(roots, [*ids, "node"], "left").groupBy(*ids, F.coalesce("root", "node").alias("part"))
+            .agg(F.array_sort(F.collect_list(F.struct("row", "c0", "c1"))).alias("spans")))

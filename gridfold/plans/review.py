@@ -226,7 +226,7 @@ def evidence_rules(spark, folder):
 @query("A27_merge_pairs", B.with_ctes(NEAR, """, u AS (SELECT nb.*, x.n + y.n - coalesce((SELECT sum(greatest(0, least(p.c1,q.c1)-greatest(p.c0,q.c0))) FROM rs p JOIN rs q ON p.r=q.r WHERE p.id=nb.a AND q.id=nb.b AND p.site_id=nb.site_id AND q.site_id=nb.site_id), 0) n
    FROM nb JOIN sh x ON x.id=a AND x.site_id=nb.site_id JOIN sh y ON y.id=b AND y.site_id=nb.site_id WHERE a <> b AND gap_cells_sq <= 1)
   SELECT site_id, a, b, CAST(n AS BIGINT) cells, CASE WHEN EXISTS (SELECT 1 FROM rs p JOIN rs q ON abs(p.r-q.r) <= 1 WHERE p.id=u.a AND q.id=u.b AND p.site_id=u.site_id AND q.site_id=u.site_id
-    AND ((p.r=q.r AND q.c0 <= p.c1 AND p.c0 <= q.c1) OR (p.r<>q.r AND q.c0 < p.c1 AND p.c0 < q.c1))) THEN 1 ELSE 2 END parts FROM u"""))
+    AND ((p.r=q.r AND q.c0 <= p.c1 AND p.c0 <= q.c1) OR (p.r<>q.r AND q.c0 < p.c1 AND p.c0 < q.c1))) THEN CAST(1 AS BIGINT) ELSE CAST(2 AS BIGINT) END parts FROM u"""))
 def merge_pairs(spark, folder):
     """Union of two close footprints: dissolved area and number of connected parts (1 = may merge)."""
     fp = B.footprints(spark, folder)
@@ -239,7 +239,7 @@ def merge_pairs(spark, folder):
     return parts.groupBy("site_id", "a", "b").agg(F.sum("cells").alias("cells"), F.count("*").alias("parts"))
 
 
-@query("A32_split_by_line", B.with_ctes(B.AREA, "SELECT site_id, feature_id, 2 AS parts, CASE WHEN lshape THEN h//2 ELSE h END lost_cells, round((CASE WHEN lshape THEN h//2 ELSE h END)/n, 5) lost_fraction FROM ar"))
+@query("A32_split_by_line", B.with_ctes(B.AREA, "SELECT site_id, feature_id, CAST(2 AS BIGINT) AS parts, CASE WHEN lshape THEN h//2 ELSE h END lost_cells, round((CASE WHEN lshape THEN h//2 ELSE h END)/n, 5) lost_fraction FROM ar"))
 def split_by_line(spark, folder):
     """Each footprint cut by a one-cell wide vertical line through its middle."""
     d = B.covered(B._rings(B.boxes(spark, folder)), "feature_id")
