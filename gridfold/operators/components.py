@@ -45,8 +45,9 @@ def graph_components(edges: DataFrame, keys: list[str]) -> DataFrame:
             return total
 
 
-def label_block(rows: np.ndarray, cols: np.ndarray, code: np.ndarray, eight: bool = False) -> np.ndarray:
-    """Smallest ``code`` of each connected set of cells inside one block (vectorised)."""
+def label_block(rows: np.ndarray, cols: np.ndarray, code: np.ndarray, eight: bool = False, walls=None) -> np.ndarray:
+    """Smallest ``code`` of each connected set of cells inside one block (vectorised).
+    ``walls``: per cell (closed to the next column, closed to the next row)."""
     r0, c0 = rows.min(), cols.min()
     h, w = rows.max() - r0 + 1, cols.max() - c0 + 1
     index = np.full((h + 2, w + 2), -1, np.int64)
@@ -57,6 +58,8 @@ def label_block(rows: np.ndarray, cols: np.ndarray, code: np.ndarray, eight: boo
     for dr, dc in steps:
         there = index[1 + dr:h + 1 + dr, 1 + dc:w + 1 + dc]
         ok = (here >= 0) & (there >= 0)
+        if walls is not None:
+            ok &= ~walls[0 if dc else 1][np.maximum(here, 0)]
         us.append(here[ok])
         vs.append(there[ok])
     u, v = np.concatenate(us), np.concatenate(vs)
@@ -80,36 +83,40 @@ def label_block(rows: np.ndarray, cols: np.ndarray, code: np.ndarray, eight: boo
 
 
 def cell_components(cells: DataFrame, keys: list[str], tile: int = TILE, eight: bool = False,
-                    width: int = 1 << 31) -> DataFrame:
+                    width: int = 1 << 31, walls: bool = False) -> DataFrame:
     """4- (or 8-) connected components of a mask: input columns plus ``component``.
 
     ``component`` is the smallest ``row * width + col`` of the component.  Tiles are labelled
     independently (bounded groups); only the labels on both sides of a tile seam enter the
-    graph step.  ``keys`` may include a class, so that equal classes connect.
+    graph step.  ``keys`` may include a class, so that equal classes connect.  With ``walls``
+    the boolean columns ``wall_c, wall_r`` close a cell to the next column / row.
     """
-    base = cells.select(*keys, "row", "col").withColumn("_tr", F.floor(F.col("row") / tile)).withColumn("_tc", F.floor(F.col("col") / tile))
+    extra = ["wall_c", "wall_r"] if walls else []
+    base = cells.select(*keys, "row", "col", *extra).withColumn("_tr", F.floor(F.col("row") / tile)).withColumn("_tc", F.floor(F.col("col") / tile))
     schema = ", ".join([f"{k} {base.schema[k].dataType.simpleString()}" for k in keys]
-                       + ["row int", "col int", "_tr long", "_tc long", "local long"])
-    names = [*keys, "row", "col", "_tr", "_tc", "local"]
+                       + ["row int", "col int"] + [f"{w} boolean" for w in extra] + ["_tr long", "_tc long", "local long"])
+    names = [*keys, "row", "col", *extra, "_tr", "_tc", "local"]
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         r, c = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
-        return pdf.assign(local=label_block(r, c, r * width + c, eight))[names]
+        shut = [pdf[w].to_numpy(bool) for w in extra] or None
+        return pdf.assign(local=label_block(r, c, r * width + c, eight, shut))[names]
 
     local = cut(base.groupBy(*keys, "_tr", "_tc").applyInPandas(label, schema))
     seam = local.where(f"pmod(row, {tile}) in (0, {tile - 1}) or pmod(col, {tile}) in (0, {tile - 1})")
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if eight else [])
     moves = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in steps])
-    there = (seam.select(*keys, "_tr", "_tc", F.col("local").alias("u"), "row", "col", F.explode(moves).alias("m"))
+    there = (seam.select(*keys, "_tr", "_tc", F.col("local").alias("u"), "row", "col", *extra, F.explode(moves).alias("m"))
+             .where(F.when(F.col("m.dc") == 1, ~F.col("wall_c")).otherwise(~F.col("wall_r")) if walls else F.lit(True))
              .select(*keys, "_tr", "_tc", "u", (F.col("row") + F.col("m.dr")).alias("row"), (F.col("col") + F.col("m.dc")).alias("col"))
              .where(f"_tr <> floor(row / {tile}) or _tc <> floor(col / {tile})").drop("_tr", "_tc"))
     edges = cut(there.join(seam.select(*keys, "row", "col", F.col("local").alias("v")), [*keys, "row", "col"])
                 .select(*keys, "u", "v").distinct())
     if edges.isEmpty():
-        return local.withColumnRenamed("local", "component").drop("_tr", "_tc")
+        return local.withColumnRenamed("local", "component").drop("_tr", "_tc", *extra)
     roots = graph_components(edges, keys).withColumnRenamed("node", "local")
     return (local.join(roots, [*keys, "local"], "left")
-            .withColumn("component", F.coalesce("root", "local")).drop("root", "local", "_tr", "_tc"))
+            .withColumn("component", F.coalesce("root", "local")).drop("root", "local", "_tr", "_tc", *extra))
 
 
 def span_parts(pieces: DataFrame, ids: list[str]) -> DataFrame:

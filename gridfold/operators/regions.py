@@ -225,8 +225,10 @@ def merged_regions(labels: DataFrame, keys: list[str], px: float, min_part: floa
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "component", "label", "final"]]
 
+    # a component that is a single region has nothing to merge and never reaches Python
+    graph = graph.join(graph.where("kind = 1").select(*keys, "component").distinct(), [*keys, "component"], "left_semi")
     moved = graph.groupBy(*keys, "component").applyInPandas(run, _schema(labels, [*keys, "component", "label"]) + ", final long")
-    return labels.join(moved, [*keys, "component", "label"]).select(*keys, "row", "col", "component", F.col("final").alias("label"))
+    return labels.join(moved, [*keys, "component", "label"], "left").select(*keys, "row", "col", "component", F.coalesce("final", "label").alias("label"))
 
 
 def region_graph(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -339,19 +341,22 @@ def guided_separation(cells: DataFrame, keys: list[str], px: float, **rules) ->
         lab = pdf[pdf.kind == 0]
         return guided_merge(lab.astype({"label": "int64"}), pdf[pdf.kind == 1].astype({"a": "int64", "b": "int64"}), px, **rules)
 
-    def relabel(pdf: pd.DataFrame) -> pd.DataFrame:
-        into, _ = solve(pdf)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        into, cuts = solve(pdf)
         out = pd.DataFrame([(k, *v) for k, v in into.items()], columns=["label", "candidate", "instance"])
-        return out.assign(**{k: pdf[k].iloc[0] for k in ids})[[*ids, "label", "candidate", "instance"]]
-
-    def cut_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(solve(pdf)[1], columns=["a", "b", "contrast", "edge_support", "boundary_m", "confidence"])
-        return out.assign(**{k: pdf[k].iloc[0] for k in ids})[[*ids, *out.columns[:6]]]
+        found = pd.DataFrame(cuts, columns=["a", "b", "contrast", "edge_support", "boundary_m", "confidence"])
+        rows = [(*r, None, None, None, None, None, None) for r in out.itertuples(index=False)]
+        rows += [(None, None, None, *r) for r in cuts]
+        both = pd.DataFrame(rows, columns=[*out.columns, *found.columns], dtype=object)
+        return both.assign(**{k: pdf[k].iloc[0] for k in ids})[[*ids, *out.columns, *found.columns]]
 
-    head = _schema(cells, ids)
-    moved = graph.groupBy(*ids).applyInPandas(relabel, head + ", label long, candidate long, instance long")
-    cuts = graph.groupBy(*ids).applyInPandas(cut_rows, head + ", a long, b long, contrast double, edge_support double, boundary_m double, confidence string")
-    return cells.join(moved, [*ids, "label"]).select(*ids, "row", "col", "candidate", "instance"), cuts
+    linked = graph.where("kind = 1").select(*ids).distinct()
+    solved = cut(graph.join(linked, ids, "left_semi").groupBy(*ids).applyInPandas(run, _schema(cells, ids) + (
+        ", label long, candidate long, instance long, a long, b long, contrast double, edge_support double, boundary_m double, confidence string")))
+    moved = solved.where("label is not null").select(*ids, "label", "candidate", "instance")
+    cuts = solved.where("a is not null").select(*ids, "a", "b", "contrast", "edge_support", "boundary_m", "confidence")
+    out = cells.join(moved, [*ids, "label"], "left")
+    return out.select(*ids, "row", "col", F.coalesce("candidate", "label").alias("candidate"), F.coalesce("instance", "label").alias("instance")), cuts
 
 
 def split_confidence(cuts: DataFrame, keys: list[str]) -> DataFrame:
@@ -432,9 +437,11 @@ def stitch(x1, y1, x2, y2) -> list[list[tuple[int, int]]]:
     return rings
 
 
-def polygonize(labels: DataFrame, keys: list[str], res: float, label: str = "label") -> DataFrame:
-    """Region outlines as ring arrays in metres, largest ring (outer) first: ``keys, label, rings``."""
-    edges = outline_runs(labels, keys, label)
+def polygonize(labels: DataFrame, keys: list[str], res: float, label: str = "label", min_area: float = 0.0) -> DataFrame:
+    """Region outlines as ring arrays in metres (outer rings counter-clockwise, holes clockwise):
+    ``keys, label, rings``.  Regions below ``min_area`` are dropped before any stitching."""
+    big = labels.groupBy(*keys, label).agg(F.count("*").alias("_n")).where(F.col("_n") * res * res >= min_area - 1e-9).select(*keys, label)
+    edges = outline_runs(labels.join(big, [*keys, label], "left_semi"), keys, label)
     head = _schema(edges, [*keys, "label"])
 
     def close(pdf: pd.DataFrame) -> pd.DataFrame:

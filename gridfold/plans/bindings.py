@@ -164,7 +164,7 @@ us AS (SELECT vec_id id, CAST(vec_id % 5 AS BIGINT) site_id, 'class-' || label u
   """ + ", ".join(f"CAST(round(embedding[{i + 1}] * 1000) AS BIGINT) f{i}" for i in range(4)) + " FROM embeddings)"
 
 
-def with_ctes(ctes: str, body: str, recursive: bool = False) -> str:
+def with_ctes(ctes: str, body: str = "", recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes.strip()} {body.strip()}"
 
 

@@ -109,10 +109,10 @@ def chromaticity(spark, folder):
     return coloured(spark, folder).select("site_id", "row", "col", F.round("cr", 6).alias("cr"), F.round("cg", 6).alias("cg"))
 
 
-@query("P23_median_sobel", B.with_ctes(SMOOTH, 'SELECT site_id, r "row", c col, round(md.cr, 5) cr, round(md.cg, 5) cg, round(grad, 5) grad FROM md JOIN gd USING (site_id, r, c)'))
+@query("P23_median_sobel", B.with_ctes(SMOOTH, 'SELECT site_id, r "row", c col, round(md.cr, 8) cr, round(md.cg, 8) cg, round(grad, 8) grad FROM md JOIN gd USING (site_id, r, c)'))
 def median_sobel(spark, folder):
     out = G.smooth_chroma(coloured(spark, folder), K, 64, 64, 32)
-    return out.select("site_id", "row", "col", F.round("cr", 5).alias("cr"), F.round("cg", 5).alias("cg"), F.round("grad", 5).alias("grad"))
+    return out.select("site_id", "row", "col", F.round("cr", 8).alias("cr"), F.round("cg", 8).alias("cg"), F.round("grad", 8).alias("grad"))
 
 
 @query("A13_gradient_percentiles", B.with_ctes(SMOOTH, """SELECT site_id, round(quantile_cont(grad, 0.3), 5) seed_t, round(quantile_cont(grad, 0.75), 5) strong_t FROM gd JOIN raster USING (site_id, r, c) WHERE total >= 26*n GROUP BY ALL"""))
@@ -227,15 +227,15 @@ def feature_numbers(spark, folder):
     return number_in_order(per, K, ["r", "component"], "id", F.floor(F.col("r") / 16)).select("site_id", "component", "id")
 
 
-@query("A14_instance_scores", B.with_ctes(B.COMPONENTS, "SELECT site_id, component, count(*) cells, round(avg(total / n), 4) mean_score FROM comp JOIN raster USING (site_id, r, c) GROUP BY ALL", True))
+@query("A14_instance_scores", B.with_ctes(B.COMPONENTS, "SELECT site_id, component, count(*) cells, round(avg(total / n), 8) mean_score FROM comp JOIN raster USING (site_id, r, c) GROUP BY ALL", True))
 def instance_scores(spark, folder):
     d = comp(spark, folder).join(B.raster(spark, folder), ["site_id", "row", "col"])
-    return G.component_stats(d, K, F.col("total") / F.col("n")).select("site_id", "component", "cells", F.round("mean_prob", 4).alias("mean_score"))
+    return G.component_stats(d, K, F.col("total") / F.col("n")).select("site_id", "component", "cells", F.round("mean_prob", 8).alias("mean_score"))
 
 
 @query("A12_scene_statistics", B.with_ctes(B.COMPONENTS, """, cs AS (SELECT site_id, component, count(*) cells, avg(total / n) p FROM comp JOIN raster USING (site_id, r, c) GROUP BY ALL)
  SELECT site_id, count(*) components, count(*) FILTER (cells < 5) small, CAST(sum(cells) AS BIGINT) cells, CAST(sum(CASE WHEN cells < 5 THEN cells ELSE 0 END) AS BIGINT) small_cells,
-  round(quantile_cont(cells, 0.25) FILTER (cells < 5), 4) q1, round(quantile_cont(cells, 0.5) FILTER (cells < 5), 4) q2, round(quantile_cont(cells, 0.75) FILTER (cells < 5), 4) q3, round(median(p) FILTER (cells < 5), 4) small_prob FROM cs GROUP BY ALL""", True))
+  round(quantile_cont(cells, 0.25) FILTER (cells < 5), 4) q1, round(quantile_cont(cells, 0.5) FILTER (cells < 5), 4) q2, round(quantile_cont(cells, 0.75) FILTER (cells < 5), 4) q3, round(median(p) FILTER (cells < 5), 8) small_prob FROM cs GROUP BY ALL""", True))
 def scene_statistics(spark, folder):
     d = comp(spark, folder).join(B.raster(spark, folder), ["site_id", "row", "col"])
     st = cut(G.component_stats(d, K, F.col("total") / F.col("n")))
@@ -243,16 +243,16 @@ def scene_statistics(spark, folder):
     q = exact_percentiles(small, K, "cells", [0.25, 0.5, 0.75]).join(exact_percentiles(small, K, "mean_prob", [0.5]).withColumnRenamed("q", "p"), K)
     top = st.groupBy("site_id").agg(F.count("*").alias("components"), F.count_if(F.col("cells") < 5).alias("small"), F.sum("cells").alias("cells"),
                                     F.sum(F.when(F.col("cells") < 5, F.col("cells")).otherwise(0)).alias("small_cells"))
-    return top.join(q, K, "left").select("site_id", "components", "small", "cells", "small_cells", *[F.round(F.col("q")[i], 4).alias(f"q{i + 1}") for i in range(3)], F.round(F.col("p")[0], 4).alias("small_prob"))
+    return top.join(q, K, "left").select("site_id", "components", "small", "cells", "small_cells", *[F.round(F.col("q")[i], 4).alias(f"q{i + 1}") for i in range(3)], F.round(F.col("p")[0], 8).alias("small_prob"))
 
 
 @query("R12_polygons", B.with_ctes(B.COMPONENTS, """, nb AS (SELECT a.site_id, a.component, count(*) - count(b.r) edges FROM comp a CROSS JOIN (VALUES (0,1),(1,0),(0,-1),(-1,0)) m(dr,dc) LEFT JOIN comp b ON b.site_id=a.site_id AND b.r=a.r+dr AND b.c=a.c+dc GROUP BY ALL)
  SELECT site_id, component, round(count(*)*0.09, 6) area_m2, round(any_value(edges)*0.3, 6) perimeter_m FROM comp JOIN nb USING (site_id, component) GROUP BY ALL HAVING count(*) >= 2""", True))
 def polygons(spark, folder):
     from gridfold.functions import measures as M
-    out = G.polygonize(comp(spark, folder).withColumnRenamed("component", "label"), K, 0.3)
+    out = G.polygonize(comp(spark, folder).withColumnRenamed("component", "label"), K, 0.3, min_area=0.18)
     out = pin(out, a=M.area(F.col("rings")), p=M.perimeter(F.col("rings")))
-    return out.where("a >= 0.18 - 1e-9").select("site_id", F.col("label").alias("component"), F.round("a", 6).alias("area_m2"), F.round("p", 6).alias("perimeter_m"))
+    return out.select("site_id", F.col("label").alias("component"), F.round("a", 6).alias("area_m2"), F.round("p", 6).alias("perimeter_m"))
 
 
 @query("R13_boundary_lines", B.with_ctes(BLOCKS, """SELECT a.site_id, least(a.l,b.l) a, greatest(a.l,b.l) b, count(*) edges, CAST(sum(CASE WHEN a.r=b.r THEN 2*a.c+2 ELSE 2*a.c+1 END) AS BIGINT) sx, CAST(sum(CASE WHEN a.r=b.r THEN 2*a.r+1 ELSE 2*a.r+2 END) AS BIGINT) sy
@@ -270,10 +270,10 @@ def zones(spark, folder):
     return z.selectExpr("zone", "site_id", "explode(sequence(zy, zy + h - 1)) row", "zx c0", "zx + w c1")
 
 
-@query("J17_zonal", B.with_ctes(ZONES, "SELECT zone, count(*) cells, round(avg(total / n), 5) mean_score FROM zc JOIN raster USING (site_id, r, c) GROUP BY ALL"))
+@query("J17_zonal", B.with_ctes(ZONES, "SELECT zone, count(*) cells, round(avg(total / n), 8) mean_score FROM zc JOIN raster USING (site_id, r, c) GROUP BY ALL"))
 def zonal(spark, folder):
     d = S.to_cells(zones(spark, folder)).join(B.raster(spark, folder), ["site_id", "row", "col"])
-    return d.groupBy("zone").agg(F.count("*").alias("cells"), F.round(F.avg(F.col("total") / F.col("n")), 5).alias("mean_score"))
+    return d.groupBy("zone").agg(F.count("*").alias("cells"), F.round(F.avg(F.col("total") / F.col("n")), 8).alias("mean_score"))
 
 
 @query("A11_score_shares", B.with_ctes(ZONES, "SELECT zone, round(avg(CASE WHEN total >= 26*n THEN 1.0 ELSE 0 END), 6) share_26, round(avg(CASE WHEN total >= 20*n THEN 1.0 ELSE 0 END), 6) share_20 FROM zc JOIN raster USING (site_id, r, c) GROUP BY ALL"))
@@ -360,7 +360,7 @@ def scored_tiles(spark, folder):
 
 
 @query("R21_tile_ownership", B.with_ctes(TILED, """, i AS (SELECT site_id, y0, x0, pk % 40 instance, avg(r) cy, avg(c) cx, count(*) cells FROM tl WHERE (pk % 40)*23%100 > 50 AND total >= 26*n GROUP BY ALL)
- SELECT site_id, y0, x0, instance, cells FROM i WHERE cy >= y0 + CASE WHEN y0 > 0 THEN 4 ELSE 0 END AND cy < y0+24 - CASE WHEN y0+24 < 64 THEN 4 ELSE 0 END AND cx >= x0 + CASE WHEN x0 > 0 THEN 4 ELSE 0 END AND cx < x0+24 - CASE WHEN x0+24 < 64 THEN 4 ELSE 0 END"""))
+ SELECT site_id, CAST(y0 AS BIGINT) y0, CAST(x0 AS BIGINT) x0, instance, cells FROM i WHERE cy >= y0 + CASE WHEN y0 > 0 THEN 4 ELSE 0 END AND cy < y0+24 - CASE WHEN y0+24 < 64 THEN 4 ELSE 0 END AND cx >= x0 + CASE WHEN x0 > 0 THEN 4 ELSE 0 END AND cx < x0+24 - CASE WHEN x0+24 < 64 THEN 4 ELSE 0 END"""))
 def tile_ownership(spark, folder):
     r = B.raster(spark, folder).where("total >= 26 * n").selectExpr("site_id", "row", "col", "pk % 40 instance", "((pk % 40) * 23 % 100) / 100D score", "64 rows", "64 cols")
     d = T.to_tiles(r, grid(spark, folder), K, 24, 8)
@@ -414,7 +414,7 @@ def raster_tiles(spark, folder):
  cb AS (SELECT p.site_id, p.window_id, p.a, p.b, x.r + dr r, c FROM pr p JOIN tr x ON x.label_id = p.b, range(-6, 7) d(dr), range(x.c0-6, x.c1+6) e(c) WHERE greatest(0, abs(dr)-1)**2 + greatest(0, x.c0-(c+1), c-x.c1)**2 <= reach*reach),
  st AS (SELECT DISTINCT ca.* FROM ca JOIN cb USING (site_id, window_id, a, b, r, c)),
  s2 AS (SELECT * FROM st WHERE kind = 'touching' OR NOT EXISTS (SELECT 1 FROM tr WHERE tr.label_id IN (st.a, st.b) AND tr.r = st.r AND st.c >= tr.c0 AND st.c < tr.c1))
- SELECT p.site_id, p.window_id, p.a, p.b, p.kind, round(sqrt(g)*0.1, 2) gap_m, count(s2.r) strip, min((s2.r*7+s2.c*13)%100)/100.0 prob_min, round(avg((s2.r*7+s2.c*13)%100)/100, 4) prob_mean FROM pr p LEFT JOIN s2 USING (site_id, window_id, a, b) GROUP BY p.site_id, p.window_id, p.a, p.b, p.kind, g"""))
+ SELECT p.site_id, p.window_id, p.a, p.b, p.kind, round(sqrt(g)*0.1, 2) gap_m, count(s2.r) strip, min((s2.r*7+s2.c*13)%100)/100.0 prob_min, round(avg((s2.r*7+s2.c*13)%100)/100, 10) prob_mean FROM pr p LEFT JOIN s2 USING (site_id, window_id, a, b) GROUP BY p.site_id, p.window_id, p.a, p.b, p.kind, g"""))
 def adjacent_labels(spark, folder):
     """Neighbouring labels of a window up to 0.5 m apart: gap width and score in the strip between."""
     from gridfold.operators.diagnosis import adjacent_strips
@@ -422,4 +422,4 @@ def adjacent_labels(spark, folder):
     st = adjacent_strips(labels, C.WKEYS, 0.5, B.RES)
     v = F.expr("(row * 7 + col * 13) % 100")
     return st.groupBy("site_id", "window_id", "a", "b", "kind", F.round(F.sqrt("gap_cells_sq") * 0.1, 2).alias("gap_m")).agg(
-        F.count("row").alias("strip"), (F.min(v) / 100.0).alias("prob_min"), F.round(F.avg(v) / 100, 4).alias("prob_mean"))
+        F.count("row").alias("strip"), (F.min(v) / 100.0).alias("prob_min"), F.round(F.avg(v) / 100, 10).alias("prob_mean"))
