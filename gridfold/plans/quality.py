@@ -88,15 +88,17 @@ def hash_inventory(spark, folder):
     return Q.hash_inventory(want, have).groupBy("status").agg(F.count("*").alias("files"))
 
 
-@query("Q7_frozen_inventory", """SELECT count(*) FILTER (page_id % 7 = 0) changed, count(*) FILTER (page_id % 7 <> 0) checked, count(*) FILTER (page_id % 7 = 0) = 0 AS passed FROM pages""")
+@query("Q7_frozen_inventory", """WITH b AS (SELECT DISTINCT page_id // 10 k FROM pages) SELECT count(*) FILTER (k % 7 = 0) changed, count(*) FILTER (k % 7 <> 0) checked, count(*) FILTER (k % 7 = 0) = 0 AS passed FROM b""")
 def frozen_inventory(spark, folder):
-    """Page texts written as files by Spark, then hashed from the files."""
+    """Blocks of page texts written as files by Spark, then hashed from the files."""
     path = scratch(spark, "frozen")
-    p = B.table(spark, folder, "pages").select("page_id", F.base64(F.encode("html", "UTF-8")).alias("value"))
-    p.write.partitionBy("page_id").text(path)
+    p = B.table(spark, folder, "pages").selectExpr("page_id", "page_id div 10 block", "base64(encode(html, 'UTF-8')) line")
+    docs = p.groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "line"))), lambda s: s.line), "\n").alias("value"))
+    docs.write.partitionBy("block").text(path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    have = files.select(F.regexp_extract("path", r"page_id=(\d+)", 1).alias("path"), F.sha2("content", 256).alias("sha256"))
-    want = p.select(F.col("page_id").cast("string").alias("path"), F.sha2(F.concat(F.expr("if(page_id % 7 = 0, concat(value, '!'), value)"), F.lit("\n")), 256).alias("sha256"))
+    have = files.select(F.regexp_extract("path", r"block=(\d+)", 1).alias("path"), F.sha2("content", 256).alias("sha256"))
+    listed = F.concat(F.expr("if(block % 7 = 0, concat(value, '!'), value)"), F.lit("\n"))
+    want = docs.select(F.col("block").cast("string").alias("path"), F.sha2(listed, 256).alias("sha256"))
     return Q.hash_inventory(want, have).agg(F.count_if(F.col("status") == "changed").alias("changed"), F.count_if(F.col("status") == "checked").alias("checked"),
                                             (F.count_if(F.col("status") != "checked") == 0).alias("passed"))
 

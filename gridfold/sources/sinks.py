@@ -14,3 +14,27 @@ def score_report(scores: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct(F.col("window_id").cast("string"), body))).alias("per_window"))
     top = scores.where("window_id is null").select("site_id", body.alias("overall"))
     return top.join(per, "site_id").select("site_id", F.to_json(F.struct("overall", "per_window")).alias("report"))
+
+
+def export_features(features: DataFrame, path: str, zone: int, south: bool) -> None:
+    """Reviewed features below a new folder: analysis CRS and WGS84 GeoJSON lines, one folder
+    per feature class.  Refuses an existing folder."""
+    from gridfold.functions.projection import unproject_rings
+    from gridfold.sources.features import geojson
+    props = F.struct(*[c for c in features.columns if c not in ("rings", "feature_id")])
+    for name, rings in (("analysis", F.col("rings")), ("wgs84", unproject_rings(F.col("rings"), zone, south))):
+        lines = features.select("feature_type", geojson(rings, props, F.col("feature_id")).alias("value"))
+        lines.write.mode("errorifexists").partitionBy("feature_type").text(f"{path}/{name}")
+
+
+def export_parcels(features: DataFrame, history: DataFrame, path: str, states: list[str]) -> None:
+    """Saved parcel revision: one folder per entity kind (parcels only in the wanted states) and
+    the history up to that revision."""
+    wanted = features.where((F.col("kind") != "parcel") | F.col("parcel_state").isin(states))
+    wanted.write.mode("errorifexists").partitionBy("kind").parquet(f"{path}/entities")
+    history.write.mode("errorifexists").json(f"{path}/history")
+
+
+def write_log(rows: DataFrame, path: str) -> None:
+    """Diagnosis and review logs as CSV with a header."""
+    rows.write.mode("errorifexists").option("header", True).csv(path)
