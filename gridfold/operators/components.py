@@ -25,13 +25,15 @@ def graph_components(edges: DataFrame, keys: list[str]) -> DataFrame:
     while True:
         hook = cut(graph.groupBy(*keys, F.col("u").alias("node")).agg(F.min("v").alias("m"))
                    .withColumn("root", F.least("m", "node")).drop("m"))
-        while True:
-            up = hook.select(*keys, F.col("node").alias("root"), F.col("root").alias("top"))
-            jumped = cut(hook.join(up, [*keys, "root"], "left").select(
-                *keys_n, F.coalesce("top", "root").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
-            hook = jumped.drop("moved")
-            if jumped.where("moved").isEmpty():
+        while True:  # two pointer doublings per materialised step
+            for _ in range(2):
+                up = hook.select(*keys, F.col("node").alias("root"), F.col("root").alias("top"))
+                hook = hook.join(up, [*keys, "root"], "left").select(*keys_n, F.coalesce("top", "root").alias("root"), (F.col("top") != F.col("root")).alias("moved"))
+            hook = cut(hook)
+            if hook.where("moved").isEmpty():
+                hook = hook.drop("moved")
                 break
+            hook = hook.drop("moved")
         if total is None:
             total = hook
         else:

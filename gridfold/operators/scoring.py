@@ -1,6 +1,8 @@
 """Pixel and object scores of footprints against reviewed labels, per window and overall."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +99,76 @@ def greedy_match(pairs: DataFrame, keys=WKEYS) -> DataFrame:
     return left.select(*keys, "pred", "label", "iou") if matched is None else matched.select(*keys, "pred", "label", "iou")
 
 
+def assignment(cost: np.ndarray) -> list[int]:
+    """Column of each row in a cheapest full assignment (rows <= columns), by shortest
+    augmenting paths with row and column potentials."""
+    n, m = cost.shape
+    u, v = np.zeros(n + 1), np.zeros(m + 1)
+    row_of, way = np.zeros(m + 1, int), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        row_of[0], j = i, 0
+        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
+        while row_of[j]:
+            used[j] = True
+            slack = cost[row_of[j] - 1] - u[row_of[j]] - v[1:]
+            better = ~used[1:] & (slack < least[1:])
+            least[1:][better], way[1:][better] = slack[better], j
+            nxt = 1 + int(np.argmin(np.where(used[1:], np.inf, least[1:])))
+            delta = least[nxt]
+            u[row_of[used]] += delta
+            v[used] -= delta
+            least[~used] -= delta
+            j = nxt
+        while j:
+            row_of[j] = row_of[way[j]]
+            j = way[j]
+    out = [0] * n
+    for j in range(1, m + 1):
+        if row_of[j]:
+            out[row_of[j] - 1] = j - 1
+    return out
+
+
+def optimal_match(pairs: DataFrame, keys=WKEYS) -> DataFrame:
+    """Matching with the most eligible pairs, then the largest IoU sum: ``keys, pred, label, iou``.
+
+    Only pairs that compete for an end need solving: a pair whose ends occur once is a match
+    outright.  The rest is solved per component of the eligible graph, which overlap keeps
+    local (IoU >= 0.5 limits how many shapes can contend).
+    """
+    from gridfold.operators.components import graph_components
+    pairs = cut(pairs.select(*keys, "pred", "label", "iou").withColumn("u", F.xxhash64(F.lit(0), "pred")).withColumn("v", F.xxhash64(F.lit(1), "label")))
+    busy = pairs.groupBy(*keys, "u").agg(F.count("*").alias("n")).where("n > 1").select(*keys, "u")
+    busy_l = pairs.groupBy(*keys, "v").agg(F.count("*").alias("n")).where("n > 1").select(*keys, "v")
+    marked = cut(pairs.join(busy.withColumn("bu", F.lit(1)), [*keys, "u"], "left").join(busy_l.withColumn("bv", F.lit(1)), [*keys, "v"], "left"))
+    free = marked.where("bu is null and bv is null").select(*keys, "pred", "label", "iou")
+    rest = marked.where("bu is not null or bv is not null").drop("bu", "bv")
+    roots = graph_components(rest.select(*keys, "u", "v"), list(keys)).withColumnRenamed("node", "u")
+    grouped = rest.join(roots, [*keys, "u"]).withColumn("rid", F.struct("pred", "label"))
+    schema = ", ".join(f"{k} {grouped.schema[k].dataType.simpleString()}" for k in keys) + ", u long, v long"
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        us, vs = np.unique(pdf["u"]), np.unique(pdf["v"])
+        gain = np.zeros((len(us), len(vs)))
+        gain[np.searchsorted(us, pdf["u"]), np.searchsorted(vs, pdf["v"])] = min(len(us), len(vs)) + 1 + pdf["iou"].to_numpy()
+        flip = len(us) > len(vs)
+        pick = assignment(-(gain.T if flip else gain))
+        got = [(j, i) if flip else (i, j) for i, j in enumerate(pick)]
+        got = [(us[i], vs[j]) for i, j in got if gain[i, j] > 0]
+        return pd.DataFrame([(*[pdf[k].iloc[0] for k in keys], a, b) for a, b in got], columns=[*keys, "u", "v"])
+
+    won = grouped.select(*keys, "root", "u", "v", "iou").groupBy(*keys, "root").applyInPandas(solve, schema)
+    return free.unionByName(rest.join(won, [*keys, "u", "v"], "left_semi").select(*keys, "pred", "label", "iou"))
+
+
+def contention(pairs: DataFrame, keys=WKEYS) -> DataFrame:
+    """Merge candidates (predictions eligible for several labels) and split candidates (labels
+    eligible for several predictions) per key."""
+    def many(side, name):
+        return pairs.groupBy(*keys, side).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.count_if(F.col("n") > 1).alias(name))
+    return many("pred", "merge_candidates").join(many("label", "split_candidates"), list(keys))
+
+
 def object_counts(matches: DataFrame, labels: DataFrame, preds: DataFrame, windows: DataFrame) -> DataFrame:
     got = matches.groupBy(*WKEYS).agg(F.count("*").alias("matched"), F.sum("iou").alias("iou_sum"))
     zero = F.lit(0).cast("long")

@@ -1,6 +1,8 @@
 """Topology checks between footprints: duplicates, overlaps, shared edges, gaps, validity, flags."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,35 +98,54 @@ def shared_edge_at_vertex(features: DataFrame, vertices: DataFrame, res: float,
     return best.select(*keys, "target", "x", "y", "m.neighbour", F.col("m.d").alias("distance_m"), "m.length_m", "candidates")
 
 
-def _grow(spans: DataFrame, reach: float, keys: list[str]) -> DataFrame:
-    """Dilation by a disc: a span becomes one wider span per row offset."""
-    k = int(reach)
-    rows = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(int((reach * reach - dy * dy) ** 0.5)).alias("w")) for dy in range(-k, k + 1)])
-    out = (spans.select(*keys, "row", "c0", "c1", F.explode(rows).alias("o"))
-           .select(*keys, (F.col("row") + F.col("o.dy")).alias("row"), (F.col("c0") - F.col("o.w")).alias("c0"), (F.col("c1") + F.col("o.w")).alias("c1")))
-    return S.union_spans(out, keys)
+def _disc(grid: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
+    out = np.zeros_like(grid)
+    for dr, dc in offsets:
+        out |= np.roll(grid, (dr, dc), (0, 1))
+    return out
 
 
-def closing_gaps(features: DataFrame, res: float, width: float = T.GAP_MAX_WIDTH, keys: list[str] = KEYS) -> DataFrame:
+def closing_gaps(features: DataFrame, res: float, width: float = T.GAP_MAX_WIDTH, keys: list[str] = KEYS, tile: int = 256) -> DataFrame:
     """Cells of narrow gaps: morphological closing of the union minus the union.
 
-    Only the fringe around footprints is touched: fringe = dilated - union; a fringe cell
-    stays unless an uncovered cell outside the dilation lies within the radius.
+    The dissolved cover is cut to tiles with a halo of twice the radius, so one shuffle feeds
+    both the dilation and the erosion, and a tile holds at most its own area in spans.
     """
     reach = width / 2 / res
-    cover = cut(S.union_spans(S.explode_spans(features, *keys), keys))
-    grown = cut(_grow(cover, reach, keys))
-    fringe = cut(S.difference_spans(grown, cover, keys))
-    outside = S.difference_spans(_grow(fringe, reach, keys), grown, keys)
-    return S.difference_spans(fringe, _grow(outside, reach, keys), keys)
+    k = int(reach)
+    halo = 2 * k + 1
+    disc = [(dr, dc) for dr in range(-k, k + 1) for dc in range(-k, k + 1) if dr * dr + dc * dc <= reach * reach]
+    cover = S.union_spans(S.explode_spans(features, *keys), keys)
+
+    def tiles(lo, hi):
+        return F.explode(F.sequence(F.floor((lo - halo) / tile).cast("int"), F.floor((hi + halo) / tile).cast("int")))
+
+    cut_up = cover.withColumn("_tr", tiles(F.col("row"), F.col("row"))).withColumn("_tc", tiles(F.col("c0"), F.col("c1") - 1))
+    head = ", ".join(f"{c} {cover.schema[c].dataType.simpleString()}" for c in keys)
+
+    def gaps(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = tile + 2 * halo
+        r0, c0 = int(pdf["_tr"].iloc[0]) * tile - halo, int(pdf["_tc"].iloc[0]) * tile - halo
+        edge = np.zeros((n, n + 1), np.int32)
+        row = pdf["row"].to_numpy() - r0
+        np.add.at(edge, (row, np.clip(pdf["c0"].to_numpy() - c0, 0, n)), 1)
+        np.add.at(edge, (row, np.clip(pdf["c1"].to_numpy() - c0, 0, n)), -1)
+        union = np.cumsum(edge, axis=1)[:, :n] > 0
+        grown = _disc(union, disc)
+        closed = ~_disc(~grown, disc)
+        inner = np.zeros((n, n), bool)
+        inner[halo:-halo, halo:-halo] = True
+        rr, cc = np.nonzero(closed & ~union & inner)
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in keys}, "row": (rr + r0).astype(np.int32), "col": (cc + c0).astype(np.int32)})
+
+    return cut_up.groupBy(*keys, "_tr", "_tc").applyInPandas(gaps, head + ", row int, col int")
 
 
 def gap_conflicts(features: DataFrame, res: float, keys: list[str] = KEYS, fid: str = "id",
                   min_area: float = T.GAP_MIN_AREA, min_length: float = T.GAP_MIN_LENGTH, width: float = T.GAP_MAX_WIDTH) -> DataFrame:
     """Gap slivers: 4-connected gap regions of at least .1 m2 and 1 m (longer box side) that
     touch two or more footprints: ``keys, gap, cells, features``."""
-    cells = S.to_cells(closing_gaps(features, res, width, keys))
-    comp = cut(cell_components(cells, keys))
+    comp = cut(cell_components(closing_gaps(features, res, width, keys), keys, tile=512))
     size = comp.groupBy(*keys, "component").agg(
         F.count("*").alias("cells"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("k0"), F.max("col").alias("k1"))
     longer = F.greatest(F.col("r1") - F.col("r0"), F.col("k1") - F.col("k0")) + 1

@@ -227,9 +227,9 @@ def safe_division(spark, folder):
     return B.table(spark, folder, "documents").select("doc_id", F.round(ratio(F.col("n_chars"), F.col("doc_id") % 5), 6).alias("ratio"))
 
 
-@query("F4_rounding", "SELECT event_id, round(value / 7, 1) r1, round(value / 7, 3) r3, round(value / 7, 4) r4 FROM events")
+@query("F4_rounding", "SELECT event_id, round((value + 0.013) / 7, 1) r1, round((value + 0.013) / 7, 3) r3, round((value + 0.013) / 7, 4) r4 FROM events")
 def rounding(spark, folder):
-    v = F.col("value") / 7
+    v = (F.col("value") + 0.013) / 7
     return B.table(spark, folder, "events").select("event_id", *[F.round(v, k).alias(f"r{k}") for k in (1, 3, 4)])
 
 

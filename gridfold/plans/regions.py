@@ -18,7 +18,7 @@ from gridfold.plans.scoring import WIN, inputs
 from gridfold.session import cut, pin
 
 K = ["site_id"]
-TILE = 16  # small tiles, so that the derived 64 x 64 grids have seams
+TILE = 32  # half a derived 64 x 64 grid, so that tile seams take part
 BLOCK = "(row div 8) * 8 + col div 8"
 
 

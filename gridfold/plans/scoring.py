@@ -114,6 +114,24 @@ def window_scores(spark, folder):
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
+@query("A6_optimal_matches")
+def optimal_matches(spark, folder):
+    """Optimal one-to-one matches and contention counts (checked by brute force in tests)."""
+    preds, labels, win = inputs(spark, folder)
+    truth, _, pieces = C.prepare(preds, labels, win, MIN_CELLS)
+    pairs = cut(C.candidate_matches(truth, pieces, 0.2))
+    m = C.optimal_match(pairs).groupBy(*C.WKEYS).agg(F.count("*").alias("tp"), F.round(F.sum("iou"), 6).alias("iou_sum"))
+    return m.join(C.contention(pairs), C.WKEYS)
+
+
+@query("A6_candidates", B.with_ctes(WIN, """, el AS (SELECT * FROM ov WHERE inter / (pn + tn - inter) >= 0.5), a AS (SELECT site_id, window_id, pred, count(*) n FROM el GROUP BY ALL), b AS (SELECT site_id, window_id, label, count(*) n FROM el GROUP BY ALL)
+  SELECT site_id, window_id, merge_candidates, split_candidates FROM (SELECT site_id, window_id, count(*) FILTER (n > 1) merge_candidates FROM a GROUP BY ALL) JOIN (SELECT site_id, window_id, count(*) FILTER (n > 1) split_candidates FROM b GROUP BY ALL) USING (site_id, window_id)"""))
+def match_candidates(spark, folder):
+    preds, labels, win = inputs(spark, folder)
+    truth, _, pieces = C.prepare(preds, labels, win, MIN_CELLS)
+    return C.contention(C.candidate_matches(truth, pieces))
+
+
 @query("A7_mean_matched_iou", B.with_ctes(GREEDY, """SELECT site_id, round(sum(m * n) / sum(n), 6) mean_matched_iou, CAST(sum(n) AS BIGINT) matched
   FROM (SELECT site_id, window_id, avg(iou) m, count(*) n FROM mt GROUP BY ALL) GROUP BY ALL""", True))
 def mean_iou(spark, folder):

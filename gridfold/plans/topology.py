@@ -303,7 +303,7 @@ def hausdorff(spark, folder):
     return d.select(F.col("a").alias("feature_id"), F.col("b").alias("label_id"), r6(F.col("hausdorff"), "hausdorff_m"))
 
 
-@query("R14_gap_slivers", B.with_ctes(B.CELLS, """, un AS (SELECT DISTINCT site_id, feature_type, r, c FROM cells),
+GAPS = B.CELLS + """, un AS (SELECT DISTINCT site_id, feature_type, r, c FROM cells),
  disc AS (SELECT dy, dx FROM range(-2,3) a(dy), range(-2,3) b(dx) WHERE dx*dx+dy*dy <= 6.25),
  gr AS (SELECT DISTINCT site_id, feature_type, r+dy r, c+dx c FROM un, disc),
  fr AS (SELECT * FROM gr ANTI JOIN un USING (site_id, feature_type, r, c)),
@@ -314,13 +314,21 @@ def hausdorff(spark, folder):
  gc AS (SELECT site_id, feature_type, CAST(u//2147483648 AS BIGINT) r, CAST(u%2147483648 AS BIGINT) c, min(v) g FROM rc GROUP BY site_id, feature_type, u),
  big AS (SELECT site_id, feature_type, g, count(*) n FROM gc GROUP BY ALL HAVING count(*) >= 10 AND greatest(max(r)-min(r), max(c)-min(c))+1 >= 10),
  nr AS (SELECT DISTINCT q.site_id, q.feature_type, q.g, feature_id FROM (SELECT gc.*, dy, dx FROM gc JOIN big USING (site_id, feature_type, g), range(-1,2) a(dy), range(-1,2) b(dx)) q
-   JOIN cells k ON k.site_id=q.site_id AND k.feature_type=q.feature_type AND k.r=q.r+dy AND k.c=q.c+dx)
- SELECT site_id, feature_type, n cells, count(*) features, min(feature_id) first_feature FROM nr JOIN big USING (site_id, feature_type, g) GROUP BY site_id, feature_type, g, n HAVING count(*) >= 2""", True))
+   JOIN cells k ON k.site_id=q.site_id AND k.feature_type=q.feature_type AND k.r=q.r+dy AND k.c=q.c+dx)"""
+
+
+@query("R14_gap_slivers", B.with_ctes(GAPS, """SELECT site_id, feature_type, n cells, count(*) features, min(feature_id) first_feature FROM nr JOIN big USING (site_id, feature_type, g) GROUP BY site_id, feature_type, g, n HAVING count(*) >= 2""", True))
 def gaps(spark, folder):
     d = B.covered(B.footprints(spark, folder), "feature_id").select("site_id", "feature_type", "id", "spans")
     return O.gap_conflicts(d, B.RES).drop("gap")
 
 
+@query("J16_features_near_gaps", B.with_ctes(GAPS, """SELECT site_id, feature_type, g gap, count(*) features FROM nr JOIN big USING (site_id, feature_type, g) GROUP BY ALL HAVING count(*) >= 2""", True))
+def near_gaps(spark, folder):
+    d = B.covered(B.footprints(spark, folder), "feature_id").select("site_id", "feature_type", "id", "spans")
+    return O.gap_conflicts(d, B.RES).select("site_id", "feature_type", "gap", "features")
+
+
 @query("P13_ring_validity", B.with_ctes(B.FP, """SELECT feature_id, CASE WHEN ok % 53 = 1 THEN 'not_closed,too_few_points' WHEN ok % 51 = 1 THEN 'not_closed' WHEN ok % 50 = 1 THEN 'self_intersection' ELSE '' END faults FROM fp WHERE NOT lshape"""))
 def validity(spark, folder):
     """Some rectangles are broken on purpose: twisted, left open, or cut to three points."""
