@@ -31,25 +31,25 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
     A bounded sketch proposes cut values; counts per cut find which slice holds each wanted
     rank; only those slices are ranked.  No task sees a whole key.
     """
-    src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    cuts = src.groupBy(*keys).agg(F.approx_percentile("v", [i / pieces for i in range(1, pieces)], 1000).alias("cuts"))
-    cuts = cuts.withColumn("cuts", F.array_sort(F.array_distinct("cuts")))
+    src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    cuts = src.groupBy(*keys).agg(F.approx_percentile("_v", [i / pieces for i in range(1, pieces)], 1000).alias("_cuts"))
+    cuts = cuts.withColumn("_cuts", F.array_sort(F.array_distinct("_cuts")))
     # slice = number of cut values strictly below v; equal values share a slice
-    sliced = src.join(cuts, keys).withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
-    packed = sliced.groupBy(*keys, "slice", "v").agg(F.count("*").alias("c"))
-    sizes = packed.groupBy(*keys, "slice").agg(F.sum("c").alias("c"))
-    w = Window.partitionBy(*keys).orderBy("slice")
-    sizes = sizes.withColumn("below", F.sum("c").over(w) - F.col("c")).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
-    wants = sizes.withColumn("p", F.explode(F.array([F.lit(float(p)) for p in probs])))
-    wants = wants.withColumn("at", F.col("p") * (F.col("n") - 1))
-    wants = wants.withColumn("k", F.explode(F.array(F.floor("at"), F.ceil("at")))).where("k >= below and k < below + c")
-    ws = Window.partitionBy(*keys, "slice").orderBy("v")
-    ranked = packed.withColumn("hi", F.sum("c").over(ws)).withColumn("lo", F.col("hi") - F.col("c")).drop("c")
-    got = ranked.join(wants, [*keys, "slice"]).where("k - below >= lo and k - below < hi")
-    per = got.groupBy(*keys, "p", "at").agg(
-        F.max(F.when(F.col("k") == F.floor("at"), F.col("v"))).alias("a"), F.max(F.when(F.col("k") == F.ceil("at"), F.col("v"))).alias("b"))
-    per = per.withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at")))
-    picks = [F.max(F.when(F.col("p") == float(p), F.col("q"))) for p in probs]
+    sliced = src.join(cuts, keys).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    packed = sliced.groupBy(*keys, "_slice", "_v").agg(F.count("*").alias("_c"))
+    sizes = packed.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_c"))
+    w = Window.partitionBy(*keys).orderBy("_slice")
+    sizes = sizes.withColumn("_below", F.sum("_c").over(w) - F.col("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    wants = sizes.withColumn("_p", F.explode(F.array([F.lit(float(p)) for p in probs])))
+    wants = wants.withColumn("_at", F.col("_p") * (F.col("_n") - 1))
+    wants = wants.withColumn("_k", F.explode(F.array(F.floor("_at"), F.ceil("_at")))).where("_k >= _below and _k < _below + _c")
+    ws = Window.partitionBy(*keys, "_slice").orderBy("_v")
+    ranked = packed.withColumn("_hi", F.sum("_c").over(ws)).withColumn("_lo", F.col("_hi") - F.col("_c")).drop("_c")
+    got = ranked.join(wants, [*keys, "_slice"]).where("_k - _below >= _lo and _k - _below < _hi")
+    per = got.groupBy(*keys, "_p", "_at").agg(
+        F.max(F.when(F.col("_k") == F.floor("_at"), F.col("_v"))).alias("_a"), F.max(F.when(F.col("_k") == F.ceil("_at"), F.col("_v"))).alias("_b"))
+    per = per.withColumn("q", F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at")))
+    picks = [F.max(F.when(F.col("_p") == float(p), F.col("q"))) for p in probs]
     return per.groupBy(*keys).agg(F.array(*picks).alias("q"))
 
 

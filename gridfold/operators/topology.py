@@ -189,8 +189,8 @@ def crossing_rings(features: DataFrame, fid: list[str], edge: Column | None = No
     The bucket side is the outline's box divided by the square root of its edge count, so each
     edge meets a bounded number of others whatever the outline's size.
     """
-    b = M.bounds(F.col("rings"))
-    base = features.select(*fid, b.alias("b"), F.posexplode("rings").alias("ring", "pts"))
+    boxed = pin(features.select(*fid, "rings"), b=M.bounds(F.col("rings")))
+    base = boxed.select(*fid, "b", F.posexplode("rings").alias("ring", "pts"))
     base = base.withColumn("n", F.size("pts") - 1).withColumn(
         "side", F.greatest(F.greatest(F.col("b.xmax") - F.col("b.xmin"), F.col("b.ymax") - F.col("b.ymin")) / F.sqrt("n"), F.lit(1e-6)))
     seg = base.select(*fid, "ring", "n", "side", "b", F.posexplode(M.ring_segments(F.col("pts"))).alias("i", "s"))
