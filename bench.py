@@ -19,7 +19,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k", "spark.log.level": "ERROR"})
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.log.level": "ERROR"})
     names = sys.argv[1:] or HEADLINE
     QUERIES["P1_area"](spark, folder).write.format("noop").mode("overwrite").save()  # warm the JVM once
     took = {}

@@ -63,12 +63,16 @@ def unresolved_length(sides: DataFrame, keys: list[str], res: float) -> DataFram
 
 
 def face_support(sides: DataFrame, keys: list[str], res: float) -> DataFrame:
-    """Lines on each face's boundary and the share of the boundary they cover (at most 1):
-    ``keys, face, lines, boundary_m``."""
-    on = sides.where(~F.col("face_a").eqNullSafe(F.col("face_b"))).select(
+    """Number of lines on each face's boundary and the boundary length they cover:
+    ``keys, face, lines, boundary_m`` (``face_lines`` lists them)."""
+    on = face_lines(sides, keys)
+    return on.groupBy(*keys, "face").agg(F.count_distinct("line_id").alias("lines"), (F.count_distinct("x", "y", "across") * res).alias("boundary_m"))
+
+
+def face_lines(sides: DataFrame, keys: list[str]) -> DataFrame:
+    """Wall edges that bound a face, with their line: ``keys, face, line_id, x, y, across``."""
+    return sides.where(~F.col("face_a").eqNullSafe(F.col("face_b"))).select(
         *keys, "line_id", "x", "y", "across", F.explode(F.array_compact(F.array("face_a", "face_b"))).alias("face"))
-    return on.groupBy(*keys, "face").agg(F.array_sort(F.collect_set("line_id")).alias("lines"),
-                                         (F.count_distinct("x", "y", "across") * res).alias("boundary_m"))
 
 
 def compare_faces(face_cells: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:

@@ -214,6 +214,21 @@ def _grouped_graph(labels: DataFrame, edges: DataFrame, keys: list[str], node_co
     return nodes.withColumn("kind", F.lit(0)).unionByName(tagged.withColumn("kind", F.lit(1)), allowMissingColumns=True)
 
 
+def _per_component(graph: DataFrame, ids: list[str], fn, schema: str, rows_per_group: int = 20_000) -> DataFrame:
+    """Apply ``fn`` to the region graph of every component.
+
+    Small components share a Python group (many would each cost a group's overhead); the
+    number of groups follows the size of the graph.
+    """
+    groups = max(graph.sparkSession.sparkContext.defaultParallelism, graph.count() // rows_per_group)
+    packed = graph.withColumn("_g", F.pmod(F.xxhash64(*ids), F.lit(groups)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([fn(part) for _, part in pdf.drop(columns="_g").groupby(ids, sort=False)], ignore_index=True)
+
+    return packed.groupBy("_g").applyInPandas(run, schema)
+
+
 def merged_regions(labels: DataFrame, keys: list[str], px: float, min_part: float, neck: float) -> DataFrame:
     """Apply ``merge_back`` per component (its region graph, not its cells) and relabel."""
     graph = _grouped_graph(labels, adjacency(labels, keys), keys, {})
@@ -226,8 +241,9 @@ def merged_regions(labels: DataFrame, keys: list[str], px: float, min_part: floa
         return out[[*keys, "component", "label", "final"]]
 
     # a component that is a single region has nothing to merge and never reaches Python
+    graph = cut(graph)
     graph = graph.join(graph.where("kind = 1").select(*keys, "component").distinct(), [*keys, "component"], "left_semi")
-    moved = graph.groupBy(*keys, "component").applyInPandas(run, _schema(labels, [*keys, "component", "label"]) + ", final long")
+    moved = _per_component(graph, [*keys, "component"], run, _schema(labels, [*keys, "component", "label"]) + ", final long")
     return labels.join(moved, [*keys, "component", "label"], "left").select(*keys, "row", "col", "component", F.coalesce("final", "label").alias("label"))
 
 
@@ -351,7 +367,7 @@ def guided_separation(cells: DataFrame, keys: list[str], px: float, **rules) ->
         return both.assign(**{k: pdf[k].iloc[0] for k in ids})[[*ids, *out.columns, *found.columns]]
 
     linked = graph.where("kind = 1").select(*ids).distinct()
-    solved = cut(graph.join(linked, ids, "left_semi").groupBy(*ids).applyInPandas(run, _schema(cells, ids) + (
+    solved = cut(_per_component(graph.join(linked, ids, "left_semi"), ids, run, _schema(cells, ids) + (
         ", label long, candidate long, instance long, a long, b long, contrast double, edge_support double, boundary_m double, confidence string")))
     moved = solved.where("label is not null").select(*ids, "label", "candidate", "instance")
     cuts = solved.where("a is not null").select(*ids, "a", "b", "contrast", "edge_support", "boundary_m", "confidence")

@@ -110,7 +110,7 @@ SUPPORT = SIDES + ", su AS (SELECT site_id, face, count(DISTINCT line_id) lines,
 @query("J22_face_support", B.with_ctes(SUPPORT, "SELECT site_id, face, lines FROM su", True))
 def face_support(spark, folder):
     walls, f = faces(spark, folder)
-    return A.face_support(A.wall_sides(walls, f, K), K, 1.0).select("site_id", "face", F.size("lines").cast("long").alias("lines"))
+    return A.face_support(A.wall_sides(walls, f, K), K, 1.0).select("site_id", "face", "lines")
 
 
 @query("A31_boundary_evidence", B.with_ctes(SUPPORT + """, pm AS (SELECT f.site_id, f.face, count(*) FILTER (n.face IS NULL OR n.face <> f.face) per FROM fc f CROSS JOIN (VALUES (0,1),(1,0),(0,-1),(-1,0)) d(dr,dc) LEFT JOIN fc n ON n.site_id=f.site_id AND n.r=f.r+dr AND n.c=f.c+dc GROUP BY ALL)""",
@@ -199,10 +199,11 @@ def eligible(spark, folder):
 def field_coverage(spark, folder):
     """Share of the parcel boundary within tolerance of eligible observations (4 cm here)."""
     obs, parcels = observations(spark, folder)
-    e = A.eligible_observations(obs, parcels, K).groupBy("site_id", "parcel_id").agg(F.collect_list("s").alias("seen"))
-    d = e.join(parcels, ["site_id", "parcel_id"])
-    d = pin(d, c=M.covered_length(M.boundary_samples(M.segments(F.col("rings")), B.RES), F.col("seen"), 0.04) / M.perimeter(F.col("rings")))
-    return d.select("site_id", "parcel_id", F.round("c", 6).alias("coverage"), (F.col("c") >= 0.95).alias("enough"))
+    ids = ["site_id", "parcel_id"]
+    seen = A.eligible_observations(obs, parcels, K).select(*ids, "s.*").distinct()
+    edge = parcels.join(seen.select(*ids).distinct(), ids).select(*ids, F.explode(M.segments(F.col("rings"))).alias("s")).select(*ids, "s.*")
+    d = D.line_coverage(edge, seen, ids, 0.04, B.RES).withColumn("c", F.col("covered") / F.col("total"))
+    return d.select(*ids, F.round("c", 6).alias("coverage"), (F.col("c") >= 0.95).alias("enough"))
 
 
 @query("S17_evidence_kinds", """SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN 'unknown_kind' WHEN doc_id % 6 = 0 AND doc_id % 3 <> 1 AND doc_id % 4 <> 1 THEN 'geometry_type' WHEN doc_id % 6 = 1 AND doc_id % 4 = 2 THEN 'geometry_type'
