@@ -270,10 +270,10 @@ def zones(spark, folder):
     return z.selectExpr("zone", "site_id", "explode(sequence(zy, zy + h - 1)) row", "zx c0", "zx + w c1")
 
 
-@query("J17_zonal", B.with_ctes(ZONES, "SELECT zone, count(*) cells, round(avg(total / n), 8) mean_score FROM zc JOIN raster USING (site_id, r, c) GROUP BY ALL"))
+@query("J17_zonal", B.with_ctes(ZONES, "SELECT zone, count(*) cells, round(avg(total / n), 10) mean_score FROM zc JOIN raster USING (site_id, r, c) GROUP BY ALL"))
 def zonal(spark, folder):
     d = S.to_cells(zones(spark, folder)).join(B.raster(spark, folder), ["site_id", "row", "col"])
-    return d.groupBy("zone").agg(F.count("*").alias("cells"), F.round(F.avg(F.col("total") / F.col("n")), 8).alias("mean_score"))
+    return d.groupBy("zone").agg(F.count("*").alias("cells"), F.round(F.avg(F.col("total") / F.col("n")), 10).alias("mean_score"))
 
 
 @query("A11_score_shares", B.with_ctes(ZONES, "SELECT zone, round(avg(CASE WHEN total >= 26*n THEN 1.0 ELSE 0 END), 6) share_26, round(avg(CASE WHEN total >= 20*n THEN 1.0 ELSE 0 END), 6) share_20 FROM zc JOIN raster USING (site_id, r, c) GROUP BY ALL"))
