@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridfold.session import cut
+
 
 def number_in_order(df: DataFrame, keys: list[str], order: list, out: str, block: Column, start: int = 1) -> DataFrame:
     """``row_number`` per ``keys`` by ``order`` without one task per key.
@@ -25,31 +27,41 @@ def number_in_order(df: DataFrame, keys: list[str], order: list, out: str, block
             .drop("_b", "_kb", "_rn", "_before", *[f"_k{i}" for i in range(len(keys))]))
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float], pieces: int = 256) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float], pieces: int = 256,
+                      limit: int = 1_000_000) -> DataFrame:
     """Linear-interpolated quantiles per key: ``keys, q`` (array, one entry per prob).
 
-    A bounded sketch proposes cut values; counts per cut find which slice holds each wanted
-    rank; only those slices are ranked.  No task sees a whole key.
+    Values are packed with their counts.  A bounded sketch of the distinct values proposes
+    cuts, counts per slice find the slice that holds each wanted rank, and slices of more than
+    ``limit`` distinct values are cut again, so no task ranks more than that.
     """
-    src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    cuts = src.groupBy(*keys).agg(F.approx_percentile("_v", [i / pieces for i in range(1, pieces)], 1000).alias("_cuts"))
-    cuts = cuts.withColumn("_cuts", F.array_sort(F.array_distinct("_cuts")))
-    # slice = number of cut values strictly below v; equal values share a slice
-    sliced = src.join(cuts, keys).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-    packed = sliced.groupBy(*keys, "_slice", "_v").agg(F.count("*").alias("_c"))
-    sizes = packed.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_c"))
-    w = Window.partitionBy(*keys).orderBy("_slice")
-    sizes = sizes.withColumn("_below", F.sum("_c").over(w) - F.col("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
-    wants = sizes.withColumn("_p", F.explode(F.array([F.lit(float(p)) for p in probs])))
-    wants = wants.withColumn("_at", F.col("_p") * (F.col("_n") - 1))
-    wants = wants.withColumn("_k", F.explode(F.array(F.floor("_at"), F.ceil("_at")))).where("_k >= _below and _k < _below + _c")
-    ws = Window.partitionBy(*keys, "_slice").orderBy("_v")
-    ranked = packed.withColumn("_hi", F.sum("_c").over(ws)).withColumn("_lo", F.col("_hi") - F.col("_c")).drop("_c")
-    got = ranked.join(wants, [*keys, "_slice"]).where("_k - _below >= _lo and _k - _below < _hi")
-    per = got.groupBy(*keys, "_p", "_at").agg(
-        F.max(F.when(F.col("_k") == F.floor("_at"), F.col("_v"))).alias("_a"), F.max(F.when(F.col("_k") == F.ceil("_at"), F.col("_v"))).alias("_b"))
-    per = per.withColumn("q", F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at")))
-    picks = [F.max(F.when(F.col("_p") == float(p), F.col("q"))) for p in probs]
+    packed = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v"))
+              .agg(F.count("*").alias("_c")).withColumn("_g", F.lit(0).cast("long")))
+    wants = packed.groupBy(*keys, "_g").agg(F.sum("_c").alias("_n")).withColumn("_p", F.explode(F.array([F.lit(float(p)) for p in probs])))
+    wants = wants.withColumn("_at", F.col("_p") * (F.col("_n") - 1)).withColumn("_rank", F.explode(F.array(F.floor("_at"), F.ceil("_at"))))
+    wants = wants.select(*keys, "_g", "_p", "_at", "_rank", F.col("_rank").alias("_k"))
+    grid = [i / pieces for i in range(1, pieces)]
+    while True:
+        cuts = packed.groupBy(*keys, "_g").agg(F.array_sort(F.array_distinct(F.approx_percentile("_v", grid, 1000))).alias("_cuts"))
+        # slice = number of cut values strictly below the value
+        sliced = packed.join(cuts, [*keys, "_g"]).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+        sizes = sliced.groupBy(*keys, "_g", "_slice").agg(F.sum("_c").alias("_s"), F.count("*").alias("_d"))
+        sizes = sizes.withColumn("_below", F.sum("_s").over(Window.partitionBy(*keys, "_g").orderBy("_slice")) - F.col("_s"))
+        deeper = (F.col("_g") * (2 * pieces) + F.col("_slice")).alias("_g")
+        wants = cut(wants.join(sizes, [*keys, "_g"]).where("_k >= _below and _k < _below + _s").select(
+            *keys, deeper, "_p", "_at", "_rank", (F.col("_k") - F.col("_below")).alias("_k"), "_d"))
+        packed = sliced.select(*keys, "_v", "_c", deeper).join(wants.select(*keys, "_g").distinct(), [*keys, "_g"], "left_semi")
+        small = wants.where(F.col("_d") > limit).isEmpty()
+        wants = wants.drop("_d")
+        if small:
+            break
+        packed = cut(packed)
+    ranked = packed.withColumn("_hi", F.sum("_c").over(Window.partitionBy(*keys, "_g").orderBy("_v"))).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    got = ranked.join(wants, [*keys, "_g"]).where("_k >= _lo and _k < _hi")
+    per = got.groupBy(*keys, "_p", "_at").agg(F.max(F.when(F.col("_rank") == F.floor("_at"), F.col("_v"))).alias("_a"),
+                                              F.max(F.when(F.col("_rank") == F.ceil("_at"), F.col("_v"))).alias("_b"))
+    per = per.withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at")))
+    picks = [F.max(F.when(F.col("_p") == float(p), F.col("_q"))) for p in probs]
     return per.groupBy(*keys).agg(F.array(*picks).alias("q"))
 
 

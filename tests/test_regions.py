@@ -203,5 +203,7 @@ def test_percentiles_and_numbers(spark):
     d = spark.createDataFrame([(0, float(v)) for v in a] + [(1, 3.0)] * 50, "k int, v double")
     got = {r.k: r.q for r in exact_percentiles(d, ["k"], "v", [0.0, 0.3, 0.75, 1.0]).collect()}
     assert got[0] == pytest.approx(np.quantile(a, [0, 0.3, 0.75, 1]).tolist()) and got[1] == [3.0] * 4
+    again = {r.k: r.q for r in exact_percentiles(d, ["k"], "v", [0.0, 0.3, 0.75, 1.0], pieces=8, limit=50).collect()}
+    assert again == got
     n = number_in_order(d.where("k = 0"), ["k"], ["v"], "n", F.floor(F.col("v") * 2)).orderBy("v").select("n").collect()
     assert [r.n for r in n] == list(range(1, 5001))
