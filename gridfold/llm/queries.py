@@ -38,3 +38,42 @@ def feistel_shards(spark, folder):
 def sainte_lague_mix(spark, folder):
     from gridfold.llm.mixing import mix_counts
     return mix_counts(table(spark, folder, "documents"))
+
+
+@query("op4_deobfuscated_pii")
+def deobfuscated_pii(spark, folder):
+    from gridfold.llm.pii import scan_documents
+    return scan_documents(table(spark, folder, "documents"))
+
+
+@query("op10_motion_jpeg")
+def motion_jpeg(spark, folder):
+    from gridfold.llm.media import media_digest
+    return media_digest(table(spark, folder, "documents"))
+
+
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+URL_SQL = """
+WITH rules(h, p, verdict) AS (VALUES %s),
+parts AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+urls AS (SELECT DISTINCT host, path FROM split),
+best AS (SELECT u.host, u.path, max({'n': length(h || p), 'd': length(h), 'rule': h || p, 'verdict': verdict}) AS b
+         FROM urls u JOIN rules ON (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p) GROUP BY ALL)
+SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict FROM split LEFT JOIN best USING (host, path)
+""" % ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+
+
+@query("op8_url_rules", URL_SQL)
+def url_rules(spark, folder):
+    from gridfold.llm.urls import judge
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return judge(table(spark, folder, "pages"), rules)
+
+
+@query("op9_ball_tree_top_k")
+def ball_tree_top_k(spark, folder):
+    from gridfold.llm.balltree import quantised, top_k
+    vectors = quantised(table(spark, folder, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"))
