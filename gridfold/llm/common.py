@@ -41,9 +41,10 @@ def running_total(df: DataFrame, key: str, order: str, value: str, out: str) ->
             .withColumn(out, F.col("_before") + F.col("_inside")).drop("_blk", "_before", "_inside"))
 
 
-def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """Global row numbers from 0 in the order of ``order`` (nulls first), without one task for
-    all rows: a range sort is written once, and sizes of its partitions are added up.
+def numbered(df: DataFrame, order: list[str], out: str, value: str | None = None) -> DataFrame:
+    """Global row numbers from 0 in the order of ``order`` (nulls first), or the sums of ``value``
+    over all rows before, without one task for all rows: a range sort is written once, and
+    totals of its partitions are added up.
 
     Rows equal in ``order`` are told apart by their place in the input, so a value held by most
     rows is still cut into many ranges.
@@ -51,6 +52,11 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     keys = [F.col(c).asc_nulls_first() for c in order]
     ranged = df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(*keys, "_place").sortWithinPartitions(*keys, "_place")
     ranged = cut(ranged.drop("_place")).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    if value:
+        inside = F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(value)
+        sums = ranged.groupBy("_part").agg(F.sum(value).alias("_n"))
+        starts = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_shift"))  # as many rows as partitions
+        return ranged.withColumn("_in", inside).join(F.broadcast(starts), "_part").withColumn(out, F.col("_in") + F.col("_shift")).drop("_part", "_at", "_in", "_shift")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")  # as many rows as partitions
     starts = sizes.select("_part", (before - F.col("_first")).alias("_shift"))

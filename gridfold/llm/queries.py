@@ -77,3 +77,9 @@ def ball_tree_top_k(spark, folder):
     from gridfold.llm.balltree import quantised, top_k
     vectors = quantised(table(spark, folder, "embeddings"))
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query("op5_set_sketch_near_copies")
+def set_sketch_near_copies(spark, folder):
+    from gridfold.llm.sketches import near_copies
+    return near_copies(table(spark, folder, "documents"))
