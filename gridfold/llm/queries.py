@@ -83,3 +83,16 @@ def ball_tree_top_k(spark, folder):
 def set_sketch_near_copies(spark, folder):
     from gridfold.llm.sketches import near_copies
     return near_copies(table(spark, folder, "documents"))
+
+
+@query("op6_weak_label_quality")
+def weak_label_quality(spark, folder):
+    from gridfold.llm.quality import judge
+    return judge(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "quality_score", "accepted")
+
+
+@query("op1_forest_secrets")
+def forest_secrets(spark, folder):
+    from gridfold.llm.secrets import Scanner, scan
+    docs = table(spark, folder, "documents")
+    return scan(docs, Scanner.fit(docs))
