@@ -1,10 +1,40 @@
-"""The corpus pipeline: quality, near copies, secrets, mix, packing; each stage is written and reread."""
+"""The corpus pipeline: quality, near copies, secrets, mix, packing; each stage is written and reread.
+
+Every stage takes all documents that its predecessor kept, and all but the last return the
+columns of ``documents``.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridfold.llm import mixing, packing, quality, secrets, sketches
+from gridfold.session import cut, scratch
+
+WORDS = 5  # words in a shingle of the near-copy stage
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier accepts (operator 6); texts without words go."""
+    return quality.judge(docs).where("accepted").drop("quality_score", "accepted")
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 (operator 5).
+
+    What goes is joined away by id; of rows that repeat an id one stays, and rows without an id all stay.
+    """
+    gone = sketches.near_copies(docs, words=WORDS, percent=80).where(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if twice.isEmpty():
+        return left
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+
 
-from gridfold.llm import mixing, packing
-from gridfold.session import scratch
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark (operator 1)."""
+    return secrets.redact(docs, secrets.Scanner.fit(docs))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,14 +47,14 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, with_text=True)
 
 
-STAGES = [("mixing", mix_stage), ("packing", packing_stage)]
+STAGES = [("quality", quality_stage), ("near copies", near_copy_stage), ("secrets", secret_stage), ("mixing", mix_stage), ("packing", packing_stage)]
 ORACLE_SQL = None  # trained stages have no SQL form; tests hold each stage against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = scratch(spark, f"pipeline-{name}")
+        path = scratch(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
