@@ -126,15 +126,16 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), block
     """The mix itself, with the columns of ``docs``: a document appears once for each pass that
     takes it; where a run starts or ends inside it, only the words taken stay (``n_chars``, if
     there, counts the characters that stayed).  Documents without words are kept once."""
-    keep = tuple(docs.columns)
-    planned = plan_mix(docs, weights, block, seed, keep)
+    names = docs.columns
+    inner = {c: c if c in ("doc_id", "source", "text") else f"_own{i}" for i, c in enumerate(names)}  # no clash with the plan's columns
+    planned = plan_mix(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()]), weights, block, seed, tuple(inner.values()))
     spans = F.array(*[F.struct(a.alias("first"), b.alias("last")) for a, b in _passes()])
     planned = planned.withColumn("_span", F.explode(F.when(F.col("size") == 0, F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"))))
                                                     .otherwise(F.filter(spans, lambda x: x["last"] > x["first"]))))
     part = F.array_join(F.slice(word_pieces(F.col("text")), (F.col("_span.first") + 1).cast("int"), (F.col("_span.last") - F.col("_span.first")).cast("int")), "")
     whole = (F.col("_span.first") == 0) & (F.col("_span.last") == F.col("size"))
-    columns = {c: F.col(c) for c in keep}
+    columns = {c: F.col(n) for c, n in inner.items()}
     columns["text"] = F.when(whole, F.col("text")).otherwise(part)
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(part).cast("long"))
+        columns["n_chars"] = F.when(whole, columns["n_chars"]).otherwise(F.length(part).cast("long"))
     return planned.select(*[v.alias(c) for c, v in columns.items()])

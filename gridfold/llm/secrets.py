@@ -155,9 +155,10 @@ def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
 
 def redact(docs: DataFrame, scanner: Scanner, mark: str = "<secret>") -> DataFrame:
     """The columns of ``docs`` with every secret in ``text`` replaced by ``mark`` (``n_chars``, if there, counted anew where any was)."""
-    held = pin(docs, _found=scanner.secrets(F.col("text")))
-    clean = F.aggregate(F.array_distinct(F.transform("_found", lambda x: x["secret"])), F.col("text"), lambda t, x: F.replace(t, x, F.lit(mark)))
-    hit = F.size("_found") > 0
+    found = next(n for n in (f"_found{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    held = pin(docs, **{found: scanner.secrets(F.col("text"))})
+    clean = F.aggregate(F.array_distinct(F.transform(found, lambda x: x["secret"])), F.col("text"), lambda t, x: F.replace(t, x, F.lit(mark)))
+    hit = F.size(found) > 0
     out = {c: F.col(f"`{c}`") for c in docs.columns}
     out["text"] = F.when(hit, clean).otherwise(F.col("text"))
     if "n_chars" in out:
