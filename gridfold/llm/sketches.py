@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.llm.common import hash_words, mix, numbered, row_chunks, texts_of
-from gridfold.operators.components import graph_components
 from gridfold.session import cut, scratch
 
 BANDS, ROWS = 41, 5            # a link of similarity 0.8 shares no band with probability 9e-8
@@ -132,6 +131,29 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "registers").mapInArrow(work, "rep long, bucket long")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """``node, root`` for every node of an edge table (u, v): the smallest node it is joined with.
+
+    A round sends each node to the smallest neighbour of its smallest neighbour and rewrites the
+    edges by these labels; the edges between a node and its label keep what belongs together
+    connected.  Stars are done in one or two rounds, and a hub is one grouped minimum.
+    """
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    graph, steps = cut(both.where("u <> v").distinct()), []
+    while not graph.isEmpty():
+        hook = graph.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("up"))
+        step = cut(hook.join(hook.select(F.col("node").alias("up"), F.col("up").alias("root")), "up").select("node", "root"))
+        steps.append(step)
+        ends = graph.join(step.select(F.col("node").alias("u"), F.col("root").alias("a")), "u").join(step.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
+        graph = cut(ends.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    if not steps:
+        return graph.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = steps[0]
+    for step in steps[1:]:
+        out = out.join(step.select(F.col("node").alias("root"), F.col("root").alias("_next")), "root", "left").select("node", F.coalesce("_next", "root").alias("root"))
+    return cut(out) if len(steps) > 1 else out
+
+
 def _find(parent: list[int], x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
@@ -142,8 +164,8 @@ def _find(parent: list[int], x: int) -> int:
 def compare_block(rows: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
     """Links of one block (node, cluster, root, side, text), as a forest.
 
-    Documents of the same cluster and different root are compared, those of different sides only
-    if there are two.  The likeliest pairs come first and pairs already joined are passed over,
+    Documents of the same cluster and different root are compared, except two on the same side
+    other than 0.  The likeliest pairs come first and pairs already joined are passed over,
     so what comes out is enough for the components and nothing more.
     """
     rows = rows.sort_values(["cluster", "node"], kind="stable").reset_index(drop=True)
@@ -155,7 +177,6 @@ def compare_block(rows: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
     node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
     _, group = np.unique(root, return_inverse=True)
     parent = list(range(int(group.max()) + 1))
-    two = len(np.unique(side)) > 1
     pairs = []
     edge = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1], [True]]))
     for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
@@ -163,8 +184,7 @@ def compare_block(rows: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
             j = np.arange(i + 1, hi)
             small, large = np.minimum(count[i], count[j]), np.maximum(count[i], count[j])
             ok = (group[j] != group[i]) & (100 * small >= percent * large) & (small > 0)
-            if two:
-                ok &= side[j] != side[i]
+            ok &= (side[j] != side[i]) | (side[i] == 0)
             j = j[ok]
             if len(j):
                 near = likely_similarity(np.broadcast_to(registers[i], (len(j), REGISTERS)), registers[j], np.full(len(j), count[i]).astype(float), count[j].astype(float))
@@ -214,13 +234,11 @@ def near_copies(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame
     shared = bands.groupBy("bucket").agg(F.min("rep").alias("u"), F.max("rep").alias("_other")).where("u < _other").drop("_other")
     edges = cut(bands.join(shared, "bucket").where("u <> rep").select("u", F.col("rep").alias("v")).distinct())
     links = _link(spark, docs, classes, edges, words, percent)
-    ids = linked.select("doc_id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).select("doc_id", "rep")
-    same = ids.where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
     # a doc_id with several texts stands in several classes and joins them
-    twice = cut(ids.distinct().groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
-    if not twice.isEmpty():
-        links = links.unionByName(same.join(twice.withColumnRenamed("doc_id", "v"), "v", "left_semi").select("u", "v"))
-    roots = graph_components(links.withColumn("_all", F.lit(0)), ["_all"]).select(F.col("node").alias("rep"), "root")
+    ids = linked.select("doc_id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).select("doc_id", "rep")
+    several = ids.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("_top")).where("u < _top").drop("_top")
+    links = links.unionByName(ids.join(several, "doc_id").where("u <> rep").select("u", F.col("rep").alias("v")))
+    roots = components(links).withColumnRenamed("node", "rep")
     named = classes.join(roots, "rep", "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("component_id"))
     out = sk.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
@@ -229,43 +247,41 @@ def near_copies(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame
 
 
 def _link(spark, docs: DataFrame, classes: DataFrame, edges: DataFrame, words: int, percent: int) -> DataFrame:
-    schema = "u long, v long"
-    if edges.isEmpty():
-        return spark.createDataFrame([], schema)
-    compare = lambda rows: compare_block(rows, words, percent)
-    sizes = classes.groupBy("rep").agg(F.max("n").alias("n"))
-    clusters = graph_components(edges.withColumn("_all", F.lit(0)), ["_all"]).select(F.col("root").alias("cluster"), "node")
-    placed = _blocks(clusters.join(sizes.withColumnRenamed("rep", "node"), "node"), ["cluster", "node"])
+    """Links (u, v) that join what is similar; ``edges`` join representatives that share a band."""
+    compare = _typed(lambda rows: compare_block(rows, words, percent))
+    sizes = classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n"))
+    clusters = components(edges).select(F.col("root").alias("cluster"), "node")
+    placed = cut(_blocks(clusters.join(sizes, "node"), ["cluster", "node"]))
+    spans = placed.groupBy("cluster").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
+    placed = placed.join(spans, "cluster")
     path = scratch(spark, "near-copies")
-    (docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null and text is not null").join(placed, "node")
-     .select("node", "cluster", "n", "block", "text").write.parquet(path))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null and text is not null")
+    texts.join(placed, "node").select("node", "cluster", "n", "block", "lo", "hi", "text").write.parquet(path)
     held = spark.read.parquet(path)
-    run = lambda d, *by: d.select(*dict.fromkeys([*by, "node", "cluster", "root", "side", "text"])).groupBy(*by).applyInPandas(_typed(compare), schema)
-    links = cut(run(held.withColumn("root", F.col("node")).withColumn("side", F.lit(0)), "block"))
-    spans = placed.groupBy("cluster").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi")
-    wide = cut(placed.join(spans, "cluster").select("node", "cluster", "n", "block", "lo", "hi"))
+    columns = ["node", "cluster", "root", "side", "text"]
+    # a block among itself, and with the members of its clusters that lie in the cluster's first block
+    tasks = F.when(F.col("block") == F.col("lo"), F.sequence("lo", "hi")).otherwise(F.array("block"))
+    first = held.withColumn("task", F.explode(tasks)).withColumn("side", F.when(F.col("task") == F.col("block"), 0).otherwise(1)).withColumn("root", F.col("node"))
+    links = cut(first.select("task", *columns).groupBy("task").applyInPandas(compare, "u long, v long"))
+    wide = placed.where("lo < hi").select("node", "cluster", "n")
     if wide.isEmpty():
         return links
-    texts = held.join(wide.select("cluster").distinct(), "cluster", "left_semi").select("node", "cluster", "text")
-    rooted = _rooted(wide, links)
-    rest = rooted.where("block > lo").withColumn("task", F.col("block")).withColumn("side", F.lit(1))
-    first = rooted.where("block = lo").withColumn("task", F.explode(F.sequence(F.col("lo") + 1, F.col("hi")))).withColumn("side", F.lit(0))
-    star = rest.unionByName(first).select("node", "cluster", "root", "side", "task")
-    links = cut(links.unionByName(run(star.join(texts, ["cluster", "node"]), "cluster", "task")))
-    rooted = cut(_blocks(_rooted(wide, links).select("node", "cluster", "n", "root"), ["cluster", "root", "node"]))
+    wide = wide.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = cut(_blocks(wide, ["cluster", "root", "node"]))
     parts = rooted.groupBy("cluster", "block").agg(F.min("root").alias("a"), F.max("root").alias("z"))
-    parts = parts.withColumn("pure", F.when(F.col("a") == F.col("z"), F.col("a")))
-    many = parts.groupBy("cluster", "pure").agg(F.count("*").alias("c")).where("pure is not null")
+    parts = parts.select("cluster", "block", F.when(F.col("a") == F.col("z"), F.col("a")).alias("pure"))
+    many = parts.where("pure is not null").groupBy("cluster", "pure").agg(F.count("*").alias("c"))
     main = many.groupBy("cluster").agg(F.max(F.struct("c", "pure"))["pure"].alias("main"))
-    parts = cut(parts.join(main, "cluster", "left").withColumn("odd", ~F.coalesce(F.col("pure") == F.col("main"), F.lit(False))))
+    parts = parts.join(main, "cluster", "left").withColumn("odd", ~F.coalesce(F.col("pure") == F.col("main"), F.lit(False)))
     odd = parts.where("odd").select("cluster", F.col("block").alias("one"), F.col("pure").alias("p1"))
     pairs = odd.join(parts.select("cluster", F.col("block").alias("two"), F.col("pure").alias("p2"), F.col("odd").alias("odd2")), "cluster")
-    pairs = pairs.where("(not odd2 or one <= two) and not coalesce(p1 = p2, false)").select("cluster", F.least("one", "two").alias("i"), F.greatest("one", "two").alias("j")).distinct()
+    pairs = pairs.where("(not odd2 or one <= two) and not coalesce(p1 = p2, false)").select("cluster", F.least("one", "two").alias("i"), F.greatest("one", "two").alias("j"))
     pairs = cut(pairs)
-    left = pairs.join(rooted.withColumnRenamed("block", "i"), ["cluster", "i"]).withColumn("side", F.lit(0))
-    right = pairs.where("i < j").join(rooted.withColumnRenamed("block", "j"), ["cluster", "j"]).withColumn("side", F.lit(1))
-    last = left.unionByName(right).select("cluster", "i", "j", "node", "root", "side").join(texts, ["cluster", "node"])
-    return cut(links.unionByName(run(last, "cluster", "i", "j")))
+    left = pairs.join(rooted.withColumnRenamed("block", "i"), ["cluster", "i"]).withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise(1))
+    right = pairs.where("i < j").join(rooted.withColumnRenamed("block", "j"), ["cluster", "j"]).withColumn("side", F.lit(2))
+    last = left.unionByName(right, allowMissingColumns=True).select("i", "j", "node", "cluster", "root", "side")
+    rest = held.where("lo < hi").select("node", "text").join(last, "node")
+    return links.unionByName(cut(rest.select("cluster", "i", "j", "node", "root", "side", "text").groupBy("cluster", "i", "j").applyInPandas(compare, "u long, v long")))
 
 
 def _typed(fn):
@@ -273,8 +289,3 @@ def _typed(fn):
         return fn(rows)
     return typed
 
-
-def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members with the root of their component so far."""
-    roots = graph_components(links.withColumn("_all", F.lit(0)), ["_all"]).select("node", "root")
-    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
