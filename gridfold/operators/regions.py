@@ -6,7 +6,6 @@ per region or per touching pair) are what the merge rules see, never cells.
 """
 from __future__ import annotations
 
-import heapq
 
 import numpy as np
 import pandas as pd
@@ -263,86 +262,61 @@ def region_graph(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
     return nodes, pairs
 
 
-class _Regions:
-    """Mutable region graph of one component during the merge rules."""
-
-    def __init__(self, nodes: pd.DataFrame, pairs: pd.DataFrame):
-        num = ["cells", "sum_r", "sum_g", "outer", "perimeter"]
-        self.stat = {int(k): np.array(v, float) for k, *v in nodes[["label", *num]].itertuples(index=False)}
-        self.touch: dict = {k: {} for k in self.stat}
-        self.into: dict = {}
-        for a, b, n, s in pairs[["a", "b", "edges", "strong"]].itertuples(index=False):
-            self.touch[int(a)][int(b)] = self.touch[int(b)][int(a)] = np.array([n, s], float)
-
-    def contrast(self, a: int, b: int) -> float:
-        p, q = self.stat[a], self.stat[b]
-        return float(np.hypot(*(p[1:3] / p[0] - q[1:3] / q[0])))
-
-    def absorb(self, gone: int, keep: int) -> None:
-        shared = self.touch[gone].pop(keep)
-        del self.touch[keep][gone]
-        self.stat[keep] = self.stat[keep] + self.stat.pop(gone)
-        self.stat[keep][4] -= 2 * shared[0]
-        for c, e in self.touch.pop(gone).items():
-            del self.touch[c][gone]
-            both = self.touch[keep].get(c, 0) + e
-            self.touch[keep][c] = self.touch[c][keep] = both
-        self.into[gone] = keep
-
-    def guard(self, min_cells: float, min_outer: float) -> None:
-        """Absorb small or enclosed regions, smallest first, into the most similar neighbour."""
-        def poor(k):
-            s = self.stat[k]
-            return bool(self.touch[k]) and (s[0] < min_cells or s[3] / max(s[4], 1) < min_outer)
-        heap = [(self.stat[k][0], k) for k in self.stat if poor(k)]
-        heapq.heapify(heap)
-        while heap and len(self.stat) > 1:
-            size, k = heapq.heappop(heap)
-            if k not in self.stat or self.stat[k][0] != size or not poor(k):
-                continue
-            near = min(self.touch[k], key=lambda n: (self.contrast(k, n), n))
-            self.absorb(k, near)
-            for c in (near, *self.touch[near]):
-                if poor(c):
-                    heapq.heappush(heap, (self.stat[c][0], c))
-
-    def weakest(self, min_contrast: float, min_support: float):
-        found = None
-        for a in self.touch:
-            for b, e in self.touch[a].items():
-                if a < b:
-                    con, sup = self.contrast(a, b), e[1] / e[0]
-                    if con < min_contrast or sup < min_support:
-                        cand = (con / min_contrast + sup / min_support, a, b)
-                        found = cand if found is None or cand < found else found
-        return found
-
-    def final(self, k: int) -> int:
-        while k in self.into:
-            k = self.into[k]
-        return k
+def _joined(sums: np.ndarray, ends: np.ndarray, borders: np.ndarray, gone: int, keep: int):
+    """Region sums and pair table after region ``gone`` became part of ``keep``: sums add up, the
+    borders between the two leave the perimeter, and parallel pairs fall together."""
+    n = len(sums)
+    inner = borders[(ends == (min(gone, keep), max(gone, keep))).all(axis=1), 0].sum()
+    sums[keep] += sums[gone]
+    sums[keep, 4] -= 2 * inner
+    ends = np.sort(np.where(ends == gone, keep, ends), axis=1)
+    apart = ends[:, 0] != ends[:, 1]
+    code, place = np.unique(ends[apart] @ np.array([n, 1]), return_inverse=True)
+    borders = np.stack([np.bincount(place, borders[apart, k], len(code)) for k in (0, 1)], axis=1)
+    return np.stack(np.divmod(code, n), axis=1), borders
 
 
 def guided_merge(nodes: pd.DataFrame, pairs: pd.DataFrame, px: float, min_part: float = 10.0, min_outer: float = 0.25,
                  min_contrast: float = 0.04, min_support: float = 0.3):
-    """Guard merges, then contrast merges (guarding again after each); returns
-    ``label -> (candidate, final)`` and the surviving cuts with their confidence."""
-    g = _Regions(nodes, pairs)
-    labels, cells = list(g.stat), min_part / (px * px)
-    g.guard(cells, min_outer)
-    candidate = {k: g.final(k) for k in labels}
-    while (weak := g.weakest(min_contrast, min_support)) is not None:
-        _, a, b = weak
-        g.absorb(*((a, b) if g.stat[a][0] <= g.stat[b][0] else (b, a)))
-        g.guard(cells, min_outer)
-    cuts = []
-    for a in g.touch:
-        for b, (n, s) in g.touch[a].items():
-            if a < b:
-                con = g.contrast(a, b)
-                high = con >= 2 * min_contrast and s / n >= 0.5
-                cuts.append((a, b, round(con, 4), round(s / n, 3), round(n * px, 1), "high" if high else "medium"))
-    return {k: (candidate[k], g.final(k)) for k in labels}, cuts
+    """``label -> (candidate, final)`` and the surviving cuts with their confidence.
+
+    Two rules over tables of regions and pairs, the first that applies moves: a region that is small or
+    enclosed joins its most similar neighbour (smallest first); then the faintest of the
+    pairs below the contrast or edge-support floor closes, the smaller region joining the larger.
+    The state in which the first rule first rests gives the candidates.
+    """
+    nodes = nodes.sort_values("label")
+    label = nodes["label"].to_numpy(np.int64)
+    sums = nodes[["cells", "sum_r", "sum_g", "outer", "perimeter"]].to_numpy(float).copy()
+    ends = np.searchsorted(label, np.sort(pairs[["a", "b"]].to_numpy(np.int64), axis=1))
+    borders = pairs[["edges", "strong"]].to_numpy(float)
+    owner, candidate = np.arange(len(label)), None
+    while True:
+        a, b = ends.T
+        mean = sums[:, 1:3] / sums[:, :1]
+        gap = np.hypot(*(mean[a] - mean[b]).T)
+        support = borders[:, 1] / borders[:, 0]
+        touching = np.unique(ends)
+        weak = touching[(sums[touching, 0] < min_part / (px * px)) | (sums[touching, 3] / np.maximum(sums[touching, 4], 1) < min_outer)]
+        if len(weak):
+            gone = weak[np.argmin(sums[weak, 0])]
+            mine = (ends == gone).any(axis=1)
+            other = ends[mine].sum(axis=1) - gone
+            keep = other[np.lexsort((other, gap[mine]))[0]]
+        else:
+            candidate = owner.copy() if candidate is None else candidate
+            faint = np.flatnonzero((gap < min_contrast) | (support < min_support))
+            if not len(faint):
+                break
+            worth = gap[faint] / min_contrast + support[faint] / min_support
+            pair = ends[faint[np.lexsort((b[faint], a[faint], worth))[0]]]
+            gone, keep = pair if sums[pair[0], 0] <= sums[pair[1], 0] else pair[::-1]
+        ends, borders = _joined(sums, ends, borders, gone, keep)
+        owner[owner == gone] = keep
+    high = (gap >= 2 * min_contrast) & (support >= 0.5)
+    cuts = [(int(label[i]), int(label[j]), round(float(c), 4), round(float(s), 3), round(float(n) * px, 1), "high" if h else "medium")
+            for i, j, n, c, s, h in zip(a, b, borders[:, 0], gap, support, high)]
+    return {int(k): (int(label[c]), int(label[f])) for k, c, f in zip(label, candidate, owner)}, cuts
 
 
 def guided_separation(cells: DataFrame, keys: list[str], px: float, **rules) -> tuple[DataFrame, DataFrame]:
