@@ -22,49 +22,56 @@ def fit_guards(rows: DataFrame, features: list[str]) -> DataFrame:
 def fit(rows: DataFrame, features: list[str]) -> DataFrame:
     """Class centres of z-scored train rows: ``use_label, n, center, mean, scale``.
 
-    One grouped pass gives sums per class; overall moments come from the per-class moments, so
-    the train set is read once.  Scale is the population deviation, 1 when below 1e-6.  The
-    result has one row per declared class.
+    One grouped pass gives count, mean and variance per class; the overall moments come from those
+    (variance within plus variance between), so the train set is read once and large means do not
+    cancel.  Scale is the population deviation, 1 when below 1e-6.  One row per class.
     """
     train = rows.where("split = 'train'")
-    per = train.groupBy("use_label").agg(F.count("*").alias("n"), *[F.avg(f).alias(f"m_{f}") for f in features],
-                                         *[F.avg(F.col(f).cast("double") * F.col(f)).alias(f"q_{f}") for f in features])
-    n = F.sum("n")
-    stats = [F.sum(F.col("n") * F.col(f"m_{f}")) / n for f in features]
-    sq = [F.sum(F.col("n") * F.col(f"q_{f}")) / n for f in features]
-    total = per.agg(F.array(*stats).alias("mean"), F.array(*sq).alias("sq"))
-    scale = F.zip_with("sq", "mean", lambda q, m: F.sqrt(F.greatest(q - m * m, F.lit(0.0))))
-    total = total.withColumn("scale", F.transform(scale, lambda s: F.when(s < 1e-6, 1.0).otherwise(s))).withColumn("_j", F.lit(1)).drop("sq")
-    means = F.array(*[F.col(f"m_{f}") for f in features])
-    both = per.withColumn("_j", F.lit(1)).join(F.broadcast(total), "_j")
-    return both.select("use_label", "n", F.zip_with(F.zip_with(means, "mean", lambda a, b: a - b), "scale", lambda a, s: a / s).alias("center"), "mean", "scale")
-
-
-def predict(rows: DataFrame, model: DataFrame, features: list[str], max_distance: float = 3.0, margin: float = 0.1,
-            max_classes: int = 10_000) -> DataFrame:
-    """Suggestion per row: nearest centre, or unknown when an attribute is missing, the nearest
-    centre is farther than ``max_distance``, or the two nearest differ by less than ``margin``.
+    per = train.groupBy("use_label").agg(F.count("*").alias("n"), F.array(*[F.avg(f) for f in features]).alias("m"), F.array(*[F.var_pop(f) for f in features]).alias("v"))
+    n, places = F.sum("n"), range(len(features))
+    mean = per.agg(F.array(*[F.sum(F.col("n") * F.col("m")[i]) / n for i in places]).alias("mean")).withColumn("_j", F.lit(1))
+    both = per.withColumn("_j", F.lit(1)).join(F.broadcast(mean), "_j")
+    off = lambda i: F.col("m")[i] - F.col("mean")[i]
+    spread = F.array(*[F.sqrt(F.sum(F.col("n") * (F.col("v")[i] + off(i) * off(i))) / n) for i in places])
+    total = both.agg(F.transform(spread, lambda s: F.when(s < 1e-6, 1.0).otherwise(s)).alias("scale")).withColumn("_j", F.lit(1))
+    both = both.join(F.broadcast(total), "_j")
+    return both.select("use_label", "n", F.zip_with(F.zip_with("m", "mean", lambda a, b: a - b), "scale", lambda a, s: a / s).alias("center"), "mean", "scale")
+
+
+def two_nearest(rows: DataFrame, model: DataFrame, features: list[str], at_once: int = 10_000) -> DataFrame:
+    """Rows plus ``missing`` (an attribute is) and ``nearest``: the two nearest classes as (d, label).
 
-    The model is one row of at most ``max_classes`` centres (refused beyond), sent to every task.
+    The model is sent to the tasks in blocks of about ``at_once`` centres, however many there are;
+    each block updates the two best so far.
     """
-    packed = model.limit(max_classes + 1).agg(
-        F.collect_list(F.struct("use_label", "center")).alias("centers"), F.first("mean").alias("mean"), F.first("scale").alias("scale"))
-    packed = packed.withColumn("ok", F.assert_true(F.size("centers") <= max_classes)).drop("ok").withColumn("_j", F.lit(1))
+    blocks = max(1, -(-model.count() // at_once))
+    packed = model.withColumn("_block", F.pmod(F.xxhash64("use_label"), F.lit(blocks))).groupBy("_block").agg(
+        F.collect_list(F.struct("use_label", "center")).alias("_centers"), F.first("mean").alias("_mean"), F.first("scale").alias("_scale"))
     x = F.array(*[F.col(f).cast("double") for f in features])
     missing = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    both = rows.withColumn("_x", x).withColumn("_missing", missing).withColumn("_j", F.lit(1)).join(F.broadcast(packed), "_j").drop("_j")
-    z = F.zip_with(F.zip_with("_x", "mean", lambda a, m: a - m), "scale", lambda a, s: a / s)
+    out = rows.withColumn("_x", x).withColumn("missing", missing).withColumn("nearest", F.array().cast("array<struct<d:double,label:string>>"))
+    z = F.zip_with(F.zip_with("_x", "_mean", lambda a, m: a - m), "_scale", lambda a, s: a / s)
 
     def dist(c) -> Column:
         return F.sqrt(F.aggregate(F.zip_with("_z", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
 
-    ranked = both.withColumn("_z", z).withColumn("_d", F.array_sort(F.transform("centers", lambda c: F.struct(dist(c.center).alias("d"), c.use_label.alias("label")))))
-    first, second = F.col("_d")[0], F.try_element_at("_d", F.lit(2))
+    for k in range(blocks):
+        one = packed.where(F.col("_block") == k).drop("_block").withColumn("_j", F.lit(1))
+        out = out.withColumn("_j", F.lit(1)).join(F.broadcast(one), "_j", "left").withColumn("_z", z)
+        here = F.coalesce(F.transform("_centers", lambda c: F.struct(dist(c.center).alias("d"), c.use_label.alias("label"))), F.array().cast("array<struct<d:double,label:string>>"))
+        out = out.withColumn("nearest", F.slice(F.array_sort(F.concat("nearest", here)), 1, 2)).drop("_j", "_z", "_centers", "_mean", "_scale")
+    return out.drop("_x")
+
+
+def predict(rows: DataFrame, model: DataFrame, features: list[str], max_distance: float = 3.0, margin: float = 0.1) -> DataFrame:
+    """Suggestion per row: nearest centre, or unknown when an attribute is missing, the nearest
+    centre is farther than ``max_distance``, or the two nearest differ by less than ``margin``."""
+    ranked = two_nearest(rows, model, features)
+    first, second = F.try_element_at("nearest", F.lit(1)), F.try_element_at("nearest", F.lit(2))
     vague = F.coalesce(second.d - first.d < margin, F.lit(False))
-    label = F.when(F.col("_missing"), "unknown").when((first.d <= max_distance) & ~vague, first.label).otherwise("unknown")
-    reason = F.when(F.col("_missing"), "missing attributes").when(label != "unknown", "candidate requires evidence review").otherwise("outside training support or ambiguous")
-    return ranked.withColumn("suggestion", label).withColumn("reason", reason).withColumn(
-        "distance", F.when(~F.col("_missing"), first.d)).drop("_x", "_missing", "_z", "_d", "centers", "mean", "scale")
+    label = F.when(F.col("missing"), "unknown").when((first.d <= max_distance) & ~vague, first.label).otherwise("unknown")
+    reason = F.when(F.col("missing"), "missing attributes").when(label != "unknown", "candidate requires evidence review").otherwise("outside training support or ambiguous")
+    return ranked.withColumn("suggestion", label).withColumn("reason", reason).withColumn("distance", F.when(~F.col("missing"), first.d)).drop("missing", "nearest")
 
 
 def best_epoch(metrics: DataFrame, keys: list[str], score: str) -> DataFrame:

@@ -8,13 +8,13 @@ from gridfold.operators.order import next_in_chain, number_in_order
 from gridfold.session import cut
 
 
-def snapshot(events: DataFrame, revision, keys: list[str], base: DataFrame | None = None) -> DataFrame:
-    """State of every feature as of a revision: the newest ``after`` wins, NULL means deleted.
+def snapshot(events: DataFrame, revision: int | None, keys: list[str], base: DataFrame | None = None) -> DataFrame:
+    """State of every feature as of a revision (None: the latest): the newest ``after`` wins, NULL means deleted.
 
     ``events`` has ``keys, revision, after``; ``base`` (``keys, after``) is revision 0.  A
     grouped maximum, so map-side combining shrinks a hot feature's history before the shuffle.
     """
-    log = events.where(F.col("revision") <= revision).select(*keys, "revision", "after")
+    log = (events if revision is None else events.where(F.col("revision") <= revision)).select(*keys, "revision", "after")
     if base is not None:
         log = log.unionByName(base.select(*keys, F.lit(0).cast(log.schema["revision"].dataType).alias("revision"), "after"))
     return (log.groupBy(*keys).agg(F.max_by("after", "revision").alias("after"), F.max("revision").alias("revision"))
@@ -54,7 +54,8 @@ def lineage_sources(edges: DataFrame) -> DataFrame:
     """Provenance closure: every feature with its source features (ancestors without parents).
 
     ``edges`` has ``child, parent``; paths double in length each round, so depth d costs
-    log d rounds.
+    log d rounds.  Features that only lead into a cycle of parents have no source
+    (``lineage_faults`` lists them).
     """
     step = cut(edges.select("child", "parent").distinct())
     heads = cut(step.select(F.col("parent").alias("node")).join(step.select(F.col("child").alias("node")), "node", "left_anti").distinct())
@@ -64,13 +65,18 @@ def lineage_sources(edges: DataFrame) -> DataFrame:
         # sources of anything reachable by the current step, then doubled steps
         more = cut(step.join(done.select(F.col("child").alias("parent"), "source"), "parent").select("child", "source").distinct()
                    .join(done, ["child", "source"], "left_anti"))
+        if more.isEmpty():  # a shortest path beyond this length would have had an end of this length
+            return done
         nxt = step.select(F.col("child").alias("parent"), F.col("parent").alias("far"))
         step = cut(step.join(nxt, "parent").select("child", F.col("far").alias("parent")).distinct())
-        if more.isEmpty() and step.isEmpty():
-            return done
         done = cut(done.unionByName(more))
 
 
+def lineage_faults(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """Features that lead to no source, as ``child``: they hang on a cycle of parents."""
+    return edges.select("child").distinct().join(sources.select("child"), "child", "left_anti")
+
+
 def review_queue(features: DataFrame, flags: str, fid: str, keys: list[str]) -> DataFrame:
     """Suggested features by number of non-empty flags (descending), then id, with their place."""
     n = F.size(F.filter(F.split(F.coalesce(F.col(flags), F.lit("")), ","), lambda f: F.trim(f) != ""))

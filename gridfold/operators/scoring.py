@@ -239,13 +239,12 @@ def failure_classes(labels: DataFrame, preds: DataFrame) -> DataFrame:
 def confusion(pairs: DataFrame, classes: DataFrame, keys: list[str], void: int = T.VOID) -> DataFrame:
     """Confusion counts ``keys, ref, pred, n`` with every class pair present; void is skipped.
 
-    ``classes`` holds the class ids (at most a few hundred rows by definition of the schema).
+    ``classes`` holds the class ids, however many; the pairs of all of them are the result itself.
     Rows whose class is outside the schema come back with ``valid = false``.
     """
     seen = pairs.where(F.col("ref") != void).groupBy(*keys, "ref", "pred").agg(F.count("*").alias("n"))
-    ids = F.broadcast(classes.select(F.col("class_id")).limit(256))
-    listed = ids.agg(F.collect_set("class_id").alias("cs"))
-    grid = (seen.select(*keys).distinct().withColumn("_j", F.lit(1)).join(F.broadcast(listed.withColumn("_j", F.lit(1))), "_j")
+    listed = classes.agg(F.collect_set("class_id").alias("cs"))
+    grid = (seen.select(*keys).distinct().withColumn("_j", F.lit(1)).join(listed.withColumn("_j", F.lit(1)), "_j")
             .withColumn("ref", F.explode("cs")).withColumn("pred", F.explode("cs")).drop("cs", "_j").withColumn("valid", F.lit(True)))
     return grid.join(seen, [*keys, "ref", "pred"], "full").select(
         *keys, "ref", "pred", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("valid", F.lit(False)).alias("valid"))

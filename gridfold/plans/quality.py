@@ -236,6 +236,16 @@ def centroid_fit(spark, folder):
     return m.select("use_label", "n", *[F.round(F.col("center")[i], 6).alias(f"c{i}") for i in range(4)])
 
 
+@query("A24_fit_guards", B.with_ctes(B.USE + """, tr AS (SELECT * FROM us WHERE split = 'train'), k AS (SELECT use_label, count(*) n FROM tr GROUP BY ALL)""", """SELECT 'block_in_one_split' AS "check", n = 0 AS passed, n AS detail FROM (SELECT count(*) n FROM (SELECT site_id, id % 20 b FROM us GROUP BY ALL HAVING count(DISTINCT split) > 1))
+ UNION ALL SELECT 'evidence', n = 0, n FROM (SELECT count(*) n FROM tr WHERE id % 19 = 0 OR use_label IS NULL OR use_label = 'unknown')
+ UNION ALL SELECT 'two_classes', n = 0, n FROM (SELECT CASE WHEN count(*) < 2 THEN 1 ELSE 0 END n FROM k) UNION ALL SELECT 'two_rows_per_class', n = 0, n FROM (SELECT count(*) n FROM k WHERE n < 2)
+ UNION ALL SELECT 'finite_attributes', n = 0, n FROM (SELECT count(*) n FROM tr WHERE id % 23 = 0)"""))
+def fit_guards(spark, folder):
+    """What speaks against fitting: blocks in two splits, unreviewed evidence, too few classes or rows, missing attributes."""
+    rows = B.use_rows(spark, folder).withColumn("block_id", F.col("id") % 20).withColumn("reviewed", F.col("id") % 19 != 0).withColumn("f0", F.expr("if(id % 23 = 0, null, f0)"))
+    return L.fit_guards(rows, FE)
+
+
 PRED = FIT + """, zz AS (SELECT id, CASE WHEN id % 17 = 0 THEN NULL ELSE f0 END g0, f1, f2, f3 FROM us WHERE split='evaluation'),
  ds AS (SELECT id, g0, use_label, sqrt(((coalesce(g0,0)-mu[1])/sd[1]-ct[1])**2 + ((f1-mu[2])/sd[2]-ct[2])**2 + ((f2-mu[3])/sd[3]-ct[3])**2 + ((f3-mu[4])/sd[4]-ct[4])**2) d FROM zz, mo, ce),
  rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, use_label) i FROM ds), p2 AS (SELECT id, any_value(g0) g0, max(CASE WHEN i=1 THEN d END) d1, max(CASE WHEN i=2 THEN d END) d2, max(CASE WHEN i=1 THEN use_label END) l FROM rk GROUP BY id)"""
@@ -255,17 +265,10 @@ def centroid_predict(spark, folder):
 @query("W5_two_nearest", B.with_ctes(PRED, "SELECT id, l nearest, round(d2 - d1, 6) margin FROM p2 WHERE g0 IS NOT NULL"))
 def two_nearest(spark, folder):
     """Margin between the two nearest centres (a rule that never abstains shows the nearest)."""
-    from pyspark.sql import Window
     rows = B.use_rows(spark, folder)
-    m = L.fit(rows, FE)
     ev = rows.where("split = 'evaluation' and id % 17 <> 0")
-    near = L.predict(ev, m, FE, max_distance=float("inf"), margin=-1.0).select("id", F.col("suggestion").alias("nearest"), "distance")
-    # second nearest: the nearest among the other classes
-    centers = F.broadcast(m.limit(10_000).agg(F.collect_list(F.struct("use_label", "center")).alias("cs"), F.first("mean").alias("mu"), F.first("scale").alias("sd")).withColumn("_j", F.lit(1)))
-    d = ev.withColumn("_j", F.lit(1)).join(centers, "_j").join(near, "id")
-    z = F.zip_with(F.zip_with(F.array(*[F.col(f).cast("double") for f in FE]), "mu", lambda a, b: a - b), "sd", lambda a, s: a / s)
-    second = F.array_min(F.transform(F.filter("cs", lambda c: c.use_label != F.col("nearest")), lambda c: F.sqrt(F.aggregate(F.zip_with(z, c.center, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))))
-    return d.select("id", "nearest", F.round(second - F.col("distance"), 6).alias("margin"))
+    near = L.two_nearest(ev, L.fit(rows, FE), FE)
+    return near.select("id", F.col("nearest")[0]["label"].alias("nearest"), F.round(F.col("nearest")[1]["d"] - F.col("nearest")[0]["d"], 6).alias("margin"))
 
 
 @query("A36_best_epoch", """SELECT lang, arg_min(doc_id // 7, (-(n_chars % 50), doc_id // 7)) epoch, max(n_chars % 50) score FROM documents GROUP BY ALL""")

@@ -58,12 +58,12 @@ def area_change(spark, folder):
     return d.select(*SF, F.round(F.try_divide((F.col("now.k") - F.col("was.k")).cast("double"), F.col("was.k").cast("double")), 4).alias("change_fraction"))
 
 
-@query("A23_review_summary", B.with_ctes(SNAP + ", " + snap_cte("s", 1000000), """SELECT e.site_id, coalesce(features,0) features, coalesce(suggested,0) suggested, coalesce(accepted,0) accepted, coalesce(rejected,0) rejected,
+@query("A23_review_summary", B.with_ctes(SNAP + ", " + snap_cte("s", "revision"), """SELECT e.site_id, coalesce(features,0) features, coalesce(suggested,0) suggested, coalesce(accepted,0) accepted, coalesce(rejected,0) rejected,
   revision, events, duration_ms FROM (SELECT site_id, max(revision) revision, count(*) events, CAST(sum(duration_ms) AS BIGINT) duration_ms FROM ev GROUP BY ALL) e
   LEFT JOIN (SELECT site_id, count(*) features, count(*) FILTER (status='suggested') suggested, count(*) FILTER (status='accepted') accepted, count(*) FILTER (status='rejected') rejected FROM s GROUP BY ALL) q USING (site_id)"""))
 def review_summary(spark, folder):
     lg = log(spark, folder)
-    st = V.snapshot(lg, 1_000_000, SF, base(spark, folder))
+    st = V.snapshot(lg, None, SF, base(spark, folder))
     by = st.groupBy("site_id").agg(F.count("*").alias("features"), *[F.count_if(F.col("after.status") == s).alias(s) for s in ("suggested", "accepted", "rejected")])
     ev = lg.groupBy("site_id").agg(F.max("revision").alias("revision"), F.count("*").alias("events"), F.sum("duration_ms").alias("duration_ms"))
     return ev.join(by, "site_id", "left").na.fill(0, ["features", "suggested", "accepted", "rejected"])
