@@ -87,12 +87,23 @@ def tile_bounds(z: Column, x: Column, y: Column) -> Column:
 
 
 def quadkey(lon: Column, lat: Column, z: int) -> Column:
-    t = web_tile(lon, lat, z)
+    return tile_quadkey(web_tile(lon, lat, z), z)
+
+
+def tile_quadkey(t: Column, z: int) -> Column:
+    """Quadkey of a tile struct (x, y)."""
     digits = F.transform(F.sequence(F.lit(z - 1), F.lit(0), F.lit(-1)), lambda i: (
         F.call_function("getbit", t.x, i).cast("int") + 2 * F.call_function("getbit", t.y, i).cast("int")).cast("string"))
     return F.array_join(digits, "")
 
 
+def area_quadkeys(spark, west: float, south: float, east: float, north: float, z: int):
+    """``quadkey`` of every tile that meets an area: the whole tile range, made by the cluster."""
+    corners = spark.range(1).select(web_tile(F.lit(west), F.lit(north), z).alias("a"), web_tile(F.lit(east), F.lit(south), z).alias("b"))
+    rows = corners.select("a", "b", F.explode(F.sequence("a.y", "b.y")).alias("y"))
+    return rows.select(F.explode(F.sequence("a.x", "b.x")).alias("x"), "y").select(tile_quadkey(F.struct("x", "y"), z).alias("quadkey"))
+
+
 def normalise_crs(crs: Column, allowed: list[str]) -> Column:
     """Alias to a canonical name; NULL when it is not in the allow list (blank means EPSG:4326)."""
     raw = F.trim(F.coalesce(F.nullif(F.trim(crs), F.lit("")), F.lit("EPSG:4326")))

@@ -15,6 +15,7 @@ from gridfold.session import spread
 RES = 0.1
 WINDOW = 175  # cells
 TILE_ROWS = 64
+COPY = "1125899906842624L"  # what a copy's id is more than its original's: 2**50, beyond any order key
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,14 +23,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, folder: str) -> DataFrame:
-    """Footprint parameters: site, id, class, anchor and size in cells; some exact copies."""
+    """Footprint parameters: site, id, class, anchor and size in cells; some exact copies (``is_copy``)."""
     base = spread(table(spark, folder, "orders"), "o_orderkey").selectExpr(
         "cast(o_orderkey div 2000 as int) site_id", "o_orderkey feature_id", "o_orderstatus feature_type",
         "cast(o_orderkey * 7919 % 700 as int) x0", "cast((o_custkey * 104729 + o_orderkey * 31) % 700 as int) y0",
         "cast(4 + o_orderkey % 9 as int) w", "cast(4 + o_custkey % 8 as int) h",
         "o_orderkey % 5 = 0 lshape", "o_orderkey ok", "o_custkey ck")
-    shift = F.expr("explode(if(ok % 97 = 0, array(0L, 1000000000L), array(0L)))")
-    return base.withColumn("shift", shift).withColumn("feature_id", F.expr("feature_id + shift")).drop("shift")
+    copies = F.expr("explode(if(ok % 97 = 0, array(false, true), array(false)))")
+    return base.withColumn("is_copy", copies).withColumn("feature_id", F.expr(f"feature_id + if(is_copy, {COPY}, 0L)"))
 
 
 def _rings(df: DataFrame) -> DataFrame:
@@ -43,12 +44,13 @@ def _rings(df: DataFrame) -> DataFrame:
 
 
 def footprints(spark: SparkSession, folder: str) -> DataFrame:
+    """All footprints as rings."""
     return _rings(boxes(spark, folder)).select("site_id", "feature_id", "feature_type", "rings")
 
 
 def labels(spark: SparkSession, folder: str) -> DataFrame:
     """Reviewed labels: footprints moved by up to one cell; some are ignore regions."""
-    moved = (boxes(spark, folder).where("ok % 3 <> 0 and feature_id < 1000000000")
+    moved = (boxes(spark, folder).where("ok % 3 <> 0 and not is_copy")
              .withColumn("x0", F.expr("cast(x0 + ck % 3 - 1 as int)")).withColumn("y0", F.expr("cast(y0 + ok % 2 as int)"))
              .withColumn("ignore", F.expr("ok % 11 = 0"))
              .withColumn("window_id", F.expr(f"cast(least(3, greatest(y0, 0) div {WINDOW}) * 4 + least(3, greatest(x0, 0) div {WINDOW}) as int)")))
@@ -113,11 +115,11 @@ FP = """
 fp AS (SELECT CAST(o_orderkey // 2000 AS BIGINT) site_id, o_orderkey feature_id, o_orderstatus feature_type,
   CAST((o_orderkey*7919) % 700 AS BIGINT) x0, CAST((o_custkey*104729 + o_orderkey*31) % 700 AS BIGINT) y0,
   CAST(4 + o_orderkey % 9 AS BIGINT) w, CAST(4 + o_custkey % 8 AS BIGINT) h, o_orderkey % 5 = 0 lshape,
-  o_orderkey ok, o_custkey ck FROM orders
-  UNION ALL SELECT CAST(o_orderkey // 2000 AS BIGINT), o_orderkey + 1000000000, o_orderstatus,
+  o_orderkey ok, o_custkey ck, false is_copy FROM orders
+  UNION ALL SELECT CAST(o_orderkey // 2000 AS BIGINT), o_orderkey + 1125899906842624, o_orderstatus,
   CAST((o_orderkey*7919) % 700 AS BIGINT), CAST((o_custkey*104729 + o_orderkey*31) % 700 AS BIGINT),
   CAST(4 + o_orderkey % 9 AS BIGINT), CAST(4 + o_custkey % 8 AS BIGINT), o_orderkey % 5 = 0,
-  o_orderkey, o_custkey FROM orders WHERE o_orderkey % 97 = 0)"""
+  o_orderkey, o_custkey, true FROM orders WHERE o_orderkey % 97 = 0)"""
 CELLS = FP + """,
 cells AS (SELECT site_id, feature_id, feature_type, y0 + dy AS r, x0 + dx AS c
   FROM fp, range(w) a(dx), range(h) b(dy) WHERE NOT (lshape AND dx >= w // 2 AND dy >= h // 2))"""
@@ -133,7 +135,7 @@ LABELS = FP + f""",
 lab AS (SELECT *, CAST(least(3, greatest(y0,0) // {WINDOW})*4 + least(3, greatest(x0,0) // {WINDOW}) AS BIGINT) window_id FROM
   (SELECT site_id, feature_id label_id, x0 + ck % 3 - 1 AS x0, y0 + ok % 2 AS y0, w, h, lshape, ok % 11 = 0 ign,
      CASE ok % 3 WHEN 1 THEN 'high' ELSE 'medium' END confidence
-   FROM fp WHERE ok % 3 <> 0 AND feature_id < 1000000000)),
+   FROM fp WHERE ok % 3 <> 0 AND NOT is_copy)),
 labc AS (SELECT site_id, label_id, window_id, ign, y0 + dy AS r, x0 + dx AS c
   FROM lab, range(w) a(dx), range(h) b(dy) WHERE NOT (lshape AND dx >= w // 2 AND dy >= h // 2))"""
 RASTER = """

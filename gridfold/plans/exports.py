@@ -60,11 +60,11 @@ def quadkey_footprints(spark, folder):
     d = d.withColumn("rings", F.array(M.box_ring(F.col("lon"), F.col("lat"), F.col("lon") + F.col("dw"), F.col("lat") + F.col("dh"))))
     d = d.withColumn("quadkey", G.quadkey(F.col("lon"), F.col("lat"), 5))
     d.select("quadkey", X.geojson(F.col("rings"), F.struct("feature_id"), F.col("feature_id")).alias("value")).write.partitionBy("quadkey").option("compression", "gzip").text(path)
-    # every quadkey that meets the area or could hold a box reaching into it
-    step = [(x, y) for x in (-69.1, -69, -68.5, -68) for y in (-17.1, -17, -16.5, -16)]
-    keys = spark.range(1).select(F.explode(F.array(*[G.quadkey(F.lit(x), F.lit(y), 5) for x, y in step])).alias("quadkey")).distinct()
-    wanted = [r.quadkey for r in keys.collect()]  # at most sixteen
-    got = X.read_lines(spark, path).where(F.col("quadkey").cast("string").isin([k.lstrip("0") or "0" for k in wanted] + wanted))
+    # boxes lie in the folder of their south-west corner, so the area reaches out by the largest box
+    reach = d.agg(F.max("dw").alias("w"), F.max("dh").alias("h")).first()
+    wanted = G.area_quadkeys(spark, -69 - (reach["w"] or 0), -17 - (reach["h"] or 0), -68, -16, 5)
+    lines = X.read_lines(spark, path)
+    got = lines.join(wanted.select(F.col("quadkey").cast(lines.schema["quadkey"].dataType)), "quadkey", "left_semi")
     got = X.bbox_query(X.with_bbox(got.select(F.col("properties")["feature_id"].cast("long").alias("feature_id"), "rings", "file")), -69.0, -17.0, -68.0, -16.0)
     n = got.agg(F.count("*").alias("hits")).withColumn("_j", F.lit(1))
     return got.select("feature_id", F.lit(1).alias("_j")).join(F.broadcast(n), "_j").drop("_j")
@@ -75,7 +75,7 @@ def quadkey_footprints(spark, folder):
 def draft_polygons(spark, folder):
     path = scratch(spark, "drafts")
     lb = B.labels(spark, folder)
-    m = B.boxes(spark, folder).where("ok % 3 <> 0 and feature_id < 1000000000 and not lshape").selectExpr("feature_id label_id", "w", "h", "x0", "y0")
+    m = B.boxes(spark, folder).where("ok % 3 <> 0 and not is_copy and not lshape").selectExpr("feature_id label_id", "w", "h", "x0", "y0")
     d = lb.join(m, "label_id").withColumn("win", F.concat_ws("-", "site_id", "window_id"))
     poly = F.expr("array(array(x0, y0), array(x0 + w, y0), array(x0 + w, y0 + h), array(x0, y0 + h))")
     item = F.struct("label_id", F.struct(poly.alias("poly"), "confidence", F.lit("drawn").alias("note"), "ignore").alias("p"))
@@ -149,10 +149,10 @@ def first_errors(spark, folder):
     return E.first_errors(export_rows(spark, folder), "feature_id").select("feature_id")
 
 
-@query("P15_output_gate", B.with_ctes(B.FP, """SELECT site_id, coalesce(error, 'ok') error, count(*) n FROM (SELECT site_id, CASE WHEN ok % 37 = 1 OR ok % 41 IN (1, 2) AND ok // 41 % 50 = 3 THEN 'source_id' WHEN ok % 43 = 1 THEN 'feature_type' WHEN ok % 47 = 1 THEN 'functional_use' END error
-  FROM fp WHERE feature_id < 1000000000) GROUP BY ALL"""))
+@query("P15_output_gate", B.with_ctes(B.FP, """SELECT site_id, coalesce(error, 'ok') error, count(*) n FROM (SELECT site_id, CASE WHEN ok % 37 = 1 OR ok % 41 IN (1, 2) AND ok // 41 % 50 = 3 OR ok % 97 = 0 THEN 'source_id' WHEN ok % 43 = 1 THEN 'feature_type' WHEN ok % 47 = 1 THEN 'functional_use' END error
+  FROM fp) GROUP BY ALL"""))
 def output_gate(spark, folder):
-    d = B.boxes(spark, folder).where("feature_id < 1000000000").selectExpr(
+    d = B.boxes(spark, folder).selectExpr(
         "site_id", "case when ok % 37 = 1 then 0L when ok % 41 in (1, 2) and ok div 41 % 50 = 3 then 5000000000 + ok div 41 else ok + 1 end source_id",
         "if(ok % 43 = 1, 'tree', 'road_surface') feature_type", "if(ok % 47 = 1, 'shop', null) functional_use")
     return E.output_errors(d, ["site_id"]).groupBy("site_id", F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count("*").alias("n"))

@@ -66,7 +66,7 @@ def lines(spark, folder):
     lat = bx.select("site_id").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
     h = lat.selectExpr("site_id", "-1L - i line_id", "0D x1", "i * 8D y1", "32D x2", "i * 8D y2")
     v = lat.selectExpr("site_id", "-11L - i line_id", "i * 8D x1", "0D y1", "i * 8D x2", "32D y2")
-    loose = bx.where("ok % 40 = 0 and feature_id < 1000000000").selectExpr("site_id", "ok line_id", "cast(x0 % 24 as double) x1", "cast(y0 % 32 as double) y1", "cast(x0 % 24 + w % 6 + 1 as double) x2", "cast(y0 % 32 as double) y2")
+    loose = bx.where("ok % 40 = 0").selectExpr("site_id", "feature_id line_id", "cast(x0 % 24 as double) x1", "cast(y0 % 32 as double) y1", "cast(x0 % 24 + w % 6 + 1 as double) x2", "cast(y0 % 32 as double) y2")
     return h.unionByName(v).unionByName(loose)
 
 
@@ -75,7 +75,7 @@ def extents(spark, folder):
 
 
 WALLS = B.FP + """, ln AS (SELECT DISTINCT site_id, -1-i line_id, x, 8*i y, true across FROM fp, range(5) a(i), range(32) b(x) UNION ALL SELECT DISTINCT site_id, -11-i, 8*i, y, false FROM fp, range(5) a(i), range(32) b(y)
-   UNION ALL SELECT site_id, ok, x0%24 + k, y0%32, true FROM fp, range(6) t(k) WHERE ok % 40 = 0 AND feature_id < 1000000000 AND k <= w % 6),
+   UNION ALL SELECT site_id, feature_id, x0%24 + k, y0%32, true FROM fp, range(6) t(k) WHERE ok % 40 = 0 AND k <= w % 6),
  ws AS (SELECT DISTINCT site_id, x, y, across FROM ln), g AS (SELECT site_id, r, c FROM (SELECT DISTINCT site_id FROM fp), range(32) a(r), range(32) b(c)),
  st AS (SELECT a.site_id, a.r*32+a.c u, a.r*32+a.c+1 v FROM g a LEFT JOIN ws w ON w.site_id=a.site_id AND NOT across AND w.x=a.c+1 AND w.y=a.r WHERE a.c < 31 AND w.x IS NULL
    UNION ALL SELECT a.site_id, a.r*32+a.c, a.r*32+a.c+32 FROM g a LEFT JOIN ws w ON w.site_id=a.site_id AND across AND w.x=a.c AND w.y=a.r+1 WHERE a.r < 31 AND w.x IS NULL),
@@ -152,10 +152,10 @@ def zone(spark, folder, r0, r1, c0, c1):
 
 
 def parcel_spans(spark, folder):
-    return B.covered(B.footprints(spark, folder).where("feature_id < 1000000000"), "feature_id").select("site_id", "id", "spans", "cells")
+    return B.covered(B.footprints(spark, folder), "feature_id").select("site_id", "id", "spans", "cells")
 
 
-PAR = WIN + ", pcell AS (SELECT * FROM cells WHERE feature_id < 1000000000)"
+PAR = WIN + ", pcell AS (SELECT * FROM cells)"
 
 
 @query("A28_uncovered_extent", B.with_ctes(PAR, """, ex AS (SELECT site_id, r, c FROM (SELECT DISTINCT site_id FROM fp), range(650) a(r), range(650) b(c))
@@ -177,7 +177,7 @@ def parcel_conflicts(spark, folder):
 
 def observations(spark, folder):
     """Observed sides of each parcel: the first (id mod 5) sides of its rectangle."""
-    bx = B.boxes(spark, folder).where("not lshape and feature_id < 1000000000")
+    bx = B.boxes(spark, folder)
     sha = F.sha2(F.concat_ws(",", "x0", "y0", "w", "h"), 256)
     parcels = B._rings(bx).select("site_id", F.col("feature_id").alias("parcel_id"), sha.alias("geometry_sha256"), "rings")
     obs = B._rings(bx).select("site_id", F.col("feature_id").alias("parcel_id"), F.when(F.col("ok") % 13 == 0, F.lit("old")).otherwise(sha).alias("geometry_sha256"),
@@ -186,7 +186,7 @@ def observations(spark, folder):
     return obs, parcels
 
 
-ELIG = B.FP + ", el AS (SELECT * FROM fp WHERE NOT lshape AND feature_id < 1000000000 AND ok % 13 <> 0 AND ok % 7 <> 0 AND ok % 3 <> 2 AND ok % 8 <= 5 AND ok % 5 > 0)"
+ELIG = B.FP + ", el AS (SELECT * FROM fp WHERE ok % 13 <> 0 AND ok % 7 <> 0 AND ok % 3 <> 2 AND ok % 8 <= 5 AND ok % 5 > 0)"
 
 
 @query("J21_eligible_observations", B.with_ctes(ELIG, "SELECT site_id, feature_id parcel_id, CAST(ok % 5 AS BIGINT) observations FROM el"))

@@ -126,7 +126,7 @@ def decision_ids(spark, folder):
 REVIEW = "CASE ok % 11 WHEN 0 THEN 'keep_ignore' WHEN 1 THEN 'edit' WHEN 2 THEN 'uncertain' ELSE 'confirm' END"
 
 
-@query("U2_review_integrity", B.with_ctes(WIN, f""", dec AS (SELECT feature_id label_id, {REVIEW} decision FROM fp WHERE ok % 3 <> 0 AND feature_id < 1000000000), rv AS (SELECT l.*, decision FROM lab l JOIN dec USING (label_id))
+@query("U2_review_integrity", B.with_ctes(WIN, f""", dec AS (SELECT feature_id label_id, {REVIEW} decision FROM fp WHERE ok % 3 <> 0 AND NOT is_copy), rv AS (SELECT l.*, decision FROM lab l JOIN dec USING (label_id))
  SELECT 'buildings_match' AS "check", count(*) detail FROM (SELECT 1 FROM rv WHERE (decision IN ('confirm','edit')) <> (NOT ign))
  UNION ALL SELECT 'edits_recorded', count(*) FROM (SELECT label_id FROM rv WHERE decision='edit' EXCEPT SELECT label_id FROM rv WHERE decision='edit' AND label_id % 5 <> 0)
  UNION ALL SELECT 'ignored_cells_on_buildings', count(*) FROM (SELECT site_id, r, c FROM labc WHERE ign INTERSECT SELECT site_id, r, c FROM labc WHERE NOT ign)"""))

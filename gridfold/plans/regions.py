@@ -262,11 +262,11 @@ def boundary_lines(spark, folder):
     return e.groupBy("site_id", "a", "b").agg(F.count("*").alias("edges"), F.sum(F.col("x1") + F.col("x2")).cast("long").alias("sx"), F.sum(F.col("y1") + F.col("y2")).cast("long").alias("sy"))
 
 
-ZONES = B.FP + ", " + B.RASTER + ", zn AS (SELECT ok zone, ok // 3750 site_id, x0 % 52 zx, y0 % 52 zy, w, h FROM fp WHERE feature_id < 1000000000), zc AS (SELECT zone, site_id, zy+dy r, zx+dx c FROM zn, range(w) a(dx), range(h) b(dy))"
+ZONES = B.FP + ", " + B.RASTER + ", zn AS (SELECT feature_id zone, ok // 3750 site_id, x0 % 52 zx, y0 % 52 zy, w, h FROM fp), zc AS (SELECT zone, site_id, zy+dy r, zx+dx c FROM zn, range(w) a(dx), range(h) b(dy))"
 
 
 def zones(spark, folder):
-    z = B.boxes(spark, folder).where("feature_id < 1000000000").selectExpr("ok zone", "cast(ok div 3750 as int) site_id", "x0 % 52 zx", "y0 % 52 zy", "w", "h")
+    z = B.boxes(spark, folder).selectExpr("feature_id zone", "cast(ok div 3750 as int) site_id", "x0 % 52 zx", "y0 % 52 zy", "w", "h")
     return z.selectExpr("zone", "site_id", "explode(sequence(zy, zy + h - 1)) row", "zx c0", "zx + w c1")
 
 
@@ -320,10 +320,10 @@ def grid(spark, folder):
     return T.tile_grid(sites, K, 24, 8)
 
 
-@query("R24_tile_grid", B.with_ctes(B.FP, """, n AS (SELECT feature_id, (300 + feature_id % 900) len FROM fp WHERE feature_id < 1000000000)
+@query("R24_tile_grid", B.with_ctes(B.FP, """, n AS (SELECT feature_id, (300 + feature_id % 900) len FROM fp)
  SELECT feature_id, count(*) tiles, max(s) last_start, CAST(sum(s) AS BIGINT) total FROM (SELECT feature_id, unnest(CASE WHEN len <= 512 THEN [0] ELSE list_distinct(list_append(range(0, len-512, 384), len-512)) END) s FROM n) GROUP BY ALL"""))
 def tile_grid(spark, folder):
-    n = B.boxes(spark, folder).where("feature_id < 1000000000").selectExpr("feature_id", "300 + feature_id % 900 len")
+    n = B.boxes(spark, folder).selectExpr("feature_id", "300 + feature_id % 900 len")
     d = n.select("feature_id", F.explode(T.tile_starts(F.col("len"), 512, 384)).alias("s"))
     return d.groupBy("feature_id").agg(F.count("*").alias("tiles"), F.max("s").alias("last_start"), F.sum("s").alias("total"))
 

@@ -264,7 +264,7 @@ def neighbours(spark, folder):
     return P.neighbour_counts(pts, ["site_id"], "feature_id", 3.0)
 
 
-BOUND = WIN + """, am AS (SELECT a.site_id, a.feature_id, b.label_id, count(*) i FROM cells a JOIN labc b USING (site_id, r, c) WHERE a.feature_id < 1000000000 GROUP BY ALL),
+BOUND = WIN + """, am AS (SELECT a.site_id, a.feature_id, b.label_id, count(*) i FROM cells a JOIN labc b USING (site_id, r, c) GROUP BY ALL),
 an AS (SELECT site_id, feature_id, count(*) n FROM cells GROUP BY ALL), bn AS (SELECT site_id, label_id, count(*) n FROM labc GROUP BY ALL),
 pr AS (SELECT am.site_id, feature_id, label_id FROM am JOIN an USING (site_id, feature_id) JOIN bn USING (site_id, label_id) WHERE i/(an.n+bn.n-i) >= 0.5),
 e1 AS (SELECT feature_id id, 2*x0 mx, 2*(y0+dy)+1 my, false hz FROM fp, range(h) t(dy)
@@ -278,7 +278,7 @@ DIST = "greatest(0, abs({e}.mx-{p}x) - CASE WHEN {e}.hz THEN 1 ELSE 0 END)**2 +
 
 
 def _matched_outlines(spark, folder):
-    fp = B.covered(B.footprints(spark, folder).where("feature_id < 1000000000"), "feature_id").withColumn("segs", M.segments(R()))
+    fp = B.covered(B.footprints(spark, folder), "feature_id").withColumn("segs", M.segments(R()))
     lb = B.covered(B.labels(spark, folder), "label_id").withColumn("segs", M.segments(R()))
     pr = P.overlap_pairs(fp, lb, ["site_id"]).where("inter / (a_cells + b_cells - inter) >= 0.5").select("site_id", "a", "b")
     return (pr.join(fp.select("site_id", F.col("id").alias("a"), F.col("segs").alias("pred")), ["site_id", "a"])
