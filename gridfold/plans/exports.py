@@ -173,16 +173,23 @@ def export_manifest(spark, folder):
     return E.manifest(d.drop("rings"), ["site_id"])
 
 
-@query("S10_export_features", B.with_ctes(B.AREA, f"SELECT CASE WHEN ok%4=0 THEN 'land_cover' ELSE 'building_footprint' END feature_type, count(*) features, round(sum(n)*0.01, 2) area_m2, count(*) in_wgs84 FROM ar WHERE {GOOD} GROUP BY ALL"))
+@query("S10_export_features", B.with_ctes(B.AREA, f"SELECT CASE WHEN ok%4=0 THEN 'land_cover' ELSE 'building_footprint' END feature_type, count(*) features, round(sum(n)*0.01, 2) area_m2, count(*) in_wgs84 FROM ar WHERE {GOOD} GROUP BY ALL UNION ALL SELECT 'refused', count(*), 0, 0 FROM ar WHERE NOT ({GOOD})"))
 def export_features(spark, folder):
-    """Written in both CRSs, one folder per class, then read back."""
-    path = scratch(spark, "export")
-    d = export_rows(spark, folder).where("error is null").drop("feature_type").withColumnRenamed("kind", "feature_type")
+    """Refused whole while a row is bad; the good rows are then written in both CRSs, one folder
+    per class with the manifest beside them, and read back."""
+    path, none = scratch(spark, "export"), scratch(spark, "refused")
+    rows = export_rows(spark, folder).drop("feature_type").withColumnRenamed("kind", "feature_type")
     moved = F.transform(R(), lambda r: F.transform(r, lambda p: F.struct((p.x + 600800).alias("x"), (p.y + 8171000).alias("y"))))
-    Z.export_features(d.select("feature_id", "feature_type", "origin", "review_status", moved.alias("rings")), path, 19, True)
+    rows = rows.withColumn("rings", moved)
+    listed = E.manifest(pin(rows.where("error is null"), area_mm2=F.round(M.area(R()) * 1e6).cast("long")).drop("rings"), ["site_id"])
+    ready = rows.select("feature_id", "feature_type", "origin", "review_status", "rings", "error")
+    refused = Z.export_all_or_nothing(ready, listed, none, 19, True).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("features"))
+    Z.export_all_or_nothing(ready.where("error is null"), listed, path, 19, True)
     a = X.read_lines(spark, f"{path}/analysis").groupBy("feature_type").agg(F.count("*").alias("features"), F.round(F.sum(F.round(M.area(R()) * 100).cast("long")) * 0.01, 2).alias("area_m2"))
     w = pin(X.read_lines(spark, f"{path}/wgs84"), b=M.bounds(R())).where("b.xmin > -69 and b.xmax < -68 and b.ymin > -17 and b.ymax < -16")
-    return a.join(w.groupBy("feature_type").agg(F.count("*").alias("in_wgs84")), "feature_type")
+    good = a.join(w.groupBy("feature_type").agg(F.count("*").alias("in_wgs84")), "feature_type")
+    zero = F.lit(0).cast("long")
+    return good.unionByName(refused.select(F.lit("refused").alias("feature_type"), "features", F.lit(0.0).alias("area_m2"), zero.alias("in_wgs84")))
 
 
 @query("S11_parcel_export", B.with_ctes(SNAP + ", " + snap_cte("s", 30), """SELECT kind, count(*) entities FROM (SELECT CASE feature % 4 WHEN 0 THEN 'survey_observation' WHEN 1 THEN 'boundary_segment' ELSE 'parcel' END kind, status FROM s) WHERE kind <> 'parcel' OR status IN ('accepted', 'suggested') GROUP BY ALL

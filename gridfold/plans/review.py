@@ -274,9 +274,10 @@ def streamed_effort(spark, folder):
 
 @query("T4_published_layers", B.with_ctes(B.FP, "SELECT site_id layer, count(*) features FROM fp WHERE site_id NOT IN (SELECT site_id FROM fp WHERE ok % 4111 = 4110) GROUP BY ALL"))
 def published(spark, folder):
-    """A layer with one row of an unknown type is not published at all."""
+    """A layer with one row of an unknown type is not published at all; rows of a layer come in several batches."""
     from gridfold.operators.export import output_errors
     from gridfold.streaming import review as T
-    fp = B.boxes(spark, folder).selectExpr("site_id layer", "feature_id + 1 source_id", "if(ok % 4111 = 4110, 'tree', 'building_footprint') feature_type", "'unknown' functional_use")
-    out = T.publish_layers(spark, T.stream_of(spark, fp, batches=1), lambda df: output_errors(df, ["layer"]))
+    fp = B.boxes(spark, folder).selectExpr("feature_id + 1 source_id", "site_id layer", "if(ok % 4111 = 4110, 'tree', 'building_footprint') feature_type", "'unknown' functional_use")
+    expected = fp.groupBy("layer").agg(F.count("*").alias("rows"))
+    out = T.publish_layers(spark, T.stream_of(spark, fp), lambda df: output_errors(df, ["layer"]), expected)
     return out.groupBy("layer").agg(F.count("*").alias("features"))

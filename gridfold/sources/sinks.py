@@ -27,6 +27,16 @@ def export_features(features: DataFrame, path: str, zone: int, south: bool) -> N
         lines.write.mode("errorifexists").partitionBy("feature_type").text(f"{path}/{name}")
 
 
+def export_all_or_nothing(rows: DataFrame, manifest: DataFrame, path: str, zone: int, south: bool) -> DataFrame:
+    """``error, n`` of the rows (``error``: code or NULL).  Only if there is none are the features
+    written, with ``manifest`` beside them; otherwise nothing is."""
+    report = rows.where("error is not null").groupBy("error").agg(F.count("*").alias("n"))
+    if report.isEmpty():
+        export_features(rows.drop("error"), path, zone, south)
+        manifest.write.mode("errorifexists").json(f"{path}/manifest")
+    return report
+
+
 def export_parcels(features: DataFrame, history: DataFrame, path: str, states: list[str]) -> None:
     """Saved parcel revision: one folder per entity kind (parcels only in the wanted states) and
     the history up to that revision."""

@@ -86,19 +86,29 @@ def gated_writes(spark: SparkSession, log: DataFrame) -> DataFrame:
     return _read(spark, path).drop("batch")
 
 
-def publish_layers(spark: SparkSession, stream: DataFrame, gate) -> DataFrame:
-    """T4: publish a layer only when every row of it passes: ``gate`` maps a batch to rows with
-    ``layer, error`` and only layers without errors are written, each to a new folder."""
-    path = scratch(spark, "published")
+def publish_layers(spark: SparkSession, stream: DataFrame, gate, expected: DataFrame) -> DataFrame:
+    """T4: publish a layer once all of it has arrived, and only if every row of it passes.
+
+    Batches are staged.  ``expected`` (``layer, rows``) says how many rows a layer has; when a
+    layer is complete, ``gate`` maps all its staged rows to rows with ``error``, and a layer
+    without errors is written to a new folder.  Each layer is judged once, however its rows were
+    spread over batches.
+    """
+    staged, out = scratch(spark, "staged"), scratch(spark, "published")
+    schema = stream.schema
 
     def write(df: DataFrame, batch: int) -> None:
-        df = df.persist()
-        bad = gate(df).where("error is not null").select("layer").distinct()
-        df.join(bad, "layer", "left_anti").write.mode("overwrite").parquet(os.path.join(path, f"batch={batch}-part"))
-        df.unpersist()
+        df.write.mode("overwrite").parquet(os.path.join(staged, f"batch={batch}-part"))
+        came = df.select("layer").distinct()
+        held = spark.read.schema(schema).parquet(os.path.join(staged, "*")).join(came, "layer", "left_semi")
+        full = held.groupBy("layer").agg(F.count("*").alias("rows")).join(expected.select("layer", "rows"), ["layer", "rows"], "left_semi").select("layer")
+        whole = held.join(full, "layer", "left_semi").persist()
+        bad = gate(whole).where("error is not null").select("layer").distinct()
+        whole.join(bad, "layer", "left_anti").write.mode("overwrite").parquet(os.path.join(out, f"batch={batch}-part"))
+        whole.unpersist()
 
     _run(stream, "append", write, scratch(spark, "ckpt"))
-    return _read(spark, path)
+    return _read(spark, out)
 
 
 def stream_of(spark: SparkSession, df: DataFrame, batches: int = 3, files: int = 4) -> DataFrame:
