@@ -121,7 +121,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     shards, blocks = max(1, -(-facts["n"] // SHARD)), max(1, -(-asked["n"] // BLOCK))
 
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("vec_id", kind="stable")
         v = _matrix(group["v"], wide)
+        # of equal vectors only the k smallest ids, and one more for the query's own, can be in any answer
+        _, same = np.unique(v, axis=0, return_inverse=True)
+        ordinal = pd.Series(same.ravel()).groupby(same.ravel()).cumcount().to_numpy()
+        group, v = group[ordinal <= k], v[ordinal <= k]
         order, nodes, centres, radii = build_tree(v.astype(np.float64))
         return pd.DataFrame({"shard": [key[0]], "n": [len(v)], "ids": [group["vec_id"].to_numpy(np.int64)[order].tobytes()], "rows": [v[order].tobytes()],
                              "nodes": [np.array(nodes, np.int64).tobytes()], "centres": [centres.tobytes()], "radii": [radii.tobytes()]})
