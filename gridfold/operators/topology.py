@@ -55,18 +55,37 @@ def severity(relation: Column, fraction: Column) -> Column:
             .when(relation == "gap_sliver", "warning").otherwise("none"))
 
 
-def relation_summary(relations: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts by type and severity, shared-boundary count and the valid flag per key."""
+def conflict_table(features: DataFrame, res: float, keys: list[str] = KEYS) -> DataFrame:
+    """Everything that speaks about a layer, in the columns of ``pair_relations``: features with
+    broken rings (``a`` = ``b`` = the feature), relations and gap slivers (``a``: smallest feature at the
+    gap, ``b``: the gap) of the features that are whole."""
+    seen = cut(pin(features.select(*keys, "feature_id", "rings"), _faults=F.size(ring_faults(F.col("rings")))))
+    whole = seen.where("_faults = 0").drop("_faults")
+    two = pair_relations(whole, res, keys=keys)
+    spans = S.coverage(whole, res).withColumnRenamed("feature_id", "id").select(*keys, "id", "spans")
+    gaps = gap_conflicts(spans, res, keys).select(*keys, F.col("first_feature").alias("a"), F.col("gap").alias("b"), F.lit("gap_sliver").alias("relation"))
+    broken = seen.where("_faults > 0").select(*keys, F.col("feature_id").alias("a"), F.col("feature_id").alias("b"), F.lit("invalid_geometry").alias("relation"))
+    rest = gaps.unionByName(broken).withColumn("pairs", F.lit(1).cast("long"))
+    for c in ("iou", "overlap_m2", "fraction", "length_m"):
+        rest = rest.withColumn(c, F.lit(0.0))
+    return two.unionByName(rest.withColumn("severity", severity(F.col("relation"), F.col("fraction"))))
+
+
+def relation_summary(relations: DataFrame, layers: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts by type and severity, shared-boundary count and the valid flag of every layer
+    listed (``keys``); a layer without any row is valid."""
     n = F.col("pairs")
 
     def total(cond):
         return F.coalesce(F.sum(F.when(cond, n)), F.lit(0).cast("long"))
 
     rel, sev = F.col("relation"), F.col("severity")
-    return relations.groupBy(*keys).agg(
-        total(rel == "duplicate").alias("duplicates"), total(rel == "overlap").alias("overlapping"),
+    counts = relations.groupBy(*keys).agg(
+        total(rel == "invalid_geometry").alias("invalid"), total(rel == "gap_sliver").alias("gaps"), total(rel == "duplicate").alias("duplicates"), total(rel == "overlap").alias("overlapping"),
         total(sev == "error").alias("errors"), total(sev == "warning").alias("warnings"),
         total(rel == "shared_boundary").alias("shared_boundaries"), (total(sev != "none") == 0).alias("valid"))
+    names = [c for c in counts.columns if c not in keys and c != "valid"]
+    return layers.select(*keys).distinct().join(counts, keys, "left").na.fill(0, names).na.fill(True, ["valid"])
 
 
 def number_conflicts(relations: DataFrame) -> DataFrame:
@@ -74,7 +93,7 @@ def number_conflicts(relations: DataFrame) -> DataFrame:
     rank = F.create_map(*[F.lit(v) for kv in {"invalid_geometry": 0, "duplicate": 1, "overlap": 2, "gap_sliver": 3}.items() for v in kv])
     rows = relations.where("severity <> 'none'").withColumn("rank", rank[F.col("relation")])
     block = F.col("rank").cast("long") * (1 << 40) + F.floor(F.col("a") / 65536)
-    out = number_in_order(rows, ["site_id"], ["rank", "a", "b"], "n", block)
+    out = number_in_order(rows, ["site_id"], ["rank", "a", "b", "feature_type"], "n", block)
     return out.withColumn("conflict_id", F.format_string("conflict-%03d", "n"))
 
 

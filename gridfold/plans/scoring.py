@@ -119,7 +119,7 @@ def optimal_matches(spark, folder):
     """Optimal one-to-one matches and contention counts (checked by brute force in tests)."""
     preds, labels, win = inputs(spark, folder)
     truth, _, pieces = C.prepare(preds, labels, win, MIN_CELLS)
-    pairs = cut(C.candidate_matches(truth, pieces, 0.2))
+    pairs = cut(C.candidate_matches(truth, pieces))
     m = C.optimal_match(pairs).groupBy(*C.WKEYS).agg(F.count("*").alias("tp"), F.round(F.sum("iou"), 6).alias("iou_sum"))
     return m.join(C.contention(pairs), C.WKEYS)
 

@@ -12,7 +12,7 @@ from gridfold.operators import topology as O
 from gridfold.plans import bindings as B
 from gridfold.plans.registry import query
 from gridfold.plans.scoring import WIN
-from gridfold.session import pin
+from gridfold.session import cut, pin
 
 
 
@@ -156,29 +156,68 @@ def overlap_severity(spark, folder):
     return relations(spark, folder).where("relation = 'overlap'").groupBy("site_id", "severity").agg(F.count("*").alias("shapes"), F.sum("pairs").alias("pairs"))
 
 
-SUMMARY = """CAST(sum(CASE WHEN relation='duplicate' THEN pairs ELSE 0 END) AS BIGINT) duplicates,
-  CAST(sum(CASE WHEN relation='overlap' THEN pairs ELSE 0 END) AS BIGINT) overlapping, CAST(sum(CASE WHEN severity='error' THEN pairs ELSE 0 END) AS BIGINT) errors,
-  CAST(sum(CASE WHEN severity='warning' THEN pairs ELSE 0 END) AS BIGINT) warnings,
-  CAST(sum(CASE WHEN relation='shared_boundary' THEN pairs ELSE 0 END) AS BIGINT) shared_boundaries,
-  sum(CASE WHEN severity <> 'none' THEN pairs ELSE 0 END) = 0 AS valid"""
+GAPS = B.CELLS + """, un AS (SELECT DISTINCT site_id, feature_type, r, c FROM cells),
+ disc AS (SELECT dy, dx FROM range(-2,3) a(dy), range(-2,3) b(dx) WHERE dx*dx+dy*dy <= 6.25),
+ gr AS (SELECT DISTINCT site_id, feature_type, r+dy r, c+dx c FROM un, disc),
+ fr AS (SELECT * FROM gr ANTI JOIN un USING (site_id, feature_type, r, c)),
+ ou AS (SELECT DISTINCT site_id, feature_type, r+dy r, c+dx c FROM fr, disc EXCEPT SELECT * FROM gr),
+ gap AS (SELECT * FROM fr EXCEPT SELECT site_id, feature_type, r+dy r, c+dx c FROM ou, disc),
+ ge AS (SELECT a.site_id, a.feature_type, a.r*2147483648+a.c u, b.r*2147483648+b.c v FROM gap a JOIN gap b ON a.site_id=b.site_id AND a.feature_type=b.feature_type AND abs(a.r-b.r)+abs(a.c-b.c)=1 AND b.r BETWEEN a.r-1 AND a.r+1 AND (b.c=a.c OR b.r=a.r)),
+ rc AS (SELECT site_id, feature_type, r*2147483648+c u, r*2147483648+c v FROM gap UNION SELECT k.site_id, k.feature_type, k.u, e.v FROM rc k JOIN ge e ON e.site_id=k.site_id AND e.feature_type=k.feature_type AND e.u=k.v),
+ gc AS (SELECT site_id, feature_type, CAST(u//2147483648 AS BIGINT) r, CAST(u%2147483648 AS BIGINT) c, min(v) g FROM rc GROUP BY site_id, feature_type, u),
+ big AS (SELECT site_id, feature_type, g, count(*) n FROM gc GROUP BY ALL HAVING count(*) >= 10 AND greatest(max(r)-min(r), max(c)-min(c))+1 >= 10),
+ nr AS (SELECT DISTINCT q.site_id, q.feature_type, q.g, feature_id FROM (SELECT gc.*, dy, dx FROM gc JOIN big USING (site_id, feature_type, g), range(-1,2) a(dy), range(-1,2) b(dx)) q
+   JOIN cells k ON k.site_id=q.site_id AND k.feature_type=q.feature_type AND k.r=q.r+dy AND k.c=q.c+dx)"""
+
+
+TWISTED = 211  # of so many features one has a twisted ring, and takes no part in pairs and gaps
+
+
+def _whole(ctes: str, live: str = "true") -> str:
+    """The same CTEs over the features that are live and whole; ``fp0`` keeps all that are live."""
+    all_of = B.FP.replace("fp AS (", "fpa AS (", 1) + f", fp0 AS (SELECT * FROM fpa WHERE {live}), fp AS (SELECT * FROM fp0 WHERE ok % {TWISTED} <> 1)"
+    return ctes.replace(B.FP, all_of)
+
 
+CONFLICTS = REL + GAPS[len(B.FP):] + f""", cf AS (SELECT site_id, feature_type, a, b, pairs, relation, severity FROM rl
+  UNION ALL SELECT site_id, feature_type, min(feature_id), CAST(g AS BIGINT), 1, 'gap_sliver', 'warning' FROM nr GROUP BY site_id, feature_type, g HAVING count(*) >= 2
+  UNION ALL SELECT site_id, feature_type, feature_id, feature_id, 1, 'invalid_geometry', 'error' FROM fp0 WHERE ok % {TWISTED} = 1)"""
+SUMMARY = """CAST(coalesce(sum(CASE WHEN relation='invalid_geometry' THEN pairs ELSE 0 END), 0) AS BIGINT) invalid, CAST(coalesce(sum(CASE WHEN relation='gap_sliver' THEN pairs ELSE 0 END), 0) AS BIGINT) gaps,
+  CAST(coalesce(sum(CASE WHEN relation='duplicate' THEN pairs ELSE 0 END), 0) AS BIGINT) duplicates,
+  CAST(coalesce(sum(CASE WHEN relation='overlap' THEN pairs ELSE 0 END), 0) AS BIGINT) overlapping, CAST(coalesce(sum(CASE WHEN severity='error' THEN pairs ELSE 0 END), 0) AS BIGINT) errors,
+  CAST(coalesce(sum(CASE WHEN severity='warning' THEN pairs ELSE 0 END), 0) AS BIGINT) warnings,
+  CAST(coalesce(sum(CASE WHEN relation='shared_boundary' THEN pairs ELSE 0 END), 0) AS BIGINT) shared_boundaries,
+  coalesce(sum(CASE WHEN severity <> 'none' THEN pairs ELSE 0 END), 0) = 0 AS valid"""
+LAYERS = "(SELECT DISTINCT {k} FROM fp0) l LEFT JOIN cf USING ({k})"
 
-@query("A15_conflict_summary", B.with_ctes(REL, f"SELECT site_id, {SUMMARY} FROM rl GROUP BY ALL"))
+
+def checked(spark, folder, live="true"):
+    """Live footprints, some with a twisted ring, and their conflict table."""
+    d = B._rings(B.boxes(spark, folder).where(live))
+    ring = F.col("rings")[0]
+    twisted = F.array(F.array(*[ring[i] for i in (0, 2, 1, 3)], ring[0]))
+    d = d.withColumn("rings", F.when(F.col("ok") % TWISTED == 1, twisted).otherwise(F.col("rings"))).select("site_id", "feature_id", "feature_type", "rings")
+    return d, O.conflict_table(d, B.RES)
+
+
+@query("A15_conflict_summary", B.with_ctes(_whole(CONFLICTS), f"SELECT site_id, {SUMMARY} FROM {LAYERS.format(k='site_id')} GROUP BY ALL", True))
 def conflict_summary(spark, folder):
-    return O.relation_summary(relations(spark, folder), ["site_id"])
+    d, rows = checked(spark, folder)
+    return O.relation_summary(rows, d, ["site_id"])
 
 
-@query("A16_class_summaries", B.with_ctes(REL, f"""SELECT q.*, bool_and(valid) OVER (PARTITION BY site_id) all_valid FROM (
-  SELECT site_id, feature_type, {SUMMARY} FROM rl GROUP BY ALL) q"""))
+@query("A16_class_summaries", B.with_ctes(_whole(CONFLICTS), f"""SELECT q.*, bool_and(valid) OVER (PARTITION BY site_id) all_valid FROM (
+  SELECT site_id, feature_type, {SUMMARY} FROM {LAYERS.format(k='site_id, feature_type')} GROUP BY ALL) q""", True))
 def class_summaries(spark, folder):
-    per = O.relation_summary(relations(spark, folder), ["site_id", "feature_type"])
+    d, rows = checked(spark, folder)
+    per = cut(O.relation_summary(rows, d, ["site_id", "feature_type"]))
     return per.join(per.groupBy("site_id").agg(F.bool_and("valid").alias("all_valid")), "site_id")
 
 
-@query("L3_conflict_order", B.with_ctes(REL, """SELECT site_id, a, b, relation, format('conflict-{:03d}', row_number() OVER (PARTITION BY site_id
-  ORDER BY CASE relation WHEN 'duplicate' THEN 1 ELSE 2 END, a, b)) conflict_id FROM rl WHERE severity <> 'none'"""))
+@query("L3_conflict_order", B.with_ctes(_whole(CONFLICTS), """SELECT site_id, a, b, relation, format('conflict-{:03d}', row_number() OVER (PARTITION BY site_id
+  ORDER BY CASE relation WHEN 'invalid_geometry' THEN 0 WHEN 'duplicate' THEN 1 WHEN 'overlap' THEN 2 ELSE 3 END, a, b, feature_type)) conflict_id FROM cf WHERE severity <> 'none'""", True))
 def conflict_order(spark, folder):
-    return O.number_conflicts(relations(spark, folder)).select("site_id", "a", "b", "relation", "conflict_id")
+    return O.number_conflicts(checked(spark, folder)[1]).select("site_id", "a", "b", "relation", "conflict_id")
 
 
 @query("J23_inspector_relations", B.with_ctes(REL, """SELECT site_id, CASE WHEN a % 500 = 7 THEN a ELSE b END feature_id, CASE WHEN a % 500 = 7 THEN b ELSE a END other, relation
@@ -198,13 +237,11 @@ def relation_order(spark, folder):
         F.min(F.struct("a", "b")).alias("m"), F.count("*").alias("listed")).select("site_id", "relation", F.col("m.a").alias("first_a"), F.col("m.b").alias("first_b"), "listed")
 
 
-@query("J24_workspace_topology", B.with_ctes(REL.replace("SELECT *, CASE WHEN lshape THEN w*h - (w - w//2)*(h - h//2) ELSE w*h END n FROM fp", "SELECT *, CASE WHEN lshape THEN w*h - (w - w//2)*(h - h//2) ELSE w*h END n FROM fp WHERE ok % 4 <> 3"),
-       f"SELECT site_id, {SUMMARY} FROM rl GROUP BY ALL"))
+@query("J24_workspace_topology", B.with_ctes(_whole(CONFLICTS, "ok % 4 <> 3"), f"SELECT site_id, {SUMMARY} FROM {LAYERS.format(k='site_id')} GROUP BY ALL", True))
 def workspace_topology(spark, folder):
-    """Rejected workspace features take no part."""
-    ws = B.boxes(spark, folder).withColumn("status", F.expr("case ok % 4 when 3 then 'rejected' when 2 then 'accepted' else 'suggested' end"))
-    live = B._rings(ws.where("status <> 'rejected'")).select("site_id", "feature_id", "feature_type", "rings")
-    return O.relation_summary(O.pair_relations(live, B.RES), ["site_id"])
+    """Rejected workspace features (one of four) take no part."""
+    d, rows = checked(spark, folder, "ok % 4 <> 3")
+    return O.relation_summary(rows, d, ["site_id"])
 
 
 @query("J15_shared_edge_at_vertex", B.with_ctes(REL, """, vx AS (SELECT site_id, feature_type, id, 2*x0 vx, 2*y0 vy FROM sh),
@@ -303,20 +340,6 @@ def hausdorff(spark, folder):
     return d.select(F.col("a").alias("feature_id"), F.col("b").alias("label_id"), r6(F.col("hausdorff"), "hausdorff_m"))
 
 
-GAPS = B.CELLS + """, un AS (SELECT DISTINCT site_id, feature_type, r, c FROM cells),
- disc AS (SELECT dy, dx FROM range(-2,3) a(dy), range(-2,3) b(dx) WHERE dx*dx+dy*dy <= 6.25),
- gr AS (SELECT DISTINCT site_id, feature_type, r+dy r, c+dx c FROM un, disc),
- fr AS (SELECT * FROM gr ANTI JOIN un USING (site_id, feature_type, r, c)),
- ou AS (SELECT DISTINCT site_id, feature_type, r+dy r, c+dx c FROM fr, disc EXCEPT SELECT * FROM gr),
- gap AS (SELECT * FROM fr EXCEPT SELECT site_id, feature_type, r+dy r, c+dx c FROM ou, disc),
- ge AS (SELECT a.site_id, a.feature_type, a.r*2147483648+a.c u, b.r*2147483648+b.c v FROM gap a JOIN gap b ON a.site_id=b.site_id AND a.feature_type=b.feature_type AND abs(a.r-b.r)+abs(a.c-b.c)=1 AND b.r BETWEEN a.r-1 AND a.r+1 AND (b.c=a.c OR b.r=a.r)),
- rc AS (SELECT site_id, feature_type, r*2147483648+c u, r*2147483648+c v FROM gap UNION SELECT k.site_id, k.feature_type, k.u, e.v FROM rc k JOIN ge e ON e.site_id=k.site_id AND e.feature_type=k.feature_type AND e.u=k.v),
- gc AS (SELECT site_id, feature_type, CAST(u//2147483648 AS BIGINT) r, CAST(u%2147483648 AS BIGINT) c, min(v) g FROM rc GROUP BY site_id, feature_type, u),
- big AS (SELECT site_id, feature_type, g, count(*) n FROM gc GROUP BY ALL HAVING count(*) >= 10 AND greatest(max(r)-min(r), max(c)-min(c))+1 >= 10),
- nr AS (SELECT DISTINCT q.site_id, q.feature_type, q.g, feature_id FROM (SELECT gc.*, dy, dx FROM gc JOIN big USING (site_id, feature_type, g), range(-1,2) a(dy), range(-1,2) b(dx)) q
-   JOIN cells k ON k.site_id=q.site_id AND k.feature_type=q.feature_type AND k.r=q.r+dy AND k.c=q.c+dx)"""
-
-
 @query("R14_gap_slivers", B.with_ctes(GAPS, """SELECT site_id, feature_type, n cells, count(*) features, min(feature_id) first_feature FROM nr JOIN big USING (site_id, feature_type, g) GROUP BY site_id, feature_type, g, n HAVING count(*) >= 2""", True))
 def gaps(spark, folder):
     d = B.covered(B.footprints(spark, folder), "feature_id").select("site_id", "feature_type", "id", "spans")
