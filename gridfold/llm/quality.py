@@ -113,10 +113,14 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -
     """
     n = patterns.shape[1]
     chances = np.zeros((2, n, 3))
+    wary = (patterns < 0).any(axis=0) & ~(patterns > 0).any(axis=0)  # knows one kind of poor text only
     for j in range(n):
-        one_kind = (patterns[:, j] < 0).any()
-        chances[0, j] = (0.2, 0.799, 0.001) if one_kind else (0.01, 0.49, 0.50)
-        chances[1, j] = (FALSE_ALARM, 0.999 - FALSE_ALARM, 0.001) if one_kind else (0.01, 0.19, 0.80)
+        if wary[j]:
+            chances[:, j] = (0.2, 0.799, 0.001), (FALSE_ALARM, 0.999 - FALSE_ALARM, 0.001)
+        elif (patterns[:, j] < 0).any():
+            chances[:, j] = (0.4, 0.5, 0.1), (0.1, 0.5, 0.4)
+        else:
+            chances[:, j] = (0.01, 0.49, 0.50), (0.01, 0.19, 0.80)
     share = 0.8
     hot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
     for _ in range(rounds):
@@ -124,7 +128,7 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -
         new = float((post * counts).sum() / counts.sum())
         for c, w in ((1, post * counts), (0, (1 - post) * counts)):
             chances[c] = (np.einsum("p,pjv->jv", w, hot) + 0.1) / (w.sum() + 0.3)
-        over = np.maximum(chances[1][:, 0] - FALSE_ALARM, 0)
+        over = np.where(wary, np.maximum(chances[1][:, 0] - FALSE_ALARM, 0), 0)
         chances[1][:, 0] -= over
         chances[1][:, 1] += over
         if abs(new - share) < 1e-9:

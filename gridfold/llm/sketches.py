@@ -134,15 +134,22 @@ def _bands(reps: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of an edge table (u, v): the smallest node it is joined with.
 
-    A round sends each node to the smallest neighbour of its smallest neighbour and rewrites the
-    edges by these labels; the edges between a node and its label keep what belongs together
-    connected.  Stars are done in one or two rounds, and a hub is one grouped minimum.
+    A round points each node at its smallest neighbour, doubles the pointers until they are flat
+    and rewrites the edges by the roots.  A star or a path that rises is one tree and done in one round;
+    a hub is one grouped minimum.
     """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     graph, steps = cut(both.where("u <> v").distinct()), []
     while not graph.isEmpty():
-        hook = graph.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("up"))
-        step = cut(hook.join(hook.select(F.col("node").alias("up"), F.col("up").alias("root")), "up").select("node", "root"))
+        step = graph.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root"))
+        flat = False
+        while not flat:
+            for _ in range(2):
+                far = step.select(F.col("node").alias("root"), F.col("root").alias("_far"))
+                step = step.select("node", "root").join(far, "root").select("node", F.col("_far").alias("root"), (F.col("_far") != F.col("root")).alias("moved"))
+            step = cut(step)
+            flat = step.where("moved").isEmpty()
+        step = step.drop("moved")
         steps.append(step)
         ends = graph.join(step.select(F.col("node").alias("u"), F.col("root").alias("a")), "u").join(step.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
         graph = cut(ends.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
