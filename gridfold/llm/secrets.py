@@ -18,6 +18,7 @@ TOKEN = r"A-Za-z0-9+/_=\-"
 CANDIDATE = rf"(?<![{TOKEN}])[A-Za-z0-9+/_][{TOKEN}]{{15,}}"
 BEFORE, AFTER = 48, 16
 SAMPLE = 4000        # findings of each kind the forest is trained on, at most
+DRAWN, LENDING = 20_000, 1_000  # documents that findings are drawn from, about, and that lend neighbours to made strings
 DICTIONARY = 300     # common words that count as a dictionary
 # Words that announce a secret, and words that announce a harmless long string.
 SECRET_WORDS = "token|secret|passwd|password|pwd|api_?key|apikey|access_?key|private_?key|auth|bearer|credential"
@@ -32,19 +33,22 @@ def common_words(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
     return sorted((r["w"] for r in top.collect()), key=lambda w: (-len(w), w))  # at most ``size`` rows
 
 
-def findings(text: Column) -> Column:
-    """Array of (secret, start, before, after) of all candidates of a text; start in characters from 0."""
-    text = F.coalesce(text, F.lit(""))
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), 0)
-    gaps = F.split(text, CANDIDATE)  # one more than candidates
-    both = F.transform(found, lambda x, i: F.struct(x.alias("secret"), F.element_at(gaps, (i + 1).cast("int")).alias("gap"), F.element_at(gaps, (i + 2).cast("int")).alias("next")))
+def findings(df: DataFrame, out: str) -> DataFrame:
+    """Add ``out``: array of (secret, start, before, after) of all candidates in ``text``; start in
+    characters from 0.  The text is matched and split once each; the rest works on the pieces."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    pieces = F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("found"), F.split(text, CANDIDATE).alias("gaps"))  # one gap more than candidates
+    held = pin(df, **{out: pieces})
+    found, gaps = F.col(out)["found"], F.col(out)["gaps"]
+    both = F.transform(found, lambda x, i: F.struct(x.alias("secret"), F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).alias("next")))
     start = F.aggregate(both, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("starts")),
                         lambda acc, x: F.struct((acc["at"] + F.length(x["gap"]) + F.length(x["secret"])).alias("at"),
                                                 F.concat(acc["starts"], F.array(acc["at"] + F.length(x["gap"]))).alias("starts")))["starts"]
-    return F.transform(F.arrays_zip(both.alias("b"), start.alias("s")), lambda x: F.struct(
+    zipped = F.transform(F.arrays_zip(both.alias("b"), start.alias("s")), lambda x: F.struct(
         x["b"]["secret"].alias("secret"), x["s"].alias("start"),
         F.substring(x["b"]["gap"], F.greatest(F.lit(1), F.length(x["b"]["gap"]) - BEFORE + 1), F.lit(BEFORE)).alias("before"),
         F.substring(x["b"]["next"], F.lit(1), F.lit(AFTER)).alias("after")))
+    return held.withColumn(out, zipped)
 
 
 def describe(secret: Column, before: Column, after: Column, words: list[str]) -> list[Column]:
@@ -69,10 +73,15 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     A string with digits that an announcing word assigns is a secret; one without digits, of digits only, in a
     path, or announced as a harmless sum, is none.  So that the string counts and not only its
     neighbours, each document also lends its neighbours to random keys drawn from hashes
-    (secrets) and to its own words run together or a plain number (none).  Each kind is a bounded sample.
+    (secrets) and to its own words run together or a plain number (none).  All come from a
+    sample of DRAWN documents by a hash of id and text; each kind is bounded by ``sample``.
     """
-    base = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64(F.lit(1), "doc_id", "text").alias("_d"))
-    rows = pin(base, f=findings(F.col("text"))).select("_d", F.explode("f").alias("f")).select("_d", "f.secret", "f.before", "f.after")
+    n = max(1, docs.count())
+    bar = lambda many: F.lit(min(int((min(1.0, many / n) - 0.5) * 2**64), 2**63 - 1))
+    draw = F.xxhash64(F.lit(1), "doc_id", "text")
+    base = cut(docs.where(F.col("text").isNotNull() & (draw <= bar(DRAWN))).select("text", draw.alias("_d")))
+    lenders = base.where(F.col("_d") <= bar(LENDING))
+    rows = findings(base, "f").select("_d", F.explode("f").alias("f")).select("_d", "f.secret", "f.before", "f.after")
     digit, announced = F.col("secret").rlike("[0-9]"), F.col("before").rlike(rf"(?i)(?:{SECRET_WORDS})\W{{0,6}}$")
     harmless = ~F.col("secret").rlike("[0-9]") | F.col("secret").rlike("^[0-9]+$") | F.col("before").rlike(rf"(?i)(?:://\S*|(?:{HARMLESS_WORDS})\W{{0,6}})$")
     real = rows.withColumn("label", F.when(digit & announced & ~harmless, 1.0).when(harmless & ~announced, 0.0)).where("label is not null")
@@ -82,7 +91,7 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     drawn = F.array(F.sha1("text"), F.substring(sha, 1, 32), F.regexp_replace(F.base64(F.unhex(sha)), "=+$", ""), F.concat(F.lit("AKIA"), F.upper(F.substring(F.regexp_replace(F.base64(F.unhex(sha)), "[^A-Za-z0-9]", ""), 1, 16))))
     joined = F.array(F.array_join(F.slice(plain, 2, 4), ""), F.array_join(F.slice(plain, 3, 3), "_"), F.array_join(F.transform(F.slice(plain, 2, 3), lambda w: F.initcap(w)), ""),
                      F.concat(F.array_join(F.slice(plain, 2, 3), "-"), F.lit("-2024")), F.array_join(F.slice(plain, 1, 4), "/"), F.abs("_d").cast("string"))
-    lend = lambda strings, label, told: base.select("_d", F.explode(strings).alias("secret"), F.concat(near, told).alias("before"), F.lit(" ").alias("after"), F.lit(label).alias("label"))
+    lend = lambda strings, label, told: lenders.select("_d", F.explode(strings).alias("secret"), F.concat(near, told).alias("before"), F.lit(" ").alias("after"), F.lit(label).alias("label"))
     made = lend(drawn, 1.0, F.when(F.col("_d") % 3 == 0, F.lit(" key = ")).otherwise(F.lit(" "))).unionByName(lend(joined, 0.0, F.when(F.col("_d") % 3 == 0, F.lit(" token = ")).otherwise(F.lit(" "))))
     made = made.where(F.col("secret").rlike(rf"^{CANDIDATE}$"))
     few = lambda d: d.orderBy("_d", "secret").limit(sample)  # noqa: E731  a top-k of short strings
@@ -126,7 +135,7 @@ def forest_score(forest, values: Column) -> Column:
 
 
 class Scanner:
-    """A trained scan: ``secrets`` adds an array column, ``redact`` replaces what it found."""
+    """A trained scan: ``find`` adds an array column of what the forest holds for secrets."""
 
     def __init__(self, forest, words: list[str], threshold: float = 0.5) -> None:
         self.forest, self.words, self.threshold = forest, words, threshold
@@ -137,30 +146,31 @@ class Scanner:
         words = common_words(docs)
         return cls(train_forest(labelled if labelled is not None else labelled_findings(docs), words), words, threshold)
 
-    def secrets(self, text: Column) -> Column:
-        """Array of (secret, start, score) of the findings that the forest holds for secrets."""
+    def find(self, df: DataFrame, out: str) -> DataFrame:
+        """Add ``out``: array of (secret, start, score)."""
         if not self.forest:
-            return F.array().cast("array<struct<secret:string,start:bigint,score:double>>")
-        seen = F.transform(findings(text), lambda x: F.struct(x["secret"].alias("secret"), x["start"].alias("start"), F.array(*describe(x["secret"], x["before"], x["after"], self.words)).alias("v")))
+            return df.withColumn(out, F.array().cast("array<struct<secret:string,start:bigint,score:double>>"))
+        held = findings(df, out)
+        seen = F.transform(out, lambda x: F.struct(x["secret"].alias("secret"), x["start"].alias("start"), F.array(*describe(x["secret"], x["before"], x["after"], self.words)).alias("v")))
         scored = F.transform(seen, lambda x: F.struct(x["secret"].alias("secret"), x["start"].alias("start"), F.round(forest_score(self.forest, x["v"]), 6).alias("score")))
-        return F.filter(scored, lambda x: x["score"] >= self.threshold)
+        return pin(held, _scored=F.filter(scored, lambda x: x["score"] >= self.threshold)).withColumn(out, F.col("_scored")).drop("_scored")
 
 
 def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """doc_id, start, end, secret, score: one row per secret, offsets in characters, end exclusive.
     Null and empty texts have none."""
-    rows = pin(docs.select("doc_id", "text"), s=scanner.secrets(F.col("text"))).select("doc_id", F.inline("s"))
+    rows = scanner.find(docs.select("doc_id", "text"), "s").select("doc_id", F.inline("s"))
     return rows.select("doc_id", "start", (F.col("start") + F.length("secret")).alias("end"), "secret", "score")
 
 
 def redact(docs: DataFrame, scanner: Scanner, mark: str = "<secret>") -> DataFrame:
     """The columns of ``docs`` with every secret in ``text`` replaced by ``mark`` (``n_chars``, if there, counted anew where any was)."""
-    found = next(n for n in (f"_found{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
-    held = pin(docs, **{found: scanner.secrets(F.col("text"))})
-    clean = F.aggregate(F.array_distinct(F.transform(found, lambda x: x["secret"])), F.col("text"), lambda t, x: F.replace(t, x, F.lit(mark)))
-    hit = F.size(found) > 0
-    out = {c: F.col(f"`{c}`") for c in docs.columns}
+    inner = {c: f"c{i}" if c != "text" else c for i, c in enumerate(docs.columns)}  # no clash with the scan's columns
+    held = scanner.find(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()]), "_found")
+    clean = F.aggregate(F.array_distinct(F.transform("_found", lambda x: x["secret"])), F.col("text"), lambda t, x: F.replace(t, x, F.lit(mark)))
+    hit = F.size("_found") > 0
+    out = {c: F.col(n) for c, n in inner.items()}
     out["text"] = F.when(hit, clean).otherwise(F.col("text"))
     if "n_chars" in out:
-        out["n_chars"] = F.when(hit, F.length(clean).cast("long")).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(hit, F.length(clean).cast("long")).otherwise(out["n_chars"])
     return held.select(*[c.alias(n) for n, c in out.items()])
