@@ -29,7 +29,7 @@ LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l", "к": "k", "м": "m", "т": "t", "в": "b", "п": "n", "г": "r",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "υ": "u", "ε": "e", "τ": "t", "χ": "x", "γ": "y", "η": "n", "ω": "w",
-    "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʟ": "L", "ᴏ": "o", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g",
+    "İ": "I", "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʟ": "L", "ᴏ": "o", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g",
     "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "﹣": "-", "٠": "0", "۰": "0", "․": ".", "。": ".", "｡": ".", "·": ".", "•": ".", "∙": ".", "⋅": ".", "﹒": ".", "﹫": "@", "＋": "+", "﹢": "+",
     " ": " ", " ": " ", " ": " ", " ": " ", " ": " ", " ": " ", "　": " ",
 }
@@ -43,7 +43,6 @@ SPELLED = {
 }
 TIMES = {"double": 2, "triple": 3}
 AT, DOT, PLUS = ("at", "arroba", "chez"), ("dot", "punkt", "point", "punto"), ("plus", "más")
-HINTS = frozenset([*DOT, *PLUS, "at", "arroba"])
 
 
 class _Fold(dict):
@@ -62,15 +61,20 @@ class _Fold(dict):
 FOLD = _Fold()
 _words = lambda xs: "|".join(sorted(map(re.escape, xs), key=len, reverse=True))
 _DIGITS = rf"(?:(?:{_words(TIMES)})[ -])?(?:{_words(SPELLED)})"
-_DOTTED = rf"(?:\s*[(\[{{<]\s*(?:{_words(DOT)}|\.)\s*[)\]}}>]\s*|\s+(?:{_words(DOT)})\s+|(?<=[A-Za-z0-9])[_-](?:{_words(DOT)})[_-](?=[A-Za-z0-9]))"
+_GAP = r"(?:(?<!\s)\s+)?"  # begins at the first blank of a run only, or long runs would be tried from each blank
+_DOTTED = rf"(?:{_GAP}[(\[{{<]\s*(?:{_words(DOT)}|\.)\s*[)\]}}>]\s*|(?<!\s)\s+(?:{_words(DOT)})\s+|(?<=[A-Za-z0-9])[_-](?:{_words(DOT)})[_-](?=[A-Za-z0-9]))"
 REWRITE = re.compile(
     rf"(?P<gone>[{INVISIBLE}]+)"
-    rf"|(?P<at>\s*[(\[{{<]\s*(?:{_words(AT)}|@)\s*[)\]}}>]\s*|(?<=[A-Za-z0-9_])(?:\s+|[_-])(?:{_words(AT)})(?:\s+|[_-])(?!(?:the|a|an|this|that)\s)(?=[A-Za-z0-9-]+{_DOTTED}))"
+    rf"|(?P<at>{_GAP}[(\[{{<]\s*(?:{_words(AT)}|@)\s*[)\]}}>]\s*|(?<=[A-Za-z0-9_])(?:\s+|[_-])(?:{_words(AT)})(?:\s+|[_-])(?!(?:the|a|an|this|that)\s)(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_DOTTED})"
+    rf"|(?<=[A-Za-z0-9_])(?P<tie>[_-])(?:{_words(AT)})(?P=tie)(?=[A-Za-z0-9-]+\.[A-Za-z0-9]))"
     rf"|(?P<dot>{_DOTTED})"
     rf"|(?P<plus>(?<![^\W_])(?:{_words(PLUS)})\s+(?=[0-9(]|(?:{_words(SPELLED)})(?![^\W_])))"
     rf"|(?P<run>(?<![^\W_]){_DIGITS}(?:[ ,-]{{1,2}}{_DIGITS})*(?![^\W_]))", re.IGNORECASE)
 ONE = re.compile(rf"(?:(?P<times>{_words(TIMES)})[ -])?(?P<digit>{_words(SPELLED)})", re.IGNORECASE)
-BRACKETS = re.compile(rf"[(\[{{<]\s*(?:{_words([*AT, *DOT])}|@|\.)\s*[)\]}}>]", re.IGNORECASE)
+
+WORD = re.compile(r"[^\W_]+")
+RULED = frozenset([*SPELLED, *AT, *DOT, *PLUS])
+SIGNS = re.compile(rf"[{INVISIBLE}]|[(\[{{<]\s*[@.]\s*[)\]}}>]")
 
 
 def _luhn(digits: str) -> bool:
@@ -151,14 +155,9 @@ def rewrite(text: str) -> tuple[str, Tape]:
     return "".join(tape.out), tape
 
 
-def suspicious(text: str, folded: str) -> bool:
-    """Whether any transducer would change something that matters; a cheap test of whole texts."""
-    if folded is not text and folded != text:
-        return True
-    if BRACKETS.search(text) or not text.isascii() and any(c in text for c in INVISIBLE):
-        return True
-    words = re.split(r"[\s,_-]+", text.lower())
-    return not HINTS.isdisjoint(words) and not set(DOT).isdisjoint(words) or sum(w in SPELLED for w in words) >= (1 if "+" in text else 4)
+def may_change(text: str) -> bool:
+    """False only where no transducer matches ``text`` (already folded): each needs a whole word of RULED, or SIGNS."""
+    return not RULED.isdisjoint(WORD.findall(text.lower())) or SIGNS.search(text) is not None
 
 
 def find_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -170,9 +169,11 @@ def find_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple
     text = text or ""
     base = plain_spans(text)
     folded = text if text.isascii() else text.translate(FOLD)
-    if not suspicious(text, folded):
+    if folded == text and not may_change(text):
         return base, base
     changed, tape = rewrite(folded)
+    if changed == text:
+        return base, base
     added = []
     for kind, s, e in plain_spans(changed):
         a, b, _ = tape.back(s, e)

@@ -55,6 +55,38 @@ def test_clean_text_has_no_spans():
         assert pii.find_spans(t) == ([], [])
 
 
+@pytest.mark.parametrize("text, kind, span", [
+    ("call plus 49 30 1234567", "phone", "plus 49 30 1234567"), ("pay 4111 1111 1111 one one one 1 now", "card", "4111 1111 1111 one one one 1"),
+    ("host one.two.three.four is up", "ip", "one.two.three.four"), ("(one.two;10.0.0.seven:80)", "ip", "10.0.0.seven"),
+    ("ask john_at_example.com", "email", "john_at_example.com"), ("ask john-at-mail.example.org", "email", "john-at-mail.example.org"),
+    ("mail john at mail.example dot com", "email", "john at mail.example dot com"), ("f\u0130ve john (at) x.com", "email", "john (at) x.com")])
+def test_disguises_need_no_neighbours(text, kind, span):
+    assert (kind, span) in [(k, text[s:e]) for k, s, e in pii.find_spans(text)[1]]
+
+
+def test_find_spans_as_without_a_gate(dice):
+    words = ["plus", "at", "dot", "Punkt", "one", "TWO", "zwei", "fünf", "double", "oh", "más", "a", "bob", "x.com", "4111", "1111", "49", "0", "é", "\u0130", "\u200b", "(", ")", "[", "]", "@", ".", "+", "<", ">", "plusone", "at1",
+             "plus 49 30 1234567", "4111 1111 1111 one one one 1", "one.two.three.four", "bob (at) x", "bob_at_x", "com", "bob at x.y dot z"]
+    changed = 0
+    for _ in range(20_000):
+        t = "".join(dice.choice(words) + dice.choice(["", " ", " ", "_", "-", ".", ",", ":", "  "]) for _ in range(dice.randrange(1, 9)))
+        folded = t.translate(pii.FOLD)
+        text, tape = pii.rewrite(folded)
+        base, full = plain(t), set(plain(t))
+        for k, s, e in pii.plain_spans(text):
+            a, b, _ = tape.back(s, e)
+            if all(a <= x and y <= b and (x, y) != (a, b) for kind, x, y in base if kind == k and x < b and a < y):
+                full.add((k, a, b))
+        changed += len(full) > len(base)
+        assert pii.may_change(folded) or text == folded, t
+        assert pii.find_spans(t) == (base, sorted(full, key=lambda x: (pii.KINDS.index(x[0]), *x[1:]))), t
+    assert changed > 20
+
+
+def test_long_runs_of_blanks():
+    assert pii.find_spans("one" + " " * 200_000 + "x")[1] == []
+
+
 def test_scan_documents(spark, odd_docs, no_docs):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     text = {r.doc_id: r.text for r in docs.collect()}
