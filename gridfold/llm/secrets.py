@@ -1,6 +1,8 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
-A candidate is a long run of token characters.  Its features are its length, its character
+A candidate is a long run of token characters, or a shorter one that an announcing word assigns.
+"=" and leading "-" stay outside, but for base64 padding at the end, so that of "name=value" the
+value is the candidate and the name stands before it.  Its features are its length, its character
 transitions, how much of it common words cover, and its path and neighbouring words.  The forest
 is trained on labelled findings and turned into one column expression, so that scanning is a
 projection of the document table: no join, no shuffle, DataFrame functions only.
@@ -14,8 +16,6 @@ from pyspark.sql import functions as F
 
 from gridfold.session import cut, pin
 
-TOKEN = r"A-Za-z0-9+/_=\-"
-CANDIDATE = rf"(?<![{TOKEN}])[A-Za-z0-9+/_][{TOKEN}]{{15,}}"
 BEFORE, AFTER = 48, 16
 SAMPLE = 4000        # findings of each kind the forest is trained on, at most
 DRAWN, LENDING = 20_000, 1_000  # documents that findings are drawn from, about, and that lend neighbours to made strings
@@ -23,6 +23,12 @@ DICTIONARY = 300     # common words that count as a dictionary
 # Words that announce a secret, and words that announce a harmless long string.
 SECRET_WORDS = "token|secret|passwd|password|pwd|api_?key|apikey|access_?key|private_?key|auth|bearer|credential"
 HARMLESS_WORDS = "commit|sha1|sha256|md5|checksum|digest|etag|uuid|integrity|revision|hash"
+FIRST = "A-Za-z0-9+/_"
+PAD = rf"(?:={{1,2}}(?![{FIRST}=\-]))?"
+LONG, SHORT = rf"[{FIRST}][{FIRST}\-]{{15,}}+{PAD}", rf"[{FIRST}][{FIRST}\-]{{5,14}}+{PAD}"
+ASSIGNED = rf"(?<=[=:>]\s{{0,3}}[\"']?)(?<=(?i:{SECRET_WORDS})[\"']?\s{{0,3}}[=:]{{1,2}}>?\s{{0,3}}[\"']?)"  # the first part is only there to be quick
+CANDIDATE = rf"(?<![{FIRST}])(?:{LONG}|(?=[{FIRST}]){ASSIGNED}{SHORT})"
+ANNOUNCED = rf"(?i)(?:{SECRET_WORDS})\W{{0,6}}$"
 FEATURES = ("length", "digits", "upper", "lower", "symbols", "kinds", "case_steps", "vowels", "variety", "hex", "dictionary", "path", "secret_word", "harmless_word", "assigned", "quoted")
 
 
@@ -40,14 +46,16 @@ def findings(df: DataFrame, out: str) -> DataFrame:
     pieces = F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("found"), F.split(text, CANDIDATE).alias("gaps"))  # one gap more than candidates
     held = pin(df, **{out: pieces})
     found, gaps = F.col(out)["found"], F.col(out)["gaps"]
-    both = F.transform(found, lambda x, i: F.struct(x.alias("secret"), F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).alias("next")))
-    start = F.aggregate(both, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("starts")),
-                        lambda acc, x: F.struct((acc["at"] + F.length(x["gap"]) + F.length(x["secret"])).alias("at"),
-                                                F.concat(acc["starts"], F.array(acc["at"] + F.length(x["gap"]))).alias("starts")))["starts"]
-    zipped = F.transform(F.arrays_zip(both.alias("b"), start.alias("s")), lambda x: F.struct(
-        x["b"]["secret"].alias("secret"), x["s"].alias("start"),
-        F.substring(x["b"]["gap"], F.greatest(F.lit(1), F.length(x["b"]["gap"]) - BEFORE + 1), F.lit(BEFORE)).alias("before"),
-        F.substring(x["b"]["next"], F.lit(1), F.lit(AFTER)).alias("after")))
+    first = lambda c: F.coalesce(F.left(c, F.lit(AFTER)), F.lit(""))
+    both = F.transform(found, lambda x, i: F.struct(x.alias("secret"), F.get(gaps, i).alias("gap"),
+        F.left(F.concat(*[first(c) for k in (1, 2, 3) for c in (F.get(gaps, i + k), F.get(found, i + k))]), F.lit(AFTER)).alias("after")))  # no two candidates touch: three more reach far enough
+    before = lambda acc, x: F.right(F.concat(acc["tail"], F.right(x["gap"], F.lit(BEFORE))), F.lit(BEFORE))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<start:bigint,before:string>>").alias("seen"))
+    seen = F.aggregate(both, zero, lambda acc, x: F.struct(
+        (acc["at"] + F.length(x["gap"]) + F.length(x["secret"])).alias("at"), F.right(F.concat(before(acc, x), x["secret"]), F.lit(BEFORE)).alias("tail"),
+        F.concat(acc["seen"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), before(acc, x).alias("before")))).alias("seen")))["seen"]
+    zipped = F.transform(F.arrays_zip(both.alias("b"), seen.alias("s")), lambda x: F.struct(
+        x["b"]["secret"].alias("secret"), x["s"]["start"].alias("start"), x["s"]["before"].alias("before"), x["b"]["after"].alias("after")))
     return held.withColumn(out, zipped)
 
 
@@ -57,13 +65,14 @@ def describe(secret: Column, before: Column, after: Column, words: list[str]) ->
     share = lambda pattern: F.regexp_count(secret, F.lit(pattern)) / n
     covered = F.length(F.regexp_replace(F.lower(secret), "|".join(words), "")) if words else n
     yes = lambda c: c.cast("double")
+    announced, assigned = before.rlike(ANNOUNCED), before.rlike(r"[=:]>?\s*[\"']?$")
     out = [n, share("[0-9]"), share("[A-Z]"), share("[a-z]"), share(r"[+/_=\-]"),
            share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"), share("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
            share("(?i)[aeiou]"), F.size(F.array_distinct(F.split(secret, ""))) / n,
            yes(secret.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), 1 - covered / n,
-           yes(before.rlike(r"(?:://|[\\/.~])\S*$") | after.rlike(r"^\.[a-z]{2,4}\b") | (F.regexp_count(secret, F.lit("/")) >= 3)),
-           yes(before.rlike(rf"(?i)(?:{SECRET_WORDS})\W{{0,6}}$")), yes(before.rlike(rf"(?i)(?:{HARMLESS_WORDS})\W{{0,6}}$")),
-           yes(before.rlike(r"[=:]\s*[\"']?$")), yes(before.rlike(r"[\"']$") & after.rlike(r"^[\"']"))]
+           yes(before.rlike(r"(?:://|[\\/.~])\S*$") & ~(announced & assigned) | after.rlike(r"^\.[a-z]{2,4}\b") | (F.regexp_count(secret, F.lit("/")) >= 3)),
+           yes(announced), yes(before.rlike(rf"(?i)(?:{HARMLESS_WORDS})\W{{0,6}}$")),
+           yes(assigned), yes(before.rlike(r"[\"']$") & after.rlike(r"^[\"']"))]
     return [F.coalesce(c.cast("double"), F.lit(0.0)) for c in out]
 
 
@@ -73,7 +82,7 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     A string with digits that an announcing word assigns is a secret; one without digits, of digits only, in a
     path, or announced as a harmless sum, is none.  So that the string counts and not only its
     neighbours, each document also lends its neighbours to random keys drawn from hashes
-    (secrets) and to its own words run together or a plain number (none).  All come from a
+    (secrets) and to its own words run together or a plain number (none); the same with short strings that are announced and assigned.  All come from a
     sample of DRAWN documents by a hash of id and text; each kind is bounded by ``sample``.
     """
     n = max(1, docs.count())
@@ -82,8 +91,8 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     base = cut(docs.where(F.col("text").isNotNull() & (draw <= bar(DRAWN))).select("text", draw.alias("_d")))
     lenders = base.where(F.col("_d") <= bar(LENDING))
     rows = findings(base, "f").select("_d", F.explode("f").alias("f")).select("_d", "f.secret", "f.before", "f.after")
-    digit, announced = F.col("secret").rlike("[0-9]"), F.col("before").rlike(rf"(?i)(?:{SECRET_WORDS})\W{{0,6}}$")
-    harmless = ~F.col("secret").rlike("[0-9]") | F.col("secret").rlike("^[0-9]+$") | F.col("before").rlike(rf"(?i)(?:://\S*|(?:{HARMLESS_WORDS})\W{{0,6}})$")
+    digit, announced = F.col("secret").rlike("[0-9]"), F.col("before").rlike(ANNOUNCED)
+    harmless = ~F.col("secret").rlike("[0-9]") | F.col("secret").rlike("^[0-9]+$") | F.col("before").rlike(rf"(?i)(?:://\S*|(?:{HARMLESS_WORDS})\W{{0,6}})$") & ~(announced & F.col("before").rlike(r"=[\"']?$"))
     real = rows.withColumn("label", F.when(digit & announced & ~harmless, 1.0).when(harmless & ~announced, 0.0)).where("label is not null")
     plain = F.split(F.regexp_replace("text", r"[^A-Za-z ]+", " "), " +")
     near = F.concat_ws(" ", F.slice(plain, 1, 3))
@@ -93,9 +102,14 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                      F.concat(F.array_join(F.slice(plain, 2, 3), "-"), F.lit("-2024")), F.array_join(F.slice(plain, 1, 4), "/"), F.abs("_d").cast("string"))
     lend = lambda strings, label, told: lenders.select("_d", F.explode(strings).alias("secret"), F.concat(near, told).alias("before"), F.lit(" ").alias("after"), F.lit(label).alias("label"))
     made = lend(drawn, 1.0, F.when(F.col("_d") % 3 == 0, F.lit(" key = ")).otherwise(F.lit(" "))).unionByName(lend(joined, 0.0, F.when(F.col("_d") % 3 == 0, F.lit(" token = ")).otherwise(F.lit(" "))))
-    made = made.where(F.col("secret").rlike(rf"^{CANDIDATE}$"))
+    made = made.where(F.col("secret").rlike(rf"^{LONG}$"))
+    told = F.element_at(F.array(*map(F.lit, (" password = ", " token: ", " --secret=", "\nAPI_KEY=", " https://example.com/v1?token="))), F.pmod(F.col("_d"), F.lit(5)).cast("int") + 1)
+    brief = F.array(F.substring(sha, 1, 12), F.substring(F.regexp_replace(F.base64(F.unhex(sha)), "[^A-Za-z0-9]", ""), 1, 12), F.concat(F.lower(F.get(plain, F.lit(1))), F.regexp_replace(F.substring(sha, 1, 4), "[a-f]", "7")))
+    brief = F.filter(brief, lambda x: x.rlike("[0-9]"))
+    words_only = F.filter(F.slice(plain, 2, 3), lambda x: F.length(x) >= 6)
+    made_brief = lend(brief, 1.0, told).unionByName(lend(words_only, 0.0, told)).where(F.col("secret").rlike(rf"^{SHORT}$"))
     few = lambda d: d.orderBy("_d", "secret").limit(sample)  # noqa: E731  a top-k of short strings
-    kinds = [real.where("label = 1.0"), real.where("label = 0.0"), made.where("label = 1.0"), made.where("label = 0.0")]
+    kinds = [d.where(f"label = {x}") for d in (real, made, made_brief) for x in (1.0, 0.0)]
     out = few(kinds[0])
     for k in kinds[1:]:
         out = out.unionByName(few(k))
