@@ -160,14 +160,19 @@ class Scanner:
         words = common_words(docs)
         return cls(train_forest(labelled if labelled is not None else labelled_findings(docs), words), words, threshold)
 
-    def find(self, df: DataFrame, out: str) -> DataFrame:
-        """Add ``out``: array of (secret, start, score)."""
+    def rate(self, df: DataFrame, out: str) -> DataFrame:
+        """Add ``out``: array of (secret, start, score) of all candidates; none without a forest."""
         if not self.forest:
             return df.withColumn(out, F.array().cast("array<struct<secret:string,start:bigint,score:double>>"))
         held = findings(df, out)
         seen = F.transform(out, lambda x: F.struct(x["secret"].alias("secret"), x["start"].alias("start"), F.array(*describe(x["secret"], x["before"], x["after"], self.words)).alias("v")))
         scored = F.transform(seen, lambda x: F.struct(x["secret"].alias("secret"), x["start"].alias("start"), F.round(forest_score(self.forest, x["v"]), 6).alias("score")))
-        return pin(held, _scored=F.filter(scored, lambda x: x["score"] >= self.threshold)).withColumn(out, F.col("_scored")).drop("_scored")
+        return pin(held, _scored=scored).withColumn(out, F.col("_scored")).drop("_scored")
+
+    def find(self, df: DataFrame, out: str) -> DataFrame:
+        """Add ``out``: array of (secret, start, score) of what passes the threshold."""
+        held = self.rate(df, "_rated")
+        return pin(held, _scored=F.filter("_rated", lambda x: x["score"] >= self.threshold)).withColumn(out, F.col("_scored")).drop("_scored", "_rated")
 
 
 def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
@@ -178,11 +183,14 @@ def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
 
 
 def redact(docs: DataFrame, scanner: Scanner, mark: str = "<secret>") -> DataFrame:
-    """The columns of ``docs`` with every secret in ``text`` replaced by ``mark`` (``n_chars``, if there, counted anew where any was)."""
+    """The columns of ``docs`` with every secret in ``text`` replaced where it stands by ``mark`` (``n_chars``, if there, counted anew where any was)."""
     inner = {c: f"c{i}" if c != "text" else c for i, c in enumerate(docs.columns)}  # no clash with the scan's columns
-    held = scanner.find(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()]), "_found")
-    clean = F.aggregate(F.array_distinct(F.transform("_found", lambda x: x["secret"])), F.col("text"), lambda t, x: F.replace(t, x, F.lit(mark)))
-    hit = F.size("_found") > 0
+    held = scanner.rate(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()]), "_found")
+    hit = F.exists("_found", lambda x: x["score"] >= scanner.threshold)
+    put = lambda x: F.when(x["score"] >= scanner.threshold, F.lit(mark)).otherwise(F.coalesce(x["secret"], F.lit("")))
+    clean = F.array_join(F.transform(F.split("text", CANDIDATE), lambda gap, i: F.concat(gap, put(F.get("_found", i)))), "")  # the gaps between the candidates, and those again
+    held = pin(held, _clean=F.when(hit, clean))
+    clean, hit = F.col("_clean"), F.col("_clean").isNotNull()
     out = {c: F.col(n) for c, n in inner.items()}
     out["text"] = F.when(hit, clean).otherwise(F.col("text"))
     if "n_chars" in out:

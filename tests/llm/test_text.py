@@ -235,3 +235,13 @@ def test_assigned_values_are_secrets(spark, scanner):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FORMS)] + [(99, "the password: everything else is harmless, token = document")], "doc_id long, text string")
     got = {(r.doc_id, r.secret, r.start) for r in secrets.scan(docs, scanner).collect()}
     assert got == {(i, s, t.index(s)) for i, (t, s) in enumerate(FORMS)}
+
+
+def test_redaction_cuts_where_secrets_stand(spark):
+    """A secret inside a longer one leaves no tail, and an equal string that the forest passes elsewhere stays."""
+    announced = secrets.FEATURES.index("secret_word")
+    only_announced = secrets.Scanner([(announced, 0.5, 0.0, 1.0)], [])
+    long = f"{SECRET}/{SECRET}"
+    docs = spark.createDataFrame([(1, f"é token = {SECRET} and token = {long} then {SECRET}, 😀 see {long}."), (2, f"see {SECRET}"), (3, f"token={SECRET}"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(docs, only_announced).collect()}
+    assert got == {1: f"é token = <secret> and token = <secret> then {SECRET}, 😀 see {long}.", 2: f"see {SECRET}", 3: "token=<secret>", 4: None}
