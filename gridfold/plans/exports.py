@@ -119,8 +119,14 @@ def score_table(spark, folder):
 
 @query("S7_site_manifests", "SELECT CAST(doc_id % 97 AS VARCHAR) site_id, count(*) files, count(*) > 1 AS duplicate FROM documents WHERE doc_id % 10 = 3 GROUP BY ALL")
 def site_manifests(spark, folder):
+    return manifests_of(spark, B.table(spark, folder, "documents").where("doc_id % 10 = 3"))  # as in the SQL
+
+
+def manifests_of(spark, docs):
+    """A manifest for each document, as lines below one folder a site (at most eight files each), and read back."""
     path = scratch(spark, "manifests")
-    B.table(spark, folder, "documents").where("doc_id % 10 = 3").selectExpr("doc_id", "to_json(named_struct('site_id', cast(doc_id % 97 as string), 'name', lang)) value").write.partitionBy("doc_id").text(path)
+    lines = docs.selectExpr("doc_id % 97 site", "pmod(doc_id, 8) part", "to_json(named_struct('site_id', cast(doc_id % 97 as string), 'name', lang, 'file', concat('manifest-', doc_id, '.json'))) value")
+    lines.repartition("site", "part").select("site", "value").write.partitionBy("site").text(path)
     m = D.site_manifests(spark, path)
     return m.select("site_id", "files", "duplicate").distinct()
 

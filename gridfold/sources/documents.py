@@ -56,8 +56,11 @@ def score_table(reports: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def site_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Discovered manifests with ``duplicate``: the site id occurs in several files."""
-    m = spark.read.option("recursiveFileLookup", "true").schema("site_id string, name string").json(path)
-    m = m.select("site_id", "name", F.col("_metadata.file_path").alias("file"))
+    """Discovered manifests with ``duplicate``: the site id occurs in several files.
+
+    A line may carry the name of its manifest in ``file``; without it the file that holds the line counts.
+    """
+    m = spark.read.option("recursiveFileLookup", "true").schema("site_id string, name string, file string").json(path)
+    m = m.select("site_id", "name", F.coalesce("file", F.col("_metadata.file_path")).alias("file"))
     dup = m.groupBy("site_id").agg(F.count("*").alias("files"))
     return m.join(dup, "site_id").withColumn("duplicate", F.col("files") > 1)

@@ -20,6 +20,15 @@ def con():
     return c
 
 
+def test_manifests_of_all_documents(spark, con, tmp_path, monkeypatch):
+    from gridfold.plans import exports
+    monkeypatch.setattr(exports, "scratch", lambda *_: str(tmp_path / "manifests"))
+    got = exports.manifests_of(spark, spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    want = con.sql("SELECT CAST(doc_id % 97 AS VARCHAR), count(*), count(*) > 1 FROM documents GROUP BY ALL").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert len(list((tmp_path / "manifests").glob("site=*"))) == len(want) <= 97 and len(list((tmp_path / "manifests").rglob("*.txt"))) <= 8 * 97
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     _, text, ok = compare(spark, FOLDER, name, QUERIES[name], ORACLES.get(name), con)
