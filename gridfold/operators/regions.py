@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridfold.operators.chains import line_vertices, ordered_lines
 from gridfold.operators.components import cell_components, graph_components
 from gridfold.session import cut
 
@@ -451,6 +452,21 @@ def boundary_edges(labels: DataFrame, keys: list[str], label: str = "label") ->
             .where("n = 2 and a <> b").drop("n"))
 
 
+def boundary_lines(labels: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
+    """Boundary of each touching pair as ordered lines: ``keys, a, b, first, second, pos, x, y, along, corner``.
+
+    Lines run between the points where a pair's boundary ends or meets itself, closed ones start at
+    their smallest point (by row, then column).  Vertices are cell corners in cell units;
+    those that are no ``corner`` lie straight between their neighbours.
+    """
+    code = lambda x, y: F.col(y).cast("long") * (1 << 31) + F.col(x)
+    pair = [*keys, "a", "b"]
+    edges = boundary_edges(labels, keys, label).select(*pair, code("x1", "y1").alias("u"), code("x2", "y2").alias("v"))
+    at = line_vertices(ordered_lines(edges, pair), pair)
+    straight = F.coalesce(F.col("node") - F.col("behind") == F.col("ahead") - F.col("node"), F.lit(False))
+    return at.select(*pair, "first", "second", "pos", F.expr("cast(node % 2147483648 as int)").alias("x"), F.shiftright("node", 31).cast("int").alias("y"), "along", (~straight).alias("corner"))
+
+
 def chroma(cells: DataFrame, r: str, g: str, b: str) -> DataFrame:
     """Brightness-free colour: channel / (sum + 3)."""
     s = F.col(r) + F.col(g) + F.col(b) + 3

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.functions import measures as M
-from gridfold.operators.components import cell_components, graph_components
+from gridfold.operators.chains import line_vertices, ordered_lines
+from gridfold.operators.components import cell_components
 from gridfold.operators.regions import TILE, _schema, with_halo
 from gridfold.session import cut
 
@@ -79,18 +80,32 @@ def graph_diagnostics(cells: DataFrame, keys: list[str], tile: int = TILE) -> Da
 
 
 def centrelines(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Edges tagged by centreline: chains between pixels of degree other than 2, and cycles.
-
-    Two edges belong to one chain when they share a pixel of degree 2, so chains are the
-    components of that relation.  Output: edge columns plus ``chain``.
-    """
-    edges = cut(skeleton_edges(cells, keys))
-    edges = cut(edges.withColumn("edge", F.xxhash64("u", "v")))
-    through = degrees(cells, edges, keys).where("degree = 2").select(*keys, "node")
-    ends = edges.select(*keys, "edge", F.explode(F.array("u", "v")).alias("node")).join(through, [*keys, "node"])
-    links = ends.groupBy(*keys, "node").agg(F.min("edge").alias("u"), F.max("edge").alias("v"))
-    chains = graph_components(links.select(*keys, "u", "v"), keys).withColumnRenamed("node", "edge")
-    return edges.join(chains, [*keys, "edge"], "left").withColumn("chain", F.coalesce("root", "edge")).drop("root")
+    """Ordered centrelines of a skeleton, from ``chains.ordered_lines``: chains between pixels of degree
+    other than 2, and cycles cut at their smallest pixel.  Lengths are in cells."""
+    edges = skeleton_edges(cells, keys).withColumnRenamed("length", "_size").select(*keys, "u", "v", "_size")
+    return ordered_lines(edges, keys, "_size")
+
+
+def centreline_vertices(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, first, second, pos, row, col, along``: the pixels of each centreline in order."""
+    at = line_vertices(lines, keys)
+    return at.select(*keys, "first", "second", "pos", F.shiftright("node", 31).cast("int").alias("row"), F.expr("cast(node % 2147483648 as int)").alias("col"), "along")
+
+
+def centreline_scores(reference: DataFrame, prediction: DataFrame, keys: list[str], tol: float, step: float, tile: int = TILE) -> DataFrame:
+    """Two road masks compared by their centrelines: ``keys, precision, recall, reference_components,
+    prediction_components`` (shares of line length within ``tol`` of the other's lines; null
+    where a side has no line; components are 8-connected skeleton parts)."""
+    def of(mask):
+        cells = skeleton(mask, keys, tile)
+        lines = cut(skeleton_edges(cells, keys).select(*keys, *[F.col(a).cast("double").alias(b) for a, b in (("col", "x1"), ("row", "y1"), ("col2", "x2"), ("row2", "y2"))]))
+        parts = cell_components(cells, keys, tile, eight=True).groupBy(*keys).agg(F.count_distinct("component").alias("parts"))
+        return lines, parts
+    (ref, ref_parts), (pred, pred_parts) = of(reference), of(prediction)
+    share = lambda a, b, name: line_coverage(a, b, keys, tol, step).select(*keys, F.try_divide("covered", "total").alias(name))
+    out = ref_parts.withColumnRenamed("parts", "reference_components").join(pred_parts.withColumnRenamed("parts", "prediction_components"), keys, "full")
+    out = out.na.fill(0, ["reference_components", "prediction_components"])
+    return out.join(share(pred, ref, "precision"), keys, "left").join(share(ref, pred, "recall"), keys, "left")
 
 
 def line_coverage(a: DataFrame, b: DataFrame, keys: list[str], tol: float, step: float) -> DataFrame:

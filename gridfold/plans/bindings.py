@@ -150,6 +150,44 @@ e AS (SELECT a.site_id, a.r*64+a.c u, b.r*64+b.c v FROM m a JOIN m b ON a.site_i
   AND ((a.r = b.r AND abs(a.c-b.c) = 1) OR (a.c = b.c AND abs(a.r-b.r) = 1))),
 reach AS (SELECT site_id, r*64+c u, r*64+c v FROM m UNION SELECT k.site_id, k.u, e.v FROM reach k JOIN e ON e.site_id = k.site_id AND e.u = k.v),
 comp AS (SELECT site_id, u // 64 r, u % 64 c, min(v) component FROM reach GROUP BY site_id, u)"""
+
+
+def walks(edges: str, keys: str, to: str = "") -> str:
+    """CTEs that follow the edge table ``edges`` (keys, u, v, l) edge by edge: ``walked`` holds every line with its
+    vertices (keys, first, second, pos, node, along, behind, ahead), one direction each."""
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+    k, hk, wk = keys, ", ".join(f"h.{x}" for x in keys.split(", ")), ", ".join(f"w.{x}" for x in keys.split(", "))
+    return f""", hf{to} AS (SELECT {k}, u, v, l FROM {edges} UNION ALL SELECT {k}, v, u, l FROM {edges}), dn{to} AS (SELECT {k}, u node, count(*) d FROM hf{to} GROUP BY ALL),
+ hd{to} AS (SELECT {hk}, u, v, l, a.d du, b.d dv FROM hf{to} h JOIN dn{to} a ON {on("a", "h")} AND a.node = h.u JOIN dn{to} b ON {on("b", "h")} AND b.node = h.v),
+ wp{to} AS (SELECT {hk}, u f, v s, u, v, CAST(0 AS BIGINT) pos, CAST(0 AS DOUBLE) before, l, dv FROM hd{to} h WHERE du <> 2
+   UNION ALL SELECT {wk}, f, s, h.u, h.v, pos + 1, before + w.l, h.l, h.dv FROM wp{to} w JOIN hd{to} h ON {on("h", "w")} AND h.u = w.v AND h.v <> w.u WHERE w.dv = 2),
+ wc{to} AS (SELECT {hk}, h.u f, h.v s, h.u, h.v, CAST(0 AS BIGINT) pos, CAST(0 AS DOUBLE) before, h.l FROM hd{to} h LEFT JOIN wp{to} w ON {on("w", "h")} AND w.u = h.u AND w.v = h.v WHERE w.f IS NULL
+   UNION ALL SELECT {wk}, f, s, h.u, h.v, pos + 1, before + w.l, h.l FROM wc{to} w JOIN hd{to} h ON {on("h", "w")} AND h.u = w.v AND h.v <> w.u WHERE w.v > f),
+ wl{to} AS (SELECT {k}, f, s, u, v, pos, before, l FROM wp{to} UNION ALL SELECT {k}, f, s, u, v, pos, before, l FROM wc{to} QUALIFY bool_or(v = f) OVER (PARTITION BY {k}, f, s)),
+ wo{to} AS (SELECT *, max_by(u, pos) OVER w lu, max_by(v, pos) OVER w lv, max(pos) OVER w + 1 edges FROM wl{to} WINDOW w AS (PARTITION BY {k}, f, s)),
+ walked{to} AS (SELECT {k}, f AS first, s AS second, pos + 1 AS pos, v AS node, before + l AS along, u AS behind, lead(v) OVER (PARTITION BY {k}, f, s ORDER BY pos) AS ahead FROM wo{to} WHERE f < lv OR f = lv AND s <= lu
+   UNION ALL SELECT {k}, f, s, 0, f, CAST(0 AS DOUBLE), NULL, s FROM wo{to} WHERE pos = 0 AND (f < lv OR f = lv AND s <= lu))"""
+
+
+def thinned(mask: str, to: str = "") -> str:
+    """CTEs of the published two-subiteration thinning of ``mask`` (site_id, r, c): ``thin`` holds what stays."""
+    near = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]  # clockwise from north
+    code = " + ".join(f"CASE WHEN b.r = a.r + {dr} AND b.c = a.c + {dc} THEN {1 << i} ELSE 0 END" for i, (dr, dc) in enumerate(near))
+    return f""", tp{to} AS (SELECT site_id, r, c, 0 k, false gone, true active FROM {mask}
+   UNION ALL SELECT site_id, r, c, k + 1, CASE WHEN k % 2 = 0 THEN dels > 0 ELSE false END, CASE WHEN k % 2 = 0 THEN true ELSE gone OR dels > 0 END
+   FROM (SELECT *, count(*) FILTER (del) OVER (PARTITION BY site_id) dels FROM (SELECT *, bit_count(w) BETWEEN 2 AND 6 AND bit_count((~w & 255) & ((w >> 1) | ((w & 1) << 7))) = 1
+       AND CASE WHEN k % 2 = 0 THEN w & 21 <> 21 AND w & 84 <> 84 ELSE w & 69 <> 69 AND w & 81 <> 81 END del
+     FROM (SELECT a.site_id, a.r, a.c, a.k, a.gone, CAST(sum({code}) AS INTEGER) w
+           FROM (SELECT * FROM tp{to} WHERE active) a JOIN tp{to} b ON b.site_id = a.site_id AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 GROUP BY ALL))) WHERE NOT del),
+ thin{to} AS (SELECT site_id, r, c FROM tp{to} WHERE NOT active)"""
+
+
+def touching(cells: str, to: str = "") -> str:
+    """CTE of 8-neighbour edges ``ed`` (site_id, u, v, l, r, c, r2, c2) of a cell table."""
+    return f""", ed{to} AS (SELECT a.site_id, a.r*2147483648+a.c u, b.r*2147483648+b.c v, sqrt(abs(a.r-b.r)+abs(a.c-b.c)) l, a.r, a.c, b.r r2, b.c c2
+   FROM {cells} a JOIN {cells} b ON a.site_id=b.site_id AND ((b.r=a.r AND b.c=a.c+1) OR (b.r=a.r+1 AND b.c BETWEEN a.c-1 AND a.c+1)))"""
+
+
 EVENTS = """
 ev AS (SELECT user_id site_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) revision, event_id, ts,
   event_id % 20 feature, CASE event_type WHEN 'signup' THEN 'draw' WHEN 'view' THEN 'accept' WHEN 'click' THEN 'reject'

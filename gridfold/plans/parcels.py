@@ -25,10 +25,13 @@ THIN = B.RASTER + """, m AS (SELECT site_id, r, c FROM raster WHERE total >= 34
  dg AS (SELECT m.site_id, r*2147483648+c node, count(q.node) degree FROM m LEFT JOIN (SELECT site_id, u node FROM e UNION ALL SELECT site_id, v FROM e) q ON q.site_id=m.site_id AND q.node=m.r*2147483648+m.c GROUP BY ALL)"""
 
 
-@query("R15_skeleton")
+ROADS = B.RASTER + ", rm AS (SELECT site_id, r, c FROM raster WHERE total >= 20 * n)" + B.thinned("rm")
+
+
+@query("R15_skeleton", B.with_ctes(ROADS, 'SELECT site_id, r "row", c col FROM thin', True))
 def skeleton(spark, folder):
-    """Thinned road surface per site (brute-force twin in tests)."""
-    return D.skeleton(B.mask(spark, folder, 20), K, 32).groupBy("site_id").agg(F.count("*").alias("cells"))
+    """Thinned road surface per site."""
+    return D.skeleton(B.mask(spark, folder, 20), K, 32)
 
 
 @query("R16_skeleton_graph", B.with_ctes(THIN + """, u2 AS (SELECT site_id, u, v FROM e UNION ALL SELECT site_id, v, u FROM e), rc AS (SELECT site_id, r*2147483648+c u, r*2147483648+c v FROM m UNION SELECT k.site_id, k.u, u2.v FROM rc k JOIN u2 ON u2.site_id=k.site_id AND u2.u=k.v)""",
@@ -37,27 +40,34 @@ def skeleton_graph(spark, folder):
     return D.graph_diagnostics(thin(spark, folder), K, 16)
 
 
-@query("R17_centrelines", B.with_ctes(THIN + """, en AS (SELECT site_id, u || '_' || v k, u node FROM e UNION ALL SELECT site_id, u || '_' || v, v FROM e),
- lk AS (SELECT a.site_id, a.k u, b.k v FROM en a JOIN en b ON a.site_id=b.site_id AND a.node=b.node AND a.k<>b.k JOIN dg ON dg.site_id=a.site_id AND dg.node=a.node WHERE degree=2),
- rc AS (SELECT site_id, u || '_' || v u, u || '_' || v v FROM e UNION SELECT q.site_id, q.u, lk.v FROM rc q JOIN lk ON lk.site_id=q.site_id AND lk.u=q.v),
- ch AS (SELECT site_id, u, min(v) g FROM rc GROUP BY ALL)""", "SELECT e.site_id, count(DISTINCT g) chains, round(sum(l), 4) length FROM e JOIN ch ON ch.site_id=e.site_id AND ch.u = e.u || '_' || e.v GROUP BY e.site_id", True))
+@query("R17_centrelines", B.with_ctes(ROADS + B.touching("thin") + B.walks("ed", "site_id"), """SELECT site_id, first, second, pos, node // 2147483648 "row", node % 2147483648 col, round(along, 6) along FROM walked""", True))
 def centrelines(spark, folder):
-    return D.centrelines(thin(spark, folder), K).groupBy("site_id").agg(F.count_distinct("chain").alias("chains"), F.round(F.sum("length"), 4).alias("length"))
+    """Ordered pixels of the centrelines of the thinned roads (R15)."""
+    out = D.centreline_vertices(D.centrelines(D.skeleton(B.mask(spark, folder, 20), K, 32), K), K)
+    return out.withColumn("along", F.round("along", 6))
+
+
+def _covered(a: str, b: str, out: str) -> str:
+    return f"""{out} AS (SELECT a.site_id, a.u, a.v, a.l, bool_or((a.x-(b.c+t*(b.c2-b.c)))**2 + (a.y-(b.r+t*(b.r2-b.r)))**2 <= 1.0 + 1e-9) ok FROM {a} a JOIN {b} b ON a.site_id=b.site_id AND b.c BETWEEN a.c - 3 AND a.c + 3 AND b.r BETWEEN a.r - 3 AND a.r + 3,
+   LATERAL (SELECT greatest(0, least(1, ((a.x-b.c)*(b.c2-b.c)+(a.y-b.r)*(b.r2-b.r))/((b.c2-b.c)**2+(b.r2-b.r)**2))) t) GROUP BY ALL)"""
+
+
+def _parts(edges: str, cells: str, out: str) -> str:
+    return f"""{out}2 AS (SELECT site_id, u, v FROM {edges} UNION ALL SELECT site_id, v, u FROM {edges}), {out}r AS (SELECT site_id, r*2147483648+c u, r*2147483648+c v FROM {cells} UNION SELECT k.site_id, k.u, e.v FROM {out}r k JOIN {out}2 e ON e.site_id=k.site_id AND e.u=k.v),
+ {out} AS (SELECT site_id, count(DISTINCT g) parts FROM (SELECT site_id, u, min(v) g FROM {out}r GROUP BY ALL) GROUP BY ALL)"""
+
+
+SCORED = ROADS + ", pm AS (SELECT site_id, r, c FROM raster WHERE total >= 24 * n)" + B.thinned("pm", "p") + B.touching("thin") + B.touching("thinp", "p") + """,
+ q AS (SELECT *, (r+r2)/2.0 y, (c+c2)/2.0 x FROM ed), p AS (SELECT *, (r+r2)/2.0 y, (c+c2)/2.0 x FROM edp), """ + ", ".join([_covered("p", "q", "pc"), _covered("q", "p", "qc"), _parts("ed", "thin", "nr"), _parts("edp", "thinp", "np")])
 
 
-@query("R18_centreline_scores", B.with_ctes(THIN + """, p AS (SELECT a.site_id, a.r, a.c, b.r r2, b.c c2, sqrt(abs(a.r-b.r)+abs(a.c-b.c)) l, (a.r+b.r)/2.0 y, (a.c+b.c)/2.0 x FROM raster a JOIN raster b ON a.site_id=b.site_id AND a.total>=36*a.n AND b.total>=36*b.n AND a.total>=a.n AND ((b.r=a.r AND b.c=a.c+1) OR (b.r=a.r+1 AND b.c BETWEEN a.c-1 AND a.c+1)) WHERE a.total%5<>0 AND b.total%5<>0),
- q AS (SELECT site_id, (r+r2)/2.0 y, (c+c2)/2.0 x, l, r, c, r2, c2 FROM e),
- pc AS (SELECT p.site_id, p.r, p.c, p.r2, p.c2, p.l, bool_or((p.x-(q.c+t*(q.c2-q.c)))**2 + (p.y-(q.r+t*(q.r2-q.r)))**2 <= 1.0 + 1e-9) ok FROM p JOIN (SELECT * FROM q) q ON p.site_id=q.site_id AND abs(p.x-q.x) <= 2 AND abs(p.y-q.y) <= 2, LATERAL (SELECT greatest(0, least(1, ((p.x-q.c)*(q.c2-q.c)+(p.y-q.r)*(q.r2-q.r))/((q.c2-q.c)**2+(q.r2-q.r)**2))) t) GROUP BY ALL),
- qc AS (SELECT q.site_id, q.r, q.c, q.r2, q.c2, q.l, bool_or((q.x-(p.c+t*(p.c2-p.c)))**2 + (q.y-(p.r+t*(p.r2-p.r)))**2 <= 1.0 + 1e-9) ok FROM q JOIN p ON p.site_id=q.site_id AND abs(p.x-q.x) <= 2 AND abs(p.y-q.y) <= 2, LATERAL (SELECT greatest(0, least(1, ((q.x-p.c)*(p.c2-p.c)+(q.y-p.r)*(p.r2-p.r))/((p.c2-p.c)**2+(p.r2-p.r)**2))) t) GROUP BY ALL)
- SELECT a.site_id, round(pk/pl, 6) precision_, round(rk/rl, 6) recall FROM (SELECT site_id, sum(l) pl FROM p GROUP BY ALL) a JOIN (SELECT site_id, sum(CASE WHEN ok THEN l ELSE 0 END) pk FROM pc GROUP BY ALL) b USING (site_id) JOIN (SELECT site_id, sum(l) rl FROM q GROUP BY ALL) c USING (site_id) JOIN (SELECT site_id, sum(CASE WHEN ok THEN l ELSE 0 END) rk FROM qc GROUP BY ALL) d USING (site_id)"""))
+@query("R18_centreline_scores", B.with_ctes(SCORED, """SELECT nr.site_id, nr.parts reference_components, np.parts prediction_components, round(pk/pl, 6) "precision", round(rk/rl, 6) recall FROM nr JOIN np USING (site_id)
+   JOIN (SELECT site_id, sum(l) pl FROM p GROUP BY ALL) a USING (site_id) JOIN (SELECT site_id, coalesce(sum(l) FILTER (ok), 0) pk FROM pc GROUP BY ALL) b USING (site_id)
+   JOIN (SELECT site_id, sum(l) rl FROM q GROUP BY ALL) c USING (site_id) JOIN (SELECT site_id, coalesce(sum(l) FILTER (ok), 0) rk FROM qc GROUP BY ALL) d USING (site_id)""", True))
 def centreline_scores(spark, folder):
-    def lines(cells):
-        return D.skeleton_edges(cells, K).selectExpr("site_id", "cast(col as double) x1", "cast(row as double) y1", "cast(col2 as double) x2", "cast(row2 as double) y2")
-    ref = cut(lines(thin(spark, folder)))
-    pred = cut(lines(B.raster(spark, folder).where("total >= 36 * n and total % 5 <> 0").select("site_id", "row", "col")))
-    p, r = D.line_coverage(pred, ref, K, 1.0, 2.0), D.line_coverage(ref, pred, K, 1.0, 2.0)
-    ratio = lambda n: F.round(F.try_divide("covered", "total"), 6).alias(n)
-    return p.select("site_id", ratio("precision_")).join(r.select("site_id", ratio("recall")), "site_id")
+    """Thinned roads (R15) of a stricter mask against those of the reference mask."""
+    out = D.centreline_scores(B.mask(spark, folder, 20), B.mask(spark, folder, 24), K, 1.0, 2.0, 32)
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
 
 
 def lines(spark, folder):

@@ -255,11 +255,13 @@ def polygons(spark, folder):
     return out.select("site_id", F.col("label").alias("component"), F.round("a", 6).alias("area_m2"), F.round("p", 6).alias("perimeter_m"))
 
 
-@query("R13_boundary_lines", B.with_ctes(BLOCKS, """SELECT a.site_id, least(a.l,b.l) a, greatest(a.l,b.l) b, count(*) edges, CAST(sum(CASE WHEN a.r=b.r THEN 2*a.c+2 ELSE 2*a.c+1 END) AS BIGINT) sx, CAST(sum(CASE WHEN a.r=b.r THEN 2*a.r+1 ELSE 2*a.r+2 END) AS BIGINT) sy
-  FROM bl a JOIN bl b ON a.site_id=b.site_id AND a.l <> b.l AND ((b.r=a.r AND b.c=a.c+1) OR (b.r=a.r+1 AND b.c=a.c)) GROUP BY ALL"""))
+EDGE_LINES = BLOCKS + """, be AS (SELECT a.site_id, least(a.l,b.l) a, greatest(a.l,b.l) b, CASE WHEN a.r=b.r THEN a.r ELSE b.r END * 2147483648 + CASE WHEN a.r=b.r THEN b.c ELSE a.c END u,
+   (a.r + 1) * 2147483648 + a.c + 1 v, 1.0 l FROM bl a JOIN bl b ON a.site_id=b.site_id AND a.l <> b.l AND ((b.r=a.r AND b.c=a.c+1) OR (b.r=a.r+1 AND b.c=a.c)))""" + B.walks("be", "site_id, a, b")
+
+
+@query("R13_boundary_lines", B.with_ctes(EDGE_LINES, """SELECT site_id, a, b, first, second, pos, node % 2147483648 x, node // 2147483648 y, along, coalesce(node - behind <> ahead - node, true) corner FROM walked""", True))
 def boundary_lines(spark, folder):
-    e = G.boundary_edges(blocks(spark, folder), K)
-    return e.groupBy("site_id", "a", "b").agg(F.count("*").alias("edges"), F.sum(F.col("x1") + F.col("x2")).cast("long").alias("sx"), F.sum(F.col("y1") + F.col("y2")).cast("long").alias("sy"))
+    return G.boundary_lines(blocks(spark, folder), K)
 
 
 ZONES = B.FP + ", " + B.RASTER + ", zn AS (SELECT feature_id zone, ok // 3750 site_id, x0 % 52 zx, y0 % 52 zy, w, h FROM fp), zc AS (SELECT zone, site_id, zy+dy r, zx+dx c FROM zn, range(w) a(dx), range(h) b(dy))"

@@ -182,7 +182,7 @@ def test_straight_road(spark):
     line = D.skeleton_edges(sk, ["site_id"]).selectExpr("site_id", "cast(col as double) x1", "cast(row as double) y1", "cast(col2 as double) x2", "cast(row2 as double) y2")
     r = D.line_coverage(line, line, ["site_id"], 1.0, 0.5).first()
     assert r.covered == pytest.approx(r.total)
-    assert D.centrelines(sk, ["site_id"]).select("chain").distinct().count() == 1
+    assert D.centrelines(sk, ["site_id"]).select("first", "second").distinct().count() == 1
 
 
 def test_parcel_faces_and_loose_line(spark):
