@@ -11,20 +11,59 @@ from gridfold.session import cut
 TILE = 128
 
 
-def graph_components(edges: DataFrame, keys: list[str]) -> DataFrame:
+FIT = 1_000_000  # edges that one task finishes
+
+
+def _finish(graph: DataFrame, keys: list[str]) -> DataFrame:
+    """Components of at most FIT edges in one task: smallest labels are hooked and pointers flattened in arrays."""
+    schema = "".join(f"{k} {graph.schema[k].dataType.simpleString()}, " for k in keys) + "node long, root long"
+
+    def label(batches):
+        parts = list(batches)
+        if not parts:
+            return
+        pdf = pd.concat(parts, ignore_index=True)
+        group = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), np.int64)
+        ends = pd.DataFrame({"g": np.tile(group, 2), "node": np.concatenate([pdf["u"].to_numpy(np.int64), pdf["v"].to_numpy(np.int64)])})
+        nodes = ends.drop_duplicates().sort_values(["g", "node"], ignore_index=True)
+        place = ends.merge(nodes.assign(i=np.arange(len(nodes))), on=["g", "node"], how="left")["i"].to_numpy()
+        lab = flatten(np.arange(len(nodes)), place[:len(pdf)], place[len(pdf):])
+        first = pdf[keys].iloc[np.unique(group, return_index=True)[1]].reset_index(drop=True)
+        yield first.iloc[nodes["g"]].reset_index(drop=True).assign(node=nodes["node"].to_numpy(), root=nodes["node"].to_numpy()[lab])
+
+    return cut(graph.coalesce(1).mapInPandas(label, schema))
+
+
+def flatten(lab: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Smallest index of each connected set of indices linked by (u, v)."""
+    while True:
+        low = np.minimum(lab[u], lab[v])
+        old = lab.copy()
+        np.minimum.at(lab, lab[u], low)
+        np.minimum.at(lab, lab[v], low)
+        while True:
+            flat = lab[lab]
+            if np.array_equal(flat, lab):
+                break
+            lab = flat
+        if np.array_equal(lab, old):
+            return lab
+
+
+def graph_components(edges: DataFrame, keys: list[str], fit: int = FIT) -> DataFrame:
     """Components of an undirected edge table ``keys, u, v`` (long ids): ``keys, node, root``.
 
     Every node hooks to its smallest neighbour, pointers are doubled until flat, and the graph
     is contracted to its roots; parallel edges collapse, so the edge table shrinks every round
-    and a node with a third of all edges is one row after the first.
+    and a node with a third of all edges is one row after the first.  What is left is finished in
+    one task as soon as it has ``fit`` edges or fewer.
     """
     keys_n = [*keys, "node"]
-    both = edges.select(*keys, F.col("u").cast("long"), F.col("v").cast("long"))
-    graph = cut(both.unionByName(both.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    graph = cut(edges.select(*keys, F.least("u", "v").cast("long").alias("u"), F.greatest("u", "v").cast("long").alias("v")).distinct())
     total = None
-    while True:
-        hook = cut(graph.groupBy(*keys, F.col("u").alias("node")).agg(F.min("v").alias("m"))
-                   .withColumn("root", F.least("m", "node")).drop("m"))
+    while graph.count() > fit:
+        both = graph.select(*keys, F.col("u").alias("node"), "v").unionByName(graph.select(*keys, F.col("v").alias("node"), F.col("u").alias("v")))
+        hook = cut(both.groupBy(*keys_n).agg(F.min("v").alias("m")).withColumn("root", F.least("m", "node")).drop("m"))
         while True:  # two pointer doublings per materialised step
             for _ in range(2):
                 up = hook.select(*keys, F.col("node").alias("root"), F.col("root").alias("top"))
@@ -34,17 +73,18 @@ def graph_components(edges: DataFrame, keys: list[str]) -> DataFrame:
                 hook = hook.drop("moved")
                 break
             hook = hook.drop("moved")
-        if total is None:
-            total = hook
-        else:
-            step = hook.select(*keys, F.col("node").alias("root"), F.col("root").alias("top"))
-            total = cut(total.join(step, [*keys, "root"], "left").select(*keys_n, F.coalesce("top", "root").alias("root")))
+        total = hook if total is None else _onward(total, hook, keys)
         a = hook.select(*keys, F.col("node").alias("u"), F.col("root").alias("ru"))
         b = hook.select(*keys, F.col("node").alias("v"), F.col("root").alias("rv"))
         graph = cut(graph.join(a, [*keys, "u"]).join(b, [*keys, "v"]).where("ru <> rv")
-                    .select(*keys, F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
-        if graph.isEmpty():
-            return total
+                    .select(*keys, F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+    last = _finish(graph, keys)
+    return last if total is None else _onward(total, last, keys)
+
+
+def _onward(total: DataFrame, hook: DataFrame, keys: list[str]) -> DataFrame:
+    step = hook.select(*keys, F.col("node").alias("root"), F.col("root").alias("top"))
+    return cut(total.join(step, [*keys, "root"], "left").select(*keys, "node", F.coalesce("top", "root").alias("root")))
 
 
 def label_block(rows: np.ndarray, cols: np.ndarray, code: np.ndarray, eight: bool = False, walls=None) -> np.ndarray:
@@ -69,19 +109,7 @@ def label_block(rows: np.ndarray, cols: np.ndarray, code: np.ndarray, eight: boo
     rank = np.empty(len(code), np.int64)
     rank[order] = np.arange(len(code))
     u, v = rank[u], rank[v]
-    lab = np.arange(len(code))
-    while True:
-        low = np.minimum(lab[u], lab[v])
-        old = lab.copy()
-        np.minimum.at(lab, lab[u], low)
-        np.minimum.at(lab, lab[v], low)
-        while True:
-            flat = lab[lab]
-            if np.array_equal(flat, lab):
-                break
-            lab = flat
-        if np.array_equal(lab, old):
-            return code[order][lab[rank]]
+    return code[order][flatten(np.arange(len(code)), u, v)[rank]]
 
 
 def cell_components(cells: DataFrame, keys: list[str], tile: int = TILE, eight: bool = False,
@@ -124,8 +152,8 @@ def cell_components(cells: DataFrame, keys: list[str], tile: int = TILE, eight:
 def span_parts(pieces: DataFrame, ids: list[str]) -> DataFrame:
     """Split span arrays into 4-connected parts: ``ids, part, spans, cells``.
 
-    Most pieces are visibly one part (``stacked``) and stay in the projection; only the
-    others build a graph of touching spans.
+    Most pieces are visibly one part (``stacked``) and stay in the projection; the others
+    build one graph of touching spans.
     """
     from gridfold.operators import spans as S
     pieces = cut(pieces.withColumn("_easy", S.stacked(F.col("spans")))).where(F.size("spans") > 0)
@@ -133,53 +161,10 @@ def span_parts(pieces: DataFrame, ids: list[str]) -> DataFrame:
     hard = pieces.where("not _easy").drop("_easy")
     if hard.isEmpty():
         return easy.withColumn("cells", S.cell_count(F.col("spans")))
-    huge = hard.where(F.size("spans") > SMALL_PIECE)
-    small = _small_parts(hard.where(F.size("spans") <= SMALL_PIECE), ids)
-    out = easy.unionByName(hard.drop("spans").join(small, ids))
-    if not huge.isEmpty():
-        out = out.unionByName(hard.drop("spans").join(_graph_parts(huge, ids), ids))
+    out = easy.unionByName(hard.drop("spans").join(_graph_parts(hard, ids), ids))
     return out.withColumn("cells", S.cell_count(F.col("spans")))
 
 
-SMALL_PIECE = 4096  # spans; larger pieces take the graph job
-
-
-def _small_parts(pieces: DataFrame, ids: list[str]) -> DataFrame:
-    """Parts of pieces with few spans: each piece is labelled where its row already is."""
-    schema = ", ".join(f"{k} {pieces.schema[k].dataType.simpleString()}" for k in ids) + ", part long, spans array<struct<row:int,c0:int,c1:int>>"
-
-    def split(batches):
-        for pdf in batches:
-            rows = []
-            for rec in pdf.itertuples(index=False):
-                sp = rec.spans
-                top = list(range(len(sp)))
-
-                def root(i):
-                    while top[i] != i:
-                        i = top[i]
-                    return i
-                at: dict = {}
-                for i, s in enumerate(sp):
-                    at.setdefault(s["row"], []).append(i)
-                for i, s in enumerate(sp):
-                    for j in at.get(s["row"] + 1, ()):
-                        if s["c0"] < sp[j]["c1"] and sp[j]["c0"] < s["c1"]:
-                            a, b = sorted((root(i), root(j)))
-                            top[b] = a
-                    for j in at[s["row"]]:
-                        if sp[j]["c0"] == s["c1"]:
-                            a, b = sorted((root(i), root(j)))
-                            top[b] = a
-                groups: dict = {}
-                for i, s in enumerate(sp):
-                    groups.setdefault(root(i), []).append(s)
-                rows += [(*rec[:-1], k, g) for k, g in groups.items()]
-            yield pd.DataFrame(rows, columns=[*ids, "part", "spans"])
-
-    return pieces.select(*ids, "spans").mapInPandas(split, schema)
-
-
 def _graph_parts(pieces: DataFrame, ids: list[str]) -> DataFrame:
     from gridfold.operators import spans as S
     sp = pieces.select(*ids, F.posexplode("spans").alias("node", "s")).select(*ids, F.col("node").cast("long"), "s.row", "s.c0", "s.c1")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridfold.operators.chains import line_vertices, ordered_lines
 from gridfold.operators.components import cell_components, graph_components
+from gridfold.operators.merging import MOST, merged_colours, merged_constrictions
 from gridfold.session import cut
 
 TILE = 128
@@ -146,48 +147,6 @@ def adjacency(labels: DataFrame, keys: list[str], label: str = "label") -> DataF
             .agg(F.count("*").alias("edges"), F.sum("across").cast("long").alias("across")))
 
 
-def merge_back(parts: pd.DataFrame, edges: pd.DataFrame, px: float, min_part: float, neck: float) -> dict:
-    """Constriction rule on one region graph: returns part -> surviving part.
-
-    Worst pair first: pairs with a part below ``min_part`` m2 before over-wide necks (boundary
-    longer than ``neck`` x the smaller equivalent diameter); the smaller id survives.
-    """
-    size = dict(zip(parts["label"], parts["cells"]))
-    link: dict = {}
-    for a, b, n, h in edges[["a", "b", "edges", "across"]].itertuples(index=False):
-        link[(a, b)] = (n, h)
-    into = {k: k for k in size}
-
-    def fault(pair):
-        small = min(size[pair[0]], size[pair[1]]) * px * px
-        limit = neck * 2 * (small / np.pi) ** 0.5
-        long = link[pair][0] * px
-        return (small < min_part, long / limit) if small < min_part or long > limit else None
-
-    while True:
-        faults = [(f, link[p][1] > 0, p) for p in link if (f := fault(p)) is not None]
-        if not faults:
-            break
-        # among equal faults: pairs with a horizontal edge first, then the smaller ids
-        worst = min(faults, key=lambda t: (-t[0][0], -t[0][1], not t[1], t[2]))[2]
-        keep, gone = worst
-        size[keep] += size.pop(gone)
-        into[gone] = keep
-        del link[worst]
-        for pair in [p for p in link if gone in p]:
-            n, h = link.pop(pair)
-            other = pair[0] if pair[1] == gone else pair[1]
-            new = (min(keep, other), max(keep, other))
-            m = link.get(new, (0, 0))
-            link[new] = (m[0] + n, m[1] + h)
-    for k in into:
-        v = k
-        while into[v] != v:
-            v = into[v]
-        into[k] = v
-    return into
-
-
 def separate_instances(mask: DataFrame, keys: list[str], px: float, rows: int, cols: int, radius: float = 1.2,
                        min_part: float = 10.0, neck: float = 0.5, tile: int = TILE) -> DataFrame:
     """Components -> cores -> growth -> constriction merge-back: ``keys, row, col, instance``.
@@ -206,45 +165,13 @@ def separate_instances(mask: DataFrame, keys: list[str], px: float, rows: int, c
     return whole.unionByName(merged_regions(grown, keys, px, min_part, neck).select(*keys, "row", "col", F.col("label").alias("instance")))
 
 
-def _grouped_graph(labels: DataFrame, edges: DataFrame, keys: list[str], node_cols: dict) -> DataFrame:
-    """Region graph rows tagged by component: nodes and edges in one table (kind 0 and 1)."""
-    nodes = labels.groupBy(*keys, "component", "label").agg(F.count("*").alias("cells"), *[e.alias(n) for n, e in node_cols.items()])
-    of = nodes.select(*keys, "component", F.col("label").alias("a"))
-    tagged = edges.join(of, [*keys, "a"])
-    return nodes.withColumn("kind", F.lit(0)).unionByName(tagged.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-
-
-def _per_component(graph: DataFrame, ids: list[str], fn, schema: str, rows_per_group: int = 20_000) -> DataFrame:
-    """Apply ``fn`` to the region graph of every component.
-
-    Small components share a Python group (many would each cost a group's overhead); the
-    number of groups follows the size of the graph.
-    """
-    groups = max(graph.sparkSession.sparkContext.defaultParallelism, graph.count() // rows_per_group)
-    packed = graph.withColumn("_g", F.pmod(F.xxhash64(*ids), F.lit(groups)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([fn(part) for _, part in pdf.drop(columns="_g").groupby(ids, sort=False)], ignore_index=True)
-
-    return packed.groupBy("_g").applyInPandas(run, schema)
-
-
-def merged_regions(labels: DataFrame, keys: list[str], px: float, min_part: float, neck: float) -> DataFrame:
-    """Apply ``merge_back`` per component (its region graph, not its cells) and relabel."""
-    graph = _grouped_graph(labels, adjacency(labels, keys), keys, {})
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        into = merge_back(pdf[pdf.kind == 0].astype({"label": "int64"}), pdf[pdf.kind == 1].astype({"a": "int64", "b": "int64"}), px, min_part, neck)
-        out = pd.DataFrame({"label": list(into), "final": list(into.values())})
-        for k in [*keys, "component"]:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "component", "label", "final"]]
-
-    # a component that is a single region has nothing to merge and never reaches Python
-    graph = cut(graph)
-    graph = graph.join(graph.where("kind = 1").select(*keys, "component").distinct(), [*keys, "component"], "left_semi")
-    moved = _per_component(graph, [*keys, "component"], run, _schema(labels, [*keys, "component", "label"]) + ", final long")
-    return labels.join(moved, [*keys, "component", "label"], "left").select(*keys, "row", "col", "component", F.coalesce("final", "label").alias("label"))
+def merged_regions(labels: DataFrame, keys: list[str], px: float, min_part: float, neck: float, most: int = MOST) -> DataFrame:
+    """Apply the constriction rule to the region graph of each component and relabel its cells."""
+    ids = [*keys, "component"]
+    nodes = labels.groupBy(*ids, "label").agg(F.count("*").alias("cells"))
+    pairs = adjacency(labels, keys).join(nodes.select(*ids, F.col("label").alias("a")), [*keys, "a"])
+    moved = merged_constrictions(nodes, pairs, ids, px, min_part, neck, most)
+    return labels.join(moved, [*ids, "label"], "left").select(*keys, "row", "col", "component", F.coalesce("final", "label").alias("label"))
 
 
 def region_graph(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -263,89 +190,11 @@ def region_graph(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
     return nodes, pairs
 
 
-def _joined(sums: np.ndarray, ends: np.ndarray, borders: np.ndarray, gone: int, keep: int):
-    """Region sums and pair table after region ``gone`` became part of ``keep``: sums add up, the
-    borders between the two leave the perimeter, and parallel pairs fall together."""
-    n = len(sums)
-    inner = borders[(ends == (min(gone, keep), max(gone, keep))).all(axis=1), 0].sum()
-    sums[keep] += sums[gone]
-    sums[keep, 4] -= 2 * inner
-    ends = np.sort(np.where(ends == gone, keep, ends), axis=1)
-    apart = ends[:, 0] != ends[:, 1]
-    code, place = np.unique(ends[apart] @ np.array([n, 1]), return_inverse=True)
-    borders = np.stack([np.bincount(place, borders[apart, k], len(code)) for k in (0, 1)], axis=1)
-    return np.stack(np.divmod(code, n), axis=1), borders
-
-
-def guided_merge(nodes: pd.DataFrame, pairs: pd.DataFrame, px: float, min_part: float = 10.0, min_outer: float = 0.25,
-                 min_contrast: float = 0.04, min_support: float = 0.3):
-    """``label -> (candidate, final)`` and the surviving cuts with their confidence.
-
-    Two rules over tables of regions and pairs, the first that applies moves: a region that is small or
-    enclosed joins its most similar neighbour (smallest first); then the faintest of the
-    pairs below the contrast or edge-support floor closes, the smaller region joining the larger.
-    The state in which the first rule first rests gives the candidates.
-    """
-    nodes = nodes.sort_values("label")
-    label = nodes["label"].to_numpy(np.int64)
-    sums = nodes[["cells", "sum_r", "sum_g", "outer", "perimeter"]].to_numpy(float).copy()
-    ends = np.searchsorted(label, np.sort(pairs[["a", "b"]].to_numpy(np.int64), axis=1))
-    borders = pairs[["edges", "strong"]].to_numpy(float)
-    owner, candidate = np.arange(len(label)), None
-    while True:
-        a, b = ends.T
-        mean = sums[:, 1:3] / sums[:, :1]
-        gap = np.hypot(*(mean[a] - mean[b]).T)
-        support = borders[:, 1] / borders[:, 0]
-        touching = np.unique(ends)
-        weak = touching[(sums[touching, 0] < min_part / (px * px)) | (sums[touching, 3] / np.maximum(sums[touching, 4], 1) < min_outer)]
-        if len(weak):
-            gone = weak[np.argmin(sums[weak, 0])]
-            mine = (ends == gone).any(axis=1)
-            other = ends[mine].sum(axis=1) - gone
-            keep = other[np.lexsort((other, gap[mine]))[0]]
-        else:
-            candidate = owner.copy() if candidate is None else candidate
-            faint = np.flatnonzero((gap < min_contrast) | (support < min_support))
-            if not len(faint):
-                break
-            worth = gap[faint] / min_contrast + support[faint] / min_support
-            pair = ends[faint[np.lexsort((b[faint], a[faint], worth))[0]]]
-            gone, keep = pair if sums[pair[0], 0] <= sums[pair[1], 0] else pair[::-1]
-        ends, borders = _joined(sums, ends, borders, gone, keep)
-        owner[owner == gone] = keep
-    high = (gap >= 2 * min_contrast) & (support >= 0.5)
-    cuts = [(int(label[i]), int(label[j]), round(float(c), 4), round(float(s), 3), round(float(n) * px, 1), "high" if h else "medium")
-            for i, j, n, c, s, h in zip(a, b, borders[:, 0], gap, support, high)]
-    return {int(k): (int(label[c]), int(label[f])) for k, c, f in zip(label, candidate, owner)}, cuts
-
-
 def guided_separation(cells: DataFrame, keys: list[str], px: float, **rules) -> tuple[DataFrame, DataFrame]:
     """Colour-guided merging of flooded regions (``row, col, component, label, cr, cg, strong``):
-    relabelled cells (``candidate, instance``) and cut rows.  One task sees one component's
-    region graph."""
-    nodes, pairs = region_graph(cells, keys)
-    graph = cut(nodes.withColumn("kind", F.lit(0)).unionByName(pairs.withColumn("kind", F.lit(1)), allowMissingColumns=True))
+    relabelled cells (``candidate, instance``) and cut rows."""
     ids = [*keys, "component"]
-
-    def solve(pdf):
-        lab = pdf[pdf.kind == 0]
-        return guided_merge(lab.astype({"label": "int64"}), pdf[pdf.kind == 1].astype({"a": "int64", "b": "int64"}), px, **rules)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        into, cuts = solve(pdf)
-        out = pd.DataFrame([(k, *v) for k, v in into.items()], columns=["label", "candidate", "instance"])
-        found = pd.DataFrame(cuts, columns=["a", "b", "contrast", "edge_support", "boundary_m", "confidence"])
-        rows = [(*r, None, None, None, None, None, None) for r in out.itertuples(index=False)]
-        rows += [(None, None, None, *r) for r in cuts]
-        both = pd.DataFrame(rows, columns=[*out.columns, *found.columns], dtype=object)
-        return both.assign(**{k: pdf[k].iloc[0] for k in ids})[[*ids, *out.columns, *found.columns]]
-
-    linked = graph.where("kind = 1").select(*ids).distinct()
-    solved = cut(_per_component(graph.join(linked, ids, "left_semi"), ids, run, _schema(cells, ids) + (
-        ", label long, candidate long, instance long, a long, b long, contrast double, edge_support double, boundary_m double, confidence string")))
-    moved = solved.where("label is not null").select(*ids, "label", "candidate", "instance")
-    cuts = solved.where("a is not null").select(*ids, "a", "b", "contrast", "edge_support", "boundary_m", "confidence")
+    moved, cuts = merged_colours(*region_graph(cells, keys), ids, px, **rules)
     out = cells.join(moved, [*ids, "label"], "left")
     return out.select(*ids, "row", "col", F.coalesce("candidate", "label").alias("candidate"), F.coalesce("instance", "label").alias("instance")), cuts
 
