@@ -1,9 +1,9 @@
 """Exact inner-product search: a ball tree per shard, branch and bound, one threshold per query.
 
 Candidates are dealt into shards of about SHARD rows; a task builds each shard's tree once and
-stores it as one row.  A first pass scores every query against one bounded seed shard; the tenth
-best score found there is a true lower bound and is sent along to every other shard, whose
-search tightens it further while blocks of queries are worked off.
+stores it as one row.  A first pass scores every query against one bounded seed shard; the k-th
+best score found there is a true lower bound and is sent along to every other shard; a task that
+meets a query in several shards carries the best k-th score from one to the next.
 """
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from gridfold.session import cut
 
 SHARD, LEAF, BLOCK = 8192, 64, 1024
 SAFE = float(2**52)
+LEAST = np.iinfo(np.int64).min
 
 
 def build_tree(vectors: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]], np.ndarray, np.ndarray]:
@@ -90,6 +91,18 @@ def search(tree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: i
     return [(s, -i) for s, i in best]
 
 
+def in_reach(v: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Which rows (ids ascending) can be in any answer: of equal vectors those of the k + 1 smallest distinct
+    ids (one may be the query's own), and of an id's repeated rows at most k.  Whatever else ranks
+    behind k of these, for every query."""
+    _, same = np.unique(v, axis=0, return_inverse=True)
+    rows = pd.DataFrame({"same": same.ravel(), "id": ids})
+    row = rows.groupby(["same", "id"]).cumcount().to_numpy()
+    new = pd.Series((row == 0).astype(np.int64))
+    distinct = new.groupby(rows["same"]).cumsum().to_numpy()  # of ids, up to this row
+    return (distinct <= k + 1) & (row < k)
+
+
 def quantised(table: DataFrame, scale: int = 1024) -> DataFrame:
     """vec_id, v: floor(scale * component), each component as double.  Rows without id or vector, and vectors
     with null or non-finite components, are left out."""
@@ -123,10 +136,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id", kind="stable")
         v = _matrix(group["v"], wide)
-        # of equal vectors only the k smallest ids, and one more for the query's own, can be in any answer
-        _, same = np.unique(v, axis=0, return_inverse=True)
-        ordinal = pd.Series(same.ravel()).groupby(same.ravel()).cumcount().to_numpy()
-        group, v = group[ordinal <= k], v[ordinal <= k]
+        stay = in_reach(v, group["vec_id"].to_numpy(np.int64), k)
+        group, v = group[stay], v[stay]
         order, nodes, centres, radii = build_tree(v.astype(np.float64))
         return pd.DataFrame({"shard": [key[0]], "n": [len(v)], "ids": [group["vec_id"].to_numpy(np.int64)[order].tobytes()], "rows": [v[order].tobytes()],
                              "nodes": [np.array(nodes, np.int64).tobytes()], "centres": [centres.tobytes()], "radii": [radii.tobytes()]})
@@ -142,21 +153,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     first = trees.agg(F.min("shard").alias("s")).first()["s"]
 
     def run(batches):
+        shared: dict[int, np.ndarray] = {}  # per block, the best k-th scores known to this task
         for batch in batches:
             for r in batch.itertuples(index=False):
                 ids, rows = np.frombuffer(r.ids, np.int64), np.frombuffer(r.rows, np.int64).reshape(-1, wide)
                 tree = ([tuple(x) for x in np.frombuffer(r.nodes, np.int64).reshape(-1, 4).tolist()], np.frombuffer(r.centres).reshape(-1, wide), np.frombuffer(r.radii))
                 asked, what = np.frombuffer(r.asked, np.int64), np.frombuffer(r.what, np.int64).reshape(-1, wide)
                 floors = np.frombuffer(r.floors, np.int64) if isinstance(r.floors, (bytes, bytearray)) else None
+                known = shared.setdefault(r.block, np.full(len(asked), LEAST) if floors is None else floors.copy())
                 out = []
                 for i, q in enumerate(asked.tolist()):
-                    low = None if floors is None or floors[i] == np.iinfo(np.int64).min else int(floors[i])
-                    out += [(r.block, i, q, v, s) for s, v in search(tree, rows, ids, what[i], q, k, low)]
+                    best = search(tree, rows, ids, what[i], q, k, None if known[i] == LEAST else int(known[i]))
+                    if len(best) == k:
+                        known[i] = max(known[i], min(best)[0])
+                    out += [(r.block, i, q, v, s) for s, v in best]
                 yield pd.DataFrame(out, columns=["block", "place", "query_id", "vec_id", "score"])
 
     def floors(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         n = int(group["n"].iloc[0])
-        low = np.full(n, np.iinfo(np.int64).min)
+        low = np.full(n, LEAST)
         got = group.dropna(subset=["place"])
         low[got["place"].to_numpy(np.int64)] = got["low"].to_numpy(np.int64)
         return pd.DataFrame({"block": [key[0]], "floors": [low.tobytes()]})
@@ -164,7 +179,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     schema = "block int, place int, query_id long, vec_id long, score long"
     if first is None or not asked["n"]:
         return vectors.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.col("vec_id").alias("score"))
-    seed = cut(asks.withColumn("shard", F.lit(first)).join(trees, "shard").withColumn("floors", F.lit(None).cast("binary")).mapInPandas(run, schema))
+    # one tree of about SHARD rows goes to every query block; a literal key would be planned as a product of all partitions
+    one = F.broadcast(trees.where(F.col("shard") == first))
+    seed = cut(asks.withColumn("shard", (F.col("block") * 0 + first).cast("int")).join(one, "shard").withColumn("floors", F.lit(None).cast("binary")).mapInPandas(run, schema))
     tenth = seed.groupBy("block", "place").agg(F.count("*").alias("c"), F.min("score").alias("low")).where(F.col("c") >= k)
     low = (asks.select("block", F.expr("octet_length(asked) div 8").alias("n")).join(tenth, "block", "left")
            .groupBy("block").applyInPandas(floors, "block int, floors binary"))
