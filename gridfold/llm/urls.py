@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 PER_PART = 50_000   # probes a sweep handles, about
 SAMPLE = 100_000    # probes looked at to choose the cuts between sweeps
+MOST_PARTS = 4096   # ranges at most, so that the cuts stay few however many probes there are
+CUT_LENGTH = 256    # characters of a sampled key that a cut keeps; any key is a valid cut
 LAST = "\U0010ffff"  # sorts after every character
 
 
@@ -33,6 +35,12 @@ def sort_key(labels: list[str], path: str) -> tuple:
     return (tuple(labels), path)
 
 
+def past(labels: tuple, path: str) -> tuple:
+    """The first key behind all keys of the same host whose path begins with ``path``."""
+    path = path.rstrip(LAST)
+    return (labels, path[:-1] + chr(ord(path[-1]) + 1)) if path else ((*labels, ""), "")
+
+
 def sweep(group: pd.DataFrame) -> pd.DataFrame:
     """Longest rule for each probe of one range: rules come before equal probes, and a rule leaves
     the stack at the first key outside its interval."""
@@ -71,8 +79,8 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     given = rules.where("host is not null and path is not null").select(reverse(F.col("host")).alias("labels"), "path", F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("depth"))
     given = given.groupBy("labels", "path", "rule", "depth").agg(F.min("verdict").alias("verdict"))
     n = probes.count()
-    parts = max(1, -(-n // PER_PART))
-    sample = [] if parts == 1 else [sort_key(r["labels"], r["path"]) for r in probes.select("labels", "path").sample(min(1.0, SAMPLE / n), seed=7).collect()]  # bounded
+    parts = min(max(1, -(-n // PER_PART)), MOST_PARTS)
+    sample = [] if parts == 1 else [sort_key(r["labels"], r["path"]) for r in probes.select("labels", F.substring("path", 1, CUT_LENGTH).alias("path")).sample(min(1.0, SAMPLE / n), seed=7).collect()]  # bounded
     sample.sort()
     cuts = [sample[len(sample) * k // parts] for k in range(1, parts)] if sample else []
     cuts_b = spark.sparkContext.broadcast(cuts)
@@ -81,8 +89,8 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     def ranges(labels: pd.Series, path: pd.Series, is_rule: pd.Series) -> pd.Series:
         out, cuts = [], cuts_b.value
         for a, p, r in zip(labels, path, is_rule):
-            first = bisect.bisect_left(cuts, (tuple(a), p))
-            out.append([first, bisect.bisect_right(cuts, (tuple(a), p + LAST if r else p))])
+            key = (tuple(a), p)
+            out.append([bisect.bisect_left(cuts, key), bisect.bisect_left(cuts, past(*key)) if r else bisect.bisect_right(cuts, key)])
         return pd.Series(out)
 
     span = probes.withColumn("_r", ranges("labels", "path", F.lit(False)))
