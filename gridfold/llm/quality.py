@@ -194,8 +194,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray
 
     draw = F.xxhash64(F.lit(6), "doc_id", "text")
     bar = int((min(1.0, 1.1 * sample / counts.sum()) - 0.5) * 2**64)
-    drawn = docs.where(F.col("text").isNotNull() & (draw < F.lit(min(bar, 2**63 - 1)))).select("text", draw.alias("_d")).limit(sample)
-    rows = drawn.orderBy("_d").select("text").mapInArrow(describe, "good double, bins binary, sums binary").collect()  # at most ``sample`` rows of BINS entries
+    drawn = docs.where(F.col("text").isNotNull() & (draw < F.lit(min(bar, 2**63 - 1)))).select("text", draw.alias("_d"))
+    rows = drawn.orderBy("_d").limit(sample).select("text").mapInArrow(describe, "good double, bins binary, sums binary").collect()  # at most ``sample`` rows of BINS entries
     x, y = np.zeros((len(rows), BINS), np.float32), np.array([r["good"] for r in rows])
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["bins"], np.int32)] = np.frombuffer(r["sums"], np.float32)
