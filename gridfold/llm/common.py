@@ -115,15 +115,10 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hash_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in reading order, and how many words each row has.
-
-    A word's hash is a polynomial in its bytes modulo 2**64, from one running sum over the
-    buffer, then mixed; A-Z count as a-z if ``lower``.
-    """
-    n = len(offsets) - 1
+def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-last byte of every word of the buffer; no word reaches over a row's end."""
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     space = IS_SPACE[raw]
     first = ~space
     last = ~space
@@ -133,7 +128,20 @@ def hash_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tupl
     inner = inner[(inner > 0) & (inner < len(raw))]
     first[inner] = ~space[inner]        # a row's first byte starts a word, and its last byte ends one
     last[inner - 1] = ~space[inner - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def hash_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in reading order, and how many words each row has.
+
+    A word's hash is a polynomial in its bytes modulo 2**64, from one running sum over the
+    buffer, then mixed; A-Z count as a-z if ``lower``.
+    """
+    n = len(offsets) - 1
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+    starts, ends = word_bounds(raw, offsets)
+    ends = ends - 1
     up, down = _powers(len(raw))
     sums = np.cumsum((LOWER[raw] if lower else raw).astype(np.uint64) * up, dtype=np.uint64)
     head = np.where(starts > 0, sums[starts - 1], np.uint64(0))

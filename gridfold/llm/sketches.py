@@ -6,6 +6,8 @@ overlap.  Registers of a union are the larger of both, so sketches merge.
 """
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import math
 
 import numpy as np
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfold.llm.common import hash_words, mix, numbered, row_chunks, texts_of
+from gridfold.llm.common import LOWER, mix, numbered, row_chunks, texts_of, word_bounds
 from gridfold.session import cut, scratch
 
 BANDS, ROWS = 41, 5            # a link of similarity 0.8 shares no band with probability 9e-8
@@ -28,13 +30,36 @@ _rng = np.random.Generator(np.random.PCG64(20))
 FACTORS = _rng.integers(0, 2**31, REGISTERS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
 
+def word_digests(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2 digests (64 bits) of all words in reading order, A-Z as a-z, and how many each row has;
+    distinct words are hashed once."""
+    starts, ends = word_bounds(raw, offsets)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    low = LOWER[raw]
+    # words with what follows them up to the next word, then cut back to the word
+    bounds = np.stack([starts, ends], axis=1).ravel()
+    runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(low.tobytes())])
+    coded = runs.take(pa.array(np.arange(0, len(bounds) - 1, 2))).dictionary_encode()
+    digests = np.array([int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in coded.dictionary.to_pylist()], np.uint64)
+    return digests[coded.indices.to_numpy()], np.diff(np.searchsorted(starts, offsets))
+
+
+def shingle_words(text: str, words: int) -> set[tuple[bytes, ...]]:
+    """The shingles of a text as words, not as hashes."""
+    found = text.encode().translate(bytes(LOWER)).split()  # bytes split at ASCII white space alone
+    if len(found) <= words:
+        return {tuple(found)} if found else set()
+    return set(zip(*[found[i:] for i in range(words)]))
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit shingles of all rows, row after row, and how many each row has.
 
     A row with fewer words than a shingle takes has its whole sequence as the one shingle; a row
     without words has none.
     """
-    hashes, count = hash_words(raw, offsets)
+    hashes, count = word_digests(raw, offsets)
     n = len(count)
     kept = np.where(count >= words, count - words + 1, np.minimum(count, 1))
     if not len(hashes):
@@ -207,7 +232,11 @@ def compare_block(rows: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
                 continue
             one, other = values[ends[i] - count[i]:ends[i]], values[ends[j] - count[j]:ends[j]]
             both = len(np.intersect1d(one, other, assume_unique=True))
-            if 100 * both >= percent * (len(one) + len(other) - both):
+            if 100 * both < percent * (len(one) + len(other) - both):
+                continue
+            first, second = shingle_words(rows["text"].iat[i], words), shingle_words(rows["text"].iat[j], words)  # hashes propose, words decide
+            both = len(first & second)
+            if 100 * both >= percent * (len(first) + len(second) - both):
                 parent[max(a, b)] = min(a, b)
                 out.append((int(node[i]), int(node[j])))
     return pd.DataFrame(out, columns=["u", "v"])
@@ -291,6 +320,27 @@ def _link(spark, docs: DataFrame, classes: DataFrame, edges: DataFrame, words: i
     return links.unionByName(cut(rest.select("cluster", "i", "j", "node", "root", "side", "text").groupBy("cluster", "i", "j").applyInPandas(compare, "u long, v long")))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without those that are near copies of a kept one; columns as they were.
+
+    A row is known by its id, and where an id repeats by id and text together, so that different
+    texts under one id are judged each by itself; of rows equal in both one stays.  Rows
+    without an id link with nothing and stay.  Of a group the smallest id stays, ids that repeat last.
+    """
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_c"))
+    twice = cut(ids.where("_c > 1").select("doc_id"))
+    keyed = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    if not twice.isEmpty():
+        digest = F.coalesce(F.sha2("text", 256), F.lit("-"))
+        many = docs.join(twice, "doc_id", "left_semi").withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"])
+        top = docs.agg(F.max("doc_id").cast("long")).first()[0]
+        names = numbered(many.select("doc_id", "_digest"), ["doc_id", "_digest"], "_key").withColumn("_key", F.col("_key") + F.lit(top + 1))
+        keyed = keyed.join(twice, "doc_id", "left_anti").select(*docs.columns, "_key").unionByName(many.join(names, ["doc_id", "_digest"]).select(*docs.columns, "_key"))
+        keyed = cut(keyed)
+    gone = near_copies(keyed.select(F.col("_key").alias("doc_id"), "text"), words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_key"))
+    return keyed.join(gone, "_key", "left_anti").select(*docs.columns)
+
+
 def _typed(fn):
     def typed(rows: pd.DataFrame) -> pd.DataFrame:
         return fn(rows)
