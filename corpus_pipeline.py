@@ -6,10 +6,9 @@ columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridfold.llm import mixing, packing, quality, secrets, sketches
-from gridfold.session import cut, scratch
+from gridfold.session import scratch
 
 WORDS = 5  # words in a shingle of the near-copy stage
 
@@ -20,16 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 (operator 5).
-
-    What goes is joined away by id; of rows that repeat an id one stays, and rows without an id all stay.
-    """
-    gone = sketches.near_copies(docs, words=WORDS, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    if twice.isEmpty():
-        return left
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """One document of each group of near copies: five-word shingles, similarity 0.8 (operator 5)."""
+    return sketches.one_of_each(docs, words=WORDS, percent=80)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
