@@ -39,6 +39,18 @@ def signed_area(ring: Column) -> Column:
                  lambda s: (s.x1 - o.x) * (s.y2 - o.y) - (s.x2 - o.x) * (s.y1 - o.y)) / 2
 
 
+def canonical_text(rings: Column, res: float) -> Column:
+    """Vertices in whole multiples of ``res`` as text, the same for every start and direction of a ring:
+    counter-clockwise from the smallest vertex, not closed; rings after the first in sorted order."""
+    def one(ring):
+        turned = F.when(signed_area(ring) < 0, F.reverse(ring)).otherwise(ring)
+        points = F.transform(F.slice(turned, 1, F.size(turned) - 1), lambda p: F.struct(F.round(p.x / res).cast("long").alias("x"), F.round(p.y / res).cast("long").alias("y")))
+        return let(points, lambda q: let(F.array_position(q, F.array_min(q)), lambda k: F.array_join(F.transform(
+            F.concat(F.slice(q, k.cast("int"), F.size(q)), F.slice(q, F.lit(1), (k - 1).cast("int"))), lambda p: F.concat(p.x.cast("string"), F.lit(","), p.y.cast("string"))), " ")))
+    texts = F.transform(rings, one)
+    return F.array_join(F.concat(F.slice(texts, 1, 1), F.array_sort(F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0))))), ";")
+
+
 def orient_rings(rings: Column) -> Column:
     """First ring counter-clockwise, the others (holes) clockwise."""
     return F.transform(rings, lambda ring, i: F.when(

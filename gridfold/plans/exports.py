@@ -70,14 +70,14 @@ def quadkey_footprints(spark, folder):
     return got.select("feature_id", F.lit(1).alias("_j")).join(F.broadcast(n), "_j").drop("_j")
 
 
-@query("S3_draft_polygons", B.with_ctes(B.LABELS, """SELECT site_id || '-' || window_id AS win, format('{}-{}-D-{:02d}', site_id, window_id, row_number() OVER (PARTITION BY site_id, window_id ORDER BY label_id)) label_id, confidence, ign AS ignored, round(w*h*0.01, 6) area_m2
-  FROM lab WHERE NOT lshape"""))
+@query("S3_draft_polygons", B.with_ctes(B.LABELS, """SELECT site_id || '-' || window_id AS win, format('{}-{}-D-{:02d}', site_id, window_id, row_number() OVER (PARTITION BY site_id, window_id ORDER BY label_id)) label_id, confidence, ign AS ignored, round(CASE WHEN lshape THEN w*h - (w - w//2)*(h - h//2) ELSE w*h END*0.01, 6) area_m2 FROM lab"""))
 def draft_polygons(spark, folder):
     path = scratch(spark, "drafts")
     lb = B.labels(spark, folder)
-    m = B.boxes(spark, folder).where("ok % 3 <> 0 and not is_copy and not lshape").selectExpr("feature_id label_id", "w", "h", "x0", "y0")
+    m = B.boxes(spark, folder).where("ok % 3 <> 0 and not is_copy").selectExpr("feature_id label_id", "w", "h", "x0", "y0", "lshape")
     d = lb.join(m, "label_id").withColumn("win", F.concat_ws("-", "site_id", "window_id"))
-    poly = F.expr("array(array(x0, y0), array(x0 + w, y0), array(x0 + w, y0 + h), array(x0, y0 + h))")
+    poly = F.expr("""if(lshape, array(array(x0, y0), array(x0 + w, y0), array(x0 + w, y0 + h div 2), array(x0 + w div 2, y0 + h div 2), array(x0 + w div 2, y0 + h), array(x0, y0 + h)),
+        array(array(x0, y0), array(x0 + w, y0), array(x0 + w, y0 + h), array(x0, y0 + h)))""")
     item = F.struct("label_id", F.struct(poly.alias("poly"), "confidence", F.lit("drawn").alias("note"), "ignore").alias("p"))
     docs = d.groupBy("win").agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s.p).alias("polys"))
     docs.select("win", F.to_json(F.struct(F.lit("2026-01-01").alias("created"), F.create_map("win", "polys").alias("windows"))).alias("value")).write.partitionBy("win").text(path)
@@ -117,9 +117,9 @@ def score_table(spark, folder):
     return D.score_table(rep, ["tp", "fp", "matched"]).withColumnRenamed("window", "win")
 
 
-@query("S7_site_manifests", "SELECT CAST(doc_id % 97 AS VARCHAR) site_id, count(*) files, count(*) > 1 AS duplicate FROM documents WHERE doc_id % 10 = 3 GROUP BY ALL")
+@query("S7_site_manifests", "SELECT CAST(doc_id % 97 AS VARCHAR) site_id, count(*) files, count(*) > 1 AS duplicate FROM documents GROUP BY ALL")
 def site_manifests(spark, folder):
-    return manifests_of(spark, B.table(spark, folder, "documents").where("doc_id % 10 = 3"))  # as in the SQL
+    return manifests_of(spark, B.table(spark, folder, "documents"))
 
 
 def manifests_of(spark, docs):
@@ -225,13 +225,14 @@ def class_map(spark, folder):
     return W.read_tiles(spark, path, 32).groupBy("site_id", "class_id").agg(F.count("*").alias("cells"))
 
 
-@query("F2_geometry_hash", B.with_ctes(B.FP, "SELECT feature_id, sha256(x0 || ',' || y0 || ',' || w || ',' || h) geometry_sha256 FROM fp WHERE NOT lshape"))
+@query("F2_geometry_hash", B.with_ctes(B.FP, """SELECT feature_id, sha256(CASE WHEN lshape
+   THEN concat_ws(' ', x0 || ',' || y0, x0+w || ',' || y0, x0+w || ',' || y0+h//2, x0+w//2 || ',' || y0+h//2, x0+w//2 || ',' || y0+h, x0 || ',' || y0+h)
+   ELSE concat_ws(' ', x0 || ',' || y0, x0+w || ',' || y0, x0+w || ',' || y0+h, x0 || ',' || y0+h) END) geometry_sha256 FROM fp"""))
 def geometry_hash(spark, folder):
-    """Hash of the canonical integer-coordinate string (box in cells)."""
-    d = pin(B._rings(B.boxes(spark, folder).where("not lshape")), b=M.bounds(R()))
-    cell = lambda e: F.round(e / B.RES).cast("long")
-    b = F.col("b")
-    return d.select("feature_id", F.sha2(F.concat_ws(",", cell(b.xmin), cell(b.ymin), cell(b.xmax - b.xmin), cell(b.ymax - b.ymin)), 256).alias("geometry_sha256"))
+    """Hash of the canonical vertex string in cells, for rings given in any direction and from any start."""
+    turned = F.transform(R(), lambda r: F.when(F.col("feature_id") % 2 == 0, F.reverse(r)).otherwise(F.concat(F.slice(r, 3, F.size(r) - 2), F.slice(r, 2, 2))))
+    d = pin(B.footprints(spark, folder), t=M.canonical_text(turned, B.RES))
+    return d.select("feature_id", F.sha2("t", 256).alias("geometry_sha256"))
 
 
 @query("F3_safe_division", "SELECT doc_id, round(n_chars / nullif(doc_id % 5, 0), 6) ratio FROM documents")

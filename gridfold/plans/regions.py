@@ -67,12 +67,25 @@ def shared_edges(spark, folder):
     return G.adjacency(blocks(spark, folder), K)
 
 
-@query("R5_merge_back")
+# one merge per component and step: rows of kind 0 are regions (a: id, n: cells), kind 1 pairs (n: edges, h: across), kind 2 where each label went
+BACK = B.COMPONENTS + """, lb AS (SELECT site_id, component, r, c, component * 4096 + (r//8)*8 + c//8 l FROM comp),
+ st AS (SELECT site_id, component, 0 it, 0 kind, l a, CAST(0 AS BIGINT) b, count(*) n, CAST(0 AS BIGINT) h FROM lb GROUP BY ALL
+   UNION ALL SELECT a.site_id, a.component, 0, 1, least(a.l, b.l), greatest(a.l, b.l), count(*), count(*) FILTER (a.r = b.r) FROM lb a JOIN lb b ON a.site_id=b.site_id AND a.l <> b.l AND ((b.r=a.r AND b.c=a.c+1) OR (b.r=a.r+1 AND b.c=a.c)) GROUP BY ALL
+   UNION ALL SELECT DISTINCT site_id, component, 0, 2, l, l, 0, 0 FROM lb),
+ mb AS (SELECT * FROM st UNION ALL
+   (WITH sz AS (SELECT site_id, component, a, n FROM mb WHERE kind = 0),
+    ft AS (SELECT p.site_id, p.component, p.a, p.b, p.h, least(x.n, y.n) s, p.n / (0.5 * 2 * sqrt(least(x.n, y.n) / pi())) q FROM mb p JOIN sz x ON x.site_id=p.site_id AND x.component=p.component AND x.a=p.a JOIN sz y ON y.site_id=p.site_id AND y.component=p.component AND y.a=p.b WHERE p.kind = 1),
+    ws AS (SELECT site_id, component, a keep, b gone FROM ft WHERE s < 4.0 OR q > 1 QUALIFY row_number() OVER (PARTITION BY site_id, component ORDER BY s < 4.0 DESC, q DESC, h > 0 DESC, a, b) = 1),
+    mv AS (SELECT m.site_id, m.component, it, kind, CASE WHEN kind < 2 AND a = gone THEN keep ELSE a END a, CASE WHEN b = gone THEN keep ELSE b END b, n, h FROM mb m JOIN ws USING (site_id, component))
+    SELECT site_id, component, it + 1, kind, CASE WHEN kind = 1 THEN least(a, b) ELSE a END, CASE WHEN kind = 1 THEN greatest(a, b) ELSE b END, CAST(sum(n) AS BIGINT), CAST(sum(h) AS BIGINT) FROM mv WHERE kind <> 1 OR a <> b GROUP BY ALL))"""
+
+
+@query("R5_merge_back", B.with_ctes(BACK, """SELECT site_id, component, a "label", b "final" FROM (SELECT *, max(it) OVER (PARTITION BY site_id, component) last FROM mb) WHERE kind = 2 AND it = last""", True))
 def merge_back(spark, folder):
-    """Constriction merging of block parts per component (checked against a plain twin in tests)."""
+    """Constriction merging of block parts: where each part went."""
     lab = comp(spark, folder).withColumn("label", F.expr(f"cast(component * 4096 + {BLOCK} as bigint)"))
-    out = G.merged_regions(lab, K, 1.0, 4.0, 0.5)
-    return out.groupBy("site_id", "component").agg(F.count_distinct("label").alias("parts"), F.count("*").alias("cells"))
+    out = G.merged_regions(lab, K, 1.0, 4.0, 0.5).withColumnRenamed("label", "final")
+    return out.withColumn("label", F.expr(f"cast(component * 4096 + {BLOCK} as bigint)")).select("site_id", "component", "label", "final").distinct()
 
 
 @query("R6_separate_instances", B.with_ctes(B.MASK, "SELECT site_id, count(*) cells FROM m GROUP BY ALL"))
@@ -124,7 +137,8 @@ def gradient_percentiles(spark, folder):
 
 def flooded(spark, folder):
     """Components flooded from low-gradient seeds in 16 quantile levels: cells with labels."""
-    g = cut(G.smooth_chroma(coloured(spark, folder), K, 64, 64, 32).join(B.mask(spark, folder, 22), ["site_id", "row", "col"]))
+    smooth = G.smooth_chroma(coloured(spark, folder), K, 64, 64, 32).withColumns({c: F.round(c, 8) for c in ("cr", "cg", "grad")})
+    g = cut(smooth.join(B.mask(spark, folder, 22), ["site_id", "row", "col"]))
     cells = cut(g.join(cell_components(g, K, TILE, width=64), ["site_id", "row", "col"]))
     q = exact_percentiles(cells, K, "grad", [0.3, 0.75])
     cells = cut(cells.join(q, K).withColumn("low", F.col("grad") <= F.col("q")[0]).withColumn("strong", F.col("grad") >= F.col("q")[1]).drop("q"))
@@ -135,17 +149,59 @@ def flooded(spark, folder):
     return cells.join(grown, ["site_id", "row", "col"]).withColumn("label", F.coalesce("label", "component"))
 
 
-@query("R7_gradient_flood")
-def gradient_flood(spark, folder):
-    return flooded(spark, folder).groupBy("site_id", "component").agg(F.count_distinct("label").alias("regions"), F.count("*").alias("cells"))
+def _reach(cells: str, out: str, label: str) -> str:
+    return f"""{out}e AS (SELECT a.site_id, a.r*64+a.c u, b.r*64+b.c v FROM {cells} a JOIN {cells} b ON a.site_id=b.site_id AND ((a.r=b.r AND abs(a.c-b.c)=1) OR (a.c=b.c AND abs(a.r-b.r)=1))),
+ {out}r AS (SELECT site_id, r*64+c u, r*64+c v FROM {cells} UNION SELECT k.site_id, k.u, e.v FROM {out}r k JOIN {out}e e ON e.site_id=k.site_id AND e.u=k.v), {out} AS (SELECT site_id, u // 64 r, u % 64 c, min(v) {label} FROM {out}r GROUP BY site_id, u)"""
+
 
+FLOOD = SMOOTH + ", g AS (SELECT site_id, r, c, round(md.cr, 8) cr, round(md.cg, 8) cg, round(grad, 8) grad FROM md JOIN gd USING (site_id, r, c) JOIN raster k USING (site_id, r, c) WHERE k.total >= 22 * k.n), " + _reach("g", "gk", "component") + """,
+ gq AS (SELECT site_id, quantile_cont(grad, 0.3) low, quantile_cont(grad, 0.75) high FROM g GROUP BY ALL), lowc AS (SELECT g.* FROM g JOIN gq USING (site_id) WHERE grad <= low), """ + _reach("lowc", "sd", "seed") + """,
+ cq AS (SELECT site_id, component, list_distinct(quantile_cont(grad, [""" + ", ".join(str(i / 16) for i in range(1, 17)) + """])) q FROM g JOIN gk USING (site_id, r, c) GROUP BY ALL),
+ fc AS (SELECT site_id, g.r, g.c, component, cr, cg, grad >= high strong, CAST(len(list_filter(q, lambda v: v < grad)) AS BIGINT) level, seed FROM g JOIN gk USING (site_id, r, c) JOIN gq USING (site_id) JOIN cq USING (site_id, component) LEFT JOIN sd USING (site_id, r, c)),
+ fl AS (SELECT site_id, component, r, c, level, CAST(0 AS BIGINT) lv, seed l, true active FROM fc
+   UNION ALL SELECT site_id, component, r, c, level, CASE WHEN news = 0 THEN lv + 1 ELSE lv END, coalesce(l, came), news > 0 OR lv < 16
+   FROM (SELECT *, count(came) OVER (PARTITION BY site_id, component) news FROM (SELECT a.site_id, a.component, a.r, a.c, a.level, a.lv, a.l, CASE WHEN a.l IS NULL AND a.level <= a.lv THEN max(b.l) END came
+     FROM fl a LEFT JOIN fl b ON b.site_id=a.site_id AND b.component=a.component AND a.l IS NULL AND b.l IS NOT NULL AND ((a.r=b.r AND abs(a.c-b.c)=1) OR (a.c=b.c AND abs(a.r-b.r)=1)) WHERE a.active GROUP BY a.site_id, a.component, a.r, a.c, a.level, a.lv, a.l))),
+ fd AS (SELECT f.site_id, f.r, f.c, f.component, coalesce(f.l, f.component) l, cr, cg, strong FROM fl f JOIN fc USING (site_id, r, c) WHERE NOT active)"""
 
-@query("R9_guided_cuts")
+
+@query("R7_gradient_flood", B.with_ctes(FLOOD, 'SELECT site_id, r "row", c col, component, l "label" FROM fd', True))
+def gradient_flood(spark, folder):
+    return flooded(spark, folder).select("site_id", "row", "col", "component", "label")
+
+
+# kind 0: regions (a: id; cells, colour sums, outer, perimeter), kind 1: pairs (edges, strong), kind 2: where a label went (b now, cand: when the first rule rested)
+GUIDED = FLOOD + """, rm AS (SELECT a.site_id, a.component, a.l, b.l o, a.strong OR coalesce(b.strong, false) s FROM fd a CROSS JOIN (VALUES (0,1),(1,0),(0,-1),(-1,0)) m(dr,dc) LEFT JOIN fd b ON b.site_id=a.site_id AND b.r=a.r+dr AND b.c=a.c+dc WHERE b.l IS NULL OR b.l <> a.l),
+ g0 AS (SELECT site_id, component, CAST(0 AS BIGINT) it, 0 kind, l a, CAST(0 AS BIGINT) b, CAST(NULL AS BIGINT) cand, count(*)::DOUBLE x1, sum(cr) x2, sum(cg) x3, coalesce(any_value(ou), 0)::DOUBLE x4, coalesce(any_value(pe), 0)::DOUBLE x5
+     FROM fd LEFT JOIN (SELECT site_id, component, l, count(*) pe, count(*) FILTER (o IS NULL) ou FROM rm GROUP BY ALL) USING (site_id, component, l) GROUP BY site_id, component, l
+   UNION ALL SELECT site_id, component, 0, 1, l, o, NULL, count(*)::DOUBLE, count(*) FILTER (s)::DOUBLE, 0, 0, 0 FROM rm WHERE o > l GROUP BY site_id, component, l, o
+   UNION ALL SELECT DISTINCT site_id, component, 0, 2, l, l, CAST(NULL AS BIGINT), 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM fd),
+ gm AS (SELECT * FROM g0 UNION ALL
+   (WITH nd AS (SELECT * FROM gm WHERE kind = 0),
+    pr AS (SELECT p.site_id, p.component, p.a, p.b, sqrt((x.x2/x.x1 - y.x2/y.x1)**2 + (x.x3/x.x1 - y.x3/y.x1)**2) gap, p.x2 / p.x1 sup, x.x1 an, y.x1 bn FROM gm p JOIN nd x ON x.site_id=p.site_id AND x.component=p.component AND x.a=p.a JOIN nd y ON y.site_id=p.site_id AND y.component=p.component AND y.a=p.b WHERE p.kind = 1),
+    ends AS (SELECT site_id, component, a k, b o, gap FROM pr UNION ALL SELECT site_id, component, b, a, gap FROM pr),
+    wk AS (SELECT site_id, component, a k FROM nd WHERE (x1 < 4.0 OR x4 / greatest(x5, 1) < 0.25) AND EXISTS (SELECT 1 FROM ends e WHERE e.site_id=nd.site_id AND e.component=nd.component AND e.k=nd.a) QUALIFY row_number() OVER (PARTITION BY site_id, component ORDER BY x1, a) = 1),
+    one AS (SELECT site_id, component, k gone, o keep FROM wk JOIN ends USING (site_id, component, k) QUALIFY row_number() OVER (PARTITION BY site_id, component ORDER BY gap, o) = 1),
+    two AS (SELECT site_id, component, CASE WHEN an <= bn THEN a ELSE b END gone, CASE WHEN an <= bn THEN b ELSE a END keep FROM pr WHERE (gap < 0.02 OR sup < 0.3) AND NOT EXISTS (SELECT 1 FROM one o WHERE o.site_id=pr.site_id AND o.component=pr.component)
+      QUALIFY row_number() OVER (PARTITION BY site_id, component ORDER BY gap / 0.02 + sup / 0.3, a, b) = 1),
+    go AS (SELECT *, false rest FROM one UNION ALL SELECT *, true FROM two),
+    mv AS (SELECT m.site_id, m.component, it, kind, CASE WHEN kind < 2 AND a = gone THEN keep ELSE a END a, CASE WHEN b = gone THEN keep ELSE b END b, CASE WHEN kind = 2 THEN coalesce(cand, CASE WHEN rest THEN b END) END cand,
+      x1, x2, x3, x4, x5 - CASE WHEN kind = 0 AND a = keep THEN 2 * inner_ ELSE 0 END x5
+      FROM gm m JOIN go USING (site_id, component) JOIN (SELECT p.site_id, p.component, p.x1 inner_ FROM gm p JOIN go g ON g.site_id=p.site_id AND g.component=p.component AND p.kind = 1 AND p.a = least(gone, keep) AND p.b = greatest(gone, keep)) USING (site_id, component))
+    SELECT site_id, component, it + 1, kind, CASE WHEN kind = 1 THEN least(a, b) ELSE a END, CASE WHEN kind = 1 THEN greatest(a, b) ELSE b END, cand, sum(x1), sum(x2), sum(x3), sum(x4), sum(x5) FROM mv WHERE kind <> 1 OR a <> b GROUP BY ALL)),
+ ge AS (SELECT * FROM gm QUALIFY it = max(it) OVER (PARTITION BY site_id, component)),
+ gc AS (SELECT p.site_id, p.a, p.b, sqrt((x.x2/x.x1 - y.x2/y.x1)**2 + (x.x3/x.x1 - y.x3/y.x1)**2) >= 0.04 AND p.x2 / p.x1 >= 0.5 high FROM ge p JOIN ge x ON x.site_id=p.site_id AND x.component=p.component AND x.a=p.a AND x.kind=0 JOIN ge y ON y.site_id=p.site_id AND y.component=p.component AND y.a=p.b AND y.kind=0 WHERE p.kind = 1),
+ gf AS (SELECT site_id, k instance, CASE WHEN bool_and(high) THEN 'high' ELSE 'medium' END conf FROM (SELECT site_id, unnest([a, b]) k, high FROM gc) GROUP BY ALL)"""
+
+
+@query("R9_guided_cuts", B.with_ctes(GUIDED, """SELECT site_id, component, a "label", coalesce(cand, b) candidate, b instance, coalesce(conf, 'unsplit') split_confidence FROM ge LEFT JOIN gf ON gf.site_id = ge.site_id AND gf.instance = ge.b WHERE kind = 2""".replace("SELECT site_id", "SELECT ge.site_id").replace(" b instance", " ge.b instance"), True))
 def guided_cuts(spark, folder):
-    inst, cuts = G.guided_separation(flooded(spark, folder), K, 1.0, min_part=4.0, min_contrast=0.02)
+    """Where each flooded region went, at the rest of the first rule and at the end, and how sure the cuts around it are."""
+    cells = cut(flooded(spark, folder))
+    inst, cuts = G.guided_separation(cells, K, 1.0, min_part=4.0, min_contrast=0.02)
     conf = G.split_confidence(cuts, K)
-    return (inst.groupBy("site_id", "component", "instance").agg(F.count("*").alias("cells"), F.count_distinct("candidate").alias("candidates"))
-            .join(conf, ["site_id", "instance"], "left").withColumn("split_confidence", F.coalesce("split_confidence", F.lit("unsplit"))))
+    out = inst.join(cells.select(*K, "row", "col", "label"), [*K, "row", "col"]).select(*K, "component", "label", "candidate", "instance").distinct()
+    return out.join(conf, ["site_id", "instance"], "left").withColumn("split_confidence", F.coalesce("split_confidence", F.lit("unsplit"))).select(*K, "component", "label", "candidate", "instance", "split_confidence")
 
 
 RAG = B.COMPONENTS + """, rg AS (SELECT k.site_id, k.r, k.c, component, component*4096 + (k.r//4)*16 + k.c//4 l, total, n, total % 4 = 0 strong FROM comp k JOIN raster USING (site_id, r, c)),

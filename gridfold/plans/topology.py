@@ -291,13 +291,12 @@ def roads(spark, folder):
     return lines.select("site_id", "s.*")
 
 
-@query("J8_neighbour_counts", B.with_ctes(B.AREA, """, ce AS (SELECT site_id, feature_id, 2*x0+w x, 2*y0+h y FROM ar WHERE NOT lshape)
-  SELECT a.site_id, a.feature_id, count(*) - 1 neighbours FROM ce a JOIN ce b ON a.site_id=b.site_id AND b.x BETWEEN a.x-60 AND a.x+60 AND b.y BETWEEN a.y-60 AND a.y+60
-   AND (a.x-b.x)**2 + (a.y-b.y)**2 <= 3600 GROUP BY ALL"""))
+@query("J8_neighbour_counts", B.with_ctes(B.AREA, """, ce AS (SELECT site_id, feature_id, round((x0 + CASE WHEN lshape THEN (w*h*w/2.0 - (w-w//2)*(h-h//2)*(w//2+(w-w//2)/2.0))/n ELSE w/2.0 END)*0.1, 6) x, round((y0 + CASE WHEN lshape THEN (w*h*h/2.0 - (w-w//2)*(h-h//2)*(h//2+(h-h//2)/2.0))/n ELSE h/2.0 END)*0.1, 6) y FROM ar)
+  SELECT a.site_id, a.feature_id, count(*) - 1 neighbours FROM ce a JOIN ce b ON a.site_id=b.site_id AND b.x BETWEEN a.x-3.1 AND a.x+3.1 AND b.y BETWEEN a.y-3.1 AND a.y+3.1
+   AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) <= 9.0 + 1e-9 GROUP BY ALL"""))
 def neighbours(spark, folder):
-    """Rectangles only (centres on the half-cell grid), radius 3 m."""
-    fp = B._rings(B.boxes(spark, folder).where("not lshape"))
-    pts = pin(fp, c=M.centroid(R())).select("site_id", "feature_id", F.round("c.x", 4).alias("x"), F.round("c.y", 4).alias("y"))
+    """Centroids within 3 m of each footprint's."""
+    pts = pin(B.footprints(spark, folder), c=M.centroid(R())).select("site_id", "feature_id", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"))
     return P.neighbour_counts(pts, ["site_id"], "feature_id", 3.0)
 
 
@@ -352,10 +351,10 @@ def near_gaps(spark, folder):
     return O.gap_conflicts(d, B.RES).select("site_id", "feature_type", "gap", "features")
 
 
-@query("P13_ring_validity", B.with_ctes(B.FP, """SELECT feature_id, CASE WHEN ok % 53 = 1 THEN 'not_closed,too_few_points' WHEN ok % 51 = 1 THEN 'not_closed' WHEN ok % 50 = 1 THEN 'self_intersection' ELSE '' END faults FROM fp WHERE NOT lshape"""))
+@query("P13_ring_validity", B.with_ctes(B.FP, """SELECT feature_id, CASE WHEN ok % 53 = 1 THEN 'not_closed,too_few_points' WHEN ok % 51 = 1 THEN 'not_closed' WHEN ok % 50 = 1 THEN 'self_intersection' ELSE '' END faults FROM fp"""))
 def validity(spark, folder):
-    """Some rectangles are broken on purpose: twisted, left open, or cut to three points."""
-    fp = B._rings(B.boxes(spark, folder).where("not lshape")).withColumn("r", F.col("rings")[0])
+    """Some shapes are broken on purpose: twisted, left open, or cut to three points."""
+    fp = B._rings(B.boxes(spark, folder)).withColumn("r", F.col("rings")[0])
     broken = (F.when(F.col("ok") % 53 == 1, F.slice("r", 1, 3)).when(F.col("ok") % 51 == 1, F.slice("r", 1, 4))
               .when(F.col("ok") % 50 == 1, F.array(*[F.col("r")[i] for i in (0, 2, 1, 3, 0)])).otherwise(F.col("r")))
     return fp.select("feature_id", F.array_join(O.ring_faults(F.array(broken)), ",").alias("faults"))
@@ -370,12 +369,11 @@ def coordinate_gates(spark, folder):
     return fp.select("feature_id", F.array_join(O.coordinate_codes(lonlat, F.lit(True), site), ",").alias("codes"))
 
 
-@query("P9_seam_distance", B.with_ctes(B.AREA, """, c AS (SELECT feature_id, x0*2+w x2, y0*2+h y2 FROM ar WHERE NOT lshape)
- SELECT feature_id, round(least((x2/2.0)%384, 384-(x2/2.0)%384, (y2/2.0)%384, 384-(y2/2.0)%384)*0.1, 4) seam_m FROM c"""))
+@query("P9_seam_distance", B.with_ctes(B.AREA, """, c AS (SELECT feature_id, x0 + CASE WHEN lshape THEN (w*h*w/2.0 - (w-w//2)*(h-h//2)*(w//2+(w-w//2)/2.0))/n ELSE w/2.0 END x, y0 + CASE WHEN lshape THEN (w*h*h/2.0 - (w-w//2)*(h-h//2)*(h//2+(h-h//2)/2.0))/n ELSE h/2.0 END y FROM ar)
+ SELECT feature_id, round(least(x%384, 384-x%384, y%384, 384-y%384)*0.1, 6) seam_m FROM c"""))
 def seams(spark, folder):
-    d = B._rings(B.boxes(spark, folder).where("not lshape"))
-    d = pin(d, c=M.centroid(R()))
-    return d.select("feature_id", F.round(M.seam_distance(F.col("c.x") / 0.1, F.col("c.y") / 0.1, 384, 0.1), 4).alias("seam_m"))
+    d = pin(B.footprints(spark, folder), c=M.centroid(R()))
+    return d.select("feature_id", F.round(M.seam_distance(F.col("c.x") / 0.1, F.col("c.y") / 0.1, 384, 0.1), 6).alias("seam_m"))
 
 
 @query("P26_confidence", B.with_ctes(B.FP, """SELECT feature_id, ok % 3 <> 0 has_confidence, CASE WHEN ok % 3 <> 0 THEN round((ok % 100)/100.0, 6) END confidence FROM fp"""))
