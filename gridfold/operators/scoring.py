@@ -1,6 +1,8 @@
 """Pixel and object scores of footprints against reviewed labels, per window and overall."""
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,7 @@ from gridfold import settings as T
 from gridfold.operators import pairs as P
 from gridfold.operators import spans as S
 from gridfold.operators.components import span_parts
+from gridfold.operators.merging import per_group
 from gridfold.session import cut
 
 WKEYS = ["site_id", "window_id"]
@@ -99,65 +102,81 @@ def greedy_match(pairs: DataFrame, keys=WKEYS) -> DataFrame:
     return left.select(*keys, "pred", "label", "iou") if matched is None else matched.select(*keys, "pred", "label", "iou")
 
 
-def assignment(cost: np.ndarray) -> list[int]:
-    """Column of each row in a cheapest full assignment (rows <= columns), by shortest
-    augmenting paths with row and column potentials."""
-    n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    row_of, way = np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        row_of[0], j = i, 0
-        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
-        while row_of[j]:
-            used[j] = True
-            slack = cost[row_of[j] - 1] - u[row_of[j]] - v[1:]
-            better = ~used[1:] & (slack < least[1:])
-            least[1:][better], way[1:][better] = slack[better], j
-            nxt = 1 + int(np.argmin(np.where(used[1:], np.inf, least[1:])))
-            delta = least[nxt]
-            u[row_of[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            j = nxt
-        while j:
-            row_of[j] = row_of[way[j]]
-            j = way[j]
-    out = [0] * n
-    for j in range(1, m + 1):
-        if row_of[j]:
-            out[row_of[j] - 1] = j - 1
-    return out
+def best_matching(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """Of the pairs (u, v, gain > 0) as many as possible with every u and v used once, and of all
+    such choices one with the largest sum of gains.
+
+    Shortest augmenting paths with potentials over neighbour lists: a search touches only the
+    pairs it needs, and memory is in proportion to their number.  Each u also has a costly place of its
+    own, where it ends up if it stays single.
+    """
+    near: dict[int, list[tuple[object, float]]] = {}
+    for u, v, gain in pairs:
+        near.setdefault(u, []).append((v, -gain))
+    single = 1.0 + 2.0 * sum(max(-c for _, c in ways) for ways in near.values())
+    for u, ways in near.items():
+        ways.append((("single", u), single))
+    rise: dict[int, float] = dict.fromkeys(near, 0.0)
+    fall: dict[object, float] = {}
+    holder: dict[object, int] = {}
+    place: dict[int, object] = {}
+    for start in sorted(near):
+        far, came, done, heap, order = {}, {}, {}, [], 0
+        u, base = start, 0.0
+        while True:
+            for v, cost in near[u]:
+                reach = base + cost - rise[u] - fall.get(v, 0.0)
+                if v not in done and (v not in far or reach < far[v]):
+                    far[v], came[v] = reach, u
+                    order += 1
+                    heapq.heappush(heap, (reach, order, v))
+            base, _, v = heapq.heappop(heap)
+            while v in done or base > far[v]:  # an entry that a shorter way has replaced
+                base, _, v = heapq.heappop(heap)
+            if v not in holder:
+                break
+            done[v] = base
+            u = holder[v]
+        rise[start] += base
+        for w, reach in done.items():
+            rise[holder[w]] += base - reach
+            fall[w] = fall.get(w, 0.0) - (base - reach)
+        while True:  # every u on the way moves on to the next place
+            u = came[v]
+            old = place.get(u)
+            holder[v], place[u] = u, v
+            if u == start:
+                break
+            v = old
+    return [(u, v) for v, u in holder.items() if not isinstance(v, tuple)]
 
 
 def optimal_match(pairs: DataFrame, keys=WKEYS) -> DataFrame:
     """Matching with the most eligible pairs, then the largest IoU sum: ``keys, pred, label, iou``.
 
     Only pairs that compete for an end need solving: a pair whose ends occur once is a match
-    outright.  The rest is solved per component of the eligible graph, which overlap keeps
-    local (IoU >= 0.5 limits how many shapes can contend).
+    outright.  The rest is solved per component of the eligible graph; overlap keeps these small, since an IoU of 0.5 limits how many shapes can contend.
     """
     from gridfold.operators.components import graph_components
-    pairs = cut(pairs.select(*keys, "pred", "label", "iou").withColumn("u", F.xxhash64(F.lit(0), "pred")).withColumn("v", F.xxhash64(F.lit(1), "label")))
-    busy = pairs.groupBy(*keys, "u").agg(F.count("*").alias("n")).where("n > 1").select(*keys, "u")
-    busy_l = pairs.groupBy(*keys, "v").agg(F.count("*").alias("n")).where("n > 1").select(*keys, "v")
-    marked = cut(pairs.join(busy.withColumn("bu", F.lit(1)), [*keys, "u"], "left").join(busy_l.withColumn("bv", F.lit(1)), [*keys, "v"], "left"))
-    free = marked.where("bu is null and bv is null").select(*keys, "pred", "label", "iou")
-    rest = marked.where("bu is not null or bv is not null").drop("bu", "bv")
+    pairs = cut(pairs.select(*keys, "pred", "label", "iou"))
+    for end in ("pred", "label"):
+        busy = pairs.groupBy(*keys, end).agg((F.count("*") > 1).alias(f"_{end}"))
+        pairs = pairs.join(busy, [*keys, end])
+    pairs = cut(pairs)
+    free = pairs.where("not _pred and not _label").select(*keys, "pred", "label", "iou")
+    rest = pairs.where("_pred or _label").select(*keys, "pred", "label", "iou")
+    for end, node, odd in (("pred", "u", 0), ("label", "v", 1)):  # ends of any type become numbers; places in a checkpoint stay
+        names = cut(rest.select(*keys, end).distinct()).withColumn(node, F.monotonically_increasing_id() * 2 + odd)
+        rest = rest.join(names, [*keys, end])
+    rest = cut(rest)
     roots = graph_components(rest.select(*keys, "u", "v"), list(keys)).withColumnRenamed("node", "u")
-    grouped = rest.join(roots, [*keys, "u"]).withColumn("rid", F.struct("pred", "label"))
-    schema = ", ".join(f"{k} {grouped.schema[k].dataType.simpleString()}" for k in keys) + ", u long, v long"
+    schema = ", ".join(f"{k} {rest.schema[k].dataType.simpleString()}" for k in keys) + ", u long, v long"
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        us, vs = np.unique(pdf["u"]), np.unique(pdf["v"])
-        gain = np.zeros((len(us), len(vs)))
-        gain[np.searchsorted(us, pdf["u"]), np.searchsorted(vs, pdf["v"])] = min(len(us), len(vs)) + 1 + pdf["iou"].to_numpy()
-        flip = len(us) > len(vs)
-        pick = assignment(-(gain.T if flip else gain))
-        got = [(j, i) if flip else (i, j) for i, j in enumerate(pick)]
-        got = [(us[i], vs[j]) for i, j in got if gain[i, j] > 0]
-        return pd.DataFrame([(*[pdf[k].iloc[0] for k in keys], a, b) for a, b in got], columns=[*keys, "u", "v"])
-
-    won = grouped.select(*keys, "root", "u", "v", "iou").groupBy(*keys, "root").applyInPandas(solve, schema)
+        got = best_matching(list(pdf[["u", "v", "iou"]].itertuples(index=False, name=None)))
+        return pd.DataFrame(got, columns=["u", "v"]).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "u", "v"]]
+
+    won = per_group(cut(rest.join(roots, [*keys, "u"]).select(*keys, "root", "u", "v", "iou")), [*keys, "root"], solve, schema)
     return free.unionByName(rest.join(won, [*keys, "u", "v"], "left_semi").select(*keys, "pred", "label", "iou"))
 
 

@@ -114,9 +114,23 @@ def window_scores(spark, folder):
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
-@query("A6_optimal_matches")
+# per component all sets of used labels, with the best (pairs, sum) each: one prediction a step
+OPTIMAL = WIN + """, el AS (SELECT site_id, window_id, pred, label, inter / (pn + tn - inter) iou FROM ov WHERE inter / (pn + tn - inter) >= 0.5),
+ pp AS (SELECT DISTINCT a.site_id, a.window_id, a.pred u, b.pred v FROM el a JOIN el b USING (site_id, window_id, label)),
+ pr AS (SELECT site_id, window_id, u, v FROM pp UNION SELECT r.site_id, r.window_id, r.u, p.v FROM pr r JOIN pp p ON p.site_id=r.site_id AND p.window_id=r.window_id AND p.u=r.v),
+ pk AS (SELECT site_id, window_id, u pred, min(v) root, row_number() OVER (PARTITION BY site_id, window_id, min(v) ORDER BY u) k FROM pr GROUP BY site_id, window_id, u),
+ ek AS (SELECT site_id, window_id, root, k, label, iou FROM el JOIN pk USING (site_id, window_id, pred) UNION ALL SELECT site_id, window_id, root, k, NULL, 0 FROM pk),
+ dp AS (SELECT DISTINCT site_id, window_id, root, CAST(0 AS BIGINT) k, CAST([] AS BIGINT[]) used, {'n': CAST(0 AS BIGINT), 's': CAST(0 AS DOUBLE)} best FROM pk
+   UNION ALL SELECT d.site_id, d.window_id, d.root, d.k + 1, CASE WHEN e.label IS NULL THEN d.used ELSE list_sort(list_append(d.used, e.label)) END,
+     max({'n': CAST(d.best.n + (e.label IS NOT NULL)::BIGINT AS BIGINT), 's': CAST(d.best.s + e.iou AS DOUBLE)}) FROM dp d JOIN ek e ON e.site_id=d.site_id AND e.window_id=d.window_id AND e.root=d.root AND e.k = d.k + 1 AND (e.label IS NULL OR NOT list_contains(d.used, e.label)) GROUP BY ALL),
+ db AS (SELECT site_id, window_id, root, max(best) b FROM (SELECT *, max(k) OVER (PARTITION BY site_id, window_id, root) last FROM dp) WHERE k = last GROUP BY ALL),
+ ca AS (SELECT site_id, window_id, pred, count(*) n FROM el GROUP BY ALL), cb AS (SELECT site_id, window_id, label, count(*) n FROM el GROUP BY ALL)"""
+
+
+@query("A6_optimal_matches", B.with_ctes(OPTIMAL, """SELECT * FROM (SELECT site_id, window_id, CAST(sum(b.n) AS BIGINT) tp, round(sum(b.s), 6) iou_sum FROM db GROUP BY ALL)
+   JOIN (SELECT site_id, window_id, count(*) FILTER (n > 1) merge_candidates FROM ca GROUP BY ALL) USING (site_id, window_id) JOIN (SELECT site_id, window_id, count(*) FILTER (n > 1) split_candidates FROM cb GROUP BY ALL) USING (site_id, window_id)""", True))
 def optimal_matches(spark, folder):
-    """Optimal one-to-one matches and contention counts (checked by brute force in tests)."""
+    """Optimal one-to-one matches and contention counts."""
     preds, labels, win = inputs(spark, folder)
     truth, _, pieces = C.prepare(preds, labels, win, MIN_CELLS)
     pairs = cut(C.candidate_matches(truth, pieces))
