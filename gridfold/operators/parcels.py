@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridfold import settings as T
 from gridfold.operators import spans as S
+from gridfold.operators.chains import ordered_lines
 from gridfold.operators.components import cell_components
 from gridfold.session import cut
 
@@ -57,9 +58,70 @@ def wall_sides(walls: DataFrame, face_cells: DataFrame, keys: list[str]) -> Data
 
 
 def unresolved_length(sides: DataFrame, keys: list[str], res: float) -> DataFrame:
-    """Length of linework that bounds nothing: edges with the same face on both sides."""
-    loose = sides.where(F.col("face_a").eqNullSafe(F.col("face_b"))).select(*keys, "x", "y", "across").distinct()
-    return loose.groupBy(*keys).agg(F.round(F.count("*") * res, 3).alias("unresolved_m"))
+    """Length of linework that bounds nothing, by kind: ``keys, cuts_m, dangles_m, unresolved_m``."""
+    size = lambda kind: F.round(F.count_if(F.col("kind") == kind) * res, 3)
+    return loose_lines(sides, keys).groupBy(*keys).agg(size("cut").alias("cuts_m"), size("dangle").alias("dangles_m"), F.round(F.count("*") * res, 3).alias("unresolved_m"))
+
+
+def loose_lines(sides: DataFrame, keys: list[str]) -> DataFrame:
+    """Wall edges that bound nothing (``keys, x, y, across, kind``): ``dangle`` where pruning open ends again and
+    again removes them, ``cut`` where they join what bounds faces.
+
+    Whole lines between branchings go at a time (``ordered_lines``), so the rounds follow the depth of
+    branching, not the length of a line.
+    """
+    flat = sides.select(*keys, "x", "y", "across", F.col("face_a").eqNullSafe(F.col("face_b")).alias("loose")).groupBy(*keys, "x", "y", "across").agg(F.bool_and("loose").alias("loose"))
+    code = lambda x, y: y.cast("long") * (1 << 31) + x
+    ends = F.array(code(F.col("x"), F.col("y")), F.when(F.col("across"), code(F.col("x") + 1, F.col("y"))).otherwise(code(F.col("x"), F.col("y") + 1)))
+    flat = cut(flat.withColumn("ends", ends))
+    held = flat.where("not loose").select(*keys, F.explode("ends").alias("node")).distinct().withColumn("held", F.lit(True))
+    left = flat.where("loose").select(*keys, "x", "y", "across", F.col("ends")[0].alias("u"), F.col("ends")[1].alias("v"))
+    for end in ("u", "v"):  # where an end is held by a boundary the line stops: each edge gets an end of its own there
+        left = left.join(held.withColumnRenamed("node", end), [*keys, end], "left").withColumnRenamed("held", f"held_{end}")
+    own = lambda k: -(code(F.col("x"), F.col("y")) * 4 + F.col("across").cast("long") * 2 + k + 1)
+    left = cut(left.select(*keys, "x", "y", "across", F.when(F.col("held_u"), own(0)).otherwise(F.col("u")).alias("u"), F.when(F.col("held_v"), own(1)).otherwise(F.col("v")).alias("v")))
+    gone = None
+    while True:
+        lines = ordered_lines(left.select(*keys, "u", "v"), keys)
+        deg = left.select(*keys, F.explode(F.array("u", "v")).alias("node")).groupBy(*keys, "node").agg(F.count("*").alias("d")).where("d = 1 and node >= 0").select(*keys, "node")
+        start = lines.where("pos = 0").select(*keys, "first", "second", F.col("first").alias("node"))
+        stop = lines.where("pos = edges - 1").select(*keys, "first", "second", F.col("v").alias("node"))
+        open_ = start.unionByName(stop).join(deg, [*keys, "node"]).select(*keys, "first", "second").distinct()
+        marked = lines.join(open_, [*keys, "first", "second"], "left_semi").select(*keys, F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+        marked = cut(left.withColumn("a", F.least("u", "v")).withColumn("b", F.greatest("u", "v")).join(marked, [*keys, "a", "b"], "left_semi").drop("a", "b"))
+        if marked.isEmpty():
+            cuts = left.withColumn("kind", F.lit("cut"))
+            out = cuts if gone is None else gone.withColumn("kind", F.lit("dangle")).unionByName(cuts)
+            return out.select(*keys, "x", "y", "across", "kind")
+        gone = marked if gone is None else gone.unionByName(marked)
+        left = cut(left.join(marked.select(*keys, "u", "v"), [*keys, "u", "v"], "left_anti"))
+
+
+def propose_parcels(face_cells: DataFrame, survey: DataFrame, exclusions: DataFrame, existing: DataFrame, keys: list[str], res: float,
+                    tiny: float = 0.01, tol: float = 0.01) -> DataFrame:
+    """Every face with what becomes of it: ``keys, face, cells, decision, existing_id``.
+
+    ``decision`` is the first that holds: ``tiny`` (area at most ``tiny`` m2), ``outside_survey_extent``,
+    ``excluded_area_intersection``, ``equal_to_existing``, ``existing_parcel_overlap`` (the last three by more, or
+    no more, than ``tol`` m2); else ``proposed``.  ``survey`` and ``exclusions`` are cells (``keys, row, col``; no survey rows of a
+    key: no limit there), ``existing`` cells with ``parcel_id``.  ``existing_id`` is the equal parcel, or else the smallest overlapping one.
+    """
+    at = [*keys, "row", "col"]
+    zones = survey.select(*at).distinct().withColumn("_in", F.lit(1)), exclusions.select(*at).distinct().withColumn("_bad", F.lit(1))
+    limited = survey.select(*keys).distinct().withColumn("_limited", F.lit(True))
+    own = face_cells.join(zones[0], at, "left").join(zones[1], at, "left").groupBy(*keys, "face").agg(F.count("*").alias("cells"), F.count("_in").alias("inside"), F.count("_bad").alias("banned"))
+    sizes = existing.groupBy(*keys, "parcel_id").agg(F.count("*").alias("size"))
+    met = face_cells.join(existing.select(*at, "parcel_id"), at).groupBy(*keys, "face", "parcel_id").agg(F.count("*").alias("shared"))
+    met = met.join(sizes, [*keys, "parcel_id"]).join(own.select(*keys, "face", "cells"), [*keys, "face"])
+    cell = res * res
+    equal = (F.col("cells") + F.col("size") - 2 * F.col("shared")) * cell <= tol
+    met = met.groupBy(*keys, "face").agg(F.min(F.when(equal, F.col("parcel_id"))).alias("same"), F.min(F.when(F.col("shared") * cell > tol, F.col("parcel_id"))).alias("over"))
+    all_ = own.join(limited, keys, "left").join(met, [*keys, "face"], "left")
+    decision = (F.when(F.col("cells") * cell <= tiny, "tiny").when(F.col("_limited") & (F.col("inside") < F.col("cells")), "outside_survey_extent")
+                .when(F.col("banned") * cell > tol, "excluded_area_intersection").when(F.col("same").isNotNull(), "equal_to_existing")
+                .when(F.col("over").isNotNull(), "existing_parcel_overlap").otherwise("proposed"))
+    known = F.when(decision == "equal_to_existing", F.col("same")).when(decision == "existing_parcel_overlap", F.col("over"))
+    return all_.select(*keys, "face", "cells", decision.alias("decision"), known.alias("existing_id"))
 
 
 def face_support(sides: DataFrame, keys: list[str], res: float) -> DataFrame:

@@ -84,8 +84,9 @@ def extents(spark, folder):
     return B.boxes(spark, folder).select("site_id").distinct().selectExpr("site_id", "0 r0", "32 r1", "0 c0", "32 c1")
 
 
-WALLS = B.FP + """, ln AS (SELECT DISTINCT site_id, -1-i line_id, x, 8*i y, true across FROM fp, range(5) a(i), range(32) b(x) UNION ALL SELECT DISTINCT site_id, -11-i, 8*i, y, false FROM fp, range(5) a(i), range(32) b(y)
-   UNION ALL SELECT site_id, feature_id, x0%24 + k, y0%32, true FROM fp, range(6) t(k) WHERE ok % 40 = 0 AND k <= w % 6),
+def walls_sql(more: str = "") -> str:
+    return B.FP + """, ln AS (SELECT DISTINCT site_id, -1-i line_id, x, 8*i y, true across FROM fp, range(5) a(i), range(32) b(x) UNION ALL SELECT DISTINCT site_id, -11-i, 8*i, y, false FROM fp, range(5) a(i), range(32) b(y)
+   UNION ALL SELECT site_id, feature_id, x0%24 + k, y0%32, true FROM fp, range(6) t(k) WHERE ok % 40 = 0 AND k <= w % 6""" + more + """),
  ws AS (SELECT DISTINCT site_id, x, y, across FROM ln), g AS (SELECT site_id, r, c FROM (SELECT DISTINCT site_id FROM fp), range(32) a(r), range(32) b(c)),
  st AS (SELECT a.site_id, a.r*32+a.c u, a.r*32+a.c+1 v FROM g a LEFT JOIN ws w ON w.site_id=a.site_id AND NOT across AND w.x=a.c+1 AND w.y=a.r WHERE a.c < 31 AND w.x IS NULL
    UNION ALL SELECT a.site_id, a.r*32+a.c, a.r*32+a.c+32 FROM g a LEFT JOIN ws w ON w.site_id=a.site_id AND across AND w.x=a.c AND w.y=a.r+1 WHERE a.r < 31 AND w.x IS NULL),
@@ -93,6 +94,9 @@ WALLS = B.FP + """, ln AS (SELECT DISTINCT site_id, -1-i line_id, x, 8*i y, true
  fc AS (SELECT site_id, u//32 r, u%32 c, min(v) face FROM rc GROUP BY site_id, u)"""
 
 
+WALLS = walls_sql()
+
+
 def faces(spark, folder):
     walls = cut(A.wall_edges(lines(spark, folder), K, 1.0))
     f = A.faces(walls, extents(spark, folder), K, 16)
@@ -108,12 +112,44 @@ SIDES = WALLS + """, sd AS (SELECT l.*, a.face fa, b.face fb FROM ln l LEFT JOIN
   LEFT JOIN fc b ON b.site_id=l.site_id AND b.r=y AND b.c=x)"""
 
 
-@query("R20_unresolved_lines", B.with_ctes(SIDES, "SELECT site_id, round(count(*)*1.0, 3) unresolved_m FROM (SELECT DISTINCT site_id, x, y, across FROM sd WHERE fa IS NOT DISTINCT FROM fb) GROUP BY ALL", True))
+# open ends are pruned step by step; what is loose and stays is a cut
+PRUNED = SIDES + """, un AS (SELECT site_id, x, y, across, bool_and(fa IS NOT DISTINCT FROM fb) loose, y*100+x p, CASE WHEN across THEN y*100+x+1 ELSE (y+1)*100+x END q FROM sd GROUP BY ALL),
+ pn AS (SELECT *, 0 it FROM un UNION ALL
+   (WITH dg AS (SELECT site_id, node, count(*) d FROM (SELECT site_id, unnest([p, q]) node FROM pn) GROUP BY ALL),
+    lf AS (SELECT n.*, a.d = 1 OR b.d = 1 leaf FROM pn n JOIN dg a ON a.site_id=n.site_id AND a.node=n.p JOIN dg b ON b.site_id=n.site_id AND b.node=n.q)
+    SELECT site_id, x, y, across, loose, p, q, it + 1 FROM (SELECT *, bool_or(leaf) OVER (PARTITION BY site_id) any_ FROM lf) WHERE any_ AND NOT leaf)),
+ ls AS (SELECT * FROM (SELECT *, max(it) OVER (PARTITION BY site_id) last FROM pn) WHERE it = last)"""
+
+
+@query("R20_unresolved_lines", B.with_ctes(PRUNED, """SELECT u.site_id, round(count(l.it)*1.0, 3) cuts_m, round((count(*) - count(l.it))*1.0, 3) dangles_m, round(count(*)*1.0, 3) unresolved_m
+   FROM un u LEFT JOIN ls l USING (site_id, x, y, across) WHERE u.loose GROUP BY ALL""", True))
 def unresolved(spark, folder):
     walls, f = faces(spark, folder)
     return A.unresolved_length(A.wall_sides(walls, f, K), K, 1.0)
 
 
+YARD = """ UNION ALL SELECT DISTINCT site_id, -21, 2, y, false FROM fp, range(2, 3) b(y) UNION ALL SELECT DISTINCT site_id, -22, 3, 2, false FROM fp UNION ALL SELECT DISTINCT site_id, -23, 2, 2, true FROM fp UNION ALL SELECT DISTINCT site_id, -24, 2, 3, true FROM fp"""
+CHAIN = walls_sql(YARD) + """, ex AS (SELECT site_id, 7 id, r, c FROM g WHERE r < 8 AND c BETWEEN 16 AND 23 UNION ALL SELECT site_id, 8, r, c FROM g WHERE r BETWEEN 4 AND 11 AND c BETWEEN 8 AND 11),
+ es AS (SELECT site_id, id, count(*) size FROM ex GROUP BY ALL), ow AS (SELECT site_id, face, count(*) cells, count(*) FILTER (site_id % 2 = 1 OR r < 28) inside, count(*) FILTER (site_id % 3 = 0 AND r BETWEEN 18 AND 20 AND c = 19) banned FROM fc GROUP BY ALL),
+ mt AS (SELECT site_id, face, min(CASE WHEN cells + size - 2 * shared <= 0.01 THEN id END) same, min(id) FILTER (shared > 0.01) over_ FROM (SELECT site_id, face, id, count(*) shared FROM fc JOIN ex USING (site_id, r, c) GROUP BY ALL) JOIN es USING (site_id, id) JOIN ow USING (site_id, face) GROUP BY ALL),
+ dc AS (SELECT *, CASE WHEN cells <= 1.0 THEN 'tiny' WHEN site_id % 2 = 0 AND inside < cells THEN 'outside_survey_extent' WHEN banned > 0.01 THEN 'excluded_area_intersection' WHEN same IS NOT NULL THEN 'equal_to_existing'
+   WHEN over_ IS NOT NULL THEN 'existing_parcel_overlap' ELSE 'proposed' END decision FROM ow LEFT JOIN mt USING (site_id, face))"""
+
+
+@query("R19_parcel_proposals", B.with_ctes(CHAIN, "SELECT site_id, face, cells, decision, CASE decision WHEN 'equal_to_existing' THEN same WHEN 'existing_parcel_overlap' THEN over_ ELSE -1 END existing_id FROM dc", True))
+def proposals(spark, folder):
+    """Faces with a yard of one cell more, against a survey extent (even sites), an excluded strip (every third site) and two parcels that stand already."""
+    sites = B.boxes(spark, folder).select("site_id").distinct()
+    yard = sites.selectExpr("site_id", "explode(array(named_struct('l', -21L, 'a', 2D, 'b', 2D, 'c', 2D, 'd', 3D), named_struct('l', -22L, 'a', 3D, 'b', 2D, 'c', 3D, 'd', 3D), named_struct('l', -23L, 'a', 2D, 'b', 2D, 'c', 3D, 'd', 2D), named_struct('l', -24L, 'a', 2D, 'b', 3D, 'c', 3D, 'd', 3D))) s")
+    walls = A.wall_edges(lines(spark, folder).unionByName(yard.selectExpr("site_id", "s.l line_id", "s.a x1", "s.b y1", "s.c x2", "s.d y2")), K, 1.0)
+    f = cut(A.faces(cut(walls), extents(spark, folder), K, 16).withColumn("face", F.expr("(face div 2147483648) * 32 + face % 2147483648")))
+    cells = lambda df, rows, cols, *more: df.selectExpr("site_id", f"explode(sequence({rows})) row", *more).selectExpr("*", f"explode(sequence({cols})) col")
+    survey = cells(sites.where("site_id % 2 = 0"), "0, 27", "0, 31")
+    banned = cells(sites.where("site_id % 3 = 0"), "18, 20", "19, 19")
+    standing = cells(sites, "0, 7", "16, 23", "7L parcel_id").unionByName(cells(sites, "4, 11", "8, 11", "8L parcel_id"))
+    return A.propose_parcels(f, survey, banned, standing, K, 1.0, tiny=1.0).na.fill(-1, ["existing_id"])
+
+
 SUPPORT = SIDES + ", su AS (SELECT site_id, face, count(DISTINCT line_id) lines, count(DISTINCT (x, y, across)) len FROM (SELECT *, unnest([fa, fb]) face FROM sd WHERE fa IS DISTINCT FROM fb) WHERE face IS NOT NULL GROUP BY ALL)"
 
 

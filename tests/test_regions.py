@@ -194,6 +194,11 @@ def test_parcel_faces_and_loose_line(spark):
     assert sorted(r["count"] for r in f.groupBy("face").count().collect()) == [200, 200]
     sides = A.wall_sides(walls, f, ["site_id"])
     assert A.unresolved_length(sides, ["site_id"], 1.0).first().unresolved_m == 5
+    more = [*lines, (0, 7, 3, 10, 7, 10), (0, 8, 7, 8, 7, 12), (0, 9, 14, 0, 14, 3), (0, 10, 16, 3, 16, 6), (0, 11, 16, 6, 18, 6), (0, 12, 18, 6, 18, 3), (0, 13, 18, 3, 16, 3), (0, 14, 14, 3, 16, 3)]
+    d = spark.createDataFrame([(s, i, *map(float, p)) for s, i, *p in more], "site_id int, line_id long, x1 double, y1 double, x2 double, y2 double")
+    walls = A.wall_edges(d, ["site_id"], 1.0)
+    r = A.unresolved_length(A.wall_sides(walls, A.faces(walls, ext, ["site_id"], 8), ["site_id"]), ["site_id"], 1.0).first()
+    assert (r.cuts_m, r.dangles_m, r.unresolved_m) == (5.0, 13.0, 18.0)  # a bridge to an inner ring; a branched line and the loose one
     assert sorted(r.boundary_m for r in A.face_support(sides, ["site_id"], 1.0).collect()) == [60, 60]
 
 
