@@ -10,6 +10,7 @@ from gridfold import settings as T
 from gridfold.functions import measures as M
 from gridfold.operators import pairs as P
 from gridfold.operators import spans as S
+from gridfold.operators.hulls import region_sides
 from gridfold.operators.components import cell_components
 from gridfold.operators.order import number_in_order
 from gridfold.session import cut, pin
@@ -162,13 +163,16 @@ def closing_gaps(features: DataFrame, res: float, width: float = T.GAP_MAX_WIDTH
 
 def gap_conflicts(features: DataFrame, res: float, keys: list[str] = KEYS, fid: str = "id",
                   min_area: float = T.GAP_MIN_AREA, min_length: float = T.GAP_MIN_LENGTH, width: float = T.GAP_MAX_WIDTH) -> DataFrame:
-    """Gap slivers: 4-connected gap regions of at least .1 m2 and 1 m (longer box side) that
-    touch two or more footprints: ``keys, gap, cells, features``."""
+    """Gap slivers: 4-connected gap regions of at least .1 m2 and 1 m (longer side of the smallest rotated
+    rectangle) that touch two or more footprints: ``keys, gap, cells, length_m, features, first_feature``."""
     comp = cut(cell_components(closing_gaps(features, res, width, keys), keys, tile=512))
     size = comp.groupBy(*keys, "component").agg(
         F.count("*").alias("cells"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("k0"), F.max("col").alias("k1"))
-    longer = F.greatest(F.col("r1") - F.col("r0"), F.col("k1") - F.col("k0")) + 1
-    big = size.where((F.col("cells") * res * res >= min_area - T.EPS) & (longer * res >= min_length - T.EPS)).select(*keys, "component", "cells")
+    across = F.hypot(F.col("r1") - F.col("r0") + 1, F.col("k1") - F.col("k0") + 1)  # no side is longer than this
+    size = cut(size.where((F.col("cells") * res * res >= min_area - T.EPS) & (across * res >= min_length - T.EPS)).select(*keys, "component", "cells"))
+    sides = region_sides(cut(comp.join(size.select(*keys, "component"), [*keys, "component"], "left_semi")), [*keys, "component"])
+    big = cut(size.join(sides.where(F.col("long_side") * res >= min_length - T.EPS), [*keys, "component"])
+              .select(*keys, "component", "cells", (F.col("long_side") * res).alias("length_m")))
     rim = comp.join(big.select(*keys, "component"), [*keys, "component"]).select(
         *keys, "component", F.explode(F.array(F.col("row") - 1, F.col("row"), F.col("row") + 1)).alias("row"),
         (F.col("col") - 1).alias("c0"), (F.col("col") + 2).alias("c1"))

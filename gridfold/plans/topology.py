@@ -165,7 +165,13 @@ GAPS = B.CELLS + """, un AS (SELECT DISTINCT site_id, feature_type, r, c FROM ce
  ge AS (SELECT a.site_id, a.feature_type, a.r*2147483648+a.c u, b.r*2147483648+b.c v FROM gap a JOIN gap b ON a.site_id=b.site_id AND a.feature_type=b.feature_type AND abs(a.r-b.r)+abs(a.c-b.c)=1 AND b.r BETWEEN a.r-1 AND a.r+1 AND (b.c=a.c OR b.r=a.r)),
  rc AS (SELECT site_id, feature_type, r*2147483648+c u, r*2147483648+c v FROM gap UNION SELECT k.site_id, k.feature_type, k.u, e.v FROM rc k JOIN ge e ON e.site_id=k.site_id AND e.feature_type=k.feature_type AND e.u=k.v),
  gc AS (SELECT site_id, feature_type, CAST(u//2147483648 AS BIGINT) r, CAST(u%2147483648 AS BIGINT) c, min(v) g FROM rc GROUP BY site_id, feature_type, u),
- big AS (SELECT site_id, feature_type, g, count(*) n FROM gc GROUP BY ALL HAVING count(*) >= 10 AND greatest(max(r)-min(r), max(c)-min(c))+1 >= 10),
+ bg AS (SELECT site_id, feature_type, g, count(*) n FROM gc GROUP BY ALL HAVING count(*) >= 10 AND sqrt((max(r)-min(r)+1)**2 + (max(c)-min(c)+1)**2) >= 10),
+ pt AS (SELECT DISTINCT site_id, feature_type, g, r + dy y, c_ x FROM (SELECT site_id, feature_type, g, r, unnest([lo, hi]) c_ FROM (SELECT site_id, feature_type, g, r, min(c) lo, max(c) + 1 hi FROM gc JOIN bg USING (site_id, feature_type, g) GROUP BY ALL)), range(2) d(dy)),
+ hs AS (SELECT p.site_id, p.feature_type, p.g, q.x - p.x dx, q.y - p.y dy FROM pt p JOIN pt q USING (site_id, feature_type, g) JOIN pt o USING (site_id, feature_type, g) WHERE p.x <> q.x OR p.y <> q.y
+   GROUP BY p.site_id, p.feature_type, p.g, p.x, p.y, q.x, q.y HAVING min((q.x-p.x)*(o.y-p.y) - (q.y-p.y)*(o.x-p.x)) >= 0),
+ hr AS (SELECT site_id, feature_type, g, (max(dx*x+dy*y) - min(dx*x+dy*y)) a, (max(dx*y-dy*x) - min(dx*y-dy*x)) b, any_value(dx*dx+dy*dy) q FROM (SELECT DISTINCT * FROM hs) JOIN pt USING (site_id, feature_type, g) GROUP BY site_id, feature_type, g, dx, dy),
+ hl AS (SELECT site_id, feature_type, g, sqrt(greatest(a, b)**2 / q) len FROM hr QUALIFY row_number() OVER (PARTITION BY site_id, feature_type, g ORDER BY a * b / q, greatest(a, b)**2 / q DESC) = 1),
+ big AS (SELECT site_id, feature_type, g, n, len * 0.1 length_m FROM bg JOIN hl USING (site_id, feature_type, g) WHERE len * 0.1 >= 1.0 - 1e-9),
  nr AS (SELECT DISTINCT q.site_id, q.feature_type, q.g, feature_id FROM (SELECT gc.*, dy, dx FROM gc JOIN big USING (site_id, feature_type, g), range(-1,2) a(dy), range(-1,2) b(dx)) q
    JOIN cells k ON k.site_id=q.site_id AND k.feature_type=q.feature_type AND k.r=q.r+dy AND k.c=q.c+dx)"""
 
@@ -339,10 +345,10 @@ def hausdorff(spark, folder):
     return d.select(F.col("a").alias("feature_id"), F.col("b").alias("label_id"), r6(F.col("hausdorff"), "hausdorff_m"))
 
 
-@query("R14_gap_slivers", B.with_ctes(GAPS, """SELECT site_id, feature_type, n cells, count(*) features, min(feature_id) first_feature FROM nr JOIN big USING (site_id, feature_type, g) GROUP BY site_id, feature_type, g, n HAVING count(*) >= 2""", True))
+@query("R14_gap_slivers", B.with_ctes(GAPS, """SELECT site_id, feature_type, n cells, round(length_m, 6) length_m, count(*) features, min(feature_id) first_feature FROM nr JOIN big USING (site_id, feature_type, g) GROUP BY site_id, feature_type, g, n, length_m HAVING count(*) >= 2""", True))
 def gaps(spark, folder):
     d = B.covered(B.footprints(spark, folder), "feature_id").select("site_id", "feature_type", "id", "spans")
-    return O.gap_conflicts(d, B.RES).drop("gap")
+    return O.gap_conflicts(d, B.RES).drop("gap").withColumn("length_m", F.round("length_m", 6))
 
 
 @query("J16_features_near_gaps", B.with_ctes(GAPS, """SELECT site_id, feature_type, g gap, count(*) features FROM nr JOIN big USING (site_id, feature_type, g) GROUP BY ALL HAVING count(*) >= 2""", True))
