@@ -8,7 +8,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = ["A4_window_scores", "J2_intersections", "J13_pair_relations", "A35_total_overlap", "J1_pairs_within", "P1_area", "R1_components",
-            "R6_separate_instances", "R3_growth", "R25_hann_blend", "R14_gap_slivers", "W1_snapshot", "W8_accepted_writes", "R30_lineage_sources",
+            "R6_separate_instances", "R7_gradient_flood", "R9_guided_cuts", "R3_growth", "R25_hann_blend", "R14_gap_slivers", "W1_snapshot", "W8_accepted_writes", "R30_lineage_sources",
             "A25_centroid_predict", "Q3_manifest_protocol", "R19_faces"]
 
 

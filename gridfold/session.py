@@ -12,8 +12,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-
 
 def build_session(app: str = "gridfold", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -54,12 +52,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after the row count is proven to be at most ``rows``."""
-    counted = df.limit(rows + 1).count()
-    return F.broadcast(df) if counted <= rows else df
-
-
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """Repartition only when the input has fewer splits than the session has cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
