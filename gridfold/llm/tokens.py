@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridfold.llm.common import row_chunks, texts_of
 
-CHUNK = 16 << 20   # bytes of text worked on at once (a longer text stands alone)
+CHUNK = 4 << 20    # bytes of text worked on at once (a longer text stands alone)
 LONG = 2048        # a longer sequence has its pairs in a heap: rounds over it would cost its square
 SPACE_MARK = "▁"
 NONE = np.iinfo(np.int32).max
