@@ -292,6 +292,15 @@ def polygonize(labels: DataFrame, keys: list[str], res: float, label: str = "lab
     return edges.groupBy(*keys, "label").applyInPandas(close, head + ", rings array<array<struct<x:double,y:double>>>")
 
 
+def class_polygons(cells: DataFrame, keys: list[str], klass: str, score: Column, res: float, min_area: float, tile: int = TILE, width: int = 1 << 31) -> DataFrame:
+    """One polygon for each 4-connected region of one class: ``keys, klass, component, cells, score, rings``.
+    ``score`` is averaged over the region's cells; regions below ``min_area`` m2 are dropped first."""
+    own = [*keys, klass]
+    lab = cut(cell_components(cells, own, tile, width=width).join(cells.withColumn("_s", score).select(*own, "row", "col", "_s"), [*own, "row", "col"]))
+    stats = lab.groupBy(*own, "component").agg(F.count("*").alias("cells"), F.avg("_s").alias("score"))
+    return stats.join(polygonize(lab.drop("_s"), own, res, "component", min_area).withColumnRenamed("label", "component"), [*own, "component"])
+
+
 def boundary_edges(labels: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
     """Unit edges between different labels with their geometry: ``keys, a, b, x1, y1, x2, y2``."""
     e = outline_runs(labels, keys, label)

@@ -213,6 +213,18 @@ def block_scores(spark, folder):
     return g.select(F.coalesce("block", F.lit("all")).alias("block"), "evaluated", "correct", F.round(F.col("u") / F.col("evaluated"), 8).alias("unknown_fraction"))
 
 
+@query("A18_block_class_scores", """WITH cf AS (SELECT unnest([lang || ':' || source, 'all']) AS block, CASE WHEN doc_id % 7 = 0 THEN 255 ELSE quality + toxic END ref, doc_id % 3 pred FROM documents JOIN labels USING (doc_id)),
+ cs AS (SELECT block, k class_id, count(*) FILTER (ref=k) actual, count(*) FILTER (pred=k) predicted, count(*) FILTER (ref=k AND pred=k) tp FROM (SELECT * FROM cf WHERE ref <> 255 AND block IS NOT NULL), range(3) t(k) GROUP BY ALL)
+ SELECT *, round(tp/nullif(actual+predicted-tp,0), 8) iou, round(tp/nullif(predicted,0), 8) precision_, round(tp/nullif(actual,0), 8) recall, round(2*tp/nullif(actual+predicted,0), 8) f1,
+  round(avg(tp/nullif(actual+predicted-tp,0)) OVER (PARTITION BY block), 8) macro_iou FROM cs""")
+def block_class_scores(spark, folder):
+    """Class scores of every block and of all blocks together."""
+    d = confusion_rows(spark, folder).withColumn("block", F.explode(F.array(F.concat(F.col("lang"), F.lit(":"), F.col("source")), F.lit("all")))).where("block is not null")
+    m = C.confusion(d, spark.range(3).select(F.col("id").cast("int").alias("class_id")), ["block"])
+    out = C.class_scores(m.select("block", "ref", "pred", "n"), ["block"]).withColumnRenamed("precision", "precision_")
+    return out.select(*[F.round(c, 8).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
 @query("A17_unknown_fraction", """SELECT lang, round(avg(CASE WHEN doc_id % 3 = 2 THEN 1.0 ELSE 0 END), 8) unknown_fraction, count(*) n FROM documents JOIN labels USING (doc_id) WHERE doc_id % 7 <> 0 GROUP BY ALL""")
 def unknown_fraction(spark, folder):
     d = confusion_rows(spark, folder).where("ref <> 255")

@@ -448,12 +448,19 @@ def arg_max(spark, folder):
 
 @query("R28_class_polygons", B.with_ctes(CLS + """, mm AS (SELECT * FROM cl WHERE k NOT IN (0, 255)), e AS (SELECT a.site_id, a.r*64+a.c u, b.r*64+b.c v FROM mm a JOIN mm b ON a.site_id=b.site_id AND a.k=b.k AND ((a.r=b.r AND abs(a.c-b.c)=1) OR (a.c=b.c AND abs(a.r-b.r)=1))),
  rc AS (SELECT site_id, r*64+c u, r*64+c v FROM mm UNION SELECT q.site_id, q.u, e.v FROM rc q JOIN e ON e.site_id=q.site_id AND e.u=q.v), cc AS (SELECT site_id, u, min(v) g FROM rc GROUP BY ALL)""",
-  "SELECT mm.site_id, CAST(k AS BIGINT) k, g component, count(*) cells, round(avg(p[CAST(k AS INTEGER)+1]), 6) score FROM mm JOIN cc ON cc.site_id=mm.site_id AND cc.u=mm.r*64+mm.c GROUP BY ALL HAVING count(*) >= 2", True))
+  """, kc AS (SELECT mm.site_id, CAST(k AS BIGINT) k, g component, r, c, p[CAST(k AS INTEGER)+1] s FROM mm JOIN cc ON cc.site_id=mm.site_id AND cc.u=mm.r*64+mm.c),
+ sd AS (SELECT a.site_id, a.k, a.component, count(*) FILTER (b.r IS NULL) sides FROM kc a CROSS JOIN (VALUES (0,1),(1,0),(0,-1),(-1,0)) m(dr,dc) LEFT JOIN kc b ON b.site_id=a.site_id AND b.k=a.k AND b.component=a.component AND b.r=a.r+dr AND b.c=a.c+dc GROUP BY ALL),
+ co AS (SELECT site_id, k, component, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN bits IN (6, 9) THEN 2 ELSE 0 END) corners FROM (SELECT site_id, k, component, r+dy y, c+dx x, count(*) n, sum(1 << (2*dy+dx)) bits FROM kc, range(2) d(dy), range(2) e(dx) GROUP BY ALL) GROUP BY ALL)
+ SELECT site_id, k, component, count(*) cells, round(avg(s), 6) score, round(count(*)*0.09, 6) area_m2, round(any_value(sides)*0.3, 6) perimeter_m, CAST(any_value(corners) AS BIGINT) corners
+ FROM kc JOIN sd USING (site_id, k, component) JOIN co USING (site_id, k, component) GROUP BY ALL HAVING count(*) >= 2""", True))
 def class_polygons(spark, folder):
+    """Polygons of every class but background and void, with their mean probability."""
+    from gridfold.functions import measures as M
     c = classes(spark, folder).where("k not in (0, 255)")
-    lab = cell_components(c, ["site_id", "k"], TILE, width=64).join(c, ["site_id", "k", "row", "col"])
-    out = lab.groupBy("site_id", "k", "component").agg(F.count("*").alias("cells"), F.round(F.avg(F.get("p", F.col("k"))), 6).alias("score"))
-    return out.where("cells >= 2")
+    out = G.class_polygons(c, K, "k", F.get("p", F.col("k")), 0.3, 0.18, TILE, 64)
+    out = pin(out, a=M.area(F.col("rings")), e=M.perimeter(F.col("rings")))
+    corners = F.aggregate("rings", F.lit(0).cast("long"), lambda t, r: t + F.size(r) - 1)
+    return out.select("site_id", "k", "component", "cells", F.round("score", 6).alias("score"), F.round("a", 6).alias("area_m2"), F.round("e", 6).alias("perimeter_m"), corners.alias("corners"))
 
 
 @query("S8_raster_tiles", B.with_ctes(B.RASTER, "SELECT site_id, r//16 tile_r, c//16 tile_c, count(*) cells, CAST(sum(total) AS BIGINT) total FROM raster GROUP BY ALL"))
