@@ -123,6 +123,18 @@ def raster_flags(crs: Column, bands: Column, dtype: Column, bounds: Column, pixe
         F.when(F.lower(F.trim(F.coalesce(licence, F.lit("")))).isin("", "unknown"), F.lit("source_licence_unverified"))))
 
 
+def elevation_flags(kind: str, bands: Column, bounds: Column, image_bounds: Column, grid: Column, image_grid: Column) -> Column:
+    """Gate of an elevation raster (``dsm`` or ``dtm``) beside its image: refused if it has other
+    than one band or does not cover the image; flagged where its grid (any comparable struct of
+    reference system, transform and size) differs; vertical units are never verified.  No raster
+    (null bounds): no flags."""
+    covers = (bounds.xmin <= image_bounds.xmin) & (bounds.ymin <= image_bounds.ymin) & (bounds.xmax >= image_bounds.xmax) & (bounds.ymax >= image_bounds.ymax)
+    flags = F.array_compact(F.array(
+        F.when(F.coalesce(bands, F.lit(0)) != 1, F.lit(f"{kind}_not_single_band")), F.when(~F.coalesce(covers, F.lit(False)), F.lit(f"{kind}_does_not_cover_imagery")),
+        F.when(~grid.eqNullSafe(image_grid), F.lit(f"{kind}_requires_explicit_alignment")), F.lit(f"{kind}_vertical_units_unverified")))
+    return F.when(bounds.isNull(), F.array().cast("array<string>")).otherwise(flags)
+
+
 def frozen_chain(recorded: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """Recorded against actual hashes of protocol, dataset and model: mismatches per key."""
     both = recorded.join(actual.withColumnRenamed("sha256", "have"), [*keys, "item"], "left")

@@ -226,17 +226,24 @@ def crossing_rings(features: DataFrame, fid: list[str], edge: Column | None = No
     return hit.select(*fid).distinct()
 
 
-def ring_faults(rings: Column) -> Column:
-    """Codes of broken rings: empty, open, too few points, non-finite, self-intersecting."""
+def ring_structure(rings: Column) -> Column:
+    """Codes of rings that are no rings: empty, open, too few points, non-finite."""
     pts = F.flatten(rings)
     bad_number = F.exists(pts, lambda p: F.isnan(p.x) | F.isnan(p.y) | (F.abs(p.x) == float("inf")) | (F.abs(p.y) == float("inf")))
     empty = (F.size(rings) == 0) | F.exists(rings, lambda r: F.size(r) == 0)
     opened = F.exists(rings, lambda r: (r[0].x != r[F.size(r) - 1].x) | (r[0].y != r[F.size(r) - 1].y))
     few = F.exists(rings, lambda r: F.size(r) < 4)
-    crossed = F.when(empty | opened | few, F.lit(False)).otherwise(F.exists(rings, ring_crosses))
-    return F.array_compact(F.array(
-        F.when(empty, F.lit("empty")), F.when(~empty & opened, F.lit("not_closed")), F.when(~empty & few, F.lit("too_few_points")),
-        F.when(bad_number, F.lit("not_finite")), F.when(crossed, F.lit("self_intersection"))))
+    return F.array_compact(F.array(F.when(empty, F.lit("empty")), F.when(~empty & opened, F.lit("not_closed")),
+                                   F.when(~empty & few, F.lit("too_few_points")), F.when(bad_number, F.lit("not_finite"))))
+
+
+def ring_faults(rings: Column) -> Column:
+    """Codes of broken rings, ring by ring: those of ``ring_structure`` and self-intersecting
+    (``validity.polygon_faults`` tests rings against each other)."""
+    codes = ring_structure(rings)
+    shaped = ~F.exists(codes, lambda c: c != "not_finite")
+    crossed = F.when(shaped, F.exists(rings, ring_crosses)).otherwise(F.lit(False))
+    return F.when(crossed, F.array_append(codes, F.lit("self_intersection"))).otherwise(codes)
 
 
 def display_flags(area: Column, has_neighbour: Column, score: Column, merged_layer: bool,

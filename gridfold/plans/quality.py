@@ -175,6 +175,50 @@ def layer_validator(spark, folder):
         F.count_if(F.size("f") > 0).alias("invalid"), F.bool_and(F.abs(F.col("a") * 100 - F.col("cells")) <= 0.15 * F.col("cells")).alias("round_trip"))
 
 
+MASKED = B.AREA + """, ce AS (SELECT site_id, ok, y0+dy r, x0+dx c FROM fp, range(w) a(dx), range(h) b(dy) WHERE NOT (lshape AND dx >= w // 2 AND dy >= h // 2)),
+ mk AS (SELECT DISTINCT site_id, r, c + CASE WHEN ok % 10 = 1 THEN 1 ELSE 0 END c, true m FROM ce WHERE ok % (CASE WHEN site_id % 2 = 0 THEN 4 ELSE 20 END) <> 0), bu AS (SELECT DISTINCT site_id, r, c, true v FROM ce),
+ io AS (SELECT site_id, count(*) FILTER (m AND v) / count(*) iou FROM bu FULL JOIN mk USING (site_id, r, c) GROUP BY ALL),
+ pt AS (SELECT *, (2*y0+h-1)//2 r, x0 + (CASE WHEN lshape AND (2*y0+h-1)//2 - y0 >= h//2 THEN w//2 ELSE w END)//2 c FROM ar),
+ st AS (SELECT site_id, CASE WHEN site_id % 5 = 0 THEN 1 ELSE 0 END missing, count(*) FILTER (ok % 61 = 2) invalid, count(*) FILTER (x0+w > 700 OR y0+h > 700) beyond, count(*) FILTER (n < 20) small,
+  count(*) FILTER (site_id % 3 = 0 AND r < 700 AND c < 700 AND (r*31+c) % 97 = 5) dark FROM pt GROUP BY ALL),
+ un AS (SELECT site_id, unnest([{c: 'feature_count', d: missing}, {c: 'valid', d: invalid}, {c: 'inside_bounds', d: beyond}, {c: 'min_area', d: small}, {c: 'interior_points', d: dark}]) u FROM st)"""
+
+
+@query("Q1_layer_checks", B.with_ctes(MASKED, """SELECT site_id, u.c AS "check", u.d = 0 AS passed, CAST(u.d AS DOUBLE) detail FROM un UNION ALL SELECT site_id, 'round_trip', iou >= 0.85, round(iou, 6) FROM io"""))
+def layer_checks(spark, folder):
+    """Every check fails somewhere: counts off by one, a hole in a hole, shapes over the edge or
+    small, a mask that misses a quarter, points on cells without data."""
+    from gridfold.operators import validity as V
+    whole = B._rings(B.boxes(spark, folder))
+
+    def hole(a, b):  # inside the first cell, off its centre
+        pts = [F.struct(((F.col("x0") + x) * B.RES).alias("x"), ((F.col("y0") + y) * B.RES).alias("y")) for x, y in ((a, a), (b, a), (b, b), (a, b), (a, a))]
+        return F.array(*pts)
+    d = whole.withColumn("rings", F.when(F.col("ok") % 61 == 2, F.concat("rings", F.array(hole(.1, .4), hole(.2, .3)))).otherwise(F.col("rings")))
+    cells = S.to_cells(S.explode_spans(S.coverage(whole.select("site_id", "ok", "feature_id", "rings"), B.RES), "site_id", "ok"))
+    mask = cells.where("ok % if(site_id % 2 = 0, 4, 20) <> 0").select("site_id", "row", F.expr("cast(col + if(ok % 10 = 1, 1, 0) as int)").alias("col"))
+    sites = whole.groupBy("site_id").agg((F.count("*") - F.expr("if(site_id % 5 = 0, 1, 0)")).alias("features")).select(
+        "*", F.lit(0.0).alias("xmin"), F.lit(0.0).alias("ymin"), F.lit(70.0).alias("xmax"), F.lit(70.0).alias("ymax"))
+    nodata = (sites.where("site_id % 3 = 0").select("site_id", F.explode(F.sequence(F.lit(0), F.lit(699))).alias("row"))
+              .withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(699)))).where("(row * 31 + col) % 97 = 5"))
+    return V.layer_checks(d, mask, nodata, sites, ["site_id"], B.RES, 0.195).withColumn("detail", F.round("detail", 6))
+
+
+@query("Q10_elevation_gate", """SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 6 = 0 THEN 'dsm_not_single_band' END, CASE WHEN doc_id % 14 IN (0, 1) THEN 'dsm_does_not_cover_imagery' END,
+ CASE WHEN n_chars % 3 <> 0 OR doc_id % 11 = 0 THEN 'dsm_requires_explicit_alignment' END, CASE WHEN doc_id % 9 <> 0 THEN 'dsm_vertical_units_unverified' END) flags FROM documents WHERE doc_id % 9 <> 0
+ UNION ALL SELECT doc_id, '' FROM documents WHERE doc_id % 9 = 0""")
+def elevation_gate(spark, folder):
+    """A surface model beside each image: bands, cover, grid, units; one of nine has none."""
+    def box(xmin, xmax):
+        return F.struct(F.lit(xmin).alias("xmin"), F.lit(-16.6).alias("ymin"), xmax.alias("xmax"), F.lit(-16.5).alias("ymax"))
+    image = box(-68.1, F.lit(-68.0))
+    model = F.when(F.expr("doc_id % 9 <> 0"), box(-68.1, F.expr("if(doc_id % 14 in (0, 1), -68.05D, -67.9D)")))
+    grid = F.struct(F.expr("if(doc_id % 11 = 0, 'EPSG:4326', 'EPSG:32719')").alias("crs"), F.expr("n_chars % 3").cast("int").alias("shift"))
+    same = F.struct(F.lit("EPSG:32719").alias("crs"), F.lit(0).alias("shift"))
+    d = pin(B.table(spark, folder, "documents").select("doc_id", "n_chars"), m=model, i=image, g=grid)
+    return d.select("doc_id", F.array_join(Q.elevation_flags("dsm", F.expr("if(doc_id % 6 = 0, 3, 1)"), F.col("m"), F.col("i"), F.col("g"), same), ",").alias("flags"))
+
+
 @query("Q10_raster_gate", """SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 17 = 0 THEN 'not_georeferenced' END, CASE WHEN doc_id % 5 < 1 THEN 'needs_rgb_uint8' END, CASE WHEN doc_id % 19 = 0 THEN 'bounds' END,
  CASE WHEN n_chars % 101 = 0 THEN 'empty' END, CASE WHEN doc_id % 23 = 0 THEN 'source_licence_unverified' END) flags FROM documents""")
 def raster_gate(spark, folder):

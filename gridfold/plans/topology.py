@@ -366,6 +366,27 @@ def validity(spark, folder):
     return fp.select("feature_id", F.array_join(O.ring_faults(F.array(broken)), ",").alias("faults"))
 
 
+@query("P13_polygon_faults", B.with_ctes(B.FP, """SELECT feature_id, CASE WHEN ok % 53 = 1 THEN 'self_intersection' WHEN ok % 7 = 2 THEN 'hole_outside,rings_cross' WHEN ok % 7 = 3 THEN 'hole_outside'
+ WHEN ok % 7 = 4 THEN 'nested_holes' WHEN ok % 7 = 6 THEN 'rings_cross' ELSE '' END faults FROM fp"""))
+def polygon_faults(spark, folder):
+    """Holes of every kind: inside, across the shell, outside it, in each other, touching in a point, along an edge."""
+    from gridfold.operators import validity as V
+    fp = B._rings(B.boxes(spark, folder)).withColumn("r", F.col("rings")[0])
+
+    def ring(*pts):
+        return F.array(*[F.struct(((F.col("x0") + x) * B.RES).alias("x"), ((F.col("y0") + y) * B.RES).alias("y")) for x, y in (*pts, pts[0])])
+
+    def box(x, y, X, Y):
+        return ring((x, y), (X, y), (X, Y), (x, Y))
+    k = F.col("ok") % 7
+    holes = (F.when(k == 1, F.array(box(.5, .5, 1.5, 1.5))).when(k == 2, F.array(box(-1.0, .5, 1.5, 1.5))).when(k == 3, F.array(box(20.0, .5, 21.0, 1.5)))
+             .when(k == 4, F.array(box(.25, .25, 1.75, 1.75), box(.5, .5, 1.5, 1.5))).when(k == 5, F.array(ring((0, 1), (1.0, .5), (1.0, 1.5))))
+             .when(k == 6, F.array(box(0, .5, 1.0, 1.5))))
+    twisted = F.array(F.array(*[F.col("r")[i] for i in (0, 2, 1, 3, 0)]))
+    rings = F.when(F.col("ok") % 53 == 1, twisted).otherwise(F.concat("rings", F.coalesce(holes, F.slice("rings", 2, 1))))
+    return V.polygon_faults(fp.select("feature_id", rings.alias("rings")), ["feature_id"]).select("feature_id", F.array_join("faults", ",").alias("faults"))
+
+
 @query("P12_coordinate_gates", B.with_ctes(B.FP, """SELECT feature_id, CASE WHEN ok % 41 = 1 THEN 'lonlat_range,outside_site' WHEN ok % 43 = 1 THEN 'outside_site' ELSE '' END codes FROM fp"""))
 def coordinate_gates(spark, folder):
     fp = B._rings(B.boxes(spark, folder))
@@ -424,6 +445,25 @@ def web_tiles(spark, folder):
     return d.select(F.col("t.x").alias("tile_x"), F.col("t.y").alias("tile_y"), "features", F.round(G.tile_bounds(F.lit(9.0), F.col("t.x"), F.col("t.y")).xmin, 3).alias("xmin"))
 
 
+PYRAMID_Z = 19
+PYRAMID = B.RASTER + """, k AS (SELECT 20037508.342789244e0 AS e, 2*20037508.342789244e0/(256*2**19) AS ps),
+ c AS (SELECT total*1e0/n v, site_id*100e0 - 7574321.37e0 + (c+0.5e0)*0.43e0 x, (r+0.5e0)*0.43e0 + 1865432.11e0 y FROM raster),
+ gx AS (SELECT c.*, e, ps, unnest(range(CAST(ceil((x-0.43e0+e)/ps-0.5e0) AS BIGINT), CAST(floor((x+0.43e0+e)/ps-0.5e0) AS BIGINT)+1)) gx FROM c, k),
+ gy AS (SELECT *, unnest(range(CAST(ceil((y-0.43e0+e)/ps-0.5e0) AS BIGINT), CAST(floor((y+0.43e0+e)/ps-0.5e0) AS BIGINT)+1)) gy FROM gx),
+ w AS (SELECT *, (1-abs((gx+0.5e0)*ps-e-x)/0.43e0) * (1-abs((gy+0.5e0)*ps-e-y)/0.43e0) w FROM gy),
+ l0 AS (SELECT gx, gy, sum(w*v)/sum(w) v FROM w WHERE w > 1e-9 GROUP BY ALL HAVING sum(w) >= 1e-3), l1 AS (SELECT gx>>1 gx, gy>>1 gy, avg(v) v FROM l0 GROUP BY ALL), l2 AS (SELECT gx>>1 gx, gy>>1 gy, avg(v) v FROM l1 GROUP BY ALL),
+ al AS (SELECT 19 z, * FROM l0 UNION ALL SELECT 18, * FROM l1 UNION ALL SELECT 17, * FROM l2)"""
+
+
+@query("R29_tile_content", B.with_ctes(PYRAMID, "SELECT CAST(z AS BIGINT) z, gx//256 x, gy//256 y, gx%256 px, gy%256 py, round(v, 6) AS value FROM al"))
+def tile_content(spark, folder):
+    """Three levels of web-map tiles over the site rasters, laid side by side on the mercator plane."""
+    from gridfold.operators.pyramid import tile_pyramid
+    d = B.raster(spark, folder).select("row", "col", (F.col("site_id") * 100.0 - 7574321.37).alias("left"), (F.col("total") * 1.0 / F.col("n")).alias("value"))
+    out = tile_pyramid(d, [], F.col("left"), F.lit(-1865432.11), F.lit(0.43), PYRAMID_Z, 3)
+    return out.withColumn("value", F.round("value", 6))
+
+
 @query("L2_feature_page", B.with_ctes(B.FP, "SELECT site_id, feature_id, count(*) OVER () matched FROM fp WHERE feature_type = 'F' ORDER BY feature_id LIMIT 5000 OFFSET 25"))
 def feature_page(spark, folder):
     from gridfold.sources.features import page
