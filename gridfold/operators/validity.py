@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridfold.functions import measures as M
 from gridfold.operators import spans as S
 from gridfold.operators.topology import _between, _turn, ring_structure, segments_meet
-from gridfold.session import cut, pin
+from gridfold.session import cut, dealt, pin
 
 
 def _edges(features: DataFrame, fid: list[str]) -> DataFrame:
@@ -61,27 +61,27 @@ def polygon_faults(features: DataFrame, fid: list[str]) -> DataFrame:
     edges = cut(_edges(seen.where("size(_codes) = 0"), fid))
     bucketed = _bucketed(edges).select(*fid, "bx", "by", "ring", "n", "i", "s")
     other = bucketed.select(*fid, "bx", "by", F.col("ring").alias("ring2"), F.col("i").alias("j"), F.col("s").alias("t"))
-    met = bucketed.join(other, [*fid, "bx", "by"]).where("ring < ring2 or (ring = ring2 and i + 1 < j and not (i = 0 and j = n - 1))")
+    met = bucketed.join(dealt(other), [*fid, "bx", "by"]).where("ring < ring2 or (ring = ring2 and i + 1 < j and not (i = 0 and j = n - 1))")
     code = F.when((F.col("ring") == F.col("ring2")) & segments_meet(F.col("s"), F.col("t")), "self_intersection").when(
         (F.col("ring") < F.col("ring2")) & _cross(F.col("s"), F.col("t")), "rings_cross")
     met = met.select(*fid, code.alias("code")).where("code is not null")
 
     many = edges.groupBy(*fid).agg(F.max("ring").alias("_last")).where("_last > 0").select(*fid)
-    holed = edges.join(many, fid, "left_semi")
+    holed = edges.join(dealt(many), fid, "left_semi")
     strip = lambda y: F.floor((y - F.col("ymin")) / F.col("side"))
     points = holed.where("ring > 0").select(*fid, "ring", "n", "i", F.col("s.x1").alias("x"), F.col("s.y1").alias("y"), strip(F.col("s.y1")).alias("by"))
     walls = holed.select(*fid, F.col("ring").alias("wall"), "s", F.explode(F.sequence(strip(F.least("s.y1", "s.y2")), strip(F.greatest("s.y1", "s.y2")))).alias("by"))
     a, b, p = (F.col("s.x1"), F.col("s.y1")), (F.col("s.x2"), F.col("s.y2")), (F.col("x"), F.col("y"))
     crosses = ((a[1] > p[1]) != (b[1] > p[1])) & (p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0])
     on = (_turn(a, b, p) == 0) & _between(a, b, p)
-    cast = points.join(walls, [*fid, "by"]).where("ring <> wall").groupBy(*fid, "ring", "n", "i", "wall").agg(
+    cast = points.join(dealt(walls), [*fid, "by"]).where("ring <> wall").groupBy(*fid, "ring", "n", "i", "wall").agg(
         (F.count_if(crosses) % 2 == 1).alias("_in"), F.bool_or(on).alias("_on"))
     inner = cast.where("wall > 0 and _in and not _on").select(*fid, F.lit("nested_holes").alias("code"))
     held = cast.where("wall = 0 and (_in or _on)").groupBy(*fid, "ring").agg(F.count("*").alias("_held"))
     holes = holed.where("ring > 0").groupBy(*fid, "ring").agg(F.first("n").alias("n"))
-    loose = holes.join(held, [*fid, "ring"], "left").where("coalesce(_held, 0) < n").select(*fid, F.lit("hole_outside").alias("code"))
+    loose = holes.join(dealt(held), [*fid, "ring"], "left").where("coalesce(_held, 0) < n").select(*fid, F.lit("hole_outside").alias("code"))
     codes = met.unionByName(inner).unionByName(loose).groupBy(*fid).agg(F.array_sort(F.collect_set("code")).alias("_across"))
-    return seen.join(codes, fid, "left").select(*fid, F.when(F.size("_codes") > 0, F.col("_codes")).otherwise(F.coalesce("_across", F.array().cast("array<string>"))).alias("faults"))
+    return seen.join(dealt(codes), fid, "left").select(*fid, F.when(F.size("_codes") > 0, F.col("_codes")).otherwise(F.coalesce("_across", F.array().cast("array<string>"))).alias("faults"))
 
 
 def layer_checks(features: DataFrame, mask: DataFrame, nodata: DataFrame, sites: DataFrame, keys: list[str], res: float,
@@ -101,7 +101,7 @@ def layer_checks(features: DataFrame, mask: DataFrame, nodata: DataFrame, sites:
     out = (F.col("_b.xmin") < F.col("xmin") - e) | (F.col("_b.xmax") > F.col("xmax") + e) | (F.col("_b.ymin") < F.col("ymin") - e) | (F.col("_b.ymax") > F.col("ymax") + e)
     plain = d.join(sites.drop("features"), keys).groupBy(*keys).agg(F.count("*").alias("found"), F.count_if(out).alias("outside"), F.count_if(F.col("_a") < min_area - 1e-9).alias("small"))
     cell = d.select(*keys, F.floor(F.col("_p.y") / res + 1e-9).cast("int").alias("row"), F.floor(F.col("_p.x") / res + 1e-9).cast("int").alias("col"))
-    dark = cell.groupBy(*keys, "row", "col").agg(F.count("*").alias("_n")).join(nodata.select(*keys, "row", "col").distinct(), [*keys, "row", "col"]).groupBy(*keys).agg(F.sum("_n").alias("dark"))
+    dark = cell.groupBy(*keys, "row", "col").agg(F.count("*").alias("_n")).join(dealt(nodata.select(*keys, "row", "col").distinct()), [*keys, "row", "col"]).groupBy(*keys).agg(F.sum("_n").alias("dark"))
     spans = mask.select(*keys, "row", F.col("col").alias("c0"), (F.col("col") + 1).alias("c1"))
     both = S.overlay({"v": S.explode_spans(d, *keys), "m": spans}, keys).groupBy(*keys).agg(
         F.sum(F.when((F.col("v") > 0) & (F.col("m") > 0), S.span_cells())).alias("_inter"), F.sum(F.when((F.col("v") > 0) | (F.col("m") > 0), S.span_cells())).alias("_union"))
