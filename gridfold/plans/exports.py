@@ -159,7 +159,7 @@ def first_errors(spark, folder):
   FROM fp) GROUP BY ALL"""))
 def output_gate(spark, folder):
     d = B.boxes(spark, folder).selectExpr(
-        "site_id", "case when ok % 37 = 1 then 0L when ok % 41 in (1, 2) and ok div 41 % 50 = 3 then 5000000000 + ok div 41 else ok + 1 end source_id",
+        "site_id", "case when ok % 41 in (1, 2) and ok div 41 % 50 = 3 then 5000000000 + ok div 41 when ok % 37 = 1 then 0L else ok + 1 end source_id",
         "if(ok % 43 = 1, 'tree', 'road_surface') feature_type", "if(ok % 47 = 1, 'shop', null) functional_use")
     return E.output_errors(d, ["site_id"]).groupBy("site_id", F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count("*").alias("n"))
 
