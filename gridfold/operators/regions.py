@@ -75,12 +75,13 @@ def settle_tile(code: np.ndarray, level: np.ndarray, fixed: np.ndarray, region:
         code = new
 
 
-def grow(cells: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
+def grow(cells: DataFrame, keys: list[str], tile: int = TILE, steps: int | None = None) -> DataFrame:
     """Grow labelled seeds over a region, one 4-step at a time: ``keys, row, col, label``.
 
     Input: ``row, col, seed`` (NULL where unlabelled) and ``level``: cells of a level open only
     once growth through the lower levels has stopped (0 everywhere = plain geodesic growth).
-    A cell reached by several labels in the same step takes the larger one.
+    A cell reached by several labels in the same step takes the larger one.  With ``steps`` a level's
+    growth ends after so many; without, it goes on to the end.
 
     The result of every cell is the smallest (level, step, -label) over its neighbours.  Tiles
     settle many steps at once; border values are exchanged until none changes, so the number of
@@ -133,7 +134,8 @@ def grow(cells: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
         moved = with_halo(out.where("changed"), tile, 1).where("not _own")
         active = cut(moved.select(*keys, "_tr", "_tc").distinct())
         if active.isEmpty():
-            return state.select(*keys, "row", "col", "label")
+            late = F.lit(False) if steps is None else F.col("st") > steps
+            return state.select(*keys, "row", "col", F.when(~late, F.col("label")).alias("label"))
 
 
 def adjacency(labels: DataFrame, keys: list[str], label: str = "label") -> DataFrame:

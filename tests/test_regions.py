@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridfold.operators import regions as R3
 from gridfold.functions import measures as M
 from gridfold.operators import parcels as A
 from gridfold.operators import regions as G
@@ -212,3 +213,10 @@ def test_percentiles_and_numbers(spark):
     assert again == got
     n = number_in_order(d.where("k = 0"), ["k"], ["v"], "n", F.floor(F.col("v") * 2)).orderBy("v").select("n").collect()
     assert [r.n for r in n] == list(range(1, 5001))
+
+
+def test_growth_ends_after_its_steps(spark):
+    cells = spark.range(45).selectExpr("0 site_id", "0 row", "cast(id as int) col", "if(id = 0, 7L, null) seed", "0 level")
+    out = {r.col: r.label for r in R3.grow(cells, ["site_id"], 16, steps=30).collect()}
+    assert out == {c: 7 if c <= 30 else None for c in range(45)}
+    assert {r.label for r in R3.grow(cells, ["site_id"], 16).collect()} == {7}
