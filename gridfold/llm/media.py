@@ -8,8 +8,10 @@ vector operations.  ROWS block rows make a frame.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -178,27 +180,106 @@ def parse_index(data: bytes) -> tuple[list[tuple[int, int]], int, int]:
     return frames, step, payload
 
 
-def parse_frame(data: bytes, start: int) -> tuple[int, bytes, tuple]:
-    """Where a JPEG frame's coded data begins, its DC table, and (across, rows, restart, quantiser)."""
-    at, dc, shape, restart, scale = start + 2, b"", None, 0, 1
+class Frame(NamedTuple):
+    first: int  # where the coded data begins
+    dc: bytes
+    ac: bytes
+    shape: tuple[int, int]  # blocks across, block rows
+    restart: int
+    scale: np.ndarray  # quantiser, in zigzag order
+
+    def plain(self) -> bool:
+        """Constant blocks in rows of their own: all rows of a batch can be decoded in step."""
+        return self.shape == (ACROSS, ROWS) and self.restart == ACROSS and self.scale[0] == 8 and self.ac == AC_COUNTS + AC_SYMBOLS
+
+
+def parse_frame(data: bytes, start: int) -> Frame:
+    """Tables and geometry of a baseline JPEG frame of one component."""
+    at, shape, restart, quantisers, tables = start + 2, None, 0, {}, {}
     if data[start:at] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
     while True:
         _, marker, size = struct.unpack_from(">BBH", data, at)
         body = data[at + 4:at + 2 + size]
+        at += 2 + size
         if marker == 0xC0:
-            shape = struct.unpack_from(">HH", body, 1)
-        elif marker == 0xC4 and body[0] == 0:
-            dc = body[1:]
-        elif marker == 0xC4 and body[1:] != AC_COUNTS + AC_SYMBOLS:
-            raise ValueError("only frames of constant blocks can be read")
+            depth, high, wide, parts, _, _, quantiser = struct.unpack_from(">BHHBBBB", body)
+            if depth != 8 or parts != 1:
+                raise ValueError("only 8-bit frames of one component can be read")
+            shape = -(-wide // 8), -(-high // 8)
+        elif 0xC1 <= marker <= 0xCF and marker != 0xC4:
+            raise ValueError("not a baseline frame")
+        elif marker == 0xC4:
+            while body:
+                end = 17 + sum(body[1:17])
+                tables[body[0]], body = body[1:end], body[end:]
+        elif marker == 0xDB:
+            while body:
+                wide = 64 << (body[0] >> 4)
+                quantisers[body[0] & 15] = np.frombuffer(body[1:1 + wide], ">u2" if body[0] >> 4 else np.uint8).astype(np.int64)
+                body = body[1 + wide:]
         elif marker == 0xDD:
             restart = struct.unpack(">H", body)[0]
-        elif marker == 0xDB:
-            scale = body[1]
-        at += 2 + size
-        if marker == 0xDA:
-            return at, dc, (shape[1] // 8, shape[0] // 8, restart, scale)
+        elif marker == 0xDA:
+            return Frame(at, tables[body[2] >> 4], tables[0x10 | body[2] & 15], shape, restart, quantisers[quantiser])
+
+
+ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8)))
+COSINES = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (0.5 if u else np.sqrt(0.125)) for x in range(8)] for u in range(8)])
+
+
+def _coefficients(data: bytes, frame: Frame) -> np.ndarray:
+    """Quantised coefficients (blocks x 64, zigzag order) of a frame's coded data."""
+    dc, ac = ({(n, code): symbol for symbol, (code, n) in _codes(t[:16], t[16:]).items()} for t in (frame.dc, frame.ac))
+    blocks = frame.shape[0] * frame.shape[1]
+    out = np.zeros((blocks, 64), np.int64)
+    step = frame.restart or blocks
+    runs = re.split(rb"\xff[\xd0-\xd9]", data)
+    for start in range(0, blocks, step):
+        run = runs[start // step].replace(b"\xff\x00", b"\xff")
+        place, level = 0, 0
+
+        def take(n):
+            nonlocal place
+            if place + n > 8 * len(run):
+                raise ValueError("the coded data ends early")
+            word = int.from_bytes(run[place >> 3:(place >> 3) + 4].ljust(4, b"\x00"), "big")
+            word = word >> (32 - n - (place & 7)) & ((1 << n) - 1)
+            place += n
+            return word
+
+        def symbol(table):
+            code = 0
+            for n in range(1, 17):
+                code = code << 1 | take(1)
+                if (n, code) in table:
+                    return table[n, code]
+            raise ValueError("no such code")
+
+        def value(size):
+            bits = take(size)
+            return bits if not size or bits >> (size - 1) else bits - (1 << size) + 1
+        for block in range(start, min(start + step, blocks)):
+            level += value(symbol(dc))
+            out[block, 0] = level
+            k = 1
+            while k < 64:
+                at = symbol(ac)
+                if at == 0:
+                    break
+                k += at >> 4
+                if at & 15:
+                    out[block, k] = value(at & 15)
+                k += 1
+    return out
+
+
+def decode_frame(data: bytes, frame: Frame) -> np.ndarray:
+    """Samples of any baseline frame: entropy decoding, quantiser, inverse transform; a block's sample is its mean grey."""
+    spectrum = np.zeros((frame.shape[0] * frame.shape[1], 64))
+    spectrum[:, ZIGZAG] = _coefficients(data, frame) * frame.scale
+    pixels = np.clip(np.rint(COSINES.T @ spectrum.reshape(-1, 8, 8) @ COSINES + 128), 0, 255)
+    return np.rint(pixels.mean(axis=(1, 2))).astype(np.uint8)
 
 
 _TABLES: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
@@ -244,26 +325,39 @@ def decode_rows(data: np.ndarray, table: bytes) -> np.ndarray:
 
 def read_videos(files: list[bytes]) -> list[tuple[np.ndarray, int, np.ndarray] | None]:
     """Samples of the payload, microseconds a frame, and histogram per frame (frames x BINS); None for what cannot be read."""
-    parts, told, table = [], [], None
+    parts, told, table, other = [], [], None, {}  # other: frames that need the whole decoder, by their place
+    usual = Frame(len(HEADER), DC_COUNTS + DC_SYMBOLS, AC_COUNTS + AC_SYMBOLS, (ACROSS, ROWS), ACROSS, np.full(64, 8))
+    total = 0
     for data in files:
         try:
             frames, step, payload = parse_index(data)
-            spans = []
-            for a, b in frames:
-                if data.startswith(HEADER, a):
-                    first, dc, shape = a + len(HEADER), DC_COUNTS + DC_SYMBOLS, (ACROSS, ROWS, ACROSS, 8)
-                else:
-                    first, dc, shape = parse_frame(data, a)
-                if shape != (ACROSS, ROWS, ACROSS, 8) or (table or dc) != dc:
+            spans, apart, common = [], {}, table
+            for i, (a, b) in enumerate(frames):
+                own = data.startswith(HEADER, a)
+                frame = usual if own else parse_frame(data, a)
+                body = data[a + len(HEADER) if own else frame.first:b]
+                if frame.shape != (ACROSS, ROWS):
                     raise ValueError("another geometry")
-                table = dc
-                spans.append(data[first:b])
+                if frame.plain() and (common or frame.dc) == frame.dc:
+                    common = frame.dc
+                    spans.append(body)
+                else:
+                    apart[total + i] = decode_frame(body, frame)
+            table = common
             parts += spans
+            other |= apart
+            total += len(frames)
             told.append((len(frames), step, payload))
-        except (ValueError, struct.error, StopIteration, TypeError):
+        except (ValueError, struct.error, StopIteration, TypeError, IndexError, KeyError):
             told.append(None)
     rows = decode_rows(np.frombuffer(b"".join(parts), np.uint8), table) if parts else np.zeros((0, ACROSS), np.uint8)
     each = np.ascontiguousarray(rows).reshape(-1, ROWS * ACROSS)
+    if other:
+        plain = np.setdiff1d(np.arange(total), list(other))
+        whole = np.zeros((total, ROWS * ACROSS), np.uint8)
+        whole[plain] = each
+        whole[list(other)] = list(other.values())
+        each = whole
     bins = (each >> 4).astype(np.int64) + (np.arange(len(each)) * BINS)[:, None]
     histograms = np.bincount(bins.ravel(), minlength=len(each) * BINS).reshape(-1, BINS)
     out, at = [], 0
