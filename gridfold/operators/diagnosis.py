@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridfold.functions import kernels as N
 from gridfold.operators import pairs as P
 from gridfold.operators import spans as S
 from gridfold.session import pin
@@ -21,27 +22,7 @@ def adjacent_strips(labels: DataFrame, keys: list[str], distance: float, res: fl
     two = pin(two, g=S.gap_sq(F.col("spans"), F.col("o_spans"))).where(F.col("g") <= (distance / res) ** 2 + 1e-6)
     apart = F.sqrt("g") * res > 0.05 + 1e-9
     reach = F.when(apart, F.sqrt("g") + 0.05 / res).otherwise(0.3 / res)
-    two = two.withColumn("reach", reach).withColumn("k", F.ceil(reach).cast("int") + 1).withColumn("apart", apart)
-
-    def between(lo, hi):
-        a = F.greatest(F.col(lo), F.col(f"o_{lo}")) - F.col("k")
-        b = F.least(F.col(hi), F.col(f"o_{hi}")) + F.col("k")
-        return F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
-
-    def near(spans, r, c):
-        def sq(s):
-            dx = F.greatest(F.lit(0), s.c0 - (c + 1), c - s.c1)
-            dy = F.greatest(F.lit(0), F.abs(s.row - r) - 1)
-            return dx * dx + dy * dy
-        return F.exists(spans, lambda s: sq(s) <= F.col("reach") * F.col("reach") + 1e-9)
-
-    def inside(spans, r, c):
-        return F.exists(spans, lambda s: (s.row == r) & (s.c0 <= c) & (c < s.c1))
-
-    a, b = F.col("spans"), F.col("o_spans")
-    cells = F.flatten(F.transform(between("r0", "r1"), lambda r: F.transform(
-        F.filter(between("k0", "k1"), lambda c: near(a, r, c) & near(b, r, c) & ~(F.col("apart") & (inside(a, r, c) | inside(b, r, c)))),
-        lambda c: F.struct(r.alias("row"), c.alias("col")))))
-    out = pin(two, cells=cells)
+    two = two.withColumn("reach", reach).withColumn("apart", apart)
+    out = pin(two, cells=N.strip_cells(F.col("spans"), F.col("o_spans"), F.col("reach"), F.col("apart")))
     return out.select(*keys, F.col("id").alias("a"), F.col("o_id").alias("b"), F.when(F.col("apart"), "gap").otherwise("touching").alias("kind"),
                       F.col("g").alias("gap_cells_sq"), F.explode_outer("cells").alias("c")).select(*keys, "a", "b", "kind", "gap_cells_sq", "c.row", "c.col")

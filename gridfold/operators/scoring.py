@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfold import settings as T
+from gridfold.functions import kernels as N
 from gridfold.operators import pairs as P
 from gridfold.operators import spans as S
 from gridfold.operators.components import span_parts
@@ -287,19 +288,6 @@ def boundary_scores(pairs: DataFrame, tol: float, step: float) -> DataFrame:
 
     ``pairs`` has ``ref`` and ``pred`` segment arrays.  Shares are NULL when a boundary is empty.
     """
-    from gridfold.functions import measures as M
     ref, pred = F.col("ref"), F.col("pred")
-    rs, ps = M.boundary_samples(ref, step), M.boundary_samples(pred, step)
-
-    def total(s):
-        return F.aggregate(s, F.lit(0.0), lambda acc, p: acc + p.w)
-
-    def far(a, b):
-        pts = F.flatten(F.transform(a, lambda s: F.array(F.struct(s.x1.alias("x"), s.y1.alias("y")), F.struct(s.x2.alias("x"), s.y2.alias("y")))))
-        return F.array_max(F.transform(pts, lambda p: F.array_min(F.transform(b, lambda s: M.point_segment_sq(p.x, p.y, s)))))
-
-    out = pairs.withColumn("_rs", rs).withColumn("_ps", ps)
-    return (out.withColumn("boundary_precision", F.try_divide(M.covered_length(F.col("_ps"), ref, tol), total(F.col("_ps"))))
-            .withColumn("boundary_recall", F.try_divide(M.covered_length(F.col("_rs"), pred, tol), total(F.col("_rs"))))
-            .withColumn("hausdorff", F.when((F.size(ref) > 0) & (F.size(pred) > 0), F.sqrt(F.greatest(far(ref, pred), far(pred, ref)))))
-            .drop("_rs", "_ps"))
+    return pairs.withColumns({"boundary_precision": N.covered_share(pred, ref, step, tol), "boundary_recall": N.covered_share(ref, pred, step, tol),
+                              "hausdorff": F.sqrt(F.greatest(N.farthest_sq(ref, pred), N.farthest_sq(pred, ref)))})
