@@ -51,3 +51,13 @@ def test_polygons(layer):
 @pytest.mark.parametrize("query", [regions.zonal, regions.score_shares])
 def test_zones(spark, query):
     assert "BroadcastHashJoin" not in planned(query(spark, FOLDER))
+
+
+def test_gaps(spark, tmp_path):
+    path = str(tmp_path / "features.parquet")  # two squares, 0.3 m apart
+    spark.createDataFrame([(0, "b", i, square(2.3 * i, 0.0)) for i in range(2)], FEATURES).write.parquet(path)
+    d = S.coverage(spark.read.parquet(path), 0.1).withColumnRenamed("feature_id", "id")
+    out = O.gap_conflicts(d, 0.1)
+    assert "BroadcastHashJoin" not in planned(out) and [(r.features, r.first_feature) for r in out.collect()] == [(2, 0)]
+    layers = spark.read.parquet(path)
+    assert "BroadcastHashJoin" not in planned(O.relation_summary(O.pair_relations(layers, 0.1), layers, ["site_id"]))
