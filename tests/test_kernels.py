@@ -80,3 +80,23 @@ def test_work_is_not_left_to_lambdas(spark):
     d = spark.createDataFrame([([(0.0, 0.0, 1.0, 0.0)], [(0.0, 0.2, 1.0, 0.2)])], f"ref {SEGS}, pred {SEGS}")
     plan = C.boundary_scores(d, 0.3, 0.1)._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "lambdafunction" not in plan
+
+
+def test_strips_and_lines(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        a, b = ([(r, c, c + rng.randint(1, 4)) for r, c in ((rng.randint(0, 9), rng.randint(0, 9)) for _ in range(rng.randint(1, 4)))] for _ in "ab")
+        rows.append((i, a, b, rng.choice([1.5, 2.0, 3.0]), bool(i % 2), outline(rng, True), *(rng.randint(-9, 39) / 10 for _ in range(4))))
+    d = spark.createDataFrame(rows, f"i int, a {N.SPAN}, b {N.SPAN}, reach double, outside boolean, segs {SEGS}, x1 double, y1 double, x2 double, y2 double")
+    got = {r.i: r for r in d.select("i", N.strip_cells(*map(F.col, ("a", "b", "reach", "outside"))).alias("cells"), N.line_distance_sq(*map(F.col, ("segs", "x1", "y1", "x2", "y2"))).alias("d")).collect()}
+    for i, a, b, reach, outside, segs, *line in rows:
+        def near(spans, r, c):
+            return any(max(0, s[1] - c - 1, c - s[2]) ** 2 + max(0, abs(s[0] - r) - 1) ** 2 <= reach ** 2 + 1e-9 for s in spans)
+        want = {(r, c) for r in range(-9, 25) for c in range(-9, 25) if near(a, r, c) and near(b, r, c)
+                and not (outside and any(s[0] == r and s[1] <= c < s[2] for s in a + b))}
+        assert {tuple(c) for c in got[i].cells} == want and len(got[i].cells) == len(want)
+        cuts = sum((s[1] <= line[1]) != (s[3] <= line[1]) and line[0] < s[0] + (line[1] - s[1]) / (s[3] - s[1]) * (s[2] - s[0]) for s in segs)
+        steps = [(line[0] + (line[2] - line[0]) * k / 2000, line[1] + (line[3] - line[1]) * k / 2000) for k in range(2001)]
+        about = 0 if cuts % 2 else min(far(p, s) for p in steps for s in segs)
+        assert math.sqrt(got[i].d) <= about + 1e-9 and about <= math.sqrt(got[i].d) + 0.006
