@@ -43,8 +43,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
     grid = [i / pieces for i in range(1, pieces)]
     while True:
         cuts = packed.groupBy(*keys, "_g").agg(F.array_sort(F.array_distinct(F.approx_percentile("_v", grid, 1000))).alias("_cuts"))
-        # slice = number of cut values strictly below the value
-        sliced = packed.join(cuts, [*keys, "_g"]).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+        # slice = number of cut values strictly below the value; kept, as a sketch merged in another order proposes other cuts
+        sliced = cut(packed.join(cuts, [*keys, "_g"]).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts"))
         sizes = sliced.groupBy(*keys, "_g", "_slice").agg(F.sum("_c").alias("_s"), F.count("*").alias("_d"))
         sizes = sizes.withColumn("_below", F.sum("_s").over(Window.partitionBy(*keys, "_g").orderBy("_slice")) - F.col("_s"))
         deeper = (F.col("_g") * (2 * pieces) + F.col("_slice")).alias("_g")
@@ -55,7 +55,6 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
         wants = wants.drop("_d")
         if small:
             break
-        packed = cut(packed)
     ranked = packed.withColumn("_hi", F.sum("_c").over(Window.partitionBy(*keys, "_g").orderBy("_v"))).withColumn("_lo", F.col("_hi") - F.col("_c"))
     got = ranked.join(wants, [*keys, "_g"]).where("_k >= _lo and _k < _hi")
     per = got.groupBy(*keys, "_p", "_at").agg(F.max(F.when(F.col("_rank") == F.floor("_at"), F.col("_v"))).alias("_a"),
