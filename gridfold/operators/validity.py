@@ -99,7 +99,7 @@ def layer_checks(features: DataFrame, mask: DataFrame, nodata: DataFrame, sites:
     bad = polygon_faults(d, [*keys, fid]).where("size(faults) > 0").groupBy(*keys).agg(F.count("*").alias("invalid"))
     e = 1e-6
     out = (F.col("_b.xmin") < F.col("xmin") - e) | (F.col("_b.xmax") > F.col("xmax") + e) | (F.col("_b.ymin") < F.col("ymin") - e) | (F.col("_b.ymax") > F.col("ymax") + e)
-    plain = d.join(sites.drop("features"), keys).groupBy(*keys).agg(F.count("*").alias("found"), F.count_if(out).alias("outside"), F.count_if(F.col("_a") < min_area - 1e-9).alias("small"))
+    plain = d.join(dealt(sites.drop("features")), keys).groupBy(*keys).agg(F.count("*").alias("found"), F.count_if(out).alias("outside"), F.count_if(F.col("_a") < min_area - 1e-9).alias("small"))
     cell = d.select(*keys, F.floor(F.col("_p.y") / res + 1e-9).cast("int").alias("row"), F.floor(F.col("_p.x") / res + 1e-9).cast("int").alias("col"))
     dark = cell.groupBy(*keys, "row", "col").agg(F.count("*").alias("_n")).join(dealt(nodata.select(*keys, "row", "col").distinct()), [*keys, "row", "col"]).groupBy(*keys).agg(F.sum("_n").alias("dark"))
     spans = mask.select(*keys, "row", F.col("col").alias("c0"), (F.col("col") + 1).alias("c1"))

@@ -6,7 +6,7 @@ from gridfold.operators import pairs as P
 from gridfold.operators import spans as S
 from gridfold.operators import topology as O
 from gridfold.operators import validity as V
-from gridfold.plans import regions
+from gridfold.plans import quality, regions
 
 FOLDER = "/root/testdata/sf0.001"
 FEATURES = "site_id int, feature_type string, feature_id long, rings array<array<struct<x:double,y:double>>>"
@@ -53,6 +53,11 @@ def test_zones(spark, query):
     assert "BroadcastHashJoin" not in planned(query(spark, FOLDER))
 
 
+def test_layer_is_not_the_small_side(spark):
+    """Per site one row may be collected, never the layer with its rings and spans."""
+    assert "BuildLeft" not in planned(quality.layer_checks(spark, FOLDER))
+
+
 def test_gaps(spark, tmp_path):
     path = str(tmp_path / "features.parquet")  # two squares, 0.3 m apart
     spark.createDataFrame([(0, "b", i, square(2.3 * i, 0.0)) for i in range(2)], FEATURES).write.parquet(path)
