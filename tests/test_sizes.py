@@ -7,6 +7,7 @@ from gridfold.operators import spans as S
 from gridfold.operators import topology as O
 from gridfold.operators import validity as V
 from gridfold.plans import quality, regions
+from gridfold.session import spread
 
 FOLDER = "/root/testdata/sf0.001"
 FEATURES = "site_id int, feature_type string, feature_id long, rings array<array<struct<x:double,y:double>>>"
@@ -66,3 +67,12 @@ def test_gaps(spark, tmp_path):
     assert "BroadcastHashJoin" not in planned(out) and [(r.features, r.first_feature) for r in out.collect()] == [(2, 0)]
     layers = spark.read.parquet(path)
     assert "BroadcastHashJoin" not in planned(O.relation_summary(O.pair_relations(layers, 0.1), layers, ["site_id"]))
+
+
+def test_tasks_are_bounded_by_rows(spark, tmp_path):
+    path = str(tmp_path / "rows.parquet")
+    spark.range(0, 10_000, numPartitions=1).write.parquet(path)
+    out = spread(spark.read.parquet(path), "id", rows=500)
+    per = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per) == 20 and max(per) < 1000 and sum(per) == 10_000
+    assert spread(spark.read.parquet(path), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
