@@ -6,7 +6,7 @@ from gridfold.operators import pairs as P
 from gridfold.operators import spans as S
 from gridfold.operators import topology as O
 from gridfold.operators import validity as V
-from gridfold.plans import quality, regions
+from gridfold.plans import quality, regions, topology
 from gridfold.session import spread
 
 FOLDER = "/root/testdata/sf0.001"
@@ -54,6 +54,12 @@ def test_zones(spark, query):
     assert "BroadcastHashJoin" not in planned(query(spark, FOLDER))
 
 
+def test_outlines_are_covered_once(spark):
+    """Coverage finds the pairs; the outlines that follow them come without it."""
+    plan = planned(topology._matched_outlines(spark, FOLDER))
+    assert plan.count("ArrowEvalPython") == 3  # two layers and the cells that a pair shares
+
+
 def test_layer_is_not_the_small_side(spark):
     """Per site one row may be collected, never the layer with its rings and spans."""
     assert "BuildLeft" not in planned(quality.layer_checks(spark, FOLDER))
