@@ -14,7 +14,7 @@ from gridfold.operators import pairs as P
 from gridfold.operators import spans as S
 from gridfold.operators.components import span_parts
 from gridfold.operators.merging import per_group
-from gridfold.session import cut
+from gridfold.session import cut, dealt
 
 WKEYS = ["site_id", "window_id"]
 
@@ -32,7 +32,7 @@ def clip_to_windows(features: DataFrame, windows: DataFrame, min_cells: float, o
     ``own_window``: features carry ``window_id`` and are clipped only to that window.
     """
     if own_window:
-        both = features.join(windows, WKEYS)
+        both = features.join(dealt(windows), WKEYS)
     else:
         both = P.box_join(P.with_box(features), windows, ["site_id"], box=256).withColumnsRenamed(
             {"o_window_id": "window_id", "r0": "f_r0", "r1": "f_r1", "k0": "f_k0", "k1": "f_k1",
@@ -44,14 +44,14 @@ def clip_to_windows(features: DataFrame, windows: DataFrame, min_cells: float, o
 def drop_ignored(pieces: DataFrame, ignore: DataFrame) -> DataFrame:
     """Remove predictions covered by ignore regions by more than half (exactly half stays)."""
     ids = [*WKEYS, "id", "part"]
-    zone = S.union_spans(S.explode_spans(ignore, *WKEYS), WKEYS)
-    covered = S.overlap_with(S.explode_spans(pieces, *ids), zone, WKEYS, ids)
-    return pieces.join(covered, ids, "left").where(F.coalesce("covered", F.lit(0)) * 2 <= F.col("cells")).drop("covered")
+    pieces = cut(pieces)
+    covered = S.covered_cells(pieces, S.explode_spans(ignore, *WKEYS), WKEYS, ids)
+    return pieces.join(dealt(covered), ids, "left").where(F.coalesce("covered", F.lit(0)) * 2 <= F.col("cells")).drop("covered")
 
 
 def pixel_counts(labels: DataFrame, preds: DataFrame, ignore: DataFrame, windows: DataFrame,
                  nodata: DataFrame | None = None) -> DataFrame:
-    """tp, fp, fn and evaluated cells per window from one sweep over all span layers.
+    """tp, fp, fn and evaluated cells per window from the bit rows of all span layers.
 
     Evaluated cells = window cells minus excluded cells, so no dense grid appears.
     """
@@ -59,17 +59,16 @@ def pixel_counts(labels: DataFrame, preds: DataFrame, ignore: DataFrame, windows
               "skip": S.explode_spans(ignore, *WKEYS)}
     if nodata is not None:
         layers["skip"] = layers["skip"].unionByName(nodata.select(*WKEYS, "row", "c0", "c1"))
-    n = S.span_cells()
 
-    def total(cond):
-        return F.coalesce(F.sum(F.when(F.expr(cond), n)), F.lit(0).cast("long"))
+    def total(bits):
+        return F.coalesce(F.sum(F.bit_count(F.expr(bits)).cast("long")), F.lit(0).cast("long"))
 
-    counts = S.overlay(layers, WKEYS).groupBy(*WKEYS).agg(
-        total("lab > 0 and pred > 0 and skip = 0").alias("tp"), total("lab = 0 and pred > 0 and skip = 0").alias("fp"),
-        total("lab > 0 and pred = 0 and skip = 0").alias("fn"), total("skip > 0").alias("skipped"))
+    counts = S.bit_rows(layers, WKEYS).groupBy(*WKEYS).agg(
+        total("lab & pred & ~skip").alias("tp"), total("~lab & pred & ~skip").alias("fp"),
+        total("lab & ~pred & ~skip").alias("fn"), total("skip").alias("skipped"))
     size = ((F.col("r1") - F.col("r0")) * (F.col("k1") - F.col("k0"))).cast("long")
     zero = F.lit(0).cast("long")
-    return windows.join(counts, WKEYS, "left").select(
+    return windows.join(dealt(counts), WKEYS, "left").select(
         *WKEYS, *[F.coalesce(c, zero).alias(c) for c in ("tp", "fp", "fn")],
         (size - F.coalesce("skipped", zero)).alias("eval_px"))
 
@@ -96,10 +95,10 @@ def greedy_match(pairs: DataFrame, keys=WKEYS) -> DataFrame:
         by_pred = left.groupBy(*keys, "pred").agg(F.max(key).alias("bp"))
         by_label = left.groupBy(*keys, "label").agg(F.max(key).alias("bl"))
         best = cut(by_pred.select(*keys, F.col("bp.iou").alias("iou"), "pred", F.col("bp.label").alias("label"))
-                   .join(by_label.select(*keys, "label", F.col("bl.pred").alias("pred")), [*keys, "pred", "label"]))
+                   .join(dealt(by_label.select(*keys, "label", F.col("bl.pred").alias("pred"))), [*keys, "pred", "label"]))
         matched = best if matched is None else matched.unionByName(best)
-        left = cut(left.join(best.select(*keys, "pred"), [*keys, "pred"], "left_anti")
-                   .join(best.select(*keys, "label"), [*keys, "label"], "left_anti"))
+        left = cut(left.join(dealt(best.select(*keys, "pred")), [*keys, "pred"], "left_anti")
+                   .join(dealt(best.select(*keys, "label")), [*keys, "label"], "left_anti"))
     return left.select(*keys, "pred", "label", "iou") if matched is None else matched.select(*keys, "pred", "label", "iou")
 
 
@@ -162,13 +161,13 @@ def optimal_match(pairs: DataFrame, keys=WKEYS) -> DataFrame:
     pairs = cut(pairs.select(*keys, "pred", "label", "iou"))
     for end in ("pred", "label"):
         busy = pairs.groupBy(*keys, end).agg((F.count("*") > 1).alias(f"_{end}"))
-        pairs = pairs.join(busy, [*keys, end])
+        pairs = pairs.join(dealt(busy), [*keys, end])
     pairs = cut(pairs)
     free = pairs.where("not _pred and not _label").select(*keys, "pred", "label", "iou")
     rest = pairs.where("_pred or _label").select(*keys, "pred", "label", "iou")
     for end, node, odd in (("pred", "u", 0), ("label", "v", 1)):  # ends of any type become numbers; places in a checkpoint stay
         names = cut(rest.select(*keys, end).distinct()).withColumn(node, F.monotonically_increasing_id() * 2 + odd)
-        rest = rest.join(names, [*keys, end])
+        rest = rest.join(dealt(names), [*keys, end])
     rest = cut(rest)
     roots = graph_components(rest.select(*keys, "u", "v"), list(keys)).withColumnRenamed("node", "u")
     schema = ", ".join(f"{k} {rest.schema[k].dataType.simpleString()}" for k in keys) + ", u long, v long"
@@ -177,8 +176,8 @@ def optimal_match(pairs: DataFrame, keys=WKEYS) -> DataFrame:
         got = best_matching(list(pdf[["u", "v", "iou"]].itertuples(index=False, name=None)))
         return pd.DataFrame(got, columns=["u", "v"]).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "u", "v"]]
 
-    won = per_group(cut(rest.join(roots, [*keys, "u"]).select(*keys, "root", "u", "v", "iou")), [*keys, "root"], solve, schema)
-    return free.unionByName(rest.join(won, [*keys, "u", "v"], "left_semi").select(*keys, "pred", "label", "iou"))
+    won = per_group(cut(rest.join(dealt(roots), [*keys, "u"]).select(*keys, "root", "u", "v", "iou")), [*keys, "root"], solve, schema)
+    return free.unionByName(rest.join(dealt(won), [*keys, "u", "v"], "left_semi").select(*keys, "pred", "label", "iou"))
 
 
 def contention(pairs: DataFrame, keys=WKEYS) -> DataFrame:
@@ -186,15 +185,15 @@ def contention(pairs: DataFrame, keys=WKEYS) -> DataFrame:
     eligible for several predictions) per key."""
     def many(side, name):
         return pairs.groupBy(*keys, side).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.count_if(F.col("n") > 1).alias(name))
-    return many("pred", "merge_candidates").join(many("label", "split_candidates"), list(keys))
+    return many("pred", "merge_candidates").join(dealt(many("label", "split_candidates")), list(keys))
 
 
 def object_counts(matches: DataFrame, labels: DataFrame, preds: DataFrame, windows: DataFrame) -> DataFrame:
     got = matches.groupBy(*WKEYS).agg(F.count("*").alias("matched"), F.sum("iou").alias("iou_sum"))
     zero = F.lit(0).cast("long")
-    return (windows.select(*WKEYS).join(got, WKEYS, "left")
-            .join(preds.groupBy(*WKEYS).agg(F.count("*").alias("n_pred")), WKEYS, "left")
-            .join(labels.groupBy(*WKEYS).agg(F.count("*").alias("n_label")), WKEYS, "left")
+    return (windows.select(*WKEYS).join(dealt(got), WKEYS, "left")
+            .join(dealt(preds.groupBy(*WKEYS).agg(F.count("*").alias("n_pred"))), WKEYS, "left")
+            .join(dealt(labels.groupBy(*WKEYS).agg(F.count("*").alias("n_label"))), WKEYS, "left")
             .select(*WKEYS, *[F.coalesce(c, zero).alias(c) for c in ("matched", "n_pred", "n_label")], "iou_sum"))
 
 
@@ -202,7 +201,7 @@ def metrics(pixels: DataFrame, objects: DataFrame) -> DataFrame:
     """Per-window and micro-averaged rows in one pass; ratios are NULL on empty denominators.
     The overall row has ``window_id`` NULL; its mean IoU weights windows by matches."""
     sums = ["tp", "fp", "fn", "eval_px", "matched", "n_pred", "n_label", "iou_sum"]
-    both = pixels.join(objects, WKEYS)
+    both = pixels.join(dealt(objects), WKEYS)
     agg = both.groupingSets([["site_id", "window_id"], ["site_id"]], "site_id", "window_id").agg(*[F.sum(c).alias(c) for c in sums])
     return agg.select(
         *WKEYS, "tp", "fp", "fn", "eval_px", "matched", "n_pred", "n_label",
@@ -226,7 +225,7 @@ def score(preds: DataFrame, labels: DataFrame, windows: DataFrame, min_cells: fl
     """Full scoring of one layer; inputs carry ``site_id, id, spans`` (labels also
     ``window_id, ignore``).  Refuses nothing itself: see ``quality.approval_gate``."""
     truth, ignore, pieces = prepare(preds, labels, windows, min_cells)
-    pieces = cut(pieces)
+    truth, pieces = cut(truth), cut(pieces)
     pixels = pixel_counts(truth, pieces, ignore, windows, nodata)
     matches = greedy_match(candidate_matches(truth, pieces))
     return metrics(pixels, object_counts(matches, truth, pieces, windows))
@@ -245,10 +244,10 @@ def failure_classes(labels: DataFrame, preds: DataFrame) -> DataFrame:
     best = two.groupBy(*WKEYS, "b").agg(F.min(F.struct(
         (-F.col("inter")).alias("neg"), F.col("a").alias("pred"), F.col("a_cells").alias("p_cells"))).alias("m"))
     best = best.select(*WKEYS, F.col("b").alias("id"), (-F.col("m.neg")).alias("inter"), F.col("m.pred").alias("a"), "m.p_cells")
-    got = best.join(covers, [*WKEYS, "a"], "left").withColumn("labels_in", F.coalesce("labels_in", F.lit(0).cast("long")))
+    got = best.join(dealt(covers), [*WKEYS, "a"], "left").withColumn("labels_in", F.coalesce("labels_in", F.lit(0).cast("long")))
     iou = F.col("inter") / (F.col("p_cells") + F.col("cells") - F.col("inter"))
     cov = F.col("inter") / F.col("cells")
-    return lab.join(got, [*WKEYS, "id"], "left").select(
+    return lab.join(dealt(got), [*WKEYS, "id"], "left").select(
         *WKEYS, F.col("id.id").alias("label_id"), F.col("cells"),
         F.when(F.col("inter").isNull(), "missed").when(iou >= 0.5, "matched")
         .when((cov >= 0.5) & (F.col("labels_in") >= 2), "merged").when(cov < 0.5, "partial").otherwise("oversized").alias("failure"),

@@ -1,5 +1,6 @@
 """Known answers for pixel and object scores."""
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -108,3 +109,21 @@ def test_classifier_abstains(spark):
     d = spark.createDataFrame(rows, "split string, use_label string, f0 double, f1 double")
     out = {r.use_label: r.suggestion for r in L.predict(d.where("split = 'evaluation'"), L.fit(d, ["f0", "f1"]), ["f0", "f1"]).collect()}
     assert out == {"x": "a", "y": "unknown", "z": "unknown"}
+
+
+def test_bits_of_overlapping_layers(spark):
+    """Layers that overlap themselves, across buckets of 64 columns and left of column 0, against sets of cells."""
+    rng = random.Random(4)
+    cells = lambda spans: {(r, c) for r, a, b in spans for c in range(a, b)}
+    layers = {n: [(rng.randint(-3, 40), c, c + rng.randint(1, 150)) for c in (rng.randint(-130, 200) for _ in range(30))] for n in ("lab", "pred", "skip")}
+    frames = {n: spark.createDataFrame([(0, *s) for s in rows], "k int, row int, c0 int, c1 int") for n, rows in layers.items()}
+    got = {n: set() for n in layers}
+    for r in S.bit_rows(frames, ["k"]).collect():
+        for n in layers:
+            got[n] |= {(r.row, r.bucket * 64 + i) for i in range(64) if r[n] >> i & 1}
+    assert got == {n: cells(rows) for n, rows in layers.items()}
+    pieces = [(0, i, [(r, c, c + rng.randint(1, 90)) for r, c in ((rng.randint(-3, 40), rng.randint(-130, 200)),) for r in range(r, r + 20)]) for i in range(20)]
+    d = spark.createDataFrame(pieces, "k int, id int, spans array<struct<row:int,c0:int,c1:int>>")
+    have = {r.id: r.covered for r in S.covered_cells(d, frames["skip"], ["k"], ["k", "id"]).collect()}
+    want = {i: len(cells(s) & cells(layers["skip"])) for _, i, s in pieces}
+    assert have == {i: n for i, n in want.items() if n}

@@ -3,10 +3,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridfold.operators import pairs as P
+from gridfold.operators import scoring as C
 from gridfold.operators import spans as S
 from gridfold.operators import topology as O
 from gridfold.operators import validity as V
-from gridfold.plans import quality, regions, topology
+from gridfold.plans import quality, regions, scoring, topology
 from gridfold.session import spread
 
 FOLDER = "/root/testdata/sf0.001"
@@ -82,3 +83,18 @@ def test_tasks_are_bounded_by_rows(spark, tmp_path):
     per = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert len(per) == 20 and max(per) < 1000 and sum(per) == 10_000
     assert spread(spark.read.parquet(path), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_scores(spark):
+    """Pieces, pairs and labels of a layer are as many as its features: none of their joins is collected on the driver."""
+    features, labels, win = scoring.inputs(spark, FOLDER)
+    truth, ignore, pieces = C.prepare(features, labels, win, 10)
+    assert "BroadcastHashJoin" not in planned(pieces) and "BroadcastHashJoin" not in planned(truth) and "BroadcastHashJoin" not in planned(ignore)
+    assert "BroadcastHashJoin" not in planned(C.failure_classes(truth, pieces))
+    counts = planned(C.pixel_counts(truth, pieces, ignore, win))
+    assert "BroadcastHashJoin" not in counts and "Window" not in counts
+
+
+def test_rings_are_sorted_by_hash(layer):
+    plan = planned(O.with_neighbour_flag(layer, 0.1))
+    assert "SortMergeJoin [_h#" in plan and "BroadcastHashJoin" not in plan
