@@ -12,7 +12,7 @@ from gridfold import settings as T
 from gridfold.operators import spans as S
 from gridfold.operators.chains import ordered_lines
 from gridfold.operators.components import cell_components
-from gridfold.session import cut
+from gridfold.session import cut, dealt
 
 EVIDENCE_GEOMETRY = {"boundary_segment": ["LineString", "MultiLineString"], "survey_observation": ["Point", "LineString", "MultiLineString"],
                      "reference_parcel": ["Polygon", "MultiPolygon"], "excluded_area": ["Polygon", "MultiPolygon"], "survey_extent": ["Polygon"]}
@@ -149,11 +149,10 @@ def compare_faces(face_cells: DataFrame, reference: DataFrame, keys: list[str])
 def parcel_conflicts(parcels: DataFrame, extent: DataFrame, exclusions: DataFrame, keys: list[str], min_cells: float) -> DataFrame:
     """Parcels outside the declared extent or on excluded areas: ``keys, id, conflict``.
     ``parcels``: ``keys, id, spans, cells``; the zones are span tables (``keys, row, c0, c1``)."""
-    sp = S.explode_spans(parcels, *keys, "id")
     ids = [*keys, "id"]
-    inside = S.overlap_with(sp, S.union_spans(extent, keys), keys, ids).withColumnRenamed("covered", "inside")
-    banned = S.overlap_with(sp, S.union_spans(exclusions, keys), keys, ids).withColumnRenamed("covered", "banned")
-    both = parcels.select(*ids, "cells").join(inside, ids, "left").join(banned, ids, "left").na.fill(0, ["inside", "banned"])
+    inside = S.covered_cells(parcels, extent, keys, ids).withColumnRenamed("covered", "inside")
+    banned = S.covered_cells(parcels, exclusions, keys, ids).withColumnRenamed("covered", "banned")
+    both = parcels.select(*ids, "cells").join(dealt(inside), ids, "left").join(dealt(banned), ids, "left").na.fill(0, ["inside", "banned"])
     codes = F.array_compact(F.array(F.when(F.col("inside") < F.col("cells"), F.lit("outside_survey_extent")),
                                     F.when(F.col("banned") > min_cells, F.lit("excluded_area_intersection"))))
     return both.select(*ids, F.explode(codes).alias("conflict"))
@@ -161,8 +160,8 @@ def parcel_conflicts(parcels: DataFrame, extent: DataFrame, exclusions: DataFram
 
 def uncovered_cells(extent: DataFrame, parcels: DataFrame, exclusions: DataFrame, keys: list[str]) -> DataFrame:
     """Declared extent that no parcel and no exclusion covers (all span tables)."""
-    ov = S.overlay({"e": extent, "p": parcels.select(*keys, "row", "c0", "c1").unionByName(exclusions.select(*keys, "row", "c0", "c1"))}, keys)
-    return ov.where("e > 0 and p = 0").groupBy(*keys).agg(F.sum(S.span_cells()).alias("uncovered_cells"))
+    free = S.bit_rows({"e": extent, "p": parcels.select(*keys, "row", "c0", "c1").unionByName(exclusions.select(*keys, "row", "c0", "c1"))}, keys)
+    return free.where("e & ~p <> 0").groupBy(*keys).agg(F.sum(F.bit_count(F.expr("e & ~p")).cast("long")).alias("uncovered_cells"))
 
 
 def eligible_observations(observations: DataFrame, parcels: DataFrame, keys: list[str]) -> DataFrame:

@@ -215,7 +215,7 @@ def uncovered(spark, folder):
  UNION ALL SELECT site_id, 'outside_survey_extent', count(DISTINCT feature_id) FROM pcell WHERE r >= 650 OR c >= 650 GROUP BY ALL
  UNION ALL SELECT site_id, 'excluded_area_intersection', count(*) FROM (SELECT site_id, feature_id FROM pcell WHERE r BETWEEN 300 AND 349 AND c BETWEEN 300 AND 349 GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL"""))
 def parcel_conflicts(spark, folder):
-    p = parcel_spans(spark, folder)
+    p = cut(parcel_spans(spark, folder))
     two = P.overlap_pairs(p, p, K).where("a < b and inter > 1").groupBy("site_id").agg(F.count("*").alias("n")).select("site_id", F.lit("overlap").alias("conflict"), "n")
     one = A.parcel_conflicts(p, zone(spark, folder, 0, 650, 0, 650), zone(spark, folder, 300, 350, 300, 350), K, 1)
     return two.unionByName(one.groupBy("site_id", "conflict").agg(F.count("*").alias("n")))

@@ -3,11 +3,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridfold.operators import pairs as P
+from gridfold.operators import parcels as A
 from gridfold.operators import scoring as C
 from gridfold.operators import spans as S
 from gridfold.operators import topology as O
 from gridfold.operators import validity as V
-from gridfold.plans import quality, regions, scoring, topology
+from gridfold.plans import parcels, quality, regions, scoring, topology
 from gridfold.session import spread
 
 FOLDER = "/root/testdata/sf0.001"
@@ -98,3 +99,20 @@ def test_scores(spark):
 def test_rings_are_sorted_by_hash(layer):
     plan = planned(O.with_neighbour_flag(layer, 0.1))
     assert "SortMergeJoin [_h#" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_parcels_and_predictions(spark):
+    p = parcels.parcel_spans(spark, FOLDER)
+    zone = parcels.zone(spark, FOLDER, 0, 650, 0, 650)
+    assert "BroadcastHashJoin" not in planned(A.parcel_conflicts(p, zone, zone, ["site_id"], 1))
+    assert "Window" not in planned(parcels.uncovered(spark, FOLDER))
+    assert "BroadcastHashJoin" not in planned(scoring.best_prediction(spark, FOLDER))
+
+
+def test_zones_are_shuffled_as_spans(spark):
+    spans = spark.createDataFrame([(0, 1, 5, 60, 70), (0, 2, -3, -70, -60), (0, 3, 5, 0, 3)], "k int, zone int, row int, c0 int, c1 int")
+    cells = spark.createDataFrame([(0, r, c, 100 * r + c) for r, c in ((5, 59), (5, 60), (5, 64), (5, 69), (5, 70), (-3, -65), (-3, -64), (-3, -60))], "k int, row int, col int, v int")
+    got = S.under_spans(spans, cells, ["k"], "v")
+    assert sorted((r.zone, r.v) for r in got.collect()) == [(1, 560), (1, 564), (1, 569), (2, -365), (2, -364)]
+    plan = planned(regions.zonal(spark, FOLDER))
+    assert plan.index("explode(slice(") < plan.index("SortMergeJoin")  # the plan is written from its end
