@@ -4,11 +4,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridfold.functions import kernels as N
 from gridfold.functions import measures as M
 from gridfold.operators import spans as S
 from gridfold.operators.topology import _between, _turn, ring_structure, segments_meet
 from gridfold.session import cut, dealt, pin
 
+FEW = 256  # edges of a polygon that is tested in its row
+
 
 def _edges(features: DataFrame, fid: list[str]) -> DataFrame:
     """Edges of all rings: ``fid, ring, n, i, s, side, xmin, ymin``.  ``side`` is the feature's box
@@ -48,17 +51,28 @@ def _cross(s, t) -> Column:
     return proper | (on_line & (dx >= 0) & (dy >= 0) & ((dx > 0) | (dy > 0)))
 
 
-def polygon_faults(features: DataFrame, fid: list[str]) -> DataFrame:
+def polygon_faults(features: DataFrame, fid: list[str], few: int = FEW) -> DataFrame:
     """``fid, faults`` for every feature: ring 0 is the shell, the others are holes.
 
     Structure first (empty, open, too few points, not finite); what is whole is tested across all
     rings: ``self_intersection`` (a ring meets itself), ``rings_cross`` (edges of two rings cross or
     share a stretch; touching in a point is allowed), ``hole_outside`` (a vertex of a hole lies
-    outside the shell), ``nested_holes`` (a vertex of a hole lies inside another hole).  Edges meet in
-    buckets, vertices are cast along strips, so no ring is squared in one row.
+    outside the shell), ``nested_holes`` (a vertex of a hole lies inside another hole).  A polygon of at
+    most ``few`` edges is tested in its row, without a shuffle; edges of larger ones meet in buckets and
+    their vertices are cast along strips, so no large ring is squared in one row.
     """
-    seen = cut(pin(features.select(*fid, "rings"), _codes=ring_structure(F.col("rings"))))
-    edges = cut(_edges(seen.where("size(_codes) = 0"), fid))
+    edges = F.coalesce(F.aggregate("rings", F.lit(0), lambda a, r: a + F.size(r) - 1), F.lit(0))
+    seen = pin(features.select(*fid, "rings"), _codes=ring_structure(F.col("rings")), _edges=edges)
+    rest = F.expr(f"size(_codes) = 0 and _edges > {few}")
+    across = N.ring_codes(F.when((F.size("_codes") == 0) & ~rest, F.col("rings")))
+    out = pin(seen.where(~rest), _across=across).select(*fid, F.when(F.size("_codes") > 0, F.col("_codes")).otherwise(F.col("_across")).alias("faults"))
+    large = cut(seen.where(rest).select(*fid, "rings"))
+    return out if large.isEmpty() else out.unionByName(_large_faults(large, fid))
+
+
+def _large_faults(features: DataFrame, fid: list[str]) -> DataFrame:
+    """``fid, faults`` of sound rings with very many edges."""
+    edges = cut(_edges(features, fid))
     bucketed = _bucketed(edges).select(*fid, "bx", "by", "ring", "n", "i", "s")
     other = bucketed.select(*fid, "bx", "by", F.col("ring").alias("ring2"), F.col("i").alias("j"), F.col("s").alias("t"))
     met = bucketed.join(dealt(other), [*fid, "bx", "by"]).where("ring < ring2 or (ring = ring2 and i + 1 < j and not (i = 0 and j = n - 1))")
@@ -81,30 +95,30 @@ def polygon_faults(features: DataFrame, fid: list[str]) -> DataFrame:
     holes = holed.where("ring > 0").groupBy(*fid, "ring").agg(F.first("n").alias("n"))
     loose = holes.join(dealt(held), [*fid, "ring"], "left").where("coalesce(_held, 0) < n").select(*fid, F.lit("hole_outside").alias("code"))
     codes = met.unionByName(inner).unionByName(loose).groupBy(*fid).agg(F.array_sort(F.collect_set("code")).alias("_across"))
-    return seen.join(dealt(codes), fid, "left").select(*fid, F.when(F.size("_codes") > 0, F.col("_codes")).otherwise(F.coalesce("_across", F.array().cast("array<string>"))).alias("faults"))
+    return features.join(dealt(codes), fid, "left").select(*fid, F.coalesce("_across", F.array().cast("array<string>")).alias("faults"))
 
 
 def layer_checks(features: DataFrame, mask: DataFrame, nodata: DataFrame, sites: DataFrame, keys: list[str], res: float,
                  min_area: float, least_iou: float = 0.85, fid: str = "feature_id") -> DataFrame:
     """Rows ``keys, check, passed, detail`` of a layer (``keys, fid, rings``) against its raster.
 
-    ``mask`` and ``nodata`` hold cells (``keys, row, col``); ``sites`` holds per key the recorded
+    ``mask`` and ``nodata`` hold cells (``keys, row, col``), the mask also as spans (``keys, row, c0, c1``); ``sites`` holds per key the recorded
     ``features`` and the extent ``xmin, ymin, xmax, ymax``.  Checks: count as recorded; polygons
     valid; inside the extent; not below the least area; IoU of the burned polygons with the mask;
     interior points on cells with data.  ``detail`` is the number of faults, or the IoU.  A site
     without features or without mask cells is listed too (an empty union has IoU 1).
     """
-    d = S.coverage(features.select(*keys, fid, "rings"), res)
-    d = cut(pin(d, _a=M.area(F.col("rings")), _b=M.bounds(F.col("rings")), _p=S.interior_point(F.col("spans"), res)))
-    bad = polygon_faults(d, [*keys, fid]).where("size(faults) > 0").groupBy(*keys).agg(F.count("*").alias("invalid"))
+    bare = features.select(*keys, fid, "rings")
+    bad = polygon_faults(bare, [*keys, fid]).where("size(faults) > 0").groupBy(*keys).agg(F.count("*").alias("invalid"))
     e = 1e-6
     out = (F.col("_b.xmin") < F.col("xmin") - e) | (F.col("_b.xmax") > F.col("xmax") + e) | (F.col("_b.ymin") < F.col("ymin") - e) | (F.col("_b.ymax") > F.col("ymax") + e)
-    plain = d.join(dealt(sites.drop("features")), keys).groupBy(*keys).agg(F.count("*").alias("found"), F.count_if(out).alias("outside"), F.count_if(F.col("_a") < min_area - 1e-9).alias("small"))
-    cell = d.select(*keys, F.floor(F.col("_p.y") / res + 1e-9).cast("int").alias("row"), F.floor(F.col("_p.x") / res + 1e-9).cast("int").alias("col"))
+    plain = pin(bare, _a=M.area(F.col("rings")), _b=M.bounds(F.col("rings"))).select(*keys, "_a", "_b").join(dealt(sites.drop("features")), keys).groupBy(*keys).agg(F.count("*").alias("found"), F.count_if(out).alias("outside"), F.count_if(F.col("_a") < min_area - 1e-9).alias("small"))
+    d = S.coverage(bare, res).select(*keys, "spans")
+    cell = pin(d, _p=S.interior_point(F.col("spans"), res)).select(*keys, F.floor(F.col("_p.y") / res + 1e-9).cast("int").alias("row"), F.floor(F.col("_p.x") / res + 1e-9).cast("int").alias("col"))
     dark = cell.groupBy(*keys, "row", "col").agg(F.count("*").alias("_n")).join(dealt(nodata.select(*keys, "row", "col").distinct()), [*keys, "row", "col"]).groupBy(*keys).agg(F.sum("_n").alias("dark"))
-    spans = mask.select(*keys, "row", F.col("col").alias("c0"), (F.col("col") + 1).alias("c1"))
-    both = S.overlay({"v": S.explode_spans(d, *keys), "m": spans}, keys).groupBy(*keys).agg(
-        F.sum(F.when((F.col("v") > 0) & (F.col("m") > 0), S.span_cells())).alias("_inter"), F.sum(F.when((F.col("v") > 0) | (F.col("m") > 0), S.span_cells())).alias("_union"))
+    spans = mask if "c0" in mask.columns else mask.select(*keys, "row", F.col("col").alias("c0"), (F.col("col") + 1).alias("c1"))
+    both = S.bit_rows({"v": S.explode_spans(d, *keys), "m": spans}, keys).groupBy(*keys).agg(
+        F.sum(F.bit_count(F.expr("v & m")).cast("long")).alias("_inter"), F.sum(F.bit_count(F.expr("v | m")).cast("long")).alias("_union"))
     all_ = sites.select(*keys, "features")
     for part in (plain, bad, dark, both):
         all_ = all_.join(part, keys, "left")

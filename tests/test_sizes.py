@@ -9,7 +9,7 @@ from gridfold.operators import spans as S
 from gridfold.operators import topology as O
 from gridfold.operators import validity as V
 from gridfold.plans import parcels, quality, regions, scoring, topology
-from gridfold.session import spread
+from gridfold.session import cut, spread
 
 FOLDER = "/root/testdata/sf0.001"
 FEATURES = "site_id int, feature_type string, feature_id long, rings array<array<struct<x:double,y:double>>>"
@@ -116,3 +116,27 @@ def test_zones_are_shuffled_as_spans(spark):
     assert sorted((r.zone, r.v) for r in got.collect()) == [(1, 560), (1, 564), (1, 569), (2, -365), (2, -364)]
     plan = planned(regions.zonal(spark, FOLDER))
     assert plan.index("explode(slice(") < plan.index("SortMergeJoin")  # the plan is written from its end
+
+
+def shuffled(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+    return {f for f in files.split() if "shuffle_" in f}
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = shuffled(spark)
+    out = cut(rows)
+    assert shuffled(spark) <= before and out.count() == 7
+    assert rows.count() == 7 and cut(rows).count() == 7  # what was cut can be computed again
+
+
+def test_layer_checks_take_a_mask_in_spans(spark, layer):
+    """The same results as with its cells; the layer's spans are not stored and no cell is shuffled."""
+    sites = spark.createDataFrame([(0, 4)], "site_id int, features long").selectExpr("*", "0D xmin", "0D ymin", "20D xmax", "20D ymax")
+    nodata = spark.createDataFrame([(0, 9, 10)], "site_id int, row int, col int")
+    spans = S.explode_spans(S.coverage(layer.where("feature_id < 3"), 0.1), "site_id")
+    a, b = ({r.check: r.detail for r in V.layer_checks(layer, mask, nodata, sites, ["site_id"], 0.1, 1.0).collect()} for mask in (spans, S.to_cells(spans)))
+    assert a == b and a["round_trip"] == 0.75 and a["interior_points"] == 1.0
+    plan = planned(quality.layer_checks(spark, FOLDER))
+    assert "checkpoint" not in plan and "sequence(c0" not in plan and "Scan ExistingRDD" not in plan
