@@ -1,5 +1,6 @@
 """Polygons across rings, layer checks, tile pyramid: known answers and a brute-force twin."""
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,17 @@ def test_polygon_faults(spark):
     assert V.polygon_faults(d.limit(0), ["feature_id"]).count() == 0
 
 
+def test_small_polygons_in_their_row(spark):
+    """In the row or by joined edges the faults are the same, and small polygons are not shuffled."""
+    rng = random.Random(4)
+    some = [[ring(*[(rng.randrange(6), rng.randrange(6)) for _ in range(rng.randrange(3, 7))]) for _ in range(rng.randrange(1, 4))] for _ in range(400)]
+    d = spark.createDataFrame(list(enumerate([*some, *[c for c, _ in CASES]])), f"feature_id long, rings array<array<{POINTS}>>")
+    got, other = ({r.feature_id: r.faults for r in V.polygon_faults(d, ["feature_id"], few).collect()} for few in (10_000, 0))
+    assert got == other and len(set(map(tuple, got.values()))) > 5
+    small = V.polygon_faults(d.where("feature_id < 400"), ["feature_id"])
+    assert "Exchange" not in small._jdf.queryExecution().executedPlan().toString()
+
+
 def test_layer_checks_name_each_fault(spark):
     good = spark.createDataFrame([(1, 1, [box(1, 1, 3, 3)]), (2, 2, [box(1, 1, 3, 3), box(2, 2, 9, 2.5)]), (2, 3, [box(0, 4, .2, 4.2)])], f"site_id int, feature_id long, rings array<array<{POINTS}>>")
     mask = spark.createDataFrame([(1, r, c) for r in (1, 2) for c in (1, 2)] + [(2, 9, 9)], "site_id int, row int, col int")
