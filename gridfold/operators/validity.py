@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 from gridfold.functions import kernels as N
 from gridfold.functions import measures as M
 from gridfold.operators import spans as S
-from gridfold.operators.topology import _between, _turn, ring_structure, segments_meet
+from gridfold.operators.topology import _between, _turn, edge_count, ring_structure, segments_meet
 from gridfold.session import cut, dealt, pin
 
-FEW = 256  # edges of a polygon that is tested in its row
-
-
 def _edges(features: DataFrame, fid: list[str]) -> DataFrame:
     """Edges of all rings: ``fid, ring, n, i, s, side, xmin, ymin``.  ``side`` is the feature's box
     divided by the root of its edge count, so a bucket meets a bounded share of the edges."""
@@ -51,7 +48,7 @@ def _cross(s, t) -> Column:
     return proper | (on_line & (dx >= 0) & (dy >= 0) & ((dx > 0) | (dy > 0)))
 
 
-def polygon_faults(features: DataFrame, fid: list[str], few: int = FEW) -> DataFrame:
+def polygon_faults(features: DataFrame, fid: list[str], few: int = N.FEW) -> DataFrame:
     """``fid, faults`` for every feature: ring 0 is the shell, the others are holes.
 
     Structure first (empty, open, too few points, not finite); what is whole is tested across all
@@ -61,8 +58,7 @@ def polygon_faults(features: DataFrame, fid: list[str], few: int = FEW) -> DataF
     most ``few`` edges is tested in its row, without a shuffle; edges of larger ones meet in buckets and
     their vertices are cast along strips, so no large ring is squared in one row.
     """
-    edges = F.coalesce(F.aggregate("rings", F.lit(0), lambda a, r: a + F.size(r) - 1), F.lit(0))
-    seen = pin(features.select(*fid, "rings"), _codes=ring_structure(F.col("rings")), _edges=edges)
+    seen = pin(features.select(*fid, "rings"), _codes=ring_structure(F.col("rings")), _edges=edge_count(F.col("rings")))
     rest = F.expr(f"size(_codes) = 0 and _edges > {few}")
     across = N.ring_codes(F.when((F.size("_codes") == 0) & ~rest, F.col("rings")))
     out = pin(seen.where(~rest), _across=across).select(*fid, F.when(F.size("_codes") > 0, F.col("_codes")).otherwise(F.col("_across")).alias("faults"))

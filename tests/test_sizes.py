@@ -8,6 +8,7 @@ from gridfold.operators import scoring as C
 from gridfold.operators import spans as S
 from gridfold.operators import topology as O
 from gridfold.operators import validity as V
+from gridfold.operators.components import cell_components
 from gridfold.plans import parcels, quality, regions, scoring, topology
 from gridfold.session import cut, spread
 
@@ -118,6 +119,29 @@ def test_zones_are_shuffled_as_spans(spark):
     assert plan.index("explode(slice(") < plan.index("SortMergeJoin")  # the plan is written from its end
 
 
+def test_gaps_too_small_stay_in_their_tile(spark):
+    """Small tiles find the same gaps; what lies inside a tile and is small goes, whole gaps at its border do not."""
+    spans = [(0, "b", i, [(r, c, c + 5) for r in range(i * 37 % 50, i * 37 % 50 + 4)]) for i in range(40) for c in [i * 29 % 60]] + [(0, "b", 99, [])]
+    d = spark.createDataFrame(spans, "site_id int, feature_type string, id long, spans array<struct<row:int,c0:int,c1:int>>")
+    every = {(r.row, r.col) for r in O.closing_gaps(d, 0.1).collect()}
+    assert every and every == {(r.row, r.col) for r in O.closing_gaps(d, 0.1, tile=16).collect()}
+    lab = cell_components(O.closing_gaps(d, 0.1), O.KEYS).groupBy("component").agg(F.count("*").alias("n"), F.collect_list(F.struct("row", "col")).alias("cells"))
+    big = {(c.row, c.col) for r in lab.where("n >= 6").collect() for c in r.cells}
+    some, tiled = ({(r.row, r.col) for r in O.closing_gaps(d, 0.1, tile=t, min_area=0.06).collect()} for t in (256, 16))
+    assert big <= tiled < every and big <= some < every
+
+
+def test_layer_is_not_stored_with_its_rings(layer, monkeypatch):
+    """The conflict table carries rings through its joins, not spans and edges, and materialises what is left of the gaps only."""
+    wide = []
+    monkeypatch.setattr(O, "cut", lambda df: wide.append(df.columns) or cut(df))
+    out = O.conflict_table(layer, 0.1)
+    assert not any("rings" in c or "spans" in c for c in wide)
+    assert "BroadcastHashJoin" not in planned(out)
+    tall = O.with_broken(layer.limit(1).withColumn("rings", F.array(F.concat(*[F.col("rings")[0]] * 80))))
+    assert [r._broken for r in tall.collect()] == [True] and [r._broken for r in O.with_broken(layer).collect()] == [False] * 4
+
+
 def shuffled(spark):
     files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
     return {f for f in files.split() if "shuffle_" in f}
