@@ -1,4 +1,6 @@
 """What an explode or an array makes large is not collected on the driver, however small its file."""
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +144,27 @@ def test_layer_is_not_stored_with_its_rings(layer, monkeypatch):
     assert [r._broken for r in tall.collect()] == [True] and [r._broken for r in O.with_broken(layer).collect()] == [False] * 4
 
 
+def test_few_lines_are_met_at_once(spark):
+    """Keys with few lines and keys that are searched give the same distances; few lines copy no outline into buckets."""
+    rng = random.Random(3)
+    rows = [(k, i, square(rng.uniform(0, 60), rng.uniform(0, 60)), i % 3) for k in range(4) for i in range(25)]
+    d = spark.createDataFrame(rows, "site_id int, feature_id long, rings array<array<struct<x:double,y:double>>>, tag int")
+    d = d.select("site_id", "feature_id", "tag", S.M.segments(F.col("rings")).alias("segs"))
+    lines = spark.createDataFrame([(k, *[rng.uniform(0, 60) for _ in range(4)]) for k in range(3) for _ in range(1 + 4 * k)], "site_id int, x1 double, y1 double, x2 double, y2 double")
+    got = [{(r.site_id, r.feature_id): (r.tag, r.distance) for r in P.nearest_line(d, lines, ["site_id"], "feature_id", 4.0, ("tag",), few).collect()} for few in (64, 5, 0)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 100 and {k[0] for k, v in got[0].items() if v[1] is None} == {3}
+    assert "Generate" not in planned(P.nearest_line(d, lines, ["site_id"], "feature_id", 4.0))
+
+
+def test_neighbours_within_wide_cells(spark):
+    rng = random.Random(5)
+    at = [(rng.randrange(40) / 4, rng.randrange(40) / 4 - 5) for _ in range(200)]
+    d = spark.createDataFrame([(0, i, x, y, "t") for i, (x, y) in enumerate(at)], "site_id int, id long, x double, y double, tag string")
+    out = P.neighbour_counts(d, ["site_id"], "id", 1.25, ("tag",)).collect()
+    assert {r.id: r.neighbours for r in out} == {i: sum((x - u) ** 2 + (y - v) ** 2 <= 1.5625 for u, v in at) - 1 for i, (x, y) in enumerate(at)}
+    assert {r.tag for r in out} == {"t"}
+
+
 def shuffled(spark):
     files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
     return {f for f in files.split() if "shuffle_" in f}
