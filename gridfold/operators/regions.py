@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.operators.chains import line_vertices, ordered_lines
 from gridfold.operators.components import cell_components, graph_components
 from gridfold.operators.merging import MOST, merged_colours, merged_constrictions
-from gridfold.session import cut
+from gridfold.session import cut, dealt
 
 TILE = 128
 
@@ -246,7 +247,7 @@ def outline_runs(labels: DataFrame, keys: list[str], label: str = "label") -> Da
     here = labels.select(*keys, F.col(label).alias("label"), "row", "col", F.explode(side).alias("m"))
     here = here.withColumn("nr", F.col("row") + F.col("m.dr")).withColumn("nc", F.col("col") + F.col("m.dc"))
     other = labels.select(*keys, F.col(label).alias("label"), F.col("row").alias("nr"), F.col("col").alias("nc"))
-    rim = here.join(other, [*keys, "label", "nr", "nc"], "left_anti")
+    rim = here.join(dealt(other), [*keys, "label", "nr", "nc"], "left_anti")
     return rim.select(*keys, "label", (F.col("col") + F.col("m.ax")).alias("x1"), (F.col("row") + F.col("m.ay")).alias("y1"),
                       (F.col("col") + F.col("m.bx")).alias("x2"), (F.col("row") + F.col("m.by")).alias("y2"))
 
@@ -279,28 +280,102 @@ def stitch(x1, y1, x2, y2) -> list[list[tuple[int, int]]]:
     return rings
 
 
+def stitch_all(region, x1, y1, x2, y2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``stitch`` for the edges of many regions (numbered from 0 in ``region``): the region and the number of points of every
+    ring, the points' x and y.  Rings come by region and smallest corner.
+
+    At every corner the next edge is known beforehand, so rings are the cycles of one permutation of the edges.
+    """
+    n = len(region)
+    x, y, r = np.concatenate([x1, x2]), np.concatenate([y1, y2]), np.concatenate([region, region])
+    order = np.lexsort((y, x, r))
+    fresh = np.zeros(2 * n, np.int64)
+    fresh[1:] = (np.diff(r[order]) != 0) | (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)
+    corner = np.empty(2 * n, np.int64)
+    corner[order] = np.cumsum(fresh)  # corners by region, x, y
+    by = np.argsort(corner[:n], kind="stable")
+    ways = np.bincount(corner[:n], minlength=corner.max(initial=-1) + 1)
+    first = (np.cumsum(ways) - ways)[corner[n:]]
+    one, two = by[first], by[np.minimum(first + 1, n - 1)]
+    turn = lambda e: (x2 - x1) * (y2 - y1)[e] - (y2 - y1) * (x2 - x1)[e]
+    after = np.where((ways[corner[n:]] > 1) & (turn(two) > turn(one)), two, one).tolist()
+    seen, path, starts = bytearray(n), [], []
+    for e in by.tolist():
+        if not seen[e]:
+            starts.append(len(path))
+            while not seen[e]:
+                seen[e] = 1
+                path.append(e)
+                e = after[e]
+    path, starts = np.array(path, np.int64), np.array(starts, np.int64)
+    ends = np.append(starts[1:], n)
+    ring = np.repeat(np.arange(len(starts)), ends - starts)
+    before = np.arange(n) - 1
+    before[starts] = ends - 1
+    dx, dy = (x2 - x1)[path], (y2 - y1)[path]
+    bent = np.flatnonzero(dx[before] * dy != dy[before] * dx)  # straight runs are merged
+    many = np.bincount(ring[bent], minlength=len(starts))
+    head = np.cumsum(many) - many
+    again = np.insert(bent, head + many, bent[head]) if len(bent) else bent
+    return region[path[starts]], many + 1, x1[path[again]], y1[path[again]]
+
+
 def polygonize(labels: DataFrame, keys: list[str], res: float, label: str = "label", min_area: float = 0.0) -> DataFrame:
     """Region outlines as ring arrays in metres (outer rings counter-clockwise, holes clockwise):
-    ``keys, label, rings``.  Regions below ``min_area`` are dropped before any stitching."""
-    big = labels.groupBy(*keys, label).agg(F.count("*").alias("_n")).where(F.col("_n") * res * res >= min_area - 1e-9).select(*keys, label)
-    edges = outline_runs(labels.join(big, [*keys, label], "left_semi"), keys, label)
-    head = _schema(edges, [*keys, "label"])
-
-    def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = stitch(*(pdf[c].tolist() for c in ("x1", "y1", "x2", "y2")))
-        pts = [[{"x": x * res, "y": y * res} for x, y in ring] for ring in rings]
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in [*keys, "label"]}, "rings": pts}])
+    ``keys, label, rings``.  Regions below ``min_area`` are dropped before any stitching.
 
-    return edges.groupBy(*keys, "label").applyInPandas(close, head + ", rings array<array<struct<x:double,y:double>>>")
+    Edges are sorted by region and stitched as they come, many regions at once; only the outline of one region has to fit a task.
+    """
+    big = labels.groupBy(*keys, label).agg(F.count("*").alias("_n")).where(F.col("_n") * res * res >= min_area - 1e-9).select(*keys, label)
+    edges = outline_runs(labels.join(dealt(big), [*keys, label], "left_semi"), keys, label)
+    names = [*keys, "label"]
+
+    def closed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        heads = _heads(batch, names)
+        region = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, batch.num_rows)))
+        own, many, x, y = stitch_all(region, *(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("x1", "y1", "x2", "y2")))
+        points = pa.StructArray.from_arrays([pa.array(x * res), pa.array(y * res)], ["x", "y"])
+        ends = lambda sizes: pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+        rings = pa.ListArray.from_arrays(ends(np.bincount(own, minlength=len(heads))), pa.ListArray.from_arrays(ends(many), points))
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(heads)) for c in names), rings], [*names, "rings"])
+
+    def close(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            edge = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch]).combine_chunks().to_batches()[0] if held else batch
+            heads = _heads(edge, names) - (1 if held else 0)
+            last = int(heads[-1])  # where the last region of the batch begins, below 0: before it
+            if last > 0 or (held and last == 0):
+                yield closed([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(max(last, 0)))
+        if held:
+            yield closed(held)
+
+    rows = edges.repartition(*names).sortWithinPartitions(*names)
+    return rows.mapInArrow(close, _schema(edges, names) + ", rings array<array<struct<x:double,y:double>>>")
+
+
+def _heads(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Places where a new combination of the sorted columns ``names`` begins."""
+    fresh = np.zeros(batch.num_rows, bool)
+    fresh[:1] = True
+    for c in names:
+        codes = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        fresh[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(fresh)
 
 
 def class_polygons(cells: DataFrame, keys: list[str], klass: str, score: Column, res: float, min_area: float, tile: int = TILE, width: int = 1 << 31) -> DataFrame:
     """One polygon for each 4-connected region of one class: ``keys, klass, component, cells, score, rings``.
     ``score`` is averaged over the region's cells; regions below ``min_area`` m2 are dropped first."""
     own = [*keys, klass]
-    lab = cut(cell_components(cells, own, tile, width=width).join(cells.withColumn("_s", score).select(*own, "row", "col", "_s"), [*own, "row", "col"]))
+    lab = cut(cell_components(cells, own, tile, width=width).join(dealt(cells.withColumn("_s", score).select(*own, "row", "col", "_s")), [*own, "row", "col"]))
     stats = lab.groupBy(*own, "component").agg(F.count("*").alias("cells"), F.avg("_s").alias("score"))
-    return stats.join(polygonize(lab.drop("_s"), own, res, "component", min_area).withColumnRenamed("label", "component"), [*own, "component"])
+    return stats.join(dealt(polygonize(lab.drop("_s"), own, res, "component", min_area).withColumnRenamed("label", "component")), [*own, "component"])
 
 
 def boundary_edges(labels: DataFrame, keys: list[str], label: str = "label") -> DataFrame:

@@ -220,3 +220,23 @@ def test_growth_ends_after_its_steps(spark):
     out = {r.col: r.label for r in R3.grow(cells, ["site_id"], 16, steps=30).collect()}
     assert out == {c: 7 if c <= 30 else None for c in range(45)}
     assert {r.label for r in R3.grow(cells, ["site_id"], 16).collect()} == {7}
+
+
+def test_many_regions_are_stitched_at_once(spark):
+    """The same rings as one region after the other, holes and diagonal cells included, however small the batches."""
+    rng = np.random.default_rng(8)
+    cells = [(s, r, c, int(rng.integers(3))) for s in range(3) for r in range(14) for c in range(14) if rng.random() < .8]
+    d = spark.createDataFrame(cells, "site_id int, row int, col int, label long")
+    edges = {}
+    for e in G.outline_runs(d, ["site_id"]).collect():
+        edges.setdefault((e.site_id, e.label), []).append((e.x1, e.y1, e.x2, e.y2))
+    want = {k: [[(x * .5, y * .5) for x, y in ring] for ring in G.stitch(*zip(*v))] for k, v in edges.items()}
+    for size in (10_000, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = {(r.site_id, r.label): [[(p.x, p.y) for p in ring] for ring in r.rings] for r in G.polygonize(d, ["site_id"], .5).collect()}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+        assert got == want
+    assert G.polygonize(d.limit(0), ["site_id"], .5).count() == 0
+    assert "FlatMapGroups" not in G.polygonize(d, ["site_id"], .5)._jdf.queryExecution().executedPlan().toString()  # no call for each region
