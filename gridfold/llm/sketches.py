@@ -6,6 +6,7 @@ overlap.  Registers of a union are the larger of both, so sketches merge.
 """
 from __future__ import annotations
 
+from functools import reduce
 from hashlib import blake2b
 
 import math
@@ -23,6 +24,8 @@ BANDS, ROWS = 41, 5            # a link of similarity 0.8 shares no band with pr
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 SLACK = 0.13                   # an estimate this far below the threshold rules a pair out (over four deviations)
+FEW = 32                       # documents in a band that are compared pair by pair
+LOOSE, ROUNDS = 0.5, 3         # agreeing registers that join a document with the hub of a wider band; hubs that it tries
 CHUNK = 1_500_000              # bytes of text worked on at once
 BLOCK, EXTRA = 600_000, 1_000  # shingles in a block of documents compared with each other; what a document counts besides
 
@@ -156,6 +159,52 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "registers").mapInArrow(work, "rep long, bucket long")
 
 
+def _agreement(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """``u, v, same``: the share of equal registers of every pair."""
+    def work(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).mean(axis=1))], ["u", "v", "same"])
+    both = pairs.join(held.select(F.col("rep").alias("u"), F.col("registers").alias("_a")), "u").join(held.select(F.col("rep").alias("v"), F.col("registers").alias("_b")), "v")
+    return both.select("u", "v", "_a", "_b").mapInArrow(work, "u long, v long, same double")
+
+
+def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) that connect any two representatives that share a band and may be similar enough.
+
+    Chance bands would chain unrelated documents to clusters that outgrow the input, so only pairs are joined whose registers
+    agree.  Two that are similar agree in ``least`` of them; in a band of at most FEW documents that is asked of every pair.
+    The smallest of a wider band is its hub: when one of two similar documents agrees with it in LOOSE + 1 - ``least``,
+    the other does in LOOSE, so both are joined with the hub and the first may leave.  The others go on to the
+    next hub, ROUNDS times; a band that is still wide is joined as it is.
+    """
+    least = percent / 100 - SLACK
+    loose = min(LOOSE, least)
+    bands = _bands(reps)
+    full = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    rows = cut(bands.join(full, "bucket"))
+    held = cut(reps.select("rep", "registers").join(rows.select("rep").distinct(), "rep", "left_semi"))
+    out, small = [], [rows.where(F.col("n") <= FEW)]
+    for last in [False] * ROUNDS + [True]:
+        wide = rows.where(F.col("n") > FEW)
+        starred = wide.join(wide.groupBy("bucket").agg(F.min("rep").alias("u")), "bucket").where("u <> rep").select("bucket", "u", F.col("rep").alias("v"))
+        pairs = starred.select("u", "v").distinct()
+        if last:
+            out.append(pairs)
+            break
+        same = cut(_agreement(pairs, held))
+        out.append(same.where(F.col("same") >= loose).select("u", "v"))
+        rest = starred.join(same.where(F.col("same") < loose + 1 - least).select("u", "v"), ["u", "v"], "left_semi").select("bucket", F.col("v").alias("rep"))
+        rows = cut(rest.join(rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"))
+        small.append(rows.where(F.col("n") <= FEW))
+        if rows.where(F.col("n") > FEW).isEmpty():
+            break
+    few = reduce(DataFrame.unionByName, small).select("bucket", "rep")
+    pairs = few.withColumnRenamed("rep", "u").join(few.withColumnRenamed("rep", "v"), "bucket").where("u < v").select("u", "v").distinct()
+    out.append(_agreement(pairs, held).where(F.col("same") >= least).select("u", "v"))
+    return cut(reduce(DataFrame.unionByName, out).distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of an edge table (u, v): the smallest node it is joined with.
 
@@ -209,7 +258,7 @@ def compare_block(rows: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
     node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
     _, group = np.unique(root, return_inverse=True)
     parent = list(range(int(group.max()) + 1))
-    pairs = []
+    pairs, loose = [], min(LOOSE, percent / 100 - SLACK)
     edge = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1], [True]]))
     for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
         for i in range(lo, hi - 1):
@@ -218,6 +267,7 @@ def compare_block(rows: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
             ok = (group[j] != group[i]) & (100 * small >= percent * large) & (small > 0)
             ok &= (side[j] != side[i]) | (side[i] == 0)
             j = j[ok]
+            j = j[(registers[j] == registers[i]).sum(axis=1) >= loose * REGISTERS]  # far cheaper than the likelihood
             if len(j):
                 near = likely_similarity(np.broadcast_to(registers[i], (len(j), REGISTERS)), registers[j], np.full(len(j), count[i]).astype(float), count[j].astype(float))
                 keep = near >= percent / 100 - SLACK
@@ -255,8 +305,8 @@ def near_copies(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame
     text) link with nothing.  Rows with the same doc_id are one node; rows without one link with nothing,
     have no component and are kept.
 
-    Equal sets are one representative from the start.  Representatives that share a band belong
-    to one candidate cluster; clusters are laid out in blocks of bounded size, and every pair of a
+    Equal sets are one representative from the start.  Representatives that share a band and may be
+    similar belong to one candidate cluster; clusters are laid out in blocks of bounded size, and every pair of a
     cluster is compared: inside blocks, then each block with its cluster's first, then what still
     has different roots.  A pure block pair of one root is never looked at, so a huge group
     of copies costs its own size.
@@ -266,9 +316,7 @@ def near_copies(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame
     linked = sk.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = cut(linked.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
     reps = linked.join(classes.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "n", "doc_id"], "left_semi").withColumnRenamed("doc_id", "rep")
-    bands = _bands(reps)
-    shared = bands.groupBy("bucket").agg(F.min("rep").alias("u"), F.max("rep").alias("_other")).where("u < _other").drop("_other")
-    edges = cut(bands.join(shared, "bucket").where("u <> rep").select("u", F.col("rep").alias("v")).distinct())
+    edges = candidate_edges(reps, percent)
     links = _link(spark, docs, classes, edges, words, percent)
     # a doc_id with several texts stands in several classes and joins them
     ids = linked.select("doc_id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).select("doc_id", "rep")

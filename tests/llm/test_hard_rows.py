@@ -2,6 +2,7 @@
 import random
 import string
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,24 @@ def test_scorer_does_not_depend_on_partitions(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, F.col("doc_id") % parts)
         scores.append({r.doc_id: (r.quality_score, r.accepted) for r in quality.judge(docs, sample=200).collect()})
     assert scores[0] == scores[1]
+
+
+def test_chance_bands_chain_nothing(spark):
+    """Documents that share one band by chance are no candidates; similar ones are, beside an unrelated hub and in wide bands too."""
+    rng = np.random.default_rng(6)
+    draw = lambda: rng.integers(0, 60000, sketches.REGISTERS).astype(np.uint16)
+    chain = [draw() for _ in range(50)]
+    for i, (a, b) in enumerate(zip(chain, chain[1:])):  # 0 and 1 share a band, 1 and 2 another one, and so on
+        at = i % sketches.BANDS * sketches.ROWS
+        b[at:at + sketches.ROWS] = a[at:at + sketches.ROWS]
+    base = draw()
+    group = [np.where(rng.random(sketches.REGISTERS) < .9, base, draw()) for _ in range(2 * sketches.FEW)]
+    for x in group[5:]:
+        x[:sketches.ROWS] = base[:sketches.ROWS]
+    hub = draw()
+    hub[:sketches.ROWS] = base[:sketches.ROWS]
+    rows = [(i, x.tobytes()) for i, x in enumerate([*chain, hub, *group])]
+    edges = sketches.candidate_edges(spark.createDataFrame(rows, "rep long, registers binary"), 80)
+    roots = {r.node: r.root for r in sketches.components(edges).collect()}
+    assert roots == {i: 51 for i in range(51, 51 + len(group))}
+    assert sketches.candidate_edges(spark.createDataFrame(rows[:1], "rep long, registers binary"), 80).count() == 0
