@@ -14,7 +14,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridfold.llm.common import LOWER, mix, numbered, row_chunks, texts_of, word_bounds
@@ -180,14 +180,15 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
     """
     least = percent / 100 - SLACK
     loose = min(LOOSE, least)
-    bands = _bands(reps)
-    full = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    rows = cut(bands.join(full, "bucket"))
+    band = Window.partitionBy("bucket")
+
+    def shared(rows):  # ``n`` in the band, ``u`` the hub; one pass, no join of a band with itself
+        return cut(rows.select("bucket", "rep", F.count("*").over(band).alias("n"), F.min("rep").over(band).alias("u")).where("n > 1"))
+    rows = shared(_bands(reps))
     held = cut(reps.select("rep", "registers").join(rows.select("rep").distinct(), "rep", "left_semi"))
     out, small = [], [rows.where(F.col("n") <= FEW)]
     for last in [False] * ROUNDS + [True]:
-        wide = rows.where(F.col("n") > FEW)
-        starred = wide.join(wide.groupBy("bucket").agg(F.min("rep").alias("u")), "bucket").where("u <> rep").select("bucket", "u", F.col("rep").alias("v"))
+        starred = rows.where((F.col("n") > FEW) & (F.col("u") != F.col("rep"))).select("bucket", "u", F.col("rep").alias("v"))
         pairs = starred.select("u", "v").distinct()
         if last:
             out.append(pairs)
@@ -195,7 +196,7 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
         same = cut(_agreement(pairs, held))
         out.append(same.where(F.col("same") >= loose).select("u", "v"))
         rest = starred.join(same.where(F.col("same") < loose + 1 - least).select("u", "v"), ["u", "v"], "left_semi").select("bucket", F.col("v").alias("rep"))
-        rows = cut(rest.join(rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"))
+        rows = shared(rest)
         small.append(rows.where(F.col("n") <= FEW))
         if rows.where(F.col("n") > FEW).isEmpty():
             break
